@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simple8b, token_counts
+from . import decontaminate, exact_dedup, licences, packing, quality, sharding, simple8b, token_counts
 from ._store import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
 
@@ -20,9 +28,22 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.id_file_digest(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simple8b, op7_bin_packing)}
-ORACLES: dict[str, str] = {}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_decontamination, op2_sharding, op3_token_counts, op5_simple8b, op6_licences, op7_bin_packing, op9_quality, op10_exact_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
