@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licences, packing, quality, sharding, simple8b, token_counts
+from . import decontaminate, exact_dedup, licences, near_dedup, packing, quality, sharding, simple8b, token_counts
 from ._store import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op7_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_groups(table(spark, sf_dir, "documents"), percent=85, size=3)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -44,6 +48,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_sharding, op3_token_counts, op5_simple8b, op6_licences, op7_bin_packing, op9_quality, op10_exact_dedup)
+_ALL = (op1_decontamination, op2_sharding, op3_token_counts, op5_simple8b, op6_licences, op7_bin_packing, op8_near_dedup, op9_quality, op10_exact_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
