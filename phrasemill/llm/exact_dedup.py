@@ -34,7 +34,8 @@ def frequent(rows: DataFrame, column: str, tracked: int = TRACKED) -> DataFrame:
     """One row for each value that may be frequent, at most ``tracked``: all those with over
     ``rows / (0.75 * tracked)`` occurrences are among them."""
     parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")).agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("sketch"))
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {tracked})").alias("top"))
+    # by a constant key: a combine over a partition without rows would fail
+    top = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {tracked})").alias("top"))
     return top.select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias(column))
 
 
