@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licences, near_dedup, packing, quality, sharding, simple8b, token_counts
+from . import decontaminate, exact_dedup, licences, near_dedup, packing, quality, sharding, simple8b, suffix_tree, token_counts
 from ._store import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.id_file_digest(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
 
@@ -48,6 +52,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_sharding, op3_token_counts, op5_simple8b, op6_licences, op7_bin_packing, op8_near_dedup, op9_quality, op10_exact_dedup)
+_ALL = (op1_decontamination, op2_sharding, op3_token_counts, op4_suffix_tree, op5_simple8b, op6_licences, op7_bin_packing, op8_near_dedup, op9_quality, op10_exact_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
