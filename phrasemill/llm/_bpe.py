@@ -20,7 +20,7 @@ from . import _arrow as A
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that a worker remembers; beyond them its memory begins anew. This bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Pieces that go to the library as one text.
 RUN = 512
 _ODD = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{2064}\\x{3000}\\x{feff}]"

@@ -20,6 +20,8 @@ from . import _arrow as A
 
 #: Buckets of hashed words, and factors of each feature.
 BUCKETS, RANK = 1 << 14, 8
+#: Text bytes that are scored at once: the factors of all their words are in memory together.
+CHUNK_BYTES = 2 << 20
 #: Labelled rows that the model is fitted to, at most.
 SAMPLE = 12_000
 _LETTER = np.zeros((256, 8))
@@ -163,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
 
     def run(batches):
-        for b in A.chunks(batches, "text"):
+        for b in A.chunks(batches, "text", CHUNK_BYTES):
             begin, bucket, value, dense = features(b.column("text"))
             lists = [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(z)) for z in (bucket.astype(np.int32), value.astype(np.float32))]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1) * STRUCTURE, pa.int32()), pa.array(dense.ravel()))
@@ -185,7 +187,7 @@ def _apply(docs: DataFrame, model: Model, keep: list[str], text_col: str, score_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in A.chunks(batches, "t"):
+        for b in A.chunks(batches, "t", CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(shared.value.score(b.column("t")))], [*names, "s"])
 
     schema = rows.drop("t").schema.add("s", "double")

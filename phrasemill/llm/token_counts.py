@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _arrow as A
 
 #: Pre-tokens whose counts a worker remembers; beyond them its memory begins anew. It bounds memory only.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _NONE = np.int64(1) << 40
 #: Characters from which a pre-token is merged on its own.
 LONG = 2048
