@@ -48,7 +48,7 @@ def round_robin(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     parts = []
     for i, p in enumerate(paths):
-        rows = spark.read.option("wholetext", True).text(p).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("row", "value"))
+        rows = spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("row", "value"))
         parts.append(rows.withColumn("shard", F.lit(i)))
     both = reduce(DataFrame.unionByName, parts)
     shortest = both.groupBy("shard").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
