@@ -191,12 +191,12 @@ def plain_title(title: Column) -> Column:
 
 def plain_spaces(text: Column) -> Column:
     """No-break spaces as spaces."""
-    return F.replace(text, F.lit(" "), F.lit(" "))
+    return F.replace(text, F.lit("\u00a0"), F.lit(" "))
 
 
 def whitespace_tokens(text: Column) -> Column:
     """Split at space, tab, line ends and the narrow no-break space only."""
-    return F.filter(F.split(text, "[ \\t\\r\\n ]+"), lambda w: w != "")
+    return F.filter(F.split(text, "[ \\t\\r\\n\u202f]+"), lambda w: w != "")
 
 
 def strip_punctuation(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import corpus, index, metrics, mips, phrases, sampling, search, spans
+from ..operators import corpus, index, metrics, mips, phrases, records, sampling, search, spans
 from ..streaming import requests
 from . import sql as S
 from . import views as W
@@ -676,3 +676,81 @@ def hex_shades(spark, sf):
 def span_vote(spark, sf):
     a = W.table(spark, sf, "events").where("event_id < 5000").select(F.col("user_id").alias("qid"), F.col("event_id").alias("at"), F.length("event_type").cast("bigint").alias("start"), F.lit(0).alias("end"))
     return corpus.span_vote(a).select("qid", "start", "votes")
+
+
+# records ------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS index FROM (SELECT DISTINCT lang FROM documents)")
+def label_index(spark, sf):
+    return records.label_index(W.table(spark, sf, "documents"), "lang")
+
+
+@query("SELECT item_id, array_to_string(list_concat(w[1:40], list_transform(range(greatest(40 - len(w), 0)), lambda i: '[PAD]')), ' ') AS padded, least(len(w), 40)::BIGINT AS real FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
+def padded_batch(spark, sf):
+    rows = W.table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("tokens"))
+    return records.padded_batch(rows, "tokens", 40).select("item_id", F.array_join("tokens", " ").alias("padded"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("real"))
+
+
+@query("SELECT doc_id, 999999999 + row_number() OVER (ORDER BY lang, doc_id) AS feature_id FROM documents")
+def feature_ids(spark, sf):
+    return records.feature_ids(W.table(spark, sf, "documents").select("lang", "doc_id"), ["lang", "doc_id"]).select("doc_id", "feature_id")
+
+
+@query("SELECT a.item_id, b.page_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) a JOIN (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages) b USING (n)")
+def positional_join(spark, sf):
+    return records.by_position(W.table(spark, sf, "benchmark").select("item_id"), W.table(spark, sf, "pages").select("page_id"), "item_id", "page_id").select("item_id", "page_id")
+
+
+@query(f"WITH {S.ANSWERS} SELECT qid FROM answers WHERE {S.normal('predictions[2]')} = {S.normal('golds[1]')}")
+def consistent_questions(spark, sf):
+    a = W.answers(spark, sf)
+    q = a.select(F.col("qid").alias("id"), F.get("golds", F.lit(0)).alias("answer"))
+    p = a.select(F.col("qid").alias("id"), F.get("predictions", F.lit(1)).alias("predicted"))
+    return records.consistent(q, p).select(F.col("id").alias("qid"))
+
+
+@query(f"WITH {S.TEXTS} SELECT qid, anchor::BIGINT AS anchor, rank, ({S.normal('answer')} IN ('', 'xyzzy'))::BIGINT AS phrase_label, (lower(title) = 'src3')::BIGINT AS doc_label FROM texts")
+def annotate_hits(spark, sf):
+    golds = W.queries(spark, sf).select("qid", F.array(F.lit("The"), F.lit("xyzzy")).alias("golds"), F.array(F.lit("SRC3")).alias("titles"))
+    out = records.annotated(_texts(spark, sf), golds)
+    return out.select("qid", *(F.col(c).cast("bigint").alias(c) for c in ("anchor", "rank", "phrase_label", "doc_label")))
+
+
+@query(f"WITH {_SCORED} SELECT doc_idx, s, round(max(score), 6) AS best FROM scored GROUP BY doc_idx, s")
+def best_over_ends(spark, sf):
+    return records.best_over_ends(_scored(spark, sf)).select("doc_idx", "s", _r("best").alias("best"))
+
+
+@query("SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT - 1 AS word FROM conversations")
+def word_index(spark, sf):
+    return records.word_index(W.table(spark, sf, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "word")
+
+
+@query("SELECT item_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: length(array_to_string(w[1:i - 1], ' ')) + (i > 1)::INT), ',') AS offsets FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
+def token_offsets(spark, sf):
+    return W.table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w")).select("item_id", F.array_join(F.transform(records.token_offsets(F.col("w")), lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) * 7 // count(*) OVER ())::BIGINT AS chunk FROM documents")
+def even_chunks(spark, sf):
+    return records.even_chunks(W.table(spark, sf, "documents").select("doc_id"), 7, "doc_id").select("doc_id", F.col("chunk").cast("bigint").alias("chunk"))
+
+
+@query("SELECT count(*) AS rows, sum(strlen(text))::BIGINT AS bytes, sum(len(string_split(text, ' ')))::BIGINT AS words FROM documents")
+def corpus_sizes(spark, sf):
+    return records.sizes(W.table(spark, sf, "documents"), "text")
+
+
+@query("WITH r AS (SELECT doc_id % 40 AS qid, doc_id AS place, text FROM documents), h AS (SELECT qid, place, strpos(text, ' th') AS p, row_number() OVER (PARTITION BY qid ORDER BY place) AS n FROM r WHERE strpos(text, ' th') > 0) SELECT qid, place, ' th' AS answer, p - 1 AS answer_start FROM h WHERE n = 1")
+def first_supporting(spark, sf):
+    r = W.table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("qid"), F.col("doc_id").alias("place"), "text", F.array(F.lit(" th")).alias("answers"))
+    return records.first_supporting(r).select("qid", "place", "answer", F.col("answer_start").cast("bigint").alias("answer_start"))
+
+
+@query("SELECT doc_id, array_to_string([d || '+' || (doc_id % 3) FOR d IN CASE WHEN doc_id % 2 = 0 THEN ['a', 'b'] ELSE ['a'] END], ',') AS ids FROM labels")
+def composite_ids(spark, sf):
+    i = (F.col("doc_id") % 3).cast("string")
+    rec = lambda d, ok: F.struct(F.concat(F.lit(" "), F.lit(d)).alias("d"), F.when(ok, i).alias("i"))
+    rows = W.table(spark, sf, "labels").select("doc_id", F.array(rec("a", F.lit(True)), rec("b", F.col("doc_id") % 2 == 0), rec("a", F.lit(True))).alias("r"))
+    return rows.select("doc_id", F.array_join(metrics.composite_ids(F.col("r"), ["d", "i"]), ",").alias("ids"))

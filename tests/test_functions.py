@@ -101,3 +101,8 @@ def test_best_threshold(spark):
     df = spark.createDataFrame(rows, "qid int, na_prob double, has_ans boolean, score double, empty boolean")
     got = metrics.best_threshold(df).first()
     assert (got.best, got.threshold) == (75.0, 0.1)
+
+
+def test_spaces(spark):
+    assert one(spark, X.plain_spaces(F.col("a")), a="a b") == "a b"
+    assert one(spark, X.whitespace_tokens(F.col("a")), a="a b c d") == ["a", "b c", "d"]

@@ -107,3 +107,19 @@ def test_articles(spark):
     got = {r.qid: r for r in corpus.locate_in_article(q, a).collect()}
     assert got[1].wiki_matched and got[1].context.startswith("AA") and not got[2].wiki_matched and got[2].context == "aa"
     assert index.index_name(256, fine_tuned="9", first_passage=True) == "256_flat_OPQ96_first_ft9"
+
+
+def test_records(spark):
+    from phrasemill.operators import records
+
+    assert records.raw_span("new york's", "in New York 's town") == "New York 's"
+    assert records.raw_span("absent", "Raw Text") == "Raw Text" and records.raw_span(None, None) is None
+    assert records.tightened(["a", "b", "c"], 0, 2, ["b"]) == (1, 1) and records.tightened(["a"], 0, 0, ["z"]) == (0, 0)
+    assert records.balanced({"a": 5, "b": 4, "c": 3}, 2) == [["a"], ["b", "c"]]
+    q = spark.createDataFrame([(1, 10, [11]), (2, 11, [])], "id int, passage_id int, negatives array<int>")
+    p = spark.createDataFrame([(10, "x"), (11, "y"), (12, "z")], "passage_id int, text string")
+    assert sorted((r.id, r.passage, r.negative) for r in records.with_negatives(q, p).collect()) == [(1, "x", "y"), (2, "y", "z")]
+    t = spark.createDataFrame([([("<p>", True), ("one", False), ("two", False)],)], "t array<struct<token: string, html_token: boolean>>")
+    assert t.select(records.visible_context(F.col("t"))).first()[0] == "one two"
+    two = spark.createDataFrame([("york city", "New York  City, NY")], "p string, r string")
+    assert two.select(records.final_text("p", "r")).first()[0] == "York  City"
