@@ -70,7 +70,7 @@ def _array(words) -> str:
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and pieces: the lower-cased words, with an empty string before or after where the text begins
     or ends outside a word. Only A-Z may become ASCII letters, so the Kelvin sign is kept apart."""
-    text = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("K"), F.lit("ĸ")))
+    text = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return docs.select(F.col(id_col).alias("id"), F.split(text, _SPLIT).alias("pieces"))
 
 

@@ -28,7 +28,7 @@ BASE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
     None, "", " \n\t", "One", "One two", "ONE  TWO\n", "All rights reserved. CC-BY, cc by! General Public License",
     "Émile Ünïcode — “quoted” text 日本語 テキスト <|endoftext|> end", LONG, LONG + " tail", BASE, BASE + " x", BASE.replace("w3 ", "q "),
-    "x\x1cy\x0bz  nbsp  two", "Released under the MIT License. All rights reserved", "a" * 5000, "Kelvin K word", "the\rend", "ab.cd", "One two",
+    "x\x1cy\x0bz  nbsp\u00a0 two", "Released under the MIT License. All rights reserved", "a" * 5000, "Kelvin K word", "the\rend", "ab.cd", "One two",
 ]
 
 
