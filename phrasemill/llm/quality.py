@@ -23,7 +23,7 @@ BUCKETS, RANK = 1 << 14, 8
 #: Text bytes that are scored at once: the factors of all their words are in memory together.
 CHUNK_BYTES = 2 << 20
 #: Labelled rows that the model is fitted to, at most.
-SAMPLE = 12_000
+SAMPLE = 6_000
 _LETTER = np.zeros((256, 8))
 for _i, _set in enumerate((range(97, 123), range(65, 91), range(48, 58), (32, 9, 11, 12, 13), (10,), (46, 44, 33, 63, 59, 58, 39, 34, 45), [b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,!?;:'\"-"], range(128, 256))):
     _LETTER[list(_set), _i] = 1
@@ -94,7 +94,7 @@ class Model:
         dense = np.clip((dense - self.mean) / self.scale, -5, 5) * 0.3
         count = np.diff(begin)
         first = begin + np.arange(n + 1) * STRUCTURE
-        index, x = np.empty(first[-1], np.int64), np.empty(first[-1])
+        index, x = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
         words = A.ragged(first[:-1], count)
         index[words], x[words] = bucket, value
         rest = (first[1:] - STRUCTURE)[:, None] + np.arange(STRUCTURE)
@@ -172,12 +172,13 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists, flat], ["id", "y", "bucket", "value", "dense"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, y double, bucket array<int>, value array<float>, dense array<double>").toArrow().sort_by("id").combine_chunks()
+    got = rows.mapInArrow(run, f"id {kind}, y double, bucket array<int>, value array<float>, dense array<double>").toArrow()
     if not got.num_rows:
         return fit([], np.zeros(0))
+    got = got.sort_by("id").combine_chunks()
     bucket, value, dense = (got.column(c).combine_chunks() for c in ("bucket", "value", "dense"))
     begin = np.append(0, np.cumsum(bucket.value_lengths().to_numpy()))
-    part = (begin, bucket.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(float), dense.flatten().to_numpy().reshape(-1, STRUCTURE))
+    part = (begin, bucket.flatten().to_numpy(), value.flatten().to_numpy(), dense.flatten().to_numpy().reshape(-1, STRUCTURE))
     return fit([part], got.column("y").to_numpy())
 
 
