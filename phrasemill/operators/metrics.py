@@ -174,3 +174,20 @@ def first_words(text: Column, n: int) -> Column:
 def marked(text: Column, start: Column, end: Column, before: str = "<p_start> ", after: str = " <p_end>") -> Column:
     """A text with markers around ``[start, end)``."""
     return F.concat(F.substring(text, F.lit(1), start), F.lit(before), F.substring(text, start + 1, end - start), F.lit(after), F.substring(text, end + 1, F.length(text)))
+
+
+def chosen_answer(prediction: Column, title: Column, links_entities: bool) -> Column:
+    """The answer that is handed in: a title where entities are linked, else the prediction without
+    punctuation around it."""
+    return title if links_entities else X.strip_punctuation(prediction)
+
+
+def with_article_ids(rows: DataFrame, ids: DataFrame, title: str = "title") -> DataFrame:
+    """Rows with the article id of their title; a title without one is an error. ``ids``: title, wikipedia_id."""
+    joined = rows.join(ids, title, "left")
+    return joined.withColumn("wikipedia_id", F.coalesce("wikipedia_id", F.raise_error(F.concat(F.lit("no article for "), F.col(title)))))
+
+
+def by_group(scores: DataFrame, by: list[str], metrics_: list[str]) -> DataFrame:
+    """Means and counts of metrics for each group (tags, numbers of pieces, relations)."""
+    return scores.groupBy(*by).agg(*(F.avg(m).alias(m) for m in metrics_), F.count("*").alias("n"))
