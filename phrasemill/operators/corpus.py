@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,13 +70,10 @@ def max_context(spans: DataFrame, id_col: str = "doc_idx") -> DataFrame:
 
 def keeps_ngram(gram: Column, mode: str = "any", stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """False where any, all or one of the end words of an n-gram are stop words or punctuation."""
-    words = F.split(gram, " ")
-    dull = lambda w: F.lower(w).isin(*stopwords) | w.rlike("^\\p{P}+$")
-    if mode == "any":
-        return ~F.exists(words, dull)
-    if mode == "all":
-        return ~F.forall(words, dull)
-    return ~(dull(F.element_at(words, 1)) | dull(F.element_at(words, -1)))
+    dull = "(" + "|".join(map(re.escape, stopwords)) + "|\\p{P}+)"
+    # one pattern for the whole n-gram, whose words stand between single spaces
+    pattern = {"any": f"(^| ){dull}( |$)", "all": f"^{dull}( {dull})*$", "ends": f"^{dull}( |$)|(^| ){dull}$"}[mode]
+    return ~gram.rlike("(?i)" + pattern)
 
 
 def term_counts(docs: DataFrame, longest: int = 2, mode: str | None = "any", buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

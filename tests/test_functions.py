@@ -106,3 +106,11 @@ def test_best_threshold(spark):
 def test_spaces(spark):
     assert one(spark, X.plain_spaces(F.col("a")), a="a b") == "a b"
     assert one(spark, X.whitespace_tokens(F.col("a")), a="a b c d") == ["a", "b c", "d"]
+
+
+def test_dull_ngrams(spark):
+    df = spark.createDataFrame([("the cat",), ("cat",), ("The",), ("cat of dog",), ("- x",), ("then a",), (", .",)], "g string")
+    got = {m: [r[0] for r in df.where(corpus.keeps_ngram(F.col("g"), m)).collect()] for m in ("any", "all", "ends")}
+    assert got["any"] == ["cat"]
+    assert got["all"] == ["the cat", "cat", "cat of dog", "- x", "then a"]
+    assert got["ends"] == ["cat", "cat of dog"]
