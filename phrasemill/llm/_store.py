@@ -31,6 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with a key ``_row`` (bigint) that tells its rows apart, whatever their ids are."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

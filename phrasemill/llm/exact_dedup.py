@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import written
+from ._store import numbered, written
 
 #: Counters of the summary: bounds what is broadcast and how large an unnamed group can be.
 TRACKED = 1024
@@ -65,13 +65,18 @@ def label_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that lose against an equal text; columns unchanged.
+    """``docs`` with one row of each group of equal texts; columns unchanged.
 
-    Repeated rows with the winning id are kept once where ids repeat with equal texts. Ids must tell
-    rows apart otherwise; rows with a null id stay, as nothing can name them.
+    The row that stays is the one of ``label_copies``; of repeated rows with the winning id, one. Rows are
+    told apart by a key of their own, so repeated and null ids are decided like any others.
     """
-    lost = label_copies(docs, id_col, text_col).where("not kept").select(F.col(id_col))
-    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+    size = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    rows = numbered(docs.withColumns({"_digest": digest, "_size": size}), "rows")
+    # larger first, then the smaller id, null ids last; minima are aggregated map-side
+    best = F.min(F.struct(-F.col("_size"), F.col(id_col).isNull(), F.col(id_col), F.col("_row").alias("_row")))
+    winners = rows.groupBy("_digest").agg(best.alias("best")).select("best._row")
+    return rows.join(winners, "_row", "left_semi").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import _arrow as A
 from ._components import components
-from ._store import shuffle_partitions, written
+from ._store import numbered, shuffle_partitions, written
 
 COLLECTIONS, ROWS = 12, 3
 #: Members and shingles of a block of a candidate group.
@@ -227,6 +227,15 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
 
 
 def without_near_copies(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each linked group; columns unchanged."""
-    lost = link_groups(docs, percent, size, id_col, text_col).where("not kept").select(id_col)
-    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one row, that of the smallest id (null ids last), of each linked group; columns unchanged.
+
+    Rows are linked by a key of their own, so repeated and null ids are decided like any others. Rows
+    without words are linked with nothing and stay.
+    """
+    rows = numbered(docs, "rows")
+    groups = link_groups(rows, percent, size, "_row", text_col).select("_row", "component_id")
+    named = groups.join(rows.select("_row", F.col(id_col).alias("id")), "_row")
+    # minima are aggregated map-side
+    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("_row").alias("_row")))
+    winners = named.groupBy("component_id").agg(best.alias("best")).select("best._row")
+    return rows.join(winners, "_row", "left_semi").select(*docs.columns)
