@@ -37,7 +37,7 @@ def _r(c, n: int = 6):
 
 def _exact(spark, sf, vec):
     rows = W.coded(spark, sf) if vec == "code" else W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    q = rows.where(F.col("id") < W.QUERIES).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    q = rows.where(W.asked(F.col("id"))).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     return mips.exact_top_k(rows, q, W.K)
 
 
@@ -92,7 +92,7 @@ def _centroids(spark, sf):
 def _clustered(spark, sf):
     c = _centroids(spark, sf)
     postings = index.assign(W.coded(spark, sf), c).select("id", "vec", "cluster_id")
-    q = W.coded(spark, sf).where(F.col("id") < W.QUERIES).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    q = W.coded(spark, sf).where(W.asked(F.col("id"))).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     return mips.clustered_top_k(postings, c, q, W.K, probes=3)
 
 
@@ -754,3 +754,23 @@ def composite_ids(spark, sf):
     rec = lambda d, ok: F.struct(F.concat(F.lit(" "), F.lit(d)).alias("d"), F.when(ok, i).alias("i"))
     rows = W.table(spark, sf, "labels").select("doc_id", F.array(rec("a", F.lit(True)), rec("b", F.col("doc_id") % 2 == 0), rec("a", F.lit(True))).alias("r"))
     return rows.select("doc_id", F.array_join(metrics.composite_ids(F.col("r"), ["d", "i"]), ",").alias("ids"))
+
+
+# searches with every 50th vector of the whole table as a query --------------------------------------
+
+_SEARCHES = """mips_topk_exact mips_topk_int8 span_complete_ends span_complete_starts phrase_search agg_opt1 agg_opt2 agg_opt3 agg_opt4
+unique_docs_per_query retrieve_phrase retrieve_paragraph retrieve_document retrieve_sentence mark_phrase annotate_hits""".split()
+
+
+def _with_every(name):
+    def run(spark, sf):
+        with W.every():
+            return QUERIES[name](spark, sf)
+
+    return run
+
+
+for _name in _SEARCHES:
+    QUERIES[f"{_name}_every{W.EVERY}"] = _with_every(_name)
+    if _name in ORACLES:
+        ORACLES[f"{_name}_every{W.EVERY}"] = ORACLES[_name].replace(f"a.id < {W.QUERIES}", f"a.id % {W.EVERY} = 0")

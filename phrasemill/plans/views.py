@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -10,6 +13,24 @@ from ..operators import corpus, phrases
 
 #: Tokens of a document, scale of vector codes, filter threshold, queries, hits of a query, tokens of a span.
 WIDTH, SCALE, THRESHOLD, QUERIES, K, LENGTH = 25, 200.0, 0.1, 20, 10, 3
+#: Every so manieth vector of the whole table is a query of the ``_every50`` queries.
+EVERY = 50
+_every: ContextVar[bool] = ContextVar("every", default=False)
+
+
+@contextmanager
+def every():
+    """Plans made inside take every ``EVERY``-th vector as a query, not the first ``QUERIES``."""
+    token = _every.set(True)
+    try:
+        yield
+    finally:
+        _every.reset(token)
+
+
+def asked(id_col: Column) -> Column:
+    """Whether a vector is a query."""
+    return id_col % EVERY == 0 if _every.get() else id_col < QUERIES
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,7 +58,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     """qid and codes for starts and ends: a vector and the one after it."""
     rows = coded(spark, sf)
     nxt = rows.select((F.col("id") - 1).alias("id"), F.col("vec").alias("q_end"))
-    return rows.where(F.col("id") < QUERIES).join(nxt, "id").select(F.col("id").alias("qid"), F.col("vec").alias("q_start"), "q_end")
+    return rows.where(asked(F.col("id"))).join(nxt, "id").select(F.col("id").alias("qid"), F.col("vec").alias("q_start"), "q_end")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
