@@ -90,6 +90,19 @@ def pq_encode(vectors: DataFrame, books: np.ndarray, rotation: np.ndarray | None
     return vectors.withColumn(code_col, code(F.col(vec_col)))
 
 
+def pq_decode(coded: DataFrame, books: np.ndarray, code_col: str = "code", out: str = "vec") -> DataFrame:
+    """The vectors that codes stand for; a query's product with one is its score from the codes."""
+    shared = coded.sparkSession.sparkContext.broadcast(books)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def decode(c: pd.Series) -> pd.Series:
+        b = shared.value
+        codes = np.stack(c.to_numpy())
+        return pd.Series(list(b[np.arange(len(b)), codes].reshape(len(codes), -1)))
+
+    return coded.withColumn(out, decode(F.col(code_col)))
+
+
 def pq_scores(coded: DataFrame, query: list[float], books: np.ndarray, rotation: np.ndarray | None = None, code_col: str = "code", out: str = "score") -> DataFrame:
     """Inner products with a query from a table of its products with all codes."""
     q = np.asarray(query, float) if rotation is None else np.asarray(query, float) @ rotation

@@ -84,3 +84,51 @@ def clustered_top_k(postings: DataFrame, centroids: DataFrame, queries: DataFram
     probed = nearest(queries.select(qid, qvec), centroids, probes, [qid], qvec).select(qid, qvec, "cluster_id")
     scored = postings.join(probed, "cluster_id").select(qid, F.col(id_col).alias("id"), dot(F.col(vec_col), F.col(qvec)).alias("score"))
     return ranked(scored, k, by=qid)
+
+
+def pruned_top_k(postings: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int, id_col: str = "id", vec_col: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
+    """``clustered_top_k`` for many queries: in blocks as in ``exact_top_k``, each batch of postings multiplied
+    cluster by cluster with the queries that probe it, so that no pair of query and posting becomes a row."""
+    spark = postings.sparkSession
+    rows = postings.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.col("cluster_id").cast("bigint").alias("cluster_id"))
+    kind = queries.schema[qid].dataType.simpleString()
+    clusters = sorted((int(r[0]), r[1]) for r in centroids.select("cluster_id", "centroid").collect())
+    names = np.array([c for c, _ in clusters], np.int64)
+    centres = np.array([v for _, v in clusters], np.float64)
+    found = []
+    for ids, matrix in query_blocks(queries, qid, qvec):
+        near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+        probed = np.zeros((len(ids), len(names)), bool)
+        np.put_along_axis(probed, near, True, axis=1)
+        shared = spark.sparkContext.broadcast((pa.array(ids), matrix, names, probed))
+
+        def run(batches, shared=shared):
+            qids, block, names, probed = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key = b.column("id").to_numpy(zero_copy_only=False)
+                by_id = np.argsort(key, kind="stable")
+                key, vectors = key[by_id], _matrix(b.column("vec"))[by_id]
+                cluster = np.searchsorted(names, b.column("cluster_id").to_numpy(zero_copy_only=False)[by_id])
+                score = np.full((len(block), len(key)), -np.inf)
+                for c in np.unique(cluster):
+                    at, asked = np.flatnonzero(cluster == c), np.flatnonzero(probed[:, c])
+                    score[np.ix_(asked, at)] = block[asked] @ vectors[at].T
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(block)), best.shape[1])
+                column = best.ravel()
+                seen = score[row, column] > -np.inf
+                row, column = row[seen], column[seen]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(key[column]), pa.array(score[row, column])], ["qid", "id", "score"])
+
+        found.append(rows.mapInArrow(run, f"qid {kind}, id bigint, score double"))
+    if not found:
+        return spark.createDataFrame([], f"qid {kind}, id bigint, score double, rank int")
+    return ranked(reduce(DataFrame.unionByName, found), k)
+
+
+def rescored(hits: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of approximate hits (``qid``, ``id``) by their exact inner products."""
+    pairs = hits.select("qid", "id").join(vectors.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
+    return ranked(pairs.select("qid", "id", dot(F.col("vec"), F.col("qvec")).alias("score")), k)

@@ -774,3 +774,49 @@ for _name in _SEARCHES:
     QUERIES[f"{_name}_every{W.EVERY}"] = _with_every(_name)
     if _name in ORACLES:
         ORACLES[f"{_name}_every{W.EVERY}"] = ORACLES[_name].replace(f"a.id < {W.QUERIES}", f"a.id % {W.EVERY} = 0")
+
+
+# trained indexes: no SQL, as training is iterative ---------------------------------------------------
+
+#: Clusters of the trained index and how many are probed; parts and codes of the product quantiser, and how
+#: many of its best are scored exactly.
+CLUSTERS, PROBES, PARTS, CODES, RESCORED = 10, 8, 16, 256, 100
+
+
+def _asked(spark, sf):
+    with W.every():
+        return W.coded(spark, sf).where(W.asked(F.col("id"))).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+
+
+def _ranks(top):
+    return top.select("qid", "id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def ivf_probe_topk_every50(spark, sf):
+    rows = W.coded(spark, sf)
+    c = index.train_centroids(rows, CLUSTERS)
+    return _ranks(mips.pruned_top_k(index.assign(rows, c), c, _asked(spark, sf), W.K, PROBES))
+
+
+@query()
+def pq_encode_score_every50(spark, sf):
+    rows, q = W.coded(spark, sf), _asked(spark, sf)
+    books, _ = index.train_codebooks(rows, PARTS, CODES)
+    decoded = index.pq_decode(index.pq_encode(rows.select("id", "vec"), books).select("id", "code"), books)
+    return _ranks(mips.rescored(mips.exact_top_k(decoded, q, RESCORED), rows, q, W.K))
+
+
+def _recall(spark, sf, found):
+    both = mips.exact_top_k(W.coded(spark, sf), _asked(spark, sf), W.K).join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return both.groupBy("qid").agg(_r(F.count("hit") / F.lit(float(W.K))).alias("recall"))
+
+
+@query()
+def ivf_recall_at_k_every50(spark, sf):
+    return _recall(spark, sf, ivf_probe_topk_every50(spark, sf))
+
+
+@query()
+def pq_recall_at_k_every50(spark, sf):
+    return _recall(spark, sf, pq_encode_score_every50(spark, sf))
