@@ -191,3 +191,20 @@ def with_article_ids(rows: DataFrame, ids: DataFrame, title: str = "title") -> D
 def by_group(scores: DataFrame, by: list[str], metrics_: list[str]) -> DataFrame:
     """Means and counts of metrics for each group (tags, numbers of pieces, relations)."""
     return scores.groupBy(*by).agg(*(F.avg(m).alias(m) for m in metrics_), F.count("*").alias("n"))
+
+
+def matches(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pairs of rows ``doc_id, t`` and ``item_id, a`` where ``string_match`` holds, without a cross join: an
+    answer meets only the documents that have its rarest word. One without tokens meets all. Repeated answers
+    of an id count once."""
+    words = lambda c: F.array_distinct(X.simple_tokens(F.lower(c)))
+    posted = docs.select("doc_id", F.explode(words(F.col("t"))).alias("word"))
+    asked = answers.where("a IS NOT NULL").select("item_id", "a", F.explode_outer(words(X.nfd(F.col("a")))).alias("word"))
+    posted = posted.join(asked.select("word").distinct(), "word", "left_semi")
+    counted = asked.join(posted.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
+    rarest = counted.groupBy("item_id", "a").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    pairs = posted.join(rarest.where("word IS NOT NULL"), "word").select(F.col("doc_id").alias("at"), "item_id", "a")
+    # a repeated document id must not multiply the pairs: they are distinct, and each row of it is looked at
+    found = docs.join(pairs.distinct(), F.col("doc_id").eqNullSafe(F.col("at"))).where(X.string_match(F.col("t"), F.col("a")))
+    every = docs.crossJoin(F.broadcast(rarest.where("word IS NULL").select("item_id", "a")))
+    return found.select("doc_id", "item_id", "a", "t").unionByName(every.select("doc_id", "item_id", "a", "t"))

@@ -302,7 +302,7 @@ def title_id_lookup(spark, sf):
 
 @query("WITH g AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) SELECT (SELECT count(*) FROM g JOIN labels USING (doc_id)) AS matched, (SELECT count(*) FROM g WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing")
 def kilt_align(spark, sf):
-    gold = W.table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("id"))
+    gold = W.part(W.table(spark, sf, "documents"), "doc_id % 2 = 0").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("id"))
     guess = W.table(spark, sf, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(" ")).alias("id"), "quality")
     both, missing = metrics.aligned(gold, guess)
     return both.agg(F.count("*").alias("matched")).crossJoin(missing)
@@ -454,7 +454,7 @@ terms AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, a AS term FROM two
 
 
 def _terms(spark, sf):
-    return corpus.term_counts(W.table(spark, sf, "documents").where("lang = 'en'"))
+    return corpus.term_counts(W.part(W.table(spark, sf, "documents"), "lang = 'en'"))
 
 
 @query(f"WITH {_TERMS} SELECT doc, count(*) AS terms, sum(tf)::BIGINT AS total, max(tf) AS most FROM terms GROUP BY doc")
@@ -469,7 +469,7 @@ def doc_freq(spark, sf):
 
 @query(f"WITH {_TERMS}, d AS (SELECT term, count(DISTINCT doc) AS df FROM terms GROUP BY term), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en') SELECT doc, round(sum(ln(tf + 1) * greatest(0, ln((n - df + 0.5) / (df + 0.5)))), 4) AS weight FROM terms JOIN d USING (term), n GROUP BY doc")
 def tfidf(spark, sf):
-    n = W.table(spark, sf, "documents").where("lang = 'en'").agg(F.count("*").alias("n"))
+    n = W.part(W.table(spark, sf, "documents"), "lang = 'en'").agg(F.count("*").alias("n"))
     return corpus.tfidf(_terms(spark, sf), n).groupBy("doc").agg(_r(F.sum("weight"), 4).alias("weight"))
 
 
@@ -545,7 +545,7 @@ def html_unescape(spark, sf):
 
 @query("SELECT doc_id, (text = nfc_normalize(text)) AS composed FROM documents WHERE lang = 'fr'")
 def nfd(spark, sf):
-    d = W.table(spark, sf, "documents").where("lang = 'fr'")
+    d = W.part(W.table(spark, sf, "documents"), "lang = 'fr'")
     return d.select("doc_id", (F.length(X.nfd(F.col("text"))) >= F.length("text")).alias("composed"))
 
 
@@ -674,7 +674,7 @@ def hex_shades(spark, sf):
 
 @query("WITH a AS (SELECT user_id AS qid, event_id AS seq, length(event_type)::BIGINT AS s FROM events WHERE event_id < 5000), c AS (SELECT qid, s, count(*) AS votes, min(seq) AS f FROM a GROUP BY ALL), r AS (SELECT *, sum(votes) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, f) AS k FROM c) SELECT qid, s AS start, votes FROM r WHERE k = 1 AND n >= 2")
 def span_vote(spark, sf):
-    a = W.table(spark, sf, "events").where("event_id < 5000").select(F.col("user_id").alias("qid"), F.col("event_id").alias("at"), F.length("event_type").cast("bigint").alias("start"), F.lit(0).alias("end"))
+    a = W.part(W.table(spark, sf, "events"), "event_id < 5000").select(F.col("user_id").alias("qid"), F.col("event_id").alias("at"), F.length("event_type").cast("bigint").alias("start"), F.lit(0).alias("end"))
     return corpus.span_vote(a).select("qid", "start", "votes")
 
 
@@ -820,3 +820,35 @@ def ivf_recall_at_k_every50(spark, sf):
 @query()
 def pq_recall_at_k_every50(spark, sf):
     return _recall(spark, sf, pq_encode_score_every50(spark, sf))
+
+
+# whole tables ---------------------------------------------------------------------------------------
+
+#: Queries that sample their tables, each with what its SQL says for that.
+_SAMPLED = {
+    "span_vote": " WHERE event_id < 5000", "kilt_align": " WHERE doc_id % 2 = 0", "nfd": " WHERE lang = 'fr'",
+    **dict.fromkeys(("ngram_counts", "doc_freq", "tfidf"), " WHERE lang = 'en'"),
+    **dict.fromkeys(("hits_mrr_p20", "conditional_accuracy", "bucket_metrics"), " WHERE doc_id // 40 < 25"),
+}
+
+
+def _with_whole(name):
+    def run(spark, sf):
+        with W.whole():
+            return QUERIES[name](spark, sf)
+
+    return run
+
+
+for _name, _sample in _SAMPLED.items():
+    QUERIES[f"{_name}_whole"] = _with_whole(_name)
+    if _sample in ORACLES.get(_name, ""):
+        ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_sample, "")
+
+
+@query()
+def string_match_whole(spark, sf):
+    """All documents that hold the whole text of an item, by an index of each item's rarest word."""
+    d = W.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
+    b = W.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"))
+    return metrics.matches(d, b).select("doc_id", "item_id")

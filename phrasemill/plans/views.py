@@ -28,6 +28,24 @@ def every():
         _every.reset(token)
 
 
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole():
+    """Plans made inside leave out the filters of ``part``."""
+    token = _whole.set(True)
+    try:
+        yield
+    finally:
+        _whole.reset(token)
+
+
+def part(rows: DataFrame, condition: str) -> DataFrame:
+    """The rows of a query's sample, or all of them in its ``_whole`` form."""
+    return rows if _whole.get() else rows.where(condition)
+
+
 def asked(id_col: Column) -> Column:
     """Whether a vector is a query."""
     return id_col % EVERY == 0 if _every.get() else id_col < QUERIES
@@ -75,7 +93,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """qid, place, hit, tag: documents of one residue of ten by place; a hit holds the word ``gold`` of it."""
     d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("qid"), F.col("doc_id"), F.expr("doc_id div 40").alias("place"), (F.col("n_chars") % 7 == 0).alias("hit"), "lang")
-    return d.where("place < 25").select("qid", "place", "hit", "lang")
+    return part(d, "place < 25").select("qid", "place", "hit", "lang")
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:
