@@ -309,3 +309,9 @@ def truecaser(uni: dict, back: dict, forth: dict, tri: dict, casings: dict):
     first in alphabetical order; unknown tokens get a capital. The order of tokens matters, so it is a fold
     inside an Arrow function over maps that every worker holds."""
     return F.pandas_udf(lambda s: truecase(s, uni, back, forth, tri, casings), T.StringType())
+
+
+def title_match(title: Column, answers: Column) -> Column:
+    """Whether the title begins with one of the answers, both in lower case without outer white space."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
+    return F.exists(answers, lambda a: F.startswith(plain(title), plain(a)))

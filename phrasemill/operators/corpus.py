@@ -175,3 +175,23 @@ def answers_at(contexts_: DataFrame) -> DataFrame:
 def without_unanswerable(qas: Column) -> Column:
     """Nested questions that have an answer."""
     return F.filter(qas, lambda q: F.size(q["answers"]) > 0)
+
+
+def has_long(annotations: Column) -> Column:
+    """Whether an annotation of a question has a long answer (``long_answer.start_byte`` from 0)."""
+    return F.coalesce(F.exists(annotations, lambda a: F.coalesce(a["long_answer"]["start_byte"] >= 0, F.lit(False))), F.lit(False))
+
+
+def has_short(annotations: Column) -> Column:
+    """Whether an annotation of a question has short answers."""
+    return F.coalesce(F.exists(annotations, lambda a: F.coalesce(F.size(a["short_answers"]) > 0, F.lit(False))), F.lit(False))
+
+
+def short_answers(spans: Column, longest: int = 5) -> Column:
+    """Answers (structs start_token, end_token) of at most ``longest`` tokens."""
+    return F.filter(spans, lambda s: s["end_token"] - s["start_token"] <= longest)
+
+
+def is_paragraph(contents: Column) -> Column:
+    """Whether a candidate is a paragraph, not a table or list."""
+    return F.startswith(contents, F.lit("<P>"))

@@ -133,3 +133,9 @@ def rotated(vectors: DataFrame, rotation: np.ndarray, vec_col: str = "vec", out:
 def index_name(clusters: int, quantiser: str = "OPQ96", kind: str = "flat", first_passage: bool = False, fine_tuned: str = "") -> str:
     """A folder name that tells how an index was built."""
     return f"{clusters}_{kind}_{quantiser}" + "_first" * first_passage + (f"_ft{fine_tuned}" if fine_tuned else "")
+
+
+def vectors_by_id(wanted: DataFrame, vectors: DataFrame, width: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """Every row of ``wanted`` with the vector of its id, zeros where there is none."""
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return wanted.join(vectors.select(id_col, vec_col), id_col, "left").withColumn(vec_col, F.coalesce(vec_col, zeros))

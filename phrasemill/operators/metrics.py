@@ -208,3 +208,19 @@ def matches(docs: DataFrame, answers: DataFrame) -> DataFrame:
     found = docs.join(pairs.distinct(), F.col("doc_id").eqNullSafe(F.col("at"))).where(X.string_match(F.col("t"), F.col("a")))
     every = docs.crossJoin(F.broadcast(rarest.where("word IS NULL").select("item_id", "a")))
     return found.select("doc_id", "item_id", "a", "t").unionByName(every.select("doc_id", "item_id", "a", "t"))
+
+
+def context_stats(results: DataFrame) -> DataFrame:
+    """``length, titles`` of rows (qid, title, text): words of a passage and distinct titles of a question,
+    each by question and then averaged over questions. A missing text has no words; a missing title counts as one."""
+    words = F.coalesce(F.regexp_count("text", F.lit(r"(?U)\S+")), F.lit(0))
+    titles = F.count_distinct("title") + F.max(F.col("title").isNull().cast("int"))
+    per = results.groupBy("qid").agg(F.avg(words).alias("length"), titles.alias("titles"))
+    return per.agg(F.avg("length").alias("length"), F.avg("titles").alias("titles"))
+
+
+def save_rate(rows: DataFrame) -> DataFrame:
+    """``save_rate, answer_recall`` of one row for each question (answers, candidates, saved, total): vectors
+    saved by all there were, and the share of questions with an answer, in lower case, among the candidates."""
+    found = F.coalesce(F.arrays_overlap(F.transform("answers", lambda a: F.lower(a)), "candidates"), F.lit(False))
+    return rows.agg((F.sum("saved") / F.sum("total")).alias("save_rate"), F.avg(found.cast("double")).alias("answer_recall"))
