@@ -1,9 +1,10 @@
 """MinHash near-duplicates by tensored banding, every link confirmed on full shingle sets.
 
 A few collections of minhashes are computed for each document, and a table's key is a pair of
-collections: ``COLLECTIONS`` collections of ``ROWS`` hashes make ``COLLECTIONS * (COLLECTIONS - 1) / 2``
-tables of ``2 * ROWS`` hashes each, for about the square root of the hashing. A pair of Jaccard
-similarity J is missed only if fewer than two collections agree: 2 in 10,000 at J = 0.85, fewer above.
+collections: ``c`` collections of ``ROWS`` hashes make ``c * (c - 1) / 2`` tables of ``2 * ROWS`` hashes
+each, for about the square root of the hashing. A pair of Jaccard similarity J is missed only if fewer
+than two collections agree; there are as many collections as keep that to ``MISSED`` at the asked
+similarity (12 at 0.85, 16 at 0.80: 2 in 10,000), and fewer are missed above it.
 
 Documents with equal sets are one class and take part once. In each table the members of a bucket are
 tied to its smallest; what hangs together that way is a candidate group. Every candidate ships its set to
@@ -15,7 +16,7 @@ join parts are kept, never all pairs.
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,36 @@ from . import _arrow as A
 from ._components import components
 from ._store import numbered, shuffle_partitions, written
 
-COLLECTIONS, ROWS = 12, 3
+ROWS = 3
+#: The share of pairs at exactly the asked similarity that may be missed.
+MISSED = 2.5e-4
 #: Members and shingles of a block of a candidate group.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Candidates (16 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_rng = np.random.default_rng(20240229)
-_MULTIPLIERS = _rng.integers(0, 2**63, COLLECTIONS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+def miss_rate(similarity: float, count: int) -> float:
+    """The share of pairs of a similarity for which fewer than two of ``count`` collections agree."""
+    agree = similarity**ROWS
+    return (1 - agree) ** count + count * agree * (1 - agree) ** (count - 1)
+
+
+def collections_for(percent: int) -> int:
+    """The fewest collections that miss at most ``MISSED`` of the pairs at ``percent``."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    return next(c for c in count(2) if miss_rate(percent / 100, c) <= MISSED)
+
+
+def multipliers(collections: int) -> np.ndarray:
+    """Odd numbers for ``ROWS`` minhashes of each collection; more collections begin with the same ones."""
+    drawn = np.random.default_rng(20240229).integers(0, 2**63, collections * ROWS, dtype=np.uint64)
+    return drawn * np.uint64(2) + np.uint64(1)
+
+
 def shingle_sets(texts: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text's shingles of ``size`` words, and where each text's begin.
 
@@ -64,16 +84,17 @@ def shingle_sets(texts: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.append(0, np.cumsum(keep))[begin].astype(np.int64)
 
 
-def signatures(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def signatures(sets: np.ndarray, begin: np.ndarray, collections: int) -> np.ndarray:
     """A hash of ``ROWS`` minhashes for each text and collection; texts without shingles have zeros."""
     full = np.flatnonzero(begin[:-1] < begin[1:])
-    out = np.zeros((len(begin) - 1, COLLECTIONS), np.uint64)
+    out = np.zeros((len(begin) - 1, collections), np.uint64)
     if not len(full):
         return out
+    drawn = multipliers(collections)
     with np.errstate(over="ignore"):
-        for c in range(COLLECTIONS):
+        for c in range(collections):
             key = np.full(len(full), c + 1, np.uint64)
-            for m in _MULTIPLIERS[c * ROWS : (c + 1) * ROWS]:
+            for m in drawn[c * ROWS : (c + 1) * ROWS]:
                 h = sets * m
                 h ^= h >> np.uint64(32)
                 key = A.mixed(key * np.uint64(3) + np.minimum.reduceat(h, begin[:-1][full]))
@@ -81,7 +102,7 @@ def signatures(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, collections: int) -> DataFrame:
     """id, digest of the set (null without shingles), n (its size), and the collections' hashes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -91,8 +112,8 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             sets, begin = shingle_sets(b.column("text"), size)
             data = memoryview(sets.tobytes())
             digest = [hashlib.blake2b(data[8 * x : 8 * y], digest_size=16).digest() if x < y else None for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            keys = signatures(sets, begin).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * COLLECTIONS, pa.int32()), pa.array(keys.ravel()))
+            keys = signatures(sets, begin, collections).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * collections, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(begin)), lists], ["id", "digest", "n", "keys"])
 
     return rows.mapInArrow(run, f"id {kind}, digest binary, n bigint, keys array<bigint>")
@@ -185,10 +206,11 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     id are reported with a null component and kept, repeated ids share a component. An empty table gives
     no rows; other columns are ignored.
     """
-    rows = written(sketches(docs, size, id_col, text_col), "sketches")
+    collections = collections_for(percent)
+    rows = written(sketches(docs, size, id_col, text_col, collections), "sketches")
     known = rows.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = written(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    pairs = ",".join(f"xxhash64({i}, {j}, keys[{i}], keys[{j}])" for i, j in combinations(range(COLLECTIONS), 2))
+    pairs = ",".join(f"xxhash64({i}, {j}, keys[{i}], keys[{j}])" for i, j in combinations(range(collections), 2))
     keys = classes.select("rep", F.explode(F.expr(f"array({pairs})")).alias("key"))
     # both sides of the join below come from one shuffle each; minima are aggregated map-side
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head")
