@@ -1,18 +1,23 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts are suffixes of variable length: none, the last word, or the last two where the last word is
-frequent (at least ``FREQUENT`` of all tokens; only such nodes of the tree grow children, of which the
-bound on probability leaves at most ``1 / FREQUENT`` to extend). A context is retained if its next
-symbols diverge from those of the root: their collision rate (Renyi divergence of order two) must exceed
-the root's ``DIVERGENCE`` times. Retained distributions are smoothed by absolute discounting, whose mass
-goes to the next shorter context, down to the add-one distribution of single tokens. A token is scored
-by its longest retained context.
-
-Counting and scoring meet in blobs of numpy arrays, not in rows of words: documents are dealt into chunks
-by a hash; each chunk sends its distinct (context, next) pairs with its own training counts to buckets of
-contexts; a bucket adds them up, tests and smooths, and answers every chunk for just the pairs it asked
-for; the chunk then adds up its documents' scores. What is gathered grows with the corpus, no task holds
-more than a chunk or a bucket, and the pairs of frequent words are spread over ``SLICES`` buckets.
+The model. A context is the last ``d`` words before a token, within its document, ``d`` from 0 (the root) to
+``DEPTH``; its parent is the same without its oldest word. ``c(s, x)`` counts training places of token ``x``
+behind ``s``, ``N(s)`` is their sum and ``T(s)`` the number of distinct ``x``. A context grows only if it was
+seen ``SUPPORT`` times, and is retained if its next symbols diverge from its parent's by ``DIVERGENCE`` nats:
+
+    sum over x of (c(s, x) - 1) * ln((c(s, x) / N(s)) / (c(p, x) / N(p))) >= DIVERGENCE
+
+a likelihood ratio in which the first occurrence of every distinct next symbol is set aside as the price of
+naming it, so that a context of single, different symbols shows no divergence. Retained distributions are
+smoothed by absolute discounting into the next shorter retained context, down to the add-one distribution
+of the root; a token is scored by its longest retained context. No word is exempt from any of this.
+
+Where it is computed. Documents are cut into chunks, tables of numbers in the shared folder. Contexts that
+occur so often that one task could not hold them (the crown of the tree: the root and a bounded list) are
+counted by next symbol; every other context lies, with all its extensions, in the bucket of its shortest
+suffix outside the crown. Chunks send their distinct places (next token and the words before it) with
+counts to those buckets, which grow the tree and answer with probabilities. The crown only decides where
+something is computed, never what.
 """
 
 from __future__ import annotations
@@ -21,19 +26,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
 from ._store import shuffle_partitions, written
 
-CHUNK_TEXT = 8 << 20
-FREQUENT, SLICES = 1e-4, 16
-DIVERGENCE, DISCOUNT = 3.0, 0.75
-#: Share of a frequent word's own distribution, whose counts are spread, against the root's.
-FREQUENT_SHARE = 0.5
+DEPTH, SUPPORT = 4, 2
+DIVERGENCE, DISCOUNT = 2.0, 0.75
+#: Text of a chunk, and distinct places of a bucket, about.
+CHUNK_TEXT, BUCKET_RECORDS = 8 << 20, 1_500_000
+#: Words with a short code in what is sent (others go with their hash), and contexts of the crown, at most.
+CODES, MAX_CROWN = 1 << 16, 100_000
 _END = np.uint64(0x5BD1E995A1B2C3D4)
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(id_: Column) -> Column:
@@ -41,276 +48,466 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, an end after each, and where each text begins."""
-    words, first = A.words(texts, A.SPACED)
-    index, distinct = A.encoded(words)
-    n = len(texts)
-    out = np.full(len(index) + n, _END, np.uint64)
-    begin = first + np.arange(n + 1)
-    keep = np.ones(len(out), bool)
-    keep[begin[1:] - 1] = False
-    out[keep] = A.mixed(A.hashes(distinct))[index]
-    return out, begin
-
-
-def _pairs(tokens: np.ndarray, begin: np.ndarray, frequent: np.ndarray) -> dict[str, np.ndarray]:
-    """Places that have a context of one word, and of two, with hashes of context and pair."""
-    first = np.zeros(len(tokens), bool)
-    first[begin[:-1]] = True
-    second = np.zeros(len(tokens), bool)
-    second[1:] = first[:-1]
-    one = np.flatnonzero(~first)
-    hot = _is_in(tokens[one - 1], frequent)
-    two = one[hot & ~second[one]]
-    with np.errstate(over="ignore"):
-        wide = A.mixed(tokens[two - 2] * _M[0] + tokens[two - 1])
-    return {"one": one, "hot": hot, "two": two, "wide": wide}
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of their bytes, as many as the largest needs, compressed."""
+    v = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(v).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    raw = np.frombuffer(pa.decompress(memoryview(data)[9:], decompressed_size=n * width, codec="zstd"), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
-def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    if not len(values):
+        return []
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return list(zip(begin.tolist(), np.append(begin[1:], len(values)).tolist(), strict=True))
+
+
+def _find(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """The place of each value in an ordered list, -1 where it is missing."""
     if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at, -1)
+
+
+def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with one more, older word."""
+    with np.errstate(over="ignore"):
+        return A.mixed(context * _M + word)
+
+
+def _divergence(count: np.ndarray, of_parent: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The part of each context's divergence that is a sum over its next symbols."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = np.where(count > 1, (count - 1) * (np.log(count) - np.log(of_parent)), 0.0)
+    return np.bincount(group, weights=term, minlength=groups)
+
+
+def _retained(part: np.ndarray, n: np.ndarray, types: np.ndarray, n_parent: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = part - (n - types) * (np.log(n) - np.log(n_parent))
+    return (n >= SUPPORT) & (gain >= DIVERGENCE)
+
+
+def _smoothed(count: np.ndarray, n: np.ndarray, types: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    return (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * shorter) / n
+
+
+# --- chunks ---------------------------------------------------------------------------------------------
+
+
+def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
+    """Documents as numbers, a row for each chunk: ids, train flags, tokens of each document, the hashes of
+    the chunk's distinct tokens, their counts in training documents, and the tokens as indices of those."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def encode(key: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        texts = table.column("text").chunk(0)
+        words, first = A.words(texts, A.SPACED)
+        index, distinct = A.encoded(words)
+        names, at = np.unique(np.append(A.mixed(A.hashes(distinct)), _END), return_inverse=True)
+        size = np.diff(first) + 1
+        tokens = np.full(len(index) + len(texts), at[-1], np.int64)
+        inside = np.ones(len(tokens), bool)
+        inside[np.cumsum(size) - 1] = False
+        tokens[inside] = at[:-1][index]
+        train = table.column("train").to_numpy()
+        counts = np.bincount(tokens[np.repeat(train, size)], minlength=len(names))
+        ids = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))
+        data = [_pack(train), _pack(size), names.tobytes(), _pack(counts), _pack(tokens)]
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64())], ["chunk", "ids", "train", "size", "names", "counts", "tokens", "n"])
+
+    def run(batches):
+        key, parts, held = TaskContext.get().partitionId() << 32, [], 0
+        for b in A.chunks(batches, "text", chunk_text):
+            nbytes = b.column("text").nbytes
+            if parts and held + nbytes > chunk_text:
+                yield encode(key, parts)
+                key, parts, held = key + 1, [], 0
+            parts.append(b)
+            held += nbytes
+        if parts:
+            yield encode(key, parts)
+
+    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, train binary, size binary, names binary, counts binary, tokens binary, n bigint")
+
+
+class Places:
+    """The places of a chunk: for each token the document's place, and hashes of the words before it."""
+
+    def __init__(self, names: bytes, size: bytes, tokens: bytes, train: bytes):
+        self.names = np.frombuffer(names, np.uint64)
+        self.size, self.tokens, self.doc_train = _unpack(size), _unpack(tokens), _unpack(train).astype(bool)
+        self.train = np.repeat(self.doc_train, self.size)
+        begin = np.cumsum(self.size) - self.size
+        self.before = np.arange(len(self.tokens)) - np.repeat(begin, self.size)
+
+    def crowned(self, crown: np.ndarray):
+        """By depth: places whose context of that depth is in the crown, and which one it is."""
+        at, context = np.arange(len(self.tokens)), np.zeros(len(self.tokens), np.uint64)
+        out = []
+        for depth in range(1, DEPTH + 1):
+            inside = self.before[at] >= depth
+            at, context = at[inside], context[inside]
+            context = _longer(context, self.names[self.tokens[at - depth]])
+            found = _find(context, crown)
+            at, context, found = at[found >= 0], context[found >= 0], found[found >= 0]
+            out.append((at, found))
+        return out
+
+
+def _crown(chunks: DataFrame, total: int, limit: int, least: int) -> list[np.ndarray]:
+    """Hashes, parents (their place in the list, -1: the root) and depths of the contexts that occur about
+    ``limit`` times or more, ordered by hash. A context is found if it makes up enough of some chunks; with
+    each its parent is found."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = Places(row["names"], row["size"], row["tokens"], row["train"])
+                enough = max(least, limit * row["n"] / max(1, total) / 2)
+                at = np.flatnonzero(p.train & (p.before >= 1))
+                context = np.zeros(len(at), np.uint64)
+                for depth in range(1, DEPTH + 1):
+                    inside = p.before[at] >= depth
+                    at, parent = at[inside], context[inside]
+                    context = _longer(parent, p.names[p.tokens[at - depth]])
+                    names, first, inverse, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+                    often = n >= enough
+                    if not often.any():
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(parent[first][often].view(np.int64)), pa.array(np.full(int(often.sum()), depth, np.int32)), pa.array(n[often])], ["context", "parent", "depth", "n"])
+                    at, context = at[often[inverse]], context[often[inverse]]
+
+    seen = chunks.select("names", "size", "tokens", "train", "n").mapInArrow(run, "context bigint, parent bigint, depth int, n bigint")
+    most = seen.groupBy("context", "parent", "depth").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
+    rows = most.orderBy(F.col("n").desc(), "depth", "context").limit(MAX_CROWN).collect()
+    names = {}
+    for r in sorted(rows, key=lambda r: r["depth"]):
+        if r["depth"] == 1 or r["parent"] in names:
+            names[r["context"]] = (r["parent"], r["depth"])
+    ordered = np.sort(np.array(list(names), np.int64).view(np.uint64))
+    parents = np.array([names[x][0] for x in ordered.view(np.int64).tolist()], np.int64).view(np.uint64)
+    depth = np.array([names[x][1] for x in ordered.view(np.int64).tolist()], np.int64)
+    return [ordered, np.where(depth > 1, _find(parents, ordered), -1), depth]
+
+
+# --- counts of the root and the crown, by next symbol ----------------------------------------------------
 
 
 class Asked:
-    """The distinct pairs of a chunk by level: level 1 has contexts of one word, level 2 of two."""
-
-    def __init__(self, tokens, begin, train, frequent, buckets):
-        found = _pairs(tokens, begin, frequent)
-        docs = np.searchsorted(begin, np.arange(len(tokens)), side="right") - 1
-        learnt = train[docs]
-        self.levels = []
-        for at, context in ((found["one"], tokens[found["one"] - 1]), (found["two"], found["wide"])):
-            nxt = A.mixed(tokens[at] ^ _M[1])
-            with np.errstate(over="ignore"):
-                key = A.mixed(context * _M[0] + nxt)
-            # order by bucket, context, next
-            spread = found["hot"] if at is found["one"] else np.zeros(len(at), bool)
-            place = A.mixed(context ^ _M[1]) + np.where(spread, (nxt >> np.uint64(24)) % np.uint64(SLICES) * _M[0], np.uint64(0))
-            bucket = (A.mixed(place) >> np.uint64(16)) % np.uint64(buckets)
-            _, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
-            order = np.lexsort((nxt[pick], context[pick], bucket[pick]))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            pick = pick[order]
-            inverse = rank[inverse]
-            count = np.bincount(inverse, weights=learnt[at], minlength=len(pick)).astype(np.int64)
-            self.levels.append({"at": at, "inverse": inverse, "bucket": bucket[pick].astype(np.int64), "context": context[pick], "next": (nxt[pick] & np.uint64(0xFFFFFF)).astype(np.uint32), "count": count, "spread": spread[pick]})
-
-
-def _bytes3(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
-
-
-def _from3(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
-
-
-def _small(values: np.ndarray) -> bytes:
-    """Small numbers, a byte each, with those over 254 listed behind."""
-    large = np.flatnonzero(values > 254)
-    return b"".join([len(values).to_bytes(8, "little"), np.minimum(values, 255).astype(np.uint8).tobytes(), large.astype("<u4").tobytes(), values[large].astype("<u8").tobytes()])
-
-
-def _from_small(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
-    k = (len(data) - 8 - n) // 12
-    if k:
-        out[np.frombuffer(data, "<u4", k, 8 + n)] = np.frombuffer(data, "<u8", k, 8 + n + 4 * k)
-    return out
-
-
-def _groups(context: np.ndarray) -> np.ndarray:
-    """Where runs of equal contexts begin."""
-    return np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-
-
-def _merge(context: list[np.ndarray], nxt: list[np.ndarray], count: list[np.ndarray]):
-    """Totals of all requests to a bucket: for each request, its pairs' totals and its contexts' total,
-    distinct next symbols and collisions."""
-    c, n, k = (np.concatenate(x) for x in (context, nxt, count))
-    order = np.lexsort((n, c))
-    c_, n_ = c[order], n[order]
-    new = np.append(True, (c_[1:] != c_[:-1]) | (n_[1:] != n_[:-1])) if len(c_) else np.zeros(0, bool)
-    pair = np.empty(len(c), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    total = np.bincount(pair, weights=k).astype(np.int64)
-    first = c_[new]
-    begin = _groups(first)
-    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(first))))
-    sums = np.add.reduceat(total, begin) if len(begin) else np.zeros(0, np.int64)
-    types = np.add.reduceat((total > 0).astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    hits = np.add.reduceat(total.astype(float) * (total - 1), begin) if len(begin) else np.zeros(0)
-    return total[pair], sums[group[pair]], types[group[pair]], hits[group[pair]]
-
-
-def _vocabulary(rows: DataFrame, buckets: int) -> tuple[int, int, float, dict[int, int]]:
-    """Training tokens, distinct ones, the root's collision rate, and the frequent tokens' counts, of
-    which there are at most ``1 / FREQUENT``."""
-
-    def count(batches):
-        for b in A.chunks(batches, "text", 2 * A.CHUNK_BYTES):
-            tokens, begin = _tokens(b.column("text"))
-            keep = np.repeat(b.column("train").to_numpy(zero_copy_only=False), np.diff(begin))
-            names, counts = np.unique(tokens[keep], return_counts=True)
-            bucket = (A.mixed(names) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((names, bucket))
-            names, counts, bucket = names[order], counts[order], bucket[order]
-            begin = _groups(bucket)
-            ends = np.append(begin[1:], len(bucket))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array([names[x:y].tobytes() for x, y in zip(begin, ends, strict=True)], pa.binary()), pa.array([_small(counts[x:y]) for x, y in zip(begin, ends, strict=True)], pa.binary())], ["bucket", "names", "counts"])
-
-    def add(batch: pa.Table) -> pa.Table:
-        names = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("names").to_pylist()])
-        counts = np.concatenate([_from_small(x) for x in batch.column("counts").to_pylist()])
-        _, inverse = np.unique(names, return_inverse=True)
-        distinct = np.unique(names)
-        total = np.bincount(inverse, weights=counts).astype(np.int64)
-        top = np.argsort(-total, kind="stable")[: math.ceil(1 / FREQUENT)]
-        n = float(total.sum())
-        return pa.table({"n": [int(n)], "v": [len(distinct)], "hits": [float((total.astype(float) * (total - 1)).sum())], "names": pa.array([distinct[top].view(np.int64).tolist()], pa.list_(pa.int64())), "counts": pa.array([total[top].tolist()], pa.list_(pa.int64()))})
-
-    parts = rows.select("text", "train").mapInArrow(count, "bucket bigint, names binary, counts binary")
-    found = written(parts.groupBy("bucket").applyInArrow(add, "n bigint, v bigint, hits double, names array<bigint>, counts array<bigint>"), "vocabulary")
-    n, v, hits = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("hits"), F.lit(0.0))).first()
-    each = found.select(F.explode(F.arrays_zip("names", "counts")).alias("t")).select("t.names", "t.counts")
-    frequent = each.where(F.col("counts") >= FREQUENT * n).collect()
-    return n, v, hits / max(1.0, n * (n - 1.0)), {int(np.int64(a).view(np.uint64)): c for a, c in frequent}
-
-
-_ANSWER = "chunk bigint, level int, bucket bigint, total binary, sums binary, types binary, kept binary"
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What a chunk asks by next symbol: the count of each of its tokens, and of each (crown context, next)
+    pair. Both are ordered by the bucket of the next symbol."""
+
+    def __init__(self, places: Places, crown: np.ndarray, buckets: int):
+        bucket = (A.mixed(places.names ^ _M) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[self.order]
+        rank = np.empty(len(bucket), np.int64)
+        rank[self.order] = np.arange(len(bucket))
+        self.levels = places.crowned(crown)
+        at = np.concatenate([a for a, _ in self.levels])
+        context = np.concatenate([c for _, c in self.levels])
+        # a next symbol by its rank among the ordered names: so pairs are ordered by bucket as well
+        pairs, self.inverse = np.unique(rank[places.tokens[at]] * (len(crown) + 1) + context, return_inverse=True)
+        self.pair_next, self.pair_context = pairs // (len(crown) + 1), pairs % (len(crown) + 1)
+        self.pair_count = np.bincount(self.inverse, weights=places.train[at], minlength=len(pairs)).astype(np.int64)
+        self.pair_bucket = self.bucket[self.pair_next]
+
+
+_COUNTED = "chunk bigint, bucket bigint, tokens binary, pairs binary, n bigint, v bigint, names array<bigint>, counts array<bigint>, context array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
+
+
+def _counted(chunks: DataFrame, crown: list[np.ndarray], buckets: int) -> DataFrame:
+    """For each chunk and bucket, totals of what was asked; and a row for each bucket with its statistics."""
+    ordered, parent, _ = crown
+    shared = chunks.sparkSession.sparkContext.broadcast((ordered, parent))
+    listed = 2 * CODES // buckets + 16
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                places = Places(row["names"], row["size"], row["tokens"], row["train"])
+                asked = Asked(places, shared.value[0], buckets)
+                names, counts = places.names[asked.order], _unpack(row["counts"])[asked.order]
+                out = []
+                for a, b in _runs(asked.bucket):
+                    x, y = np.searchsorted(asked.pair_next, [a, b])
+                    out.append((row["chunk"], int(asked.bucket[a]), names[a:b].tobytes(), _pack(counts[a:b]), _pack(asked.pair_context[x:y]), _pack(asked.pair_next[x:y] - a), _pack(asked.pair_count[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["chunk", "bucket", "names", "counts", "context", "next", "pairs"])
+
+    def add(group: pa.Table) -> pa.Table:
+        parent = shared.value[1]
+        got = group.to_pydict()
+        each = [np.frombuffer(x, np.uint64) for x in got["names"]]
+        names, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([_unpack(x) for x in got["counts"]])).astype(np.int64)
+        begin = np.cumsum([0, *map(len, each)])
+        contexts, nexts = [_unpack(x) for x in got["context"]], [_unpack(x) for x in got["next"]]
+        context = np.concatenate(contexts)
+        nxt = np.concatenate([inverse[a + x] for a, x in zip(begin, nexts, strict=False)])
+        key, place = np.unique(nxt * (len(parent) + 1) + context, return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([_unpack(x) for x in got["pairs"]]), minlength=len(key)).astype(np.int64)
+        key_next, key_context = key // (len(parent) + 1), key % (len(parent) + 1)
+        up = parent[key_context] if len(key) else key_context
+        # the pair of the parent context lies here too, as its next symbol is the same
+        of_parent = np.where(up < 0, total[key_next] if len(key) else 0, count[np.maximum(_find(key_next * (len(parent) + 1) + np.maximum(up, 0), key), 0)] if len(key) else 0)
+        n = len(parent)
+        part = _divergence(count, of_parent, key_context, n)
+        sums = np.bincount(key_context, weights=count, minlength=n).astype(np.int64)
+        types = np.bincount(key_context[count > 0], minlength=n)
+        there = np.flatnonzero(sums)
+        top = np.argsort(-total, kind="stable")[:listed]
+        top = top[total[top] > 1]
+        stats = [[int(total.sum())], [int((total > 0).sum())], [names[top].view(np.int64).tolist()], [total[top].tolist()], [there.tolist()], [sums[there].tolist()], [types[there].tolist()], [part[there].tolist()]]
+        ends = np.cumsum([0, *map(len, contexts)])
+        rows = len(each)
+        packed = [[_pack(total[inverse[a:b]]) for a, b in zip(begin, begin[1:], strict=False)], [_pack(count[place[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]]
+        whole = pa.list_(pa.int64())
+        kinds = [pa.int64(), pa.int64(), whole, whole, whole, whole, whole, pa.list_(pa.float64())]
+        return pa.table([
+            pa.array(got["chunk"] + [None], pa.int64()), pa.array(got["bucket"] + [got["bucket"][0]], pa.int64()),
+            *(pa.array(x + [None], pa.binary()) for x in packed),
+            *(pa.array([None] * rows + x, k) for x, k in zip(stats, kinds, strict=True))],
+            names=["chunk", "bucket", "tokens", "pairs", "n", "v", "names", "counts", "context", "sums", "types", "part"])
+
+    asked = chunks.mapInArrow(ask, "chunk bigint, bucket bigint, names binary, counts binary, context binary, next binary, pairs binary")
+    return asked.groupBy("bucket").applyInArrow(add, _COUNTED)
+
+
+class Crown:
+    """The crown's contexts with their statistics, the counts of the root, and the short codes of words."""
+
+    def __init__(self, counted: DataFrame, crown: list[np.ndarray], buckets: int):
+        self.buckets = buckets
+        self.contexts, self.parent, self.depth = crown
+        stats = counted.where("chunk IS NULL")
+        row = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+        self.n, self.v = row["n"] or 0, row["v"] or 0
+        each = stats.select(F.explode(F.arrays_zip("names", "counts")).alias("t")).select("t.names", "t.counts")
+        top = each.orderBy(F.col("counts").desc(), "names").limit(CODES - 1).collect()
+        names = np.array([r["names"] for r in top], np.int64).view(np.uint64)
+        order = np.argsort(names)
+        self.words, self.word_counts = names[order], np.array([r["counts"] for r in top], np.int64)[order]
+        m = len(self.contexts)
+        self.sums, self.types, part = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+        each = stats.select(F.explode(F.arrays_zip("context", "sums", "types", "part")).alias("t")).groupBy("t.context")
+        for c, s, t, p in each.agg(F.sum("t.sums"), F.sum("t.types"), F.sum("t.part")).collect():
+            self.sums[c], self.types[c], part[c] = s, t, p
+        above = np.where(self.parent < 0, self.n, self.sums[self.parent] if m else 0)
+        self.kept = _retained(part, self.sums, self.types, above)
+
+    def root(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / (self.n + self.v + 1)
+
+
+# --- the rest of the tree, by bucket of contexts ----------------------------------------------------------
+
+
+class Prepared:
+    """A chunk's tokens with all that the crown says of them, and the distinct places to be asked."""
+
+    def __init__(self, row: dict, answers: dict, crown: Crown, buckets: int):
+        places = Places(row["names"], row["size"], row["tokens"], row["train"])
+        asked = Asked(places, crown.contexts, crown.buckets)
+        by_bucket = np.argsort(answers["bucket"])
+        total = np.empty(len(places.names), np.int64)
+        total[asked.order] = np.concatenate([_unpack(answers["tokens"][i]) for i in by_bucket])
+        pairs = np.concatenate([_unpack(answers["pairs"][i]) for i in by_bucket])
+        self.places, self.total = places, total
+        tokens = places.tokens
+        self.seen = total[tokens]
+        self.p = crown.root(self.seen)
+        self.count, self.deep = self.seen.copy(), np.full(len(tokens), -1, np.int64)
+        each = pairs[asked.inverse]
+        for at, context in asked.levels:
+            mine, each = each[: len(at)], each[len(at) :]
+            self.count[at], self.deep[at] = mine, context
+            kept = crown.kept[context]
+            at, context = at[kept], context[kept]
+            self.p[at] = _smoothed(mine[kept], crown.sums[context], crown.types[context], self.p[at])
+        depth = np.append(crown.depth, 0)[self.deep]
+        # a context of one word occurs as often as the word: one that is too rare needs no asking
+        at = np.flatnonzero((depth < DEPTH) & (places.before > depth))
+        at = at[(depth[at] > 0) | (total[tokens[at - 1]] >= SUPPORT)]
+        depth = depth[at]
+        # the bucket is that of the shortest suffix outside the crown; a place is told apart by all words
+        route = np.append(crown.contexts, np.uint64(0))[self.deep[at]]
+        route = _longer(route, places.names[tokens[at - depth - 1]])
+        with np.errstate(over="ignore"):
+            key = A.mixed(places.names[tokens[at]] + _M)
+        words = [tokens[at]]
+        for d in range(1, DEPTH + 1):
+            inside = places.before[at] >= d
+            before = np.where(inside, tokens[np.maximum(at - d, 0)], -1)
+            key = _longer(key, np.where(inside, places.names[before], np.uint64(0)))
+            words.append(before)
+        _, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(route[pick], kind="stable")
+        pick = pick[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.at, self.inverse = at, rank[inverse]
+        self.learnt = np.bincount(self.inverse, weights=places.train[at], minlength=len(pick)).astype(np.int64)
+        self.words = [w[pick] for w in words]
+        self.picked = at[pick]
+        # buckets are ranges of the hash, in order
+        self.bucket = ((route[pick] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+    def blobs(self, crown: Crown, chunk: int):
+        """A row for each bucket. Words are codes of frequent words, or beyond these places in the row's own
+        list of hashes; 0 stands before the document."""
+        code = _find(self.places.names, crown.words) + 1
+        rare = np.flatnonzero(code == 0)
+        code[rare] = CODES + np.arange(len(rare))
+        code = np.append(code, 0)
+        coded = np.array([code[w] for w in self.words])
+        deep, count, p = self.deep[self.picked] + 1, self.count[self.picked], self.p[self.picked]
+        out = []
+        for a, b in _runs(self.bucket):
+            block = coded[:, a:b]
+            others, place = np.unique(block[block >= CODES], return_inverse=True)
+            block[block >= CODES] = CODES + place
+            others = rare[others - CODES]
+            inner = deep[a:b] > 0
+            out.append((chunk, int(self.bucket[a]), self.places.names[others].tobytes(), _pack(self.total[others]), *map(_pack, block), _pack(self.learnt[a:b]), _pack(deep[a:b]), _pack(count[a:b][inner]), p[a:b][inner].tobytes()))
+        return out
+
+
+_BLOB = ["chunk", "bucket", "others", "totals", *(f"w{d}" for d in range(DEPTH + 1)), "learnt", "deep", "count", "p"]
+
+
+def grown(words: list[np.ndarray], learnt: np.ndarray, deep: np.ndarray, count: np.ndarray, p: np.ndarray, crown: Crown, n_words: int) -> np.ndarray:
+    """The probability of each place by its longest retained context. ``words`` are numbers under
+    ``n_words`` (0: none), first the next token, then the words before it; ``deep`` is the crown's context
+    (-1: the root) from which the tree grows here, ``count`` and ``p`` are what that says of the token."""
+    p, count = p.copy(), count.copy()
+    depth = np.append(crown.depth, 0)[deep]
+    n = np.append(crown.sums, crown.n)[deep].astype(np.int64)
+    group = deep + 1
+    alive = np.ones(len(deep), bool)
+    for d in range(1, DEPTH + 1):
+        alive &= (depth >= d) | (words[d] > 0)
+        at = np.flatnonzero(alive & (depth < d))
+        if not len(at):
+            continue
+        _, first, mine = np.unique(group[at] * n_words + words[d][at], return_index=True, return_inverse=True)
+        _, pick, pair = np.unique(mine * n_words + words[0][at], return_index=True, return_inverse=True)
+        each = np.bincount(pair, weights=learnt[at])
+        of, groups = mine[pick], len(first)
+        sums = np.bincount(of, weights=each, minlength=groups)
+        types = np.bincount(of[each > 0], minlength=groups)
+        part = _divergence(each, count[at][pick], of, groups)
+        kept = _retained(part, sums, types, n[at][first])
+        count[at], n[at] = each[pair], sums[mine]
+        group[at] = len(crown.contexts) + 1 + mine
+        alive[at] = (sums >= SUPPORT)[mine]
+        use = kept[mine]
+        to = at[use]
+        p[to] = _smoothed(each[pair][use], sums[mine[use]], types[mine[use]], p[to])
+    return p
+
+
+def _answered(got: dict, crown: Crown) -> pa.Table:
+    """The logarithms of the probabilities of all places that were sent to a bucket."""
+    each = [np.frombuffer(x, np.uint64) for x in got["others"]]
+    names, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    begin = np.cumsum([0, *map(len, each)])
+    totals = np.zeros(CODES + len(names), np.int64)
+    totals[1 : len(crown.words) + 1] = crown.word_counts
+    if len(inverse):
+        totals[CODES + inverse] = np.concatenate([_unpack(x) for x in got["totals"]])
+    words = []
+    for d in range(DEPTH + 1):
+        column = []
+        for i, data in enumerate(got[f"w{d}"]):
+            w = _unpack(data)
+            other = w >= CODES
+            w[other] = CODES + inverse[begin[i] + w[other] - CODES]
+            column.append(w)
+        words.append(np.concatenate(column))
+        ends = np.cumsum([0, *map(len, column)])
+    learnt, deep = (np.concatenate([_unpack(x) for x in got[k]]) for k in ("learnt", "deep"))
+    count = totals[words[0]]
+    p = crown.root(count)
+    count[deep > 0] = np.concatenate([_unpack(x) for x in got["count"]])
+    p[deep > 0] = np.concatenate([np.frombuffer(x) for x in got["p"]])
+    # logarithms keep their relative precision in four bytes, probabilities near one would not
+    p = np.log10(grown(words, learnt, deep - 1, count, p, crown, CODES + len(names))).astype("<f4")
+    found = [p[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    return pa.table({"chunk": pa.array(got["chunk"], pa.int64()), "bucket": pa.array(got["bucket"], pa.int64()), "p": pa.array(found, pa.binary())})
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_text: int = CHUNK_TEXT, bucket_records: int = BUCKET_RECORDS, least: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10).
 
-    A null text is empty: its only token is the end. A null id is not held out; repeated rows are learnt
-    and scored each. With nothing to learn from, all tokens are unknown and share one uniform cell. An
-    empty table gives no rows; other columns are ignored.
+    A null text is empty: its only token is the end, as of a text without words. A null id is not held out;
+    repeated rows are learnt and scored each, whatever their ids. With nothing to learn from, all tokens are
+    unknown and share one uniform cell. A text longer than ``chunk_text`` is a chunk of its own, read whole.
+    There are no ties to decide. An empty table gives no rows; other columns are ignored.
+
+    ``chunk_text``, ``bucket_records`` and ``least`` (occurrences in a chunk from which a context may enter
+    the crown) size the tasks and don't change the result.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks = max(1, math.ceil(size / CHUNK_TEXT))
-    buckets = max(chunks, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~held_out(F.col(id_col))).alias("train"))
-    n, v, rate, hot = _vocabulary(rows, buckets)
-    frequent = np.sort(np.array(list(hot), np.uint64))
-    shared = spark.sparkContext.broadcast((frequent, np.array([hot[int(x)] for x in frequent], np.int64)))
-    parts = max(shuffle_partitions(spark), chunks)
     kind = rows.schema["id"].dataType.simpleString()
-    # texts are dealt by their own hash too, so that repeated ids don't gather
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.length("text")), F.lit(chunks))).repartition(parts, "chunk")
-
-    def ask(batch: pa.Table) -> pa.Table:
-        batch = batch.combine_chunks()
-        text = pa.chunked_array(batch.column("text")).combine_chunks() if batch.column("text").num_chunks != 1 else batch.column("text").chunk(0)
-        tokens, begin = _tokens(text)
-        asked = Asked(tokens, begin, batch.column("train").to_numpy(), shared.value[0], buckets)
-        out = {k: [] for k in ("chunk", "level", "bucket", "context", "runs", "next", "count")}
-        chunk = batch.column("chunk")[0].as_py()
-        for level, x in enumerate(asked.levels, 1):
-            begin = _groups(x["bucket"])
-            for a, b in zip(begin.tolist(), np.append(begin[1:], len(x["bucket"])).tolist(), strict=True):
-                c = x["context"][a:b]
-                runs = _groups(c)
-                out["chunk"].append(chunk)
-                out["level"].append(level)
-                out["bucket"].append(int(x["bucket"][a]))
-                out["context"].append(c[runs].tobytes() if level == 1 else _planes5(c[runs]))
-                out["runs"].append(_small(np.diff(np.append(runs, b - a))))
-                out["next"].append(_bytes3(x["next"][a:b]))
-                out["count"].append(_small(x["count"][a:b]))
-        return pa.table([pa.array(out["chunk"], pa.int64()), pa.array(out["level"], pa.int32()), pa.array(out["bucket"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("context", "runs", "next", "count"))], names=list(out))
-
-    def answer(batch: pa.Table) -> pa.Table:
-        got = batch.to_pydict()
-        out = {k: [] for k in ("chunk", "level", "bucket", "total", "sums", "types", "kept")}
-        for level in (1, 2):
-            mine = [i for i, x in enumerate(got["level"]) if x == level]
-            if not mine:
-                continue
-            heads = [np.frombuffer(got["context"][i], np.uint64) if level == 1 else _from_planes5(got["context"][i]) for i in mine]
-            runs = [_from_small(got["runs"][i]) for i in mine]
-            context = [np.repeat(h, r) for h, r in zip(heads, runs, strict=True)]
-            total, sums, types, hits = _merge(context, [_from3(got["next"][i]) for i in mine], [_from_small(got["count"][i]) for i in mine])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                kept = (sums > 1) & (hits >= DIVERGENCE * rate * sums.astype(float) * (sums - 1))
-            at = 0
-            for i, r in zip(mine, runs, strict=True):
-                head = at + np.cumsum(r) - r
-                out["chunk"].append(got["chunk"][i])
-                out["level"].append(level)
-                out["bucket"].append(got["bucket"][i])
-                use = np.repeat(kept[head], r) if level == 2 else np.ones(int(r.sum()), bool)
-                out["total"].append(_small(np.where(use, total[at : at + len(use)], 0)))
-                out["sums"].append(_small(sums[head]))
-                out["types"].append(_small(types[head]))
-                out["kept"].append(np.packbits(kept[head]).tobytes())
-                at += len(use)
-        return pa.table([pa.array(out["chunk"], pa.int64()), pa.array(out["level"], pa.int32()), pa.array(out["bucket"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("total", "sums", "types", "kept"))], names=list(out))
-
-    def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"id": left.column("id"), "train": left.column("train"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        left = left.combine_chunks()
-        frequent, counts = shared.value
-        text = left.column("text").chunk(0) if left.column("text").num_chunks == 1 else left.column("text").combine_chunks()
-        tokens, begin = _tokens(text)
-        asked = Asked(tokens, begin, left.column("train").to_numpy(), frequent, buckets)
-        got = right.to_pydict()
-        state = []
-        for level, x in enumerate(asked.levels, 1):
-            mine = sorted((i for i, y in enumerate(got["level"]) if y == level), key=lambda i: got["bucket"][i])
-            total = np.concatenate([_from_small(got["total"][i]) for i in mine]) if mine else np.zeros(0, np.int64)
-            runs = _groups(x["context"] + x["bucket"].astype(np.uint64) * _M[1])
-            size = np.diff(np.append(runs, len(x["context"])))
-            sums, types = (np.concatenate([_from_small(got[k][i]) for i in mine]) if mine else np.zeros(0, np.int64) for k in ("sums", "types"))
-            kept = np.concatenate([np.unpackbits(np.frombuffer(got["kept"][i], np.uint8), count=int.from_bytes(got["sums"][i][:8], "little")) for i in mine]).astype(bool) if mine else np.zeros(0, bool)
-            if len(total) != len(x["context"]) or len(sums) != len(runs):
+    chunks = written(_chunks(rows, chunk_text), "chunks")
+    found = chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("n")).first()
+    n_chunks, total = found["chunks"], found["n"] or 0
+    crown = _crown(chunks, total, max(1, bucket_records // 4), least)
+    buckets = max(shuffle_partitions(spark), math.ceil(total / bucket_records))
+    counted = written(_counted(chunks, crown, buckets), "counted")
+    crown = Crown(counted, crown, buckets)
+    shared = spark.sparkContext.broadcast(crown)
+    parts = max(shuffle_partitions(spark), math.ceil(n_chunks / 4))
+    dealt = chunks.drop("counts", "n").repartition(parts, "chunk")
+    totals = counted.where("chunk IS NOT NULL").select("chunk", "bucket", "tokens", "pairs").repartition(parts, "chunk")
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * (len(_BLOB) - 2)]
+        out = []
+        for row in left.to_pylist():
+            out += Prepared(row, right.to_pydict(), shared.value, buckets).blobs(shared.value, row["chunk"])
+        columns = zip(*out, strict=True) if out else [[]] * len(_BLOB)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_BLOB)
+
+    def answer(group: pa.Table) -> pa.Table:
+        return _answered(group.to_pydict(), shared.value)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            got = right.to_pydict()
+            first = [i for i, x in enumerate(got["tokens"]) if x is not None]
+            prepared = Prepared(row, {k: [got[k][i] for i in first] for k in ("bucket", "tokens", "pairs")}, shared.value, buckets)
+            then = sorted((i for i, x in enumerate(got["p"]) if x is not None), key=lambda i: got["bucket"][i])
+            p = np.frombuffer(b"".join(got["p"][i] for i in then), "<f4")
+            if len(p) != len(prepared.picked):
                 raise ValueError("answers don't fit what was asked")
-            pick = x["inverse"]
-            state.append((total[pick], np.repeat(sums, size)[pick], np.repeat(types, size)[pick], np.repeat(kept, size)[pick]))
-        total, sums, types, kept = state[0]
-        one, two = asked.levels[0]["at"], asked.levels[1]["at"]
-        # how often each token was seen: as a context of the token after it, or as an end
-        seen = np.zeros(len(tokens), np.int64)
-        seen[one - 1] = sums
-        hot_at = np.flatnonzero(_is_in(tokens, frequent))
-        seen[hot_at] = counts[np.searchsorted(frequent, tokens[hot_at])]
-        seen[begin[1:] - 1] = ends
-        root = (seen + 1) / (n + v + 1)
-        p = root.copy()
-        before = _is_in(tokens[one - 1], frequent)
-        of_context = seen[one - 1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plain = (np.maximum(total - DISCOUNT, 0) + DISCOUNT * types * root[one]) / sums
-            common = FREQUENT_SHARE * total / of_context + (1 - FREQUENT_SHARE) * root[one]
-        p[one] = np.where(before, common, np.where(kept, plain, root[one]))
-        total, sums, types, kept = state[1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            longer = (np.maximum(total - DISCOUNT, 0) + DISCOUNT * types * p[two]) / sums
-        p[two] = np.where(kept, longer, p[two])
-        return pa.table({"id": left.column("id"), "train": left.column("train"), "n_tokens": np.diff(begin), "n_known": A.sums((seen > 0).astype(np.int64), begin), "base_score": A.sums(np.log10(root), begin), "score": A.sums(np.log10(p), begin)})
-
-    ends = rows.where("train").count()
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk bigint, level int, bucket bigint, context binary, runs binary, next binary, count binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, _ANSWER)
-    judged = dealt.groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(judge, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return judged.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def _planes5(values: np.ndarray) -> bytes:
-    """The upper five bytes of each hash."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def _from_planes5(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+            log_p = np.log10(prepared.p)
+            log_p[prepared.at] = p[prepared.inverse]
+            begin = np.append(0, np.cumsum(prepared.places.size))
+            seen = prepared.seen
+            table = {"id": left.column("ids").combine_chunks().flatten(), "train": prepared.places.doc_train, "n_tokens": prepared.places.size, "n_known": A.sums((seen > 0).astype(np.int64), begin), "base_score": A.sums(np.log10(shared.value.root(seen)), begin), "score": A.sums(log_p, begin)}
+            out.append(pa.table(table))
+        return pa.concat_tables(out)
+
+    blobs = ", ".join(f"{c} {'bigint' if c in ('chunk', 'bucket') else 'binary'}" for c in _BLOB)
+    asked = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda left, right: ask(left, right), blobs)
+    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, p binary")
+    both = totals.withColumn("p", F.lit(None).cast("binary")).unionByName(answers.withColumns({"tokens": F.lit(None).cast("binary"), "pairs": F.lit(None).cast("binary")}))
+    judged = dealt.groupBy("chunk").cogroup(both.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(judge, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return judged.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(crown.n).cast("bigint").alias("train_tokens"), "base_score", "score")
