@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 from . import _arrow as A
 from ._store import shuffle_partitions, written
 
-DEPTH, SUPPORT = 4, 2
+DEPTH, SUPPORT = 3, 2
 DIVERGENCE, DISCOUNT = 2.0, 0.75
-#: Text of a chunk, and distinct places of a bucket, about.
-CHUNK_TEXT, BUCKET_RECORDS = 8 << 20, 1_500_000
-#: Words with a short code in what is sent (others go with their hash), and contexts of the crown, at most.
+#: Text of a chunk, distinct places of a bucket, and tokens asked of a bucket of the root, about.
+CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 6 << 20, 1_000_000, 2_000_000
+#: Chunks that ask and are answered together, at most, and how many such groups there are before that.
+GROUP, GROUPS = 16, 256
+#: Ids whose counts every task knows, and contexts of the crown, at most.
 CODES, MAX_CROWN = 1 << 16, 100_000
+#: Ids of words: none (before a document, or too rare to be in a context) and any never learnt.
+_NONE, _UNKNOWN = 0, 1
 _END = np.uint64(0x5BD1E995A1B2C3D4)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,20 +52,42 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 7 == 2, F.lit(False))
 
 
+def _base(width: int) -> int:
+    return 1 if width == 1 else 2 if width == 2 else 4 if width <= 4 else 8
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Unsigned numbers by planes of their bytes, as many as the largest needs, compressed."""
-    v = np.ascontiguousarray(values, dtype="<u8")
-    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
-    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    base = _base(width)
+    v = np.ascontiguousarray(values, dtype=f"<u{base}")
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, base)[:, :width].T)
     return len(v).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
     n, width = int.from_bytes(data[:8], "little"), data[8]
     raw = np.frombuffer(pa.decompress(memoryview(data)[9:], decompressed_size=n * width, codec="zstd"), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = raw.reshape(width, n).T
-    return out.view("<u8").ravel().astype(np.int64)
+    base = _base(width)
+    out = np.zeros((n, base), np.uint8)
+    for i in range(width):
+        out[:, i] = raw[i * n : (i + 1) * n]
+    return out.view(f"<u{base}").ravel()
+
+
+def _all(blobs) -> np.ndarray:
+    return np.concatenate([_unpack(x) for x in blobs]).astype(np.int64) if len(blobs) else np.zeros(0, np.int64)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, by key, and which of them each key is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -88,9 +114,9 @@ def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _divergence(count: np.ndarray, of_parent: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """The part of each context's divergence that is a sum over its next symbols."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        term = np.where(count > 1, (count - 1) * (np.log(count) - np.log(of_parent)), 0.0)
-    return np.bincount(group, weights=term, minlength=groups)
+    again = np.flatnonzero(count > 1)
+    k = count[again]
+    return np.bincount(group[again], weights=(k - 1) * (np.log(k) - np.log(of_parent[again])), minlength=groups)
 
 
 def _retained(part: np.ndarray, n: np.ndarray, types: np.ndarray, n_parent: np.ndarray) -> np.ndarray:
@@ -108,25 +134,29 @@ def _smoothed(count: np.ndarray, n: np.ndarray, types: np.ndarray, shorter: np.n
 
 def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
     """Documents as numbers, a row for each chunk: ids, train flags, tokens of each document, the hashes of
-    the chunk's distinct tokens, their counts in training documents, and the tokens as indices of those."""
+    the chunk's distinct tokens (the frequent ones first), their counts in training documents, and all
+    tokens as places in that list."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def encode(key: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
-        texts = table.column("text").chunk(0)
-        words, first = A.words(texts, A.SPACED)
+        words, first = A.words(table.column("text").chunk(0), A.SPACED)
         index, distinct = A.encoded(words)
-        names, at = np.unique(np.append(A.mixed(A.hashes(distinct)), _END), return_inverse=True)
         size = np.diff(first) + 1
-        tokens = np.full(len(index) + len(texts), at[-1], np.int64)
+        tokens = np.full(len(index) + len(size), len(distinct), np.int32)
         inside = np.ones(len(tokens), bool)
         inside[np.cumsum(size) - 1] = False
-        tokens[inside] = at[:-1][index]
+        tokens[inside] = index
+        order = np.argsort(-np.bincount(tokens, minlength=len(distinct) + 1), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        tokens = rank[tokens]
+        names = np.append(A.mixed(A.hashes(distinct)), _END)[order]
         train = table.column("train").to_numpy()
         counts = np.bincount(tokens[np.repeat(train, size)], minlength=len(names))
         ids = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))
         data = [_pack(train), _pack(size), names.tobytes(), _pack(counts), _pack(tokens)]
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64())], ["chunk", "ids", "train", "size", "names", "counts", "tokens", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64()), pa.array([len(names)], pa.int64())], ["chunk", "ids", "train", "size", "names", "counts", "tokens", "n", "distinct"])
 
     def run(batches):
         key, parts, held = TaskContext.get().partitionId() << 32, [], 0
@@ -140,173 +170,196 @@ def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
         if parts:
             yield encode(key, parts)
 
-    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, train binary, size binary, names binary, counts binary, tokens binary, n bigint")
+    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, train binary, size binary, names binary, counts binary, tokens binary, n bigint, distinct bigint")
 
 
 class Places:
-    """The places of a chunk: for each token the document's place, and hashes of the words before it."""
+    """The places of a chunk: the token at each, its place in the document, whether it is learnt."""
 
-    def __init__(self, names: bytes, size: bytes, tokens: bytes, train: bytes):
-        self.names = np.frombuffer(names, np.uint64)
-        self.size, self.tokens, self.doc_train = _unpack(size), _unpack(tokens), _unpack(train).astype(bool)
+    def __init__(self, row: dict):
+        self.size, self.tokens = _unpack(row["size"]).astype(np.int64), _unpack(row["tokens"]).astype(np.int32)
+        self.doc_train = _unpack(row["train"]).astype(bool)
         self.train = np.repeat(self.doc_train, self.size)
         begin = np.cumsum(self.size) - self.size
-        self.before = np.arange(len(self.tokens)) - np.repeat(begin, self.size)
-
-    def crowned(self, crown: np.ndarray):
-        """By depth: places whose context of that depth is in the crown, and which one it is."""
-        at, context = np.arange(len(self.tokens)), np.zeros(len(self.tokens), np.uint64)
-        out = []
-        for depth in range(1, DEPTH + 1):
+        self.before = (np.arange(len(self.tokens)) - np.repeat(begin, self.size)).astype(np.int32)
+
+    def crowned(self, crown: np.ndarray, names: np.ndarray):
+        """By depth: places whose context of that depth is in the crown, and which one it is. ``names`` are
+        what the hashes of the contexts are made of, by token."""
+        # only words in contexts of depth one can begin any
+        first = _find(_longer(np.zeros(len(names), np.uint64), names), crown)
+        at = np.flatnonzero(self.before >= 1)
+        found = first[self.tokens[at - 1]]
+        at, found = at[found >= 0], found[found >= 0]
+        out = [(at, found)]
+        for depth in range(2, DEPTH + 1):
             inside = self.before[at] >= depth
-            at, context = at[inside], context[inside]
-            context = _longer(context, self.names[self.tokens[at - depth]])
-            found = _find(context, crown)
-            at, context, found = at[found >= 0], context[found >= 0], found[found >= 0]
+            at, context = at[inside], crown[found[inside]]
+            found = _find(_longer(context, names[self.tokens[at - depth]]), crown)
+            at, found = at[found >= 0], found[found >= 0]
             out.append((at, found))
         return out
 
 
-def _crown(chunks: DataFrame, total: int, limit: int, least: int) -> list[np.ndarray]:
-    """Hashes, parents (their place in the list, -1: the root) and depths of the contexts that occur about
-    ``limit`` times or more, ordered by hash. A context is found if it makes up enough of some chunks; with
-    each its parent is found."""
+class Contexts:
+    """The crown: hashes of contexts in order, the place of each one's parent (-1: the root), depth, and the
+    word that the parent lacks."""
+
+    def __init__(self, rows: list):
+        found = {}
+        for r in sorted(rows, key=lambda r: r["depth"]):
+            if r["depth"] == 1 or r["parent"] in found:
+                found[r["context"]] = (r["parent"], r["depth"], r["word"])
+        self.hashes = np.sort(np.array(list(found), np.int64).view(np.uint64))
+        rest = [found[x] for x in self.hashes.view(np.int64).tolist()]
+        above, self.depth, words = (np.array([r[i] for r in rest], np.int64) for i in range(3))
+        self.word = words.view(np.uint64)
+        self.parent = np.where(self.depth > 1, _find(above.view(np.uint64), self.hashes), -1)
+
+
+def _crown(chunks: DataFrame, total: int, limit: int, least: int) -> Contexts:
+    """The contexts that occur about ``limit`` times or more. One is found if it makes up enough of some
+    chunks; with each its parent is found."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                p = Places(row["names"], row["size"], row["tokens"], row["train"])
+                p, names, counts = Places(row), np.frombuffer(row["names"], np.uint64), _unpack(row["counts"])
                 enough = max(least, limit * row["n"] / max(1, total) / 2)
+                # every word but the end is the context of a token as often as it occurs
+                often = np.flatnonzero((counts >= enough) & (names != _END))
+                first = _longer(np.zeros(len(often), np.uint64), names[often])
+                yield _found(first, np.zeros(len(often), np.uint64), 1, counts[often], names[often])
+                hot = np.zeros(len(names), bool)
+                hot[often] = True
                 at = np.flatnonzero(p.train & (p.before >= 1))
-                context = np.zeros(len(at), np.uint64)
-                for depth in range(1, DEPTH + 1):
+                at = at[hot[p.tokens[at - 1]]]
+                context = _longer(np.zeros(len(at), np.uint64), names[p.tokens[at - 1]])
+                for depth in range(2, DEPTH + 1):
                     inside = p.before[at] >= depth
                     at, parent = at[inside], context[inside]
-                    context = _longer(parent, p.names[p.tokens[at - depth]])
-                    names, first, inverse, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+                    context = _longer(parent, names[p.tokens[at - depth]])
+                    pick, inverse = _distinct(context)
+                    n = np.bincount(inverse, minlength=len(pick))
                     often = n >= enough
-                    if not often.any():
-                        break
-                    yield pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(parent[first][often].view(np.int64)), pa.array(np.full(int(often.sum()), depth, np.int32)), pa.array(n[often])], ["context", "parent", "depth", "n"])
+                    pick, n = pick[often], n[often]
+                    yield _found(context[pick], parent[pick], depth, n, names[p.tokens[at[pick] - depth]])
                     at, context = at[often[inverse]], context[often[inverse]]
 
-    seen = chunks.select("names", "size", "tokens", "train", "n").mapInArrow(run, "context bigint, parent bigint, depth int, n bigint")
-    most = seen.groupBy("context", "parent", "depth").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
-    rows = most.orderBy(F.col("n").desc(), "depth", "context").limit(MAX_CROWN).collect()
-    names = {}
-    for r in sorted(rows, key=lambda r: r["depth"]):
-        if r["depth"] == 1 or r["parent"] in names:
-            names[r["context"]] = (r["parent"], r["depth"])
-    ordered = np.sort(np.array(list(names), np.int64).view(np.uint64))
-    parents = np.array([names[x][0] for x in ordered.view(np.int64).tolist()], np.int64).view(np.uint64)
-    depth = np.array([names[x][1] for x in ordered.view(np.int64).tolist()], np.int64)
-    return [ordered, np.where(depth > 1, _find(parents, ordered), -1), depth]
-
-
-# --- counts of the root and the crown, by next symbol ----------------------------------------------------
+    def _found(context, parent, depth, n, word):
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (context, parent, word)] + [pa.array(np.full(len(context), depth, np.int32)), pa.array(n.astype(np.int64))], ["context", "parent", "word", "depth", "n"])
 
+    seen = chunks.select("names", "counts", "size", "tokens", "train", "n").mapInArrow(run, "context bigint, parent bigint, word bigint, depth int, n bigint")
+    most = seen.groupBy("context", "parent", "word", "depth").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
+    return Contexts(most.orderBy(F.col("n").desc(), "depth", "context").limit(MAX_CROWN).collect())
 
-class Asked:
-    """What a chunk asks by next symbol: the count of each of its tokens, and of each (crown context, next)
-    pair. Both are ordered by the bucket of the next symbol."""
-
-    def __init__(self, places: Places, crown: np.ndarray, buckets: int):
-        bucket = (A.mixed(places.names ^ _M) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket = bucket[self.order]
-        rank = np.empty(len(bucket), np.int64)
-        rank[self.order] = np.arange(len(bucket))
-        self.levels = places.crowned(crown)
-        at = np.concatenate([a for a, _ in self.levels])
-        context = np.concatenate([c for _, c in self.levels])
-        # a next symbol by its rank among the ordered names: so pairs are ordered by bucket as well
-        pairs, self.inverse = np.unique(rank[places.tokens[at]] * (len(crown) + 1) + context, return_inverse=True)
-        self.pair_next, self.pair_context = pairs // (len(crown) + 1), pairs % (len(crown) + 1)
-        self.pair_count = np.bincount(self.inverse, weights=places.train[at], minlength=len(pairs)).astype(np.int64)
-        self.pair_bucket = self.bucket[self.pair_next]
 
+# --- counts of the root and the crown, by next symbol ----------------------------------------------------
 
-_COUNTED = "chunk bigint, bucket bigint, tokens binary, pairs binary, n bigint, v bigint, names array<bigint>, counts array<bigint>, context array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
+_ASKED = ["chunk", "bucket", "names", "counts", "place", "context", "next", "pairs"]
+_COUNTED = "chunk bigint, bucket bigint, place binary, totals binary, ids binary, context binary, next binary, pairs binary, n bigint, v bigint, names array<bigint>, of array<bigint>, counts array<bigint>, contexts array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
 
 
-def _counted(chunks: DataFrame, crown: list[np.ndarray], buckets: int) -> DataFrame:
-    """For each chunk and bucket, totals of what was asked; and a row for each bucket with its statistics."""
-    ordered, parent, _ = crown
-    shared = chunks.sparkSession.sparkContext.broadcast((ordered, parent))
-    listed = 2 * CODES // buckets + 16
+def _counted(chunks: DataFrame, crown: Contexts, buckets: int) -> DataFrame:
+    """For each chunk and bucket of next symbols, the totals and ids of the chunk's tokens and the totals of
+    its (crown context, next) pairs; and a row for each bucket with its statistics. Ids are dense over all
+    buckets, the frequent words' are small."""
+    shared = chunks.sparkSession.sparkContext.broadcast(crown)
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                places = Places(row["names"], row["size"], row["tokens"], row["train"])
-                asked = Asked(places, shared.value[0], buckets)
-                names, counts = places.names[asked.order], _unpack(row["counts"])[asked.order]
+                places, names, counts = Places(row), np.frombuffer(row["names"], np.uint64), _unpack(row["counts"])
+                bucket = (A.mixed(names ^ _M) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                levels = places.crowned(shared.value.hashes, names)
+                at, context = (np.concatenate([x[i] for x in levels]) for i in (0, 1))
+                wide = len(shared.value.hashes) + 1
+                # next symbols by their rank: so pairs are ordered by bucket as well
+                key = rank[places.tokens[at]] * wide + context
+                pick, inverse = _distinct(key)
+                nxt, context = key[pick] // wide, key[pick] % wide
+                pairs = np.bincount(inverse, weights=places.train[at], minlength=len(pick)).astype(np.int64)
                 out = []
-                for a, b in _runs(asked.bucket):
-                    x, y = np.searchsorted(asked.pair_next, [a, b])
-                    out.append((row["chunk"], int(asked.bucket[a]), names[a:b].tobytes(), _pack(counts[a:b]), _pack(asked.pair_context[x:y]), _pack(asked.pair_next[x:y] - a), _pack(asked.pair_count[x:y])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["chunk", "bucket", "names", "counts", "context", "next", "pairs"])
+                for a, b in _runs(bucket[order]):
+                    x, y = np.searchsorted(nxt, [a, b])
+                    mine = order[a:b]
+                    out.append((row["chunk"], int(bucket[mine[0]]), names[mine].tobytes(), _pack(counts[mine]), _pack(np.diff(mine, prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], _ASKED)
 
     def add(group: pa.Table) -> pa.Table:
-        parent = shared.value[1]
+        crown = shared.value
+        wide, m = len(crown.hashes) + 1, len(crown.hashes)
         got = group.to_pydict()
         each = [np.frombuffer(x, np.uint64) for x in got["names"]]
-        names, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([_unpack(x) for x in got["counts"]])).astype(np.int64)
+        every = np.concatenate(each)
+        pick, inverse = _distinct(every)
+        names = every[pick]
+        total = np.bincount(inverse, weights=_all(got["counts"]), minlength=len(names)).astype(np.int64)
+        order = np.lexsort((names, -total))
+        ids = np.empty(len(names), np.int64)
+        ids[order] = 2 + np.arange(len(names)) * buckets + got["bucket"][0]
+        ids[total == 0] = _UNKNOWN
         begin = np.cumsum([0, *map(len, each)])
         contexts, nexts = [_unpack(x) for x in got["context"]], [_unpack(x) for x in got["next"]]
-        context = np.concatenate(contexts)
-        nxt = np.concatenate([inverse[a + x] for a, x in zip(begin, nexts, strict=False)])
-        key, place = np.unique(nxt * (len(parent) + 1) + context, return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([_unpack(x) for x in got["pairs"]]), minlength=len(key)).astype(np.int64)
-        key_next, key_context = key // (len(parent) + 1), key % (len(parent) + 1)
-        up = parent[key_context] if len(key) else key_context
+        asked = np.concatenate([inverse[a + x] for a, x in zip(begin, nexts, strict=False)]) * wide + np.concatenate(contexts)
+        one, place = _distinct(asked)
+        key = asked[one]
+        count = np.bincount(place, weights=_all(got["pairs"]), minlength=len(key)).astype(np.int64)
+        of, context = key // wide, key % wide
+        up = crown.parent[context] if m else context
         # the pair of the parent context lies here too, as its next symbol is the same
-        of_parent = np.where(up < 0, total[key_next] if len(key) else 0, count[np.maximum(_find(key_next * (len(parent) + 1) + np.maximum(up, 0), key), 0)] if len(key) else 0)
-        n = len(parent)
-        part = _divergence(count, of_parent, key_context, n)
-        sums = np.bincount(key_context, weights=count, minlength=n).astype(np.int64)
-        types = np.bincount(key_context[count > 0], minlength=n)
+        above = total[of] if len(of) else of
+        deeper = np.flatnonzero(up >= 0)
+        above[deeper] = count[_find(of[deeper] * wide + up[deeper], key)]
+        part = _divergence(count, above, context, m)
+        sums = np.bincount(context, weights=count, minlength=m).astype(np.int64)
+        types = np.bincount(context[count > 0], minlength=m)
         there = np.flatnonzero(sums)
-        top = np.argsort(-total, kind="stable")[:listed]
-        top = top[total[top] > 1]
-        stats = [[int(total.sum())], [int((total > 0).sum())], [names[top].view(np.int64).tolist()], [total[top].tolist()], [there.tolist()], [sums[there].tolist()], [types[there].tolist()], [part[there].tolist()]]
+        listed = np.flatnonzero((total > 0) & ((ids < CODES) | np.isin(names, crown.word)))
+        stats = [[int(total.sum())], [int((total > 0).sum())], *([x.tolist()] for x in (names[listed].view(np.int64), ids[listed], total[listed], there, sums[there], types[there], part[there]))]
         ends = np.cumsum([0, *map(len, contexts)])
-        rows = len(each)
-        packed = [[_pack(total[inverse[a:b]]) for a, b in zip(begin, begin[1:], strict=False)], [_pack(count[place[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]]
-        whole = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), whole, whole, whole, whole, whole, pa.list_(pa.float64())]
-        return pa.table([
-            pa.array(got["chunk"] + [None], pa.int64()), pa.array(got["bucket"] + [got["bucket"][0]], pa.int64()),
-            *(pa.array(x + [None], pa.binary()) for x in packed),
-            *(pa.array([None] * rows + x, k) for x, k in zip(stats, kinds, strict=True))],
-            names=["chunk", "bucket", "tokens", "pairs", "n", "v", "names", "counts", "context", "sums", "types", "part"])
-
-    asked = chunks.mapInArrow(ask, "chunk bigint, bucket bigint, names binary, counts binary, context binary, next binary, pairs binary")
+        spans, pairs = list(zip(begin, begin[1:], strict=False)), list(zip(ends, ends[1:], strict=False))
+        blobs = [got["place"], [_pack(total[inverse[a:b]]) for a, b in spans], [_pack(ids[inverse[a:b]]) for a, b in spans], got["context"], got["next"], [_pack(count[place[a:b]]) for a, b in pairs]]
+        kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 6, pa.list_(pa.float64())]
+        columns = [pa.array(got["chunk"] + [None], pa.int64()), pa.array(got["bucket"] + [got["bucket"][0]], pa.int64())]
+        columns += [pa.array([*x, None], pa.binary()) for x in blobs]
+        columns += [pa.array([None] * len(each) + x, k) for x, k in zip(stats, kinds, strict=True)]
+        return pa.table(columns, names=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    asked = chunks.mapInArrow(ask, ", ".join(f"{c} {'bigint' if i < 2 else 'binary'}" for i, c in enumerate(_ASKED)))
     return asked.groupBy("bucket").applyInArrow(add, _COUNTED)
 
 
 class Crown:
-    """The crown's contexts with their statistics, the counts of the root, and the short codes of words."""
+    """What every task knows: statistics of the crown's contexts and counts of the smallest ids. Contexts
+    are in the order of their hashes over ids."""
 
-    def __init__(self, counted: DataFrame, crown: list[np.ndarray], buckets: int):
-        self.buckets = buckets
-        self.contexts, self.parent, self.depth = crown
+    def __init__(self, counted: DataFrame, found: Contexts):
         stats = counted.where("chunk IS NULL")
         row = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
         self.n, self.v = row["n"] or 0, row["v"] or 0
-        each = stats.select(F.explode(F.arrays_zip("names", "counts")).alias("t")).select("t.names", "t.counts")
-        top = each.orderBy(F.col("counts").desc(), "names").limit(CODES - 1).collect()
-        names = np.array([r["names"] for r in top], np.int64).view(np.uint64)
-        order = np.argsort(names)
-        self.words, self.word_counts = names[order], np.array([r["counts"] for r in top], np.int64)[order]
-        m = len(self.contexts)
-        self.sums, self.types, part = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
-        each = stats.select(F.explode(F.arrays_zip("context", "sums", "types", "part")).alias("t")).groupBy("t.context")
+        self.counts, ids = np.zeros(CODES, np.int64), {}
+        for name, i, count in stats.select(F.explode(F.arrays_zip("names", "of", "counts")).alias("t")).select("t.names", "t.of", "t.counts").toLocalIterator():
+            ids[name] = i
+            if i < CODES:
+                self.counts[i] = count
+        m = len(found.hashes)
+        sums, types, part = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+        each = stats.select(F.explode(F.arrays_zip("contexts", "sums", "types", "part")).alias("t")).groupBy("t.contexts")
         for c, s, t, p in each.agg(F.sum("t.sums"), F.sum("t.types"), F.sum("t.part")).collect():
-            self.sums[c], self.types[c], part[c] = s, t, p
-        above = np.where(self.parent < 0, self.n, self.sums[self.parent] if m else 0)
-        self.kept = _retained(part, self.sums, self.types, above)
+            sums[c], types[c], part[c] = s, t, p
+        kept = _retained(part, sums, types, np.where(found.parent < 0, self.n, sums[found.parent] if m else 0))
+        hashes = np.zeros(m + 1, np.uint64)
+        for i in np.argsort(found.depth, kind="stable").tolist():
+            word = np.array([ids[int(found.word[i : i + 1].view(np.int64)[0])]], np.uint64)
+            hashes[i : i + 1] = _longer(hashes[found.parent[i]][None], word)
+        order = np.argsort(hashes[:m])
+        #: From the order of the words' hashes, in which pairs are counted, to the one used here.
+        self.order = order
+        self.hashes, self.depth, self.sums, self.types, self.kept = hashes[:m][order], found.depth[order], sums[order], types[order], kept[order]
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 1) / (self.n + self.v + 1)
@@ -318,138 +371,150 @@ class Crown:
 class Prepared:
     """A chunk's tokens with all that the crown says of them, and the distinct places to be asked."""
 
-    def __init__(self, row: dict, answers: dict, crown: Crown, buckets: int):
-        places = Places(row["names"], row["size"], row["tokens"], row["train"])
-        asked = Asked(places, crown.contexts, crown.buckets)
-        by_bucket = np.argsort(answers["bucket"])
-        total = np.empty(len(places.names), np.int64)
-        total[asked.order] = np.concatenate([_unpack(answers["tokens"][i]) for i in by_bucket])
-        pairs = np.concatenate([_unpack(answers["pairs"][i]) for i in by_bucket])
-        self.places, self.total = places, total
+    def __init__(self, row: dict, answers: list[dict], crown: Crown, buckets: int):
+        self.places = places = Places(row)
         tokens = places.tokens
+        n_names = sum(int.from_bytes(x["place"][:8], "little") for x in answers)
+        total, ids = np.zeros(n_names, np.int64), np.zeros(n_names, np.int64)
+        nxt, context, pairs = [], [], []
+        for x in answers:
+            at = np.cumsum(_unpack(x["place"]).astype(np.int64))
+            total[at], ids[at] = _unpack(x["totals"]), _unpack(x["ids"])
+            nxt.append(at[_unpack(x["next"])])
+            context.append(_unpack(x["context"]))
+            pairs.append(_unpack(x["pairs"]))
+        names = ids.astype(np.uint64)
         self.seen = total[tokens]
         self.p = crown.root(self.seen)
-        self.count, self.deep = self.seen.copy(), np.full(len(tokens), -1, np.int64)
-        each = pairs[asked.inverse]
-        for at, context in asked.levels:
-            mine, each = each[: len(at)], each[len(at) :]
-            self.count[at], self.deep[at] = mine, context
+        count, deep = self.seen.copy(), np.full(len(tokens), -1, np.int32)
+        wide = len(crown.hashes) + 1
+        key, pairs = np.concatenate(nxt) * wide + np.concatenate(context), np.concatenate(pairs)
+        order = np.argsort(key)
+        key, pairs = key[order], pairs[order]
+        for at, context in places.crowned(crown.hashes, names):
+            mine = pairs[np.searchsorted(key, tokens[at] * np.int64(wide) + crown.order[context])] if len(at) else pairs[:0]
+            mine = mine.astype(np.int64)
+            count[at], deep[at] = mine, context
             kept = crown.kept[context]
             at, context = at[kept], context[kept]
             self.p[at] = _smoothed(mine[kept], crown.sums[context], crown.types[context], self.p[at])
-        depth = np.append(crown.depth, 0)[self.deep]
-        # a context of one word occurs as often as the word: one that is too rare needs no asking
+        depth = np.append(crown.depth, 0)[deep]
+        # a context occurs no more often than its words: one with too rare a word needs no asking
+        rare = total < SUPPORT
         at = np.flatnonzero((depth < DEPTH) & (places.before > depth))
-        at = at[(depth[at] > 0) | (total[tokens[at - 1]] >= SUPPORT)]
+        at = at[~rare[tokens[at - depth[at] - 1]]]
         depth = depth[at]
-        # the bucket is that of the shortest suffix outside the crown; a place is told apart by all words
-        route = np.append(crown.contexts, np.uint64(0))[self.deep[at]]
-        route = _longer(route, places.names[tokens[at - depth - 1]])
-        with np.errstate(over="ignore"):
-            key = A.mixed(places.names[tokens[at]] + _M)
-        words = [tokens[at]]
+        # the bucket is that of the shortest suffix outside the crown, a range of its hash
+        route = np.append(crown.hashes, np.uint64(0))[deep[at]]
+        route = _longer(route, names[tokens[at - depth - 1]])
+        bucket = (route >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        # words after one that is too rare are of no use; contexts in the crown never have such
+        words, whole = [ids[tokens[at]].astype(np.uint32)], np.ones(len(at), bool)
         for d in range(1, DEPTH + 1):
-            inside = places.before[at] >= d
-            before = np.where(inside, tokens[np.maximum(at - d, 0)], -1)
-            key = _longer(key, np.where(inside, places.names[before], np.uint64(0)))
-            words.append(before)
-        _, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
-        order = np.argsort(route[pick], kind="stable")
-        pick = pick[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.at, self.inverse = at, rank[inverse]
+            whole &= places.before[at] >= d
+            before = tokens[np.maximum(at - d, 0)]
+            whole &= ~rare[before]
+            words.append(np.where(whole, ids[before], _NONE).astype(np.uint32))
+        self.at, self.bucket = at, None
+        self.pick, self.inverse = _places_by_bucket(bucket, route, words)
+        pick = self.pick
         self.learnt = np.bincount(self.inverse, weights=places.train[at], minlength=len(pick)).astype(np.int64)
-        self.words = [w[pick] for w in words]
-        self.picked = at[pick]
-        # buckets are ranges of the hash, in order
-        self.bucket = ((route[pick] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-    def blobs(self, crown: Crown, chunk: int):
-        """A row for each bucket. Words are codes of frequent words, or beyond these places in the row's own
-        list of hashes; 0 stands before the document."""
-        code = _find(self.places.names, crown.words) + 1
-        rare = np.flatnonzero(code == 0)
-        code[rare] = CODES + np.arange(len(rare))
-        code = np.append(code, 0)
-        coded = np.array([code[w] for w in self.words])
-        deep, count, p = self.deep[self.picked] + 1, self.count[self.picked], self.p[self.picked]
-        out = []
+        self.words, self.bucket = [w[pick] for w in words], bucket[pick].astype(np.int64)
+        picked = at[pick]
+        self.deep, self.count, self.p_sent = deep[picked] + 1, count[picked], self.p[picked]
+
+    def blobs(self):
+        """For each bucket: words, places learnt, the crown's context, and what it says of the token."""
         for a, b in _runs(self.bucket):
-            block = coded[:, a:b]
-            others, place = np.unique(block[block >= CODES], return_inverse=True)
-            block[block >= CODES] = CODES + place
-            others = rare[others - CODES]
-            inner = deep[a:b] > 0
-            out.append((chunk, int(self.bucket[a]), self.places.names[others].tobytes(), _pack(self.total[others]), *map(_pack, block), _pack(self.learnt[a:b]), _pack(deep[a:b]), _pack(count[a:b][inner]), p[a:b][inner].tobytes()))
-        return out
+            block = [w[a:b] for w in self.words]
+            deep = self.deep[a:b]
+            # counts of the root are known to all for the smallest ids
+            sent = (deep > 0) | (block[0] >= CODES)
+            yield int(self.bucket[a]), [*map(_pack, block), _pack(self.learnt[a:b]), _pack(deep), _pack(self.count[a:b][sent]), self.p_sent[a:b][deep > 0].tobytes()]
+
+
+def _places_by_bucket(bucket: np.ndarray, route: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of places that are equal in all words, by bucket, and which of them each place is.
+    Equal contexts and next tokens lie together, as they compress well then. Places are told apart by a hash
+    that is checked, and drawn anew should two different places share it."""
+    for salt in range(1, 100):
+        with np.errstate(over="ignore"):
+            key = np.full(len(bucket), salt, np.uint64)
+            for w in words:
+                key = key * _M + w
+                key ^= key >> np.uint64(29)
+            key = A.mixed(key)
+        # the bucket is a range of the route's upper bits
+        key = (route >> np.uint64(40) << np.uint64(40)) | ((words[0] & np.uint64(1023)) << np.uint64(30)) | (key >> np.uint64(34))
+        pick, inverse = _distinct(key)
+        if all((w == w[pick][inverse]).all() for w in words):
+            break
+    else:
+        raise ValueError("places can't be told apart")
+    # buckets that are finer than the upper bits of the route are put in order here
+    mine = bucket[pick]
+    if (mine[1:] < mine[:-1]).any():
+        order = np.argsort(mine, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pick, inverse = pick[order], rank[inverse]
+    return pick, inverse
 
 
-_BLOB = ["chunk", "bucket", "others", "totals", *(f"w{d}" for d in range(DEPTH + 1)), "learnt", "deep", "count", "p"]
+_BLOB = [*(f"w{d}" for d in range(DEPTH + 1)), "learnt", "deep", "count", "p"]
 
 
-def grown(words: list[np.ndarray], learnt: np.ndarray, deep: np.ndarray, count: np.ndarray, p: np.ndarray, crown: Crown, n_words: int) -> np.ndarray:
-    """The probability of each place by its longest retained context. ``words`` are numbers under
-    ``n_words`` (0: none), first the next token, then the words before it; ``deep`` is the crown's context
-    (-1: the root) from which the tree grows here, ``count`` and ``p`` are what that says of the token."""
+def grown(words: list[np.ndarray], learnt: np.ndarray, deep: np.ndarray, count: np.ndarray, p: np.ndarray, crown: Crown) -> np.ndarray:
+    """The probability of each place by its longest retained context. ``words`` are ids (0: none), first of
+    the next token, then of the words before it; ``deep`` is the crown's context (-1: the root) from which
+    the tree grows here, ``count`` and ``p`` are what that says of the token."""
     p, count = p.copy(), count.copy()
     depth = np.append(crown.depth, 0)[deep]
-    n = np.append(crown.sums, crown.n)[deep].astype(np.int64)
+    n = np.append(crown.sums, crown.n)[deep]
     group = deep + 1
+    n_words = int(max(w.max(initial=0) for w in words)) + 1
     alive = np.ones(len(deep), bool)
     for d in range(1, DEPTH + 1):
         alive &= (depth >= d) | (words[d] > 0)
         at = np.flatnonzero(alive & (depth < d))
         if not len(at):
             continue
-        _, first, mine = np.unique(group[at] * n_words + words[d][at], return_index=True, return_inverse=True)
-        _, pick, pair = np.unique(mine * n_words + words[0][at], return_index=True, return_inverse=True)
+        first, mine = _distinct(group[at] * n_words + words[d][at])
+        pick, pair = _distinct(mine * n_words + words[0][at])
         each = np.bincount(pair, weights=learnt[at])
         of, groups = mine[pick], len(first)
         sums = np.bincount(of, weights=each, minlength=groups)
         types = np.bincount(of[each > 0], minlength=groups)
         part = _divergence(each, count[at][pick], of, groups)
         kept = _retained(part, sums, types, n[at][first])
-        count[at], n[at] = each[pair], sums[mine]
-        group[at] = len(crown.contexts) + 1 + mine
+        each = each[pair]
+        count[at], n[at] = each, sums[mine]
+        group[at] = len(crown.hashes) + 1 + mine
         alive[at] = (sums >= SUPPORT)[mine]
         use = kept[mine]
-        to = at[use]
-        p[to] = _smoothed(each[pair][use], sums[mine[use]], types[mine[use]], p[to])
+        to, use = at[use], mine[use]
+        p[to] = _smoothed(each[kept[mine]], sums[use], types[use], p[to])
     return p
 
 
 def _answered(got: dict, crown: Crown) -> pa.Table:
-    """The logarithms of the probabilities of all places that were sent to a bucket."""
-    each = [np.frombuffer(x, np.uint64) for x in got["others"]]
-    names, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    begin = np.cumsum([0, *map(len, each)])
-    totals = np.zeros(CODES + len(names), np.int64)
-    totals[1 : len(crown.words) + 1] = crown.word_counts
-    if len(inverse):
-        totals[CODES + inverse] = np.concatenate([_unpack(x) for x in got["totals"]])
-    words = []
-    for d in range(DEPTH + 1):
-        column = []
-        for i, data in enumerate(got[f"w{d}"]):
-            w = _unpack(data)
-            other = w >= CODES
-            w[other] = CODES + inverse[begin[i] + w[other] - CODES]
-            column.append(w)
-        words.append(np.concatenate(column))
-        ends = np.cumsum([0, *map(len, column)])
-    learnt, deep = (np.concatenate([_unpack(x) for x in got[k]]) for k in ("learnt", "deep"))
-    count = totals[words[0]]
+    """The logarithms of the probabilities of all places that were sent to a bucket, in four bytes, as they
+    keep their relative precision in those."""
+    flat = {k: [x for row in got[k] for x in row] for k in _BLOB}
+    words = [_all(flat[f"w{d}"]) for d in range(DEPTH + 1)]
+    ends = np.cumsum([0, *(int.from_bytes(x[:8], "little") for x in flat["w0"])])
+    learnt, deep = _all(flat["learnt"]), _all(flat["deep"])
+    count = crown.counts[np.minimum(words[0], CODES - 1)]
+    count[(deep > 0) | (words[0] >= CODES)] = _all(flat["count"])
     p = crown.root(count)
-    count[deep > 0] = np.concatenate([_unpack(x) for x in got["count"]])
-    p[deep > 0] = np.concatenate([np.frombuffer(x) for x in got["p"]])
-    # logarithms keep their relative precision in four bytes, probabilities near one would not
-    p = np.log10(grown(words, learnt, deep - 1, count, p, crown, CODES + len(names))).astype("<f4")
-    found = [p[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-    return pa.table({"chunk": pa.array(got["chunk"], pa.int64()), "bucket": pa.array(got["bucket"], pa.int64()), "p": pa.array(found, pa.binary())})
+    p[deep > 0] = np.concatenate([np.frombuffer(x) for x in flat["p"]])
+    p = np.log10(grown(words, learnt, deep - 1, count, p, crown)).astype("<f4")
+    found = [_pack(p[a:b].view("<u4")) for a, b in zip(ends, ends[1:], strict=False)]
+    at = np.cumsum([0, *map(len, got["w0"])])
+    return pa.table({"group": pa.array(got["group"], pa.int64()), "bucket": pa.array(got["bucket"], pa.int64()), "chunks": pa.array(got["chunks"], pa.list_(pa.int64())), "logs": pa.array([found[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.binary()))})
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_text: int = CHUNK_TEXT, bucket_records: int = BUCKET_RECORDS, least: int = 16) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_text: int = CHUNK_TEXT, bucket_records: int = BUCKET_RECORDS, bucket_names: int = BUCKET_NAMES, least: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10).
 
@@ -458,56 +523,73 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     unknown and share one uniform cell. A text longer than ``chunk_text`` is a chunk of its own, read whole.
     There are no ties to decide. An empty table gives no rows; other columns are ignored.
 
-    ``chunk_text``, ``bucket_records`` and ``least`` (occurrences in a chunk from which a context may enter
-    the crown) size the tasks and don't change the result.
+    ``chunk_text``, ``bucket_records``, ``bucket_names`` and ``least`` (occurrences in a chunk from which a
+    context may enter the crown) size the tasks and don't change the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~held_out(F.col(id_col))).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
     chunks = written(_chunks(rows, chunk_text), "chunks")
-    found = chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("n")).first()
-    n_chunks, total = found["chunks"], found["n"] or 0
-    crown = _crown(chunks, total, max(1, bucket_records // 4), least)
-    buckets = max(shuffle_partitions(spark), math.ceil(total / bucket_records))
-    counted = written(_counted(chunks, crown, buckets), "counted")
-    crown = Crown(counted, crown, buckets)
+    found = chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("n"), F.sum("distinct").alias("names")).first()
+    n_chunks, total, names = found["chunks"], found["n"] or 0, found["names"] or 0
+    contexts = _crown(chunks, total, max(1, bucket_records // 4), least)
+    counted = written(_counted(chunks, contexts, max(1, math.ceil(names / bucket_names))), "counted")
+    crown = Crown(counted, contexts)
     shared = spark.sparkContext.broadcast(crown)
-    parts = max(shuffle_partitions(spark), math.ceil(n_chunks / 4))
-    dealt = chunks.drop("counts", "n").repartition(parts, "chunk")
-    totals = counted.where("chunk IS NOT NULL").select("chunk", "bucket", "tokens", "pairs").repartition(parts, "chunk")
+    buckets = max(shuffle_partitions(spark), math.ceil(total / bucket_records))
+    groups = max(1, math.ceil(n_chunks / min(GROUP, math.ceil(n_chunks / GROUPS)))) if n_chunks else 1
+    parts = max(shuffle_partitions(spark), groups)
+    group = F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("group")
+    dealt = chunks.select(group, "chunk", "ids", "train", "size", "tokens").repartition(parts, "group")
+    known = ["place", "totals", "ids", "context", "next", "pairs"]
+    totals = counted.where("chunk IS NOT NULL").select(group, "chunk", *known)
+
+    def prepared(left: pa.Table, right: pa.Table):
+        """A group's chunks in order, with what is known of them."""
+        of = {}
+        for x in right.select(["chunk", *known]).to_pylist():
+            if x["place"] is not None:
+                of.setdefault(x["chunk"], []).append(x)
+        for row in sorted(left.to_pylist(), key=lambda r: r["chunk"]):
+            yield row, Prepared(row, of[row["chunk"]], shared.value, buckets)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * (len(_BLOB) - 2)]
-        out = []
-        for row in left.to_pylist():
-            out += Prepared(row, right.to_pydict(), shared.value, buckets).blobs(shared.value, row["chunk"])
-        columns = zip(*out, strict=True) if out else [[]] * len(_BLOB)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_BLOB)
-
-    def answer(group: pa.Table) -> pa.Table:
-        return _answered(group.to_pydict(), shared.value)
+        out = {}
+        for row, chunk in prepared(left, right):
+            for bucket, blob in chunk.blobs():
+                mine = out.setdefault(bucket, ([], [[] for _ in _BLOB]))
+                mine[0].append(row["chunk"])
+                for column, x in zip(mine[1], blob, strict=True):
+                    column.append(x)
+        name = left.column("group")[0].as_py() if left.num_rows else None
+        columns = [pa.array([name] * len(out), pa.int64()), pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.list_(pa.int64()))]
+        columns += [pa.array([x[1][i] for x in out.values()], pa.list_(pa.binary())) for i in range(len(_BLOB))]
+        return pa.table(columns, names=["group", "bucket", "chunks", *_BLOB])
+
+    def answer(table: pa.Table) -> pa.Table:
+        return _answered(table.to_pydict(), shared.value)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        logs = {}
+        answers = right.select(["bucket", "chunks", "logs"]).filter(right.column("logs").is_valid())
+        for row in sorted(answers.to_pylist(), key=lambda r: r["bucket"]):
+            for chunk, x in zip(row["chunks"], row["logs"], strict=True):
+                logs.setdefault(chunk, []).append(x)
         out = []
-        for row in left.to_pylist():
-            got = right.to_pydict()
-            first = [i for i, x in enumerate(got["tokens"]) if x is not None]
-            prepared = Prepared(row, {k: [got[k][i] for i in first] for k in ("bucket", "tokens", "pairs")}, shared.value, buckets)
-            then = sorted((i for i, x in enumerate(got["p"]) if x is not None), key=lambda i: got["bucket"][i])
-            p = np.frombuffer(b"".join(got["p"][i] for i in then), "<f4")
-            if len(p) != len(prepared.picked):
+        for row, chunk in prepared(left, right):
+            p = np.concatenate([_unpack(x).astype("<u4") for x in logs.get(row["chunk"], [])] or [np.zeros(0, "<u4")]).view("<f4")
+            if len(p) != len(chunk.pick):
                 raise ValueError("answers don't fit what was asked")
-            log_p = np.log10(prepared.p)
-            log_p[prepared.at] = p[prepared.inverse]
-            begin = np.append(0, np.cumsum(prepared.places.size))
-            seen = prepared.seen
-            table = {"id": left.column("ids").combine_chunks().flatten(), "train": prepared.places.doc_train, "n_tokens": prepared.places.size, "n_known": A.sums((seen > 0).astype(np.int64), begin), "base_score": A.sums(np.log10(shared.value.root(seen)), begin), "score": A.sums(log_p, begin)}
-            out.append(pa.table(table))
+            log_p = np.log10(chunk.p)
+            log_p[chunk.at] = p[chunk.inverse]
+            begin = np.append(0, np.cumsum(chunk.places.size))
+            ids = pa.array(row["ids"], left.schema.field("ids").type.value_type)
+            out.append(pa.table({"id": ids, "train": chunk.places.doc_train, "n_tokens": chunk.places.size, "n_known": A.sums((chunk.seen > 0).astype(np.int64), begin), "base_score": A.sums(np.log10(shared.value.root(chunk.seen)), begin), "score": A.sums(log_p, begin)}))
         return pa.concat_tables(out)
 
-    blobs = ", ".join(f"{c} {'bigint' if c in ('chunk', 'bucket') else 'binary'}" for c in _BLOB)
-    asked = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda left, right: ask(left, right), blobs)
-    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, p binary")
-    both = totals.withColumn("p", F.lit(None).cast("binary")).unionByName(answers.withColumns({"tokens": F.lit(None).cast("binary"), "pairs": F.lit(None).cast("binary")}))
-    judged = dealt.groupBy("chunk").cogroup(both.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(judge, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    blobs = "group bigint, bucket bigint, chunks array<bigint>, " + ", ".join(f"{c} array<binary>" for c in _BLOB)
+    asked = dealt.groupBy("group").cogroup(totals.repartition(parts, "group").groupBy("group")).applyInArrow(lambda left, right: ask(left, right), blobs)
+    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "group bigint, bucket bigint, chunks array<bigint>, logs array<binary>")
+    both = totals.unionByName(answers, allowMissingColumns=True).repartition(parts, "group")
+    judged = dealt.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(judge, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return judged.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(crown.n).cast("bigint").alias("train_tokens"), "base_score", "score")

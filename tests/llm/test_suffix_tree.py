@@ -9,7 +9,7 @@ from conftest import crc, spaced_words
 
 from phrasemill.llm import suffix_tree as S
 
-SMALL = {"chunk_text": 300_000, "bucket_records": 2000, "least": 4}
+SMALL = {"chunk_text": 300_000, "bucket_records": 2000, "bucket_names": 9000, "least": 4}
 
 
 def tree(docs):
@@ -51,7 +51,7 @@ def test_scores_equal_those_of_a_tree_in_dictionaries(documents, odd, sizes):
     for df in (documents, odd):
         docs = sequences(df)
         counts, kept = tree(docs)
-        assert df is odd or {len(c) for c in kept} == {1, 2, 3, 4}
+        assert df is odd or {len(c) for c in kept} == set(range(1, S.DEPTH + 1))
         want = defaultdict(list)
         for i, words in docs:
             p = [distribution(counts, kept, words[max(0, j - S.DEPTH) : j], [x])[x] for j, x in enumerate(words)]
@@ -92,7 +92,7 @@ def test_texts_of_one_word_all_over_and_nothing_to_learn_from(spark):
     counts, kept = tree(docs)
     words = docs[0][1]
     want = sum(math.log10(distribution(counts, kept, words[max(0, j - S.DEPTH) : j], [x])[x]) for j, x in enumerate(words))
-    for sizes in ({}, {"chunk_text": 2000, "bucket_records": 40, "least": 2}):
+    for sizes in ({}, {"chunk_text": 2000, "bucket_records": 40, "bucket_names": 2, "least": 2}):
         assert all(r.score == pytest.approx(want, rel=1e-6) for r in S.score(hot, **sizes).collect())
     held = next(i for i in range(100) if crc(i, 7) == 2)
     row = S.score(spark.createDataFrame([(held, "x y")], "doc_id bigint, text string")).first()
