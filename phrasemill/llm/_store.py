@@ -31,6 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are dealt by ``column``, so that grouping by it
+    later needs no shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written with a key ``_row`` (bigint) that tells its rows apart, whatever their ids are."""
     return written(df.withColumn("_row", F.monotonically_increasing_id()), name)

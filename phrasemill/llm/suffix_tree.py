@@ -31,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import shuffle_partitions, written
+from ._store import bucketed, shuffle_partitions, written
 
 DEPTH, SUPPORT = 3, 2
 DIVERGENCE, DISCOUNT = 2.0, 0.75
 #: Text of a chunk, distinct places of a bucket, and tokens asked of a bucket of the root, about.
-CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 6 << 20, 1_000_000, 2_000_000
-#: Chunks that ask and are answered together, at most, and how many such groups there are before that.
-GROUP, GROUPS = 16, 256
+CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 10 << 20, 1_000_000, 2_000_000
+#: Chunks (of one part of the input) that ask and are answered together, at most.
+GROUP = 16
 #: Ids whose counts every task knows, and contexts of the crown, at most.
 CODES, MAX_CROWN = 1 << 16, 100_000
 #: Ids of words: none (before a document, or too rare to be in a context) and any never learnt.
@@ -156,7 +156,8 @@ def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
         counts = np.bincount(tokens[np.repeat(train, size)], minlength=len(names))
         ids = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))
         data = [_pack(train), _pack(size), names.tobytes(), _pack(counts), _pack(tokens)]
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64()), pa.array([len(names)], pa.int64())], ["chunk", "ids", "train", "size", "names", "counts", "tokens", "n", "distinct"])
+        group = (key >> 32 << 32) + (key & 0xFFFFFFFF) // GROUP
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64()), pa.array([len(names)], pa.int64())], ["group", "chunk", "ids", "train", "size", "names", "counts", "tokens", "n", "distinct"])
 
     def run(batches):
         key, parts, held = TaskContext.get().partitionId() << 32, [], 0
@@ -170,7 +171,7 @@ def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
         if parts:
             yield encode(key, parts)
 
-    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, train binary, size binary, names binary, counts binary, tokens binary, n bigint, distinct bigint")
+    return rows.mapInArrow(run, f"group bigint, chunk bigint, ids array<{kind}>, train binary, size binary, names binary, counts binary, tokens binary, n bigint, distinct bigint")
 
 
 class Places:
@@ -256,8 +257,8 @@ def _crown(chunks: DataFrame, total: int, limit: int, least: int) -> Contexts:
 
 # --- counts of the root and the crown, by next symbol ----------------------------------------------------
 
-_ASKED = ["chunk", "bucket", "names", "counts", "place", "context", "next", "pairs"]
-_COUNTED = "chunk bigint, bucket bigint, place binary, totals binary, ids binary, context binary, next binary, pairs binary, n bigint, v bigint, names array<bigint>, of array<bigint>, counts array<bigint>, contexts array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
+_ASKED = ["group", "chunk", "bucket", "names", "counts", "place", "context", "next", "pairs"]
+_COUNTED = "group bigint, chunk bigint, bucket bigint, place binary, totals binary, ids binary, context binary, next binary, pairs binary, n bigint, v bigint, names array<bigint>, of array<bigint>, counts array<bigint>, contexts array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
 
 
 def _counted(chunks: DataFrame, crown: Contexts, buckets: int) -> DataFrame:
@@ -286,8 +287,8 @@ def _counted(chunks: DataFrame, crown: Contexts, buckets: int) -> DataFrame:
                 for a, b in _runs(bucket[order]):
                     x, y = np.searchsorted(nxt, [a, b])
                     mine = order[a:b]
-                    out.append((row["chunk"], int(bucket[mine[0]]), names[mine].tobytes(), _pack(counts[mine]), _pack(np.diff(mine, prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], _ASKED)
+                    out.append((row["group"], row["chunk"], int(bucket[mine[0]]), names[mine].tobytes(), _pack(counts[mine]), _pack(np.diff(mine, prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], _ASKED)
 
     def add(group: pa.Table) -> pa.Table:
         crown = shared.value
@@ -324,12 +325,12 @@ def _counted(chunks: DataFrame, crown: Contexts, buckets: int) -> DataFrame:
         spans, pairs = list(zip(begin, begin[1:], strict=False)), list(zip(ends, ends[1:], strict=False))
         blobs = [got["place"], [_pack(total[inverse[a:b]]) for a, b in spans], [_pack(ids[inverse[a:b]]) for a, b in spans], got["context"], got["next"], [_pack(count[place[a:b]]) for a, b in pairs]]
         kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 6, pa.list_(pa.float64())]
-        columns = [pa.array(got["chunk"] + [None], pa.int64()), pa.array(got["bucket"] + [got["bucket"][0]], pa.int64())]
+        columns = [pa.array(got["group"] + [None], pa.int64()), pa.array(got["chunk"] + [None], pa.int64()), pa.array(got["bucket"] + [got["bucket"][0]], pa.int64())]
         columns += [pa.array([*x, None], pa.binary()) for x in blobs]
         columns += [pa.array([None] * len(each) + x, k) for x, k in zip(stats, kinds, strict=True)]
         return pa.table(columns, names=[c.split()[0] for c in _COUNTED.split(", ")])
 
-    asked = chunks.mapInArrow(ask, ", ".join(f"{c} {'bigint' if i < 2 else 'binary'}" for i, c in enumerate(_ASKED)))
+    asked = chunks.mapInArrow(ask, ", ".join(f"{c} {'bigint' if i < 3 else 'binary'}" for i, c in enumerate(_ASKED)))
     return asked.groupBy("bucket").applyInArrow(add, _COUNTED)
 
 
@@ -407,7 +408,6 @@ class Prepared:
         # the bucket is that of the shortest suffix outside the crown, a range of its hash
         route = np.append(crown.hashes, np.uint64(0))[deep[at]]
         route = _longer(route, names[tokens[at - depth - 1]])
-        bucket = (route >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         # words after one that is too rare are of no use; contexts in the crown never have such
         words, whole = [ids[tokens[at]].astype(np.uint32)], np.ones(len(at), bool)
         for d in range(1, DEPTH + 1):
@@ -415,11 +415,12 @@ class Prepared:
             before = tokens[np.maximum(at - d, 0)]
             whole &= ~rare[before]
             words.append(np.where(whole, ids[before], _NONE).astype(np.uint32))
-        self.at, self.bucket = at, None
-        self.pick, self.inverse = _places_by_bucket(bucket, route, words)
+        self.at = at
+        self.pick, self.inverse = _places_by_bucket(route, words)
         pick = self.pick
         self.learnt = np.bincount(self.inverse, weights=places.train[at], minlength=len(pick)).astype(np.int64)
-        self.words, self.bucket = [w[pick] for w in words], bucket[pick].astype(np.int64)
+        self.words = [w[pick] for w in words]
+        self.bucket = ((route[pick] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         picked = at[pick]
         self.deep, self.count, self.p_sent = deep[picked] + 1, count[picked], self.p[picked]
 
@@ -430,35 +431,36 @@ class Prepared:
             deep = self.deep[a:b]
             # counts of the root are known to all for the smallest ids
             sent = (deep > 0) | (block[0] >= CODES)
-            yield int(self.bucket[a]), [*map(_pack, block), _pack(self.learnt[a:b]), _pack(deep), _pack(self.count[a:b][sent]), self.p_sent[a:b][deep > 0].tobytes()]
+            yield int(self.bucket[a]), [*map(_steps, block[:2]), *map(_pack, block[2:]), _pack(self.learnt[a:b]), _pack(deep), _pack(self.count[a:b][sent]), _pack(self.p_sent[a:b][deep > 0].astype("<f4").view("<u4"))]
 
 
-def _places_by_bucket(bucket: np.ndarray, route: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One of each set of places that are equal in all words, by bucket, and which of them each place is.
-    Equal contexts and next tokens lie together, as they compress well then. Places are told apart by a hash
+def _places_by_bucket(route: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of places that are equal in all words, and which of them each place is. They are in
+    the order of their routes and next tokens, as they compress well then. Places are told apart by a hash
     that is checked, and drawn anew should two different places share it."""
+    _, near = _distinct((route >> np.uint64(32) << np.uint64(32)) | words[0])
+    near = near.astype(np.uint64) << np.uint64(36)
     for salt in range(1, 100):
         with np.errstate(over="ignore"):
-            key = np.full(len(bucket), salt, np.uint64)
-            for w in words:
+            key = np.full(len(route), salt, np.uint64)
+            for w in words[1:]:
                 key = key * _M + w
                 key ^= key >> np.uint64(29)
-            key = A.mixed(key)
-        # the bucket is a range of the route's upper bits
-        key = (route >> np.uint64(40) << np.uint64(40)) | ((words[0] & np.uint64(1023)) << np.uint64(30)) | (key >> np.uint64(34))
-        pick, inverse = _distinct(key)
+            pick, inverse = _distinct(near | A.mixed(key) >> np.uint64(28))
         if all((w == w[pick][inverse]).all() for w in words):
-            break
-    else:
-        raise ValueError("places can't be told apart")
-    # buckets that are finer than the upper bits of the route are put in order here
-    mine = bucket[pick]
-    if (mine[1:] < mine[:-1]).any():
-        order = np.argsort(mine, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        pick, inverse = pick[order], rank[inverse]
-    return pick, inverse
+            return pick, inverse
+    raise ValueError("places can't be told apart")
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers as differences to the one before, signs in the lowest bit."""
+    d = np.diff(values.astype(np.int64), prepend=0)
+    return _pack((d << 1) ^ (d >> 63))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    d = _unpack(data).astype(np.int64)
+    return np.cumsum((d >> 1) ^ -(d & 1))
 
 
 _BLOB = [*(f"w{d}" for d in range(DEPTH + 1)), "learnt", "deep", "count", "p"]
@@ -498,18 +500,20 @@ def grown(words: list[np.ndarray], learnt: np.ndarray, deep: np.ndarray, count:
 
 
 def _answered(got: dict, crown: Crown) -> pa.Table:
-    """The logarithms of the probabilities of all places that were sent to a bucket, in four bytes, as they
-    keep their relative precision in those."""
+    """The logarithms of the probabilities of all places that were sent to a bucket, with 20 bits of
+    precision; 0 where no context here was retained."""
     flat = {k: [x for row in got[k] for x in row] for k in _BLOB}
-    words = [_all(flat[f"w{d}"]) for d in range(DEPTH + 1)]
+    words = [np.concatenate([_from_steps(x) for x in flat[f"w{d}"]]) for d in (0, 1)] + [_all(flat[f"w{d}"]) for d in range(2, DEPTH + 1)]
     ends = np.cumsum([0, *(int.from_bytes(x[:8], "little") for x in flat["w0"])])
     learnt, deep = _all(flat["learnt"]), _all(flat["deep"])
     count = crown.counts[np.minimum(words[0], CODES - 1)]
     count[(deep > 0) | (words[0] >= CODES)] = _all(flat["count"])
     p = crown.root(count)
-    p[deep > 0] = np.concatenate([np.frombuffer(x) for x in flat["p"]])
-    p = np.log10(grown(words, learnt, deep - 1, count, p, crown)).astype("<f4")
-    found = [_pack(p[a:b].view("<u4")) for a, b in zip(ends, ends[1:], strict=False)]
+    p[deep > 0] = np.concatenate([_unpack(x).astype("<u4").view("<f4") for x in flat["p"]])
+    better = grown(words, learnt, deep - 1, count, p, crown)
+    logs = np.where(better == p, 0, np.minimum(np.log10(better), -1e-30)).astype("<f4").view("<u4")
+    logs = (logs + np.uint32(8)) & np.uint32(0xFFFFFFF0)
+    found = [_pack(logs[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     at = np.cumsum([0, *map(len, got["w0"])])
     return pa.table({"group": pa.array(got["group"], pa.int64()), "bucket": pa.array(got["bucket"], pa.int64()), "chunks": pa.array(got["chunks"], pa.list_(pa.int64())), "logs": pa.array([found[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.binary()))})
 
@@ -529,20 +533,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~held_out(F.col(id_col))).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    chunks = written(_chunks(rows, chunk_text), "chunks")
-    found = chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("n"), F.sum("distinct").alias("names")).first()
-    n_chunks, total, names = found["chunks"], found["n"] or 0, found["names"] or 0
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), math.ceil(size / chunk_text))
+    chunks = bucketed(_chunks(rows, chunk_text), "chunks", "group", parts)
+    found = chunks.agg(F.sum("n").alias("n"), F.sum("distinct").alias("names")).first()
+    total, names = found["n"] or 0, found["names"] or 0
     contexts = _crown(chunks, total, max(1, bucket_records // 4), least)
     counted = written(_counted(chunks, contexts, max(1, math.ceil(names / bucket_names))), "counted")
     crown = Crown(counted, contexts)
     shared = spark.sparkContext.broadcast(crown)
     buckets = max(shuffle_partitions(spark), math.ceil(total / bucket_records))
-    groups = max(1, math.ceil(n_chunks / min(GROUP, math.ceil(n_chunks / GROUPS)))) if n_chunks else 1
-    parts = max(shuffle_partitions(spark), groups)
-    group = F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("group")
-    dealt = chunks.select(group, "chunk", "ids", "train", "size", "tokens").repartition(parts, "group")
+    dealt = chunks.select("group", "chunk", "ids", "train", "size", "tokens")
     known = ["place", "totals", "ids", "context", "next", "pairs"]
-    totals = counted.where("chunk IS NOT NULL").select(group, "chunk", *known)
+    totals = counted.where("chunk IS NOT NULL").select("group", "chunk", *known)
 
     def prepared(left: pa.Table, right: pa.Table):
         """A group's chunks in order, with what is known of them."""
@@ -581,7 +584,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             if len(p) != len(chunk.pick):
                 raise ValueError("answers don't fit what was asked")
             log_p = np.log10(chunk.p)
-            log_p[chunk.at] = p[chunk.inverse]
+            p = p[chunk.inverse]
+            log_p[chunk.at] = np.where(p == 0, log_p[chunk.at], p)
             begin = np.append(0, np.cumsum(chunk.places.size))
             ids = pa.array(row["ids"], left.schema.field("ids").type.value_type)
             out.append(pa.table({"id": ids, "train": chunk.places.doc_train, "n_tokens": chunk.places.size, "n_known": A.sums((chunk.seen > 0).astype(np.int64), begin), "base_score": A.sums(np.log10(shared.value.root(chunk.seen)), begin), "score": A.sums(log_p, begin)}))
