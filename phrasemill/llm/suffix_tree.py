@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import bucketed, shuffle_partitions, written
+from ._store import bucketed, shuffle_partitions
 
 DEPTH, SUPPORT = 3, 2
 DIVERGENCE, DISCOUNT = 2.0, 0.75
@@ -41,6 +41,8 @@ CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 6 << 20, 1_000_000, 2_000_000
 GROUP = 16
 #: Ids whose counts every task knows, and contexts of the crown, at most.
 CODES, MAX_CROWN = 1 << 16, 100_000
+#: Words that chunks name by a number, and the text (a sample by id) in which they are found to be common.
+COMMON, SAMPLE_TEXT = 1 << 16, 32 << 20
 #: Ids of words: none (before a document, or too rare to be in a context) and any never learnt.
 _NONE, _UNKNOWN = 0, 1
 _END = np.uint64(0x5BD1E995A1B2C3D4)
@@ -132,11 +134,34 @@ def _smoothed(count: np.ndarray, n: np.ndarray, types: np.ndarray, shorter: np.n
 # --- chunks ---------------------------------------------------------------------------------------------
 
 
-def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
-    """Documents as numbers, a row for each chunk: ids, train flags, tokens of each document, the hashes of
-    the chunk's distinct tokens (the frequent ones first), their counts in training documents, and all
-    tokens as places in that list."""
+def _common(rows: DataFrame, size: int) -> np.ndarray:
+    """Hashes of words that are common in a sample of the documents, the most frequent first. They only
+    shorten what chunks send: a word is named by its number here, or else by its hash."""
+
+    def run(batches):
+        for b in A.chunks(batches, "text"):
+            index, distinct = A.encoded(A.words(b.column("text"), A.SPACED)[0])
+            count = np.bincount(index, minlength=len(distinct))
+            top = np.argsort(-count, kind="stable")[:COMMON]
+            yield pa.RecordBatch.from_arrays([pa.array(A.mixed(A.hashes(distinct))[top].view(np.int64)), pa.array(count[top].astype(np.int64))], ["name", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // SAMPLE_TEXT))) == 0).select("text")
+    seen = sample.mapInArrow(run, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    top = seen.where("n > 1").orderBy(F.col("n").desc(), "name").limit(COMMON - 1).collect()
+    return np.append(_END, np.array([r["name"] for r in top], np.int64).view(np.uint64))
+
+
+def _names(common: np.ndarray, known: bytes, others: bytes) -> np.ndarray:
+    return np.concatenate([common[np.cumsum(_unpack(known).astype(np.int64))], np.frombuffer(others, np.uint64)])
+
+
+def _chunks(rows: DataFrame, chunk_text: int, common: np.ndarray) -> DataFrame:
+    """Documents as numbers, a row for each chunk: ids, train flags, tokens of each document, the chunk's
+    distinct tokens (common ones, by number, then the others, by hash, the frequent ones first), their
+    counts in training documents, and all tokens as places in that list."""
     kind = rows.schema["id"].dataType.simpleString()
+    by_hash = np.argsort(common)
+    shared = rows.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
 
     def encode(key: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -147,17 +172,23 @@ def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
         inside = np.ones(len(tokens), bool)
         inside[np.cumsum(size) - 1] = False
         tokens[inside] = index
-        order = np.argsort(-np.bincount(tokens, minlength=len(distinct) + 1), kind="stable")
+        names = np.append(A.mixed(A.hashes(distinct)), _END)
+        ordered, number = shared.value
+        known = _find(names, ordered)
+        known = np.where(known >= 0, number[known], len(number))
+        order = np.lexsort((-np.bincount(tokens, minlength=len(names)), known))
+        known = known[order]
+        known = known[known < len(number)]
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         tokens = rank[tokens]
-        names = np.append(A.mixed(A.hashes(distinct)), _END)[order]
+        names = names[order]
         train = table.column("train").to_numpy()
         counts = np.bincount(tokens[np.repeat(train, size)], minlength=len(names))
         ids = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))
-        data = [_pack(train), _pack(size), names.tobytes(), _pack(counts), _pack(tokens)]
+        data = [_pack(train), _pack(size), _pack(np.diff(known, prepend=0)), names[len(known) :].tobytes(), _pack(counts), _pack(tokens)]
         group = (key >> 32 << 32) + (key & 0xFFFFFFFF) // GROUP
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64()), pa.array([len(names)], pa.int64())], ["group", "chunk", "ids", "train", "size", "names", "counts", "tokens", "n", "distinct"])
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([key], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in data), pa.array([int(counts.sum())], pa.int64()), pa.array([len(names)], pa.int64())], ["group", "chunk", "ids", "train", "size", "known", "names", "counts", "tokens", "n", "distinct"])
 
     def run(batches):
         key, parts, held = TaskContext.get().partitionId() << 32, [], 0
@@ -171,7 +202,7 @@ def _chunks(rows: DataFrame, chunk_text: int) -> DataFrame:
         if parts:
             yield encode(key, parts)
 
-    return rows.mapInArrow(run, f"group bigint, chunk bigint, ids array<{kind}>, train binary, size binary, names binary, counts binary, tokens binary, n bigint, distinct bigint")
+    return rows.mapInArrow(run, f"group bigint, chunk bigint, ids array<{kind}>, train binary, size binary, known binary, names binary, counts binary, tokens binary, n bigint, distinct bigint")
 
 
 class Places:
@@ -218,14 +249,15 @@ class Contexts:
         self.parent = np.where(self.depth > 1, _find(above.view(np.uint64), self.hashes), -1)
 
 
-def _crown(chunks: DataFrame, total: int, limit: int, least: int) -> Contexts:
+def _crown(chunks: DataFrame, common: np.ndarray, total: int, limit: int, least: int) -> Contexts:
     """The contexts that occur about ``limit`` times or more. One is found if it makes up enough of some
     chunks; with each its parent is found."""
+    shared = chunks.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                p, names, counts = Places(row), np.frombuffer(row["names"], np.uint64), _unpack(row["counts"])
+                p, names, counts = Places(row), _names(shared.value, row["known"], row["names"]), _unpack(row["counts"])
                 enough = max(least, limit * row["n"] / max(1, total) / 2)
                 # every word but the end is the context of a token as often as it occurs
                 often = np.flatnonzero((counts >= enough) & (names != _END))
@@ -250,34 +282,36 @@ def _crown(chunks: DataFrame, total: int, limit: int, least: int) -> Contexts:
     def _found(context, parent, depth, n, word):
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (context, parent, word)] + [pa.array(np.full(len(context), depth, np.int32)), pa.array(n.astype(np.int64))], ["context", "parent", "word", "depth", "n"])
 
-    seen = chunks.select("names", "counts", "size", "tokens", "train", "n").mapInArrow(run, "context bigint, parent bigint, word bigint, depth int, n bigint")
+    seen = chunks.select("known", "names", "counts", "size", "tokens", "train", "n").mapInArrow(run, "context bigint, parent bigint, word bigint, depth int, n bigint")
     most = seen.groupBy("context", "parent", "word", "depth").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
     return Contexts(most.orderBy(F.col("n").desc(), "depth", "context").limit(MAX_CROWN).collect())
 
 
 # --- counts of the root and the crown, by next symbol ----------------------------------------------------
 
-_ASKED = ["group", "chunk", "bucket", "names", "counts", "place", "context", "next", "pairs"]
+_ASKED = ["group", "chunk", "bucket", "known", "names", "counts", "place", "context", "next", "pairs"]
 _COUNTED = "group bigint, chunk bigint, bucket bigint, place binary, totals binary, ids binary, context binary, next binary, pairs binary, n bigint, v bigint, names array<bigint>, of array<bigint>, counts array<bigint>, contexts array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
 
 
-def _counted(chunks: DataFrame, crown: Contexts, buckets: int) -> DataFrame:
+def _counted(chunks: DataFrame, common: np.ndarray, crown: Contexts, buckets: int) -> DataFrame:
     """For each chunk and bucket of next symbols, the totals and ids of the chunk's tokens and the totals of
     its (crown context, next) pairs; and a row for each bucket with its statistics. Ids are dense over all
     buckets, the frequent words' are small."""
-    shared = chunks.sparkSession.sparkContext.broadcast(crown)
+    shared = chunks.sparkSession.sparkContext.broadcast((crown, common))
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                places, names, counts = Places(row), np.frombuffer(row["names"], np.uint64), _unpack(row["counts"])
+                crown, common = shared.value
+                places, names, counts = Places(row), _names(common, row["known"], row["names"]), _unpack(row["counts"])
+                known = np.cumsum(_unpack(row["known"]).astype(np.int64))
                 bucket = (A.mixed(names ^ _M) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                levels = places.crowned(shared.value.hashes, names)
+                levels = places.crowned(crown.hashes, names)
                 at, context = (np.concatenate([x[i] for x in levels]) for i in (0, 1))
-                wide = len(shared.value.hashes) + 1
+                wide = len(crown.hashes) + 1
                 # next symbols by their rank: so pairs are ordered by bucket as well
                 key = rank[places.tokens[at]] * wide + context
                 pick, inverse = _distinct(key)
@@ -287,14 +321,14 @@ def _counted(chunks: DataFrame, crown: Contexts, buckets: int) -> DataFrame:
                 for a, b in _runs(bucket[order]):
                     x, y = np.searchsorted(nxt, [a, b])
                     mine = order[a:b]
-                    out.append((row["group"], row["chunk"], int(bucket[mine[0]]), names[mine].tobytes(), _pack(counts[mine]), _pack(np.diff(mine, prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
+                    out.append((row["group"], row["chunk"], int(bucket[mine[0]]), _pack(np.diff(known[mine[mine < len(known)]], prepend=0)), names[mine[mine >= len(known)]].tobytes(), _pack(counts[mine]), _pack(np.diff(mine, prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], _ASKED)
 
     def add(group: pa.Table) -> pa.Table:
-        crown = shared.value
+        crown, common = shared.value
         wide, m = len(crown.hashes) + 1, len(crown.hashes)
         got = group.to_pydict()
-        each = [np.frombuffer(x, np.uint64) for x in got["names"]]
+        each = [_names(common, x, y) for x, y in zip(got["known"], got["names"], strict=True)]
         every = np.concatenate(each)
         pick, inverse = _distinct(every)
         names = every[pick]
@@ -500,8 +534,8 @@ def grown(words: list[np.ndarray], learnt: np.ndarray, deep: np.ndarray, count:
 
 
 def _answered(got: dict, crown: Crown) -> pa.Table:
-    """The logarithms of the probabilities of all places that were sent to a bucket, with 20 bits of
-    precision; 0 where no context here was retained."""
+    """The logarithms of the probabilities of all places that were sent to a bucket, with 16 bits of
+    precision, as differences; 0 where no context here was retained."""
     flat = {k: [x for row in got[k] for x in row] for k in _BLOB}
     words = [np.concatenate([_from_steps(x) for x in flat[f"w{d}"]]) for d in (0, 1)] + [_all(flat[f"w{d}"]) for d in range(2, DEPTH + 1)]
     ends = np.cumsum([0, *(int.from_bytes(x[:8], "little") for x in flat["w0"])])
@@ -512,8 +546,8 @@ def _answered(got: dict, crown: Crown) -> pa.Table:
     p[deep > 0] = np.concatenate([_unpack(x).astype("<u4").view("<f4") for x in flat["p"]])
     better = grown(words, learnt, deep - 1, count, p, crown)
     logs = np.where(better == p, 0, np.minimum(np.log10(better), -1e-30)).astype("<f4").view("<u4")
-    logs = (logs + np.uint32(8)) & np.uint32(0xFFFFFFF0)
-    found = [_pack(logs[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    logs = (logs + np.uint32(128)) >> np.uint32(8)
+    found = [_pack(np.diff(logs[a:b], prepend=np.uint32(0)) & np.uint32(0xFFFFFF)) for a, b in zip(ends, ends[1:], strict=False)]
     at = np.cumsum([0, *map(len, got["w0"])])
     return pa.table({"group": pa.array(got["group"], pa.int64()), "bucket": pa.array(got["bucket"], pa.int64()), "chunks": pa.array(got["chunks"], pa.list_(pa.int64())), "logs": pa.array([found[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.binary()))})
 
@@ -535,11 +569,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     kind = rows.schema["id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(shuffle_partitions(spark), math.ceil(size / chunk_text))
-    chunks = bucketed(_chunks(rows, chunk_text), "chunks", "group", parts)
+    common = _common(rows, size)
+    chunks = bucketed(_chunks(rows, chunk_text, common), "chunks", "group", parts)
     found = chunks.agg(F.sum("n").alias("n"), F.sum("distinct").alias("names")).first()
     total, names = found["n"] or 0, found["names"] or 0
-    contexts = _crown(chunks, total, max(1, bucket_records // 4), least)
-    counted = written(_counted(chunks, contexts, max(1, math.ceil(names / bucket_names))), "counted")
+    contexts = _crown(chunks, common, total, max(1, bucket_records // 4), least)
+    counted = bucketed(_counted(chunks, common, contexts, max(1, math.ceil(names / bucket_names))).repartition(parts, "group"), "counted", "group", parts)
     crown = Crown(counted, contexts)
     shared = spark.sparkContext.broadcast(crown)
     buckets = max(shuffle_partitions(spark), math.ceil(total / bucket_records))
@@ -554,7 +589,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             if x["place"] is not None:
                 of.setdefault(x["chunk"], []).append(x)
         for row in sorted(left.to_pylist(), key=lambda r: r["chunk"]):
-            yield row, Prepared(row, of[row["chunk"]], shared.value, buckets)
+            yield row, Prepared(row, of.pop(row["chunk"]), shared.value, buckets)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {}
@@ -564,6 +599,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
                 mine[0].append(row["chunk"])
                 for column, x in zip(mine[1], blob, strict=True):
                     column.append(x)
+            del chunk
         name = left.column("group")[0].as_py() if left.num_rows else None
         columns = [pa.array([name] * len(out), pa.int64()), pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.list_(pa.int64()))]
         columns += [pa.array([x[1][i] for x in out.values()], pa.list_(pa.binary())) for i in range(len(_BLOB))]
@@ -580,7 +616,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
                 logs.setdefault(chunk, []).append(x)
         out = []
         for row, chunk in prepared(left, right):
-            p = np.concatenate([_unpack(x).astype("<u4") for x in logs.get(row["chunk"], [])] or [np.zeros(0, "<u4")]).view("<f4")
+            p = np.concatenate([np.cumsum(_unpack(x), dtype="<u4") << np.uint32(8) for x in logs.get(row["chunk"], [])] or [np.zeros(0, "<u4")]).view("<f4")
             if len(p) != len(chunk.pick):
                 raise ValueError("answers don't fit what was asked")
             log_p = np.log10(chunk.p)
@@ -589,11 +625,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             begin = np.append(0, np.cumsum(chunk.places.size))
             ids = pa.array(row["ids"], left.schema.field("ids").type.value_type)
             out.append(pa.table({"id": ids, "train": chunk.places.doc_train, "n_tokens": chunk.places.size, "n_known": A.sums((chunk.seen > 0).astype(np.int64), begin), "base_score": A.sums(np.log10(shared.value.root(chunk.seen)), begin), "score": A.sums(log_p, begin)}))
+            del chunk, p, log_p
         return pa.concat_tables(out)
 
     blobs = "group bigint, bucket bigint, chunks array<bigint>, " + ", ".join(f"{c} array<binary>" for c in _BLOB)
-    asked = dealt.groupBy("group").cogroup(totals.repartition(parts, "group").groupBy("group")).applyInArrow(lambda left, right: ask(left, right), blobs)
+    asked = dealt.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(lambda left, right: ask(left, right), blobs)
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "group bigint, bucket bigint, chunks array<bigint>, logs array<binary>")
-    both = totals.unionByName(answers, allowMissingColumns=True).repartition(parts, "group")
+    both = totals.unionByName(answers.repartition(parts, "group"), allowMissingColumns=True)
     judged = dealt.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(judge, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return judged.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(crown.n).cast("bigint").alias("train_tokens"), "base_score", "score")

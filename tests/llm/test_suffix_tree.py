@@ -60,7 +60,7 @@ def test_scores_equal_those_of_a_tree_in_dictionaries(documents, odd, sizes):
         for r in S.score(df, **sizes).collect():
             got[r.doc_id].append(r.score)
         assert got.keys() == want.keys()
-        off = {i: (got[i], want[i]) for i in want if not np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-6, atol=1e-6)}
+        off = {i: (got[i], want[i]) for i in want if not np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-5, atol=1e-6)}
         assert not off
 
 
@@ -83,7 +83,7 @@ def test_a_context_like_its_parent_is_not_retained_and_a_diverging_one_is(spark)
     by = {r.doc_id: r.score for r in S.score(df).collect()}
     counts, kept = tree(docs)
     want = sum(math.log10(distribution(counts, kept, w[max(0, j - S.DEPTH) : j], [x])[x]) for w in [docs[0][1]] for j, x in enumerate(w))
-    assert by[7000] == pytest.approx(want, rel=1e-6)
+    assert by[7000] == pytest.approx(want, rel=1e-5)
 
 
 def test_texts_of_one_word_all_over_and_nothing_to_learn_from(spark):
@@ -93,7 +93,7 @@ def test_texts_of_one_word_all_over_and_nothing_to_learn_from(spark):
     words = docs[0][1]
     want = sum(math.log10(distribution(counts, kept, words[max(0, j - S.DEPTH) : j], [x])[x]) for j, x in enumerate(words))
     for sizes in ({}, {"chunk_text": 2000, "bucket_records": 40, "bucket_names": 2, "least": 2}):
-        assert all(r.score == pytest.approx(want, rel=1e-6) for r in S.score(hot, **sizes).collect())
+        assert all(r.score == pytest.approx(want, rel=1e-5) for r in S.score(hot, **sizes).collect())
     held = next(i for i in range(100) if crc(i, 7) == 2)
     row = S.score(spark.createDataFrame([(held, "x y")], "doc_id bigint, text string")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0, 0.0, 0.0)
