@@ -36,7 +36,7 @@ from ._store import bucketed, shuffle_partitions
 DEPTH, SUPPORT = 3, 2
 DIVERGENCE, DISCOUNT = 2.0, 0.75
 #: Text of a chunk, distinct places of a bucket, and tokens asked of a bucket of the root, about.
-CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 6 << 20, 1_000_000, 2_000_000
+CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 6 << 20, 500_000, 2_000_000
 #: Chunks (of one part of the input) that ask and are answered together, at most.
 GROUP = 16
 #: Ids whose counts every task knows, and contexts of the crown, at most.
@@ -536,10 +536,10 @@ def grown(words: list[np.ndarray], learnt: np.ndarray, deep: np.ndarray, count:
 def _answered(got: dict, crown: Crown) -> pa.Table:
     """The logarithms of the probabilities of all places that were sent to a bucket, with 16 bits of
     precision, as differences; 0 where no context here was retained."""
-    flat = {k: [x for row in got[k] for x in row] for k in _BLOB}
-    words = [np.concatenate([_from_steps(x) for x in flat[f"w{d}"]]) for d in (0, 1)] + [_all(flat[f"w{d}"]) for d in range(2, DEPTH + 1)]
+    flat = {k: [x for row in got.pop(k) for x in row] for k in _BLOB}
+    words = [np.concatenate([_from_steps(x) for x in flat[f"w{d}"]]) for d in (0, 1)] + [_all(flat.pop(f"w{d}")) for d in range(2, DEPTH + 1)]
     ends = np.cumsum([0, *(int.from_bytes(x[:8], "little") for x in flat["w0"])])
-    learnt, deep = _all(flat["learnt"]), _all(flat["deep"])
+    learnt, deep = _all(flat["learnt"]).astype(np.int32), _all(flat["deep"])
     count = crown.counts[np.minimum(words[0], CODES - 1)]
     count[(deep > 0) | (words[0] >= CODES)] = _all(flat["count"])
     p = crown.root(count)
@@ -548,7 +548,7 @@ def _answered(got: dict, crown: Crown) -> pa.Table:
     logs = np.where(better == p, 0, np.minimum(np.log10(better), -1e-30)).astype("<f4").view("<u4")
     logs = (logs + np.uint32(128)) >> np.uint32(8)
     found = [_pack(np.diff(logs[a:b], prepend=np.uint32(0)) & np.uint32(0xFFFFFF)) for a, b in zip(ends, ends[1:], strict=False)]
-    at = np.cumsum([0, *map(len, got["w0"])])
+    at = np.cumsum([0, *map(len, got["chunks"])])
     return pa.table({"group": pa.array(got["group"], pa.int64()), "bucket": pa.array(got["bucket"], pa.int64()), "chunks": pa.array(got["chunks"], pa.list_(pa.int64())), "logs": pa.array([found[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.binary()))})
 
 
@@ -573,7 +573,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     chunks = bucketed(_chunks(rows, chunk_text, common), "chunks", "group", parts)
     found = chunks.agg(F.sum("n").alias("n"), F.sum("distinct").alias("names")).first()
     total, names = found["n"] or 0, found["names"] or 0
-    contexts = _crown(chunks, common, total, max(1, bucket_records // 4), least)
+    contexts = _crown(chunks, common, total, max(1, bucket_records // 2), least)
     counted = bucketed(_counted(chunks, common, contexts, max(1, math.ceil(names / bucket_names))).repartition(parts, "group"), "counted", "group", parts)
     crown = Crown(counted, contexts)
     shared = spark.sparkContext.broadcast(crown)
@@ -631,6 +631,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     blobs = "group bigint, bucket bigint, chunks array<bigint>, " + ", ".join(f"{c} array<binary>" for c in _BLOB)
     asked = dealt.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(lambda left, right: ask(left, right), blobs)
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "group bigint, bucket bigint, chunks array<bigint>, logs array<binary>")
-    both = totals.unionByName(answers.repartition(parts, "group"), allowMissingColumns=True)
+    both = totals.unionByName(answers, allowMissingColumns=True)
     judged = dealt.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(judge, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return judged.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(crown.n).cast("bigint").alias("train_tokens"), "base_score", "score")
