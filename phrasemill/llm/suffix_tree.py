@@ -42,7 +42,9 @@ GROUP = 16
 #: Ids whose counts every task knows, and contexts of the crown, at most.
 CODES, MAX_CROWN = 1 << 16, 100_000
 #: Words that chunks name by a number, and the text (a sample by id) in which they are found to be common.
-COMMON, SAMPLE_TEXT = 1 << 16, 32 << 20
+COMMON, SAMPLE_TEXT = 1 << 18, 128 << 20
+#: Text that is cut into words at once.
+PIECE_TEXT = 2 << 20
 #: Ids of words: none (before a document, or too rare to be in a context) and any never learnt.
 _NONE, _UNKNOWN = 0, 1
 _END = np.uint64(0x5BD1E995A1B2C3D4)
@@ -139,7 +141,7 @@ def _common(rows: DataFrame, size: int) -> np.ndarray:
     shorten what chunks send: a word is named by its number here, or else by its hash."""
 
     def run(batches):
-        for b in A.chunks(batches, "text"):
+        for b in A.chunks(batches, "text", PIECE_TEXT):
             index, distinct = A.encoded(A.words(b.column("text"), A.SPACED)[0])
             count = np.bincount(index, minlength=len(distinct))
             top = np.argsort(-count, kind="stable")[:COMMON]
@@ -164,15 +166,23 @@ def _chunks(rows: DataFrame, chunk_text: int, common: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
 
     def encode(key: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        words, first = A.words(table.column("text").chunk(0), A.SPACED)
-        index, distinct = A.encoded(words)
-        size = np.diff(first) + 1
-        tokens = np.full(len(index) + len(size), len(distinct), np.int32)
-        inside = np.ones(len(tokens), bool)
-        inside[np.cumsum(size) - 1] = False
-        tokens[inside] = index
-        names = np.append(A.mixed(A.hashes(distinct)), _END)
+        sizes, indices, names = [], [], []
+        for piece in A.chunks(parts, "text", PIECE_TEXT):
+            words, first = A.words(piece.column("text"), A.SPACED)
+            index, distinct = A.encoded(words)
+            size = np.diff(first) + 1
+            at = np.full(len(index) + len(size), len(distinct), np.int32)
+            inside = np.ones(len(at), bool)
+            inside[np.cumsum(size) - 1] = False
+            at[inside] = index
+            sizes.append(size)
+            indices.append(at)
+            names.append(np.append(A.mixed(A.hashes(distinct)), _END))
+        pick, inverse = _distinct(np.concatenate(names))
+        begin = np.cumsum([0, *map(len, names)])
+        tokens = np.concatenate([inverse[a + x].astype(np.int32) for a, x in zip(begin, indices, strict=False)])
+        names, size = np.concatenate(names)[pick], np.concatenate(sizes)
+        table = pa.Table.from_batches([p.select(["id", "train"]) for p in parts])
         ordered, number = shared.value
         known = _find(names, ordered)
         known = np.where(known >= 0, number[known], len(number))
@@ -183,7 +193,7 @@ def _chunks(rows: DataFrame, chunk_text: int, common: np.ndarray) -> DataFrame:
         rank[order] = np.arange(len(order))
         tokens = rank[tokens]
         names = names[order]
-        train = table.column("train").to_numpy()
+        train = np.asarray(table.column("train").to_numpy())
         counts = np.bincount(tokens[np.repeat(train, size)], minlength=len(names))
         ids = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))
         data = [_pack(train), _pack(size), _pack(np.diff(known, prepend=0)), names[len(known) :].tobytes(), _pack(counts), _pack(tokens)]
@@ -289,6 +299,10 @@ def _crown(chunks: DataFrame, common: np.ndarray, total: int, limit: int, least:
 
 # --- counts of the root and the crown, by next symbol ----------------------------------------------------
 
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    return (A.mixed(names ^ _M) % np.uint64(buckets)).astype(np.int64)
+
+
 _ASKED = ["group", "chunk", "bucket", "known", "names", "counts", "place", "context", "next", "pairs"]
 _COUNTED = "group bigint, chunk bigint, bucket bigint, place binary, totals binary, ids binary, context binary, next binary, pairs binary, n bigint, v bigint, names array<bigint>, of array<bigint>, counts array<bigint>, contexts array<bigint>, sums array<bigint>, types array<bigint>, part array<double>"
 
@@ -305,7 +319,7 @@ def _counted(chunks: DataFrame, common: np.ndarray, crown: Contexts, buckets: in
                 crown, common = shared.value
                 places, names, counts = Places(row), _names(common, row["known"], row["names"]), _unpack(row["counts"])
                 known = np.cumsum(_unpack(row["known"]).astype(np.int64))
-                bucket = (A.mixed(names ^ _M) % np.uint64(buckets)).astype(np.int64)
+                bucket = _bucket(names, buckets)
                 order = np.argsort(bucket, kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
@@ -321,7 +335,7 @@ def _counted(chunks: DataFrame, common: np.ndarray, crown: Contexts, buckets: in
                 for a, b in _runs(bucket[order]):
                     x, y = np.searchsorted(nxt, [a, b])
                     mine = order[a:b]
-                    out.append((row["group"], row["chunk"], int(bucket[mine[0]]), _pack(np.diff(known[mine[mine < len(known)]], prepend=0)), names[mine[mine >= len(known)]].tobytes(), _pack(counts[mine]), _pack(np.diff(mine, prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
+                    out.append((row["group"], row["chunk"], int(bucket[mine[0]]), _pack(np.diff(known[mine[mine < len(known)]], prepend=0)), names[mine[mine >= len(known)]].tobytes(), _pack(counts[mine]), _pack(np.diff(mine[mine >= len(known)], prepend=0)), _pack(context[x:y]), _pack(nxt[x:y] - a), _pack(pairs[x:y])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], _ASKED)
 
     def add(group: pa.Table) -> pa.Table:
@@ -353,10 +367,12 @@ def _counted(chunks: DataFrame, common: np.ndarray, crown: Contexts, buckets: in
         sums = np.bincount(context, weights=count, minlength=m).astype(np.int64)
         types = np.bincount(context[count > 0], minlength=m)
         there = np.flatnonzero(sums)
-        listed = np.flatnonzero((total > 0) & ((ids < CODES) | np.isin(names, crown.word)))
+        listed = np.flatnonzero((total > 0) & ((ids < CODES) | np.isin(names, crown.word) | np.isin(names, common)))
         stats = [[int(total.sum())], [int((total > 0).sum())], *([x.tolist()] for x in (names[listed].view(np.int64), ids[listed], total[listed], there, sums[there], types[there], part[there]))]
         ends = np.cumsum([0, *map(len, contexts)])
-        spans, pairs = list(zip(begin, begin[1:], strict=False)), list(zip(ends, ends[1:], strict=False))
+        # all tasks are told of common words, only others are answered here
+        spans = [(b - len(x) // 8, b) for b, x in zip(begin[1:], got["names"], strict=True)]
+        pairs = list(zip(ends, ends[1:], strict=False))
         blobs = [got["place"], [_pack(total[inverse[a:b]]) for a, b in spans], [_pack(ids[inverse[a:b]]) for a, b in spans], got["context"], got["next"], [_pack(count[place[a:b]]) for a, b in pairs]]
         kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 6, pa.list_(pa.float64())]
         columns = [pa.array(got["group"] + [None], pa.int64()), pa.array(got["chunk"] + [None], pa.int64()), pa.array(got["bucket"] + [got["bucket"][0]], pa.int64())]
@@ -369,18 +385,24 @@ def _counted(chunks: DataFrame, common: np.ndarray, crown: Contexts, buckets: in
 
 
 class Crown:
-    """What every task knows: statistics of the crown's contexts and counts of the smallest ids. Contexts
-    are in the order of their hashes over ids."""
+    """What every task knows: statistics of the crown's contexts, counts of the smallest ids, counts and ids
+    of common words. Contexts are in the order of their hashes over ids."""
 
-    def __init__(self, counted: DataFrame, found: Contexts):
+    def __init__(self, counted: DataFrame, found: Contexts, common: np.ndarray, buckets: int):
         stats = counted.where("chunk IS NULL")
         row = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
         self.n, self.v = row["n"] or 0, row["v"] or 0
         self.counts, ids = np.zeros(CODES, np.int64), {}
-        for name, i, count in stats.select(F.explode(F.arrays_zip("names", "of", "counts")).alias("t")).select("t.names", "t.of", "t.counts").toLocalIterator():
-            ids[name] = i
-            if i < CODES:
-                self.counts[i] = count
+        by_hash = np.argsort(common)
+        self.common_total, self.common_ids = np.zeros(len(common), np.int64), np.full(len(common), _UNKNOWN)
+        self.common_bucket = _bucket(common, buckets)
+        for row in stats.select("names", "of", "counts").toLocalIterator():
+            names, of, counts = (np.array(x, np.int64) for x in row)
+            self.counts[of[of < CODES]] = counts[of < CODES]
+            at = _find(names.view(np.uint64), common[by_hash])
+            self.common_total[by_hash[at[at >= 0]]], self.common_ids[by_hash[at[at >= 0]]] = counts[at >= 0], of[at >= 0]
+            mine = np.flatnonzero(np.isin(names.view(np.uint64), found.word))
+            ids |= dict(zip(names[mine].tolist(), of[mine].tolist(), strict=True))
         m = len(found.hashes)
         sums, types, part = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
         each = stats.select(F.explode(F.arrays_zip("contexts", "sums", "types", "part")).alias("t")).groupBy("t.contexts")
@@ -409,13 +431,16 @@ class Prepared:
     def __init__(self, row: dict, answers: list[dict], crown: Crown, buckets: int):
         self.places = places = Places(row)
         tokens = places.tokens
-        n_names = sum(int.from_bytes(x["place"][:8], "little") for x in answers)
+        known = np.cumsum(_unpack(row["known"]).astype(np.int64))
+        n_names = len(known) + sum(int.from_bytes(x["place"][:8], "little") for x in answers)
         total, ids = np.zeros(n_names, np.int64), np.zeros(n_names, np.int64)
+        total[: len(known)], ids[: len(known)] = crown.common_total[known], crown.common_ids[known]
+        of_bucket = crown.common_bucket[known]
         nxt, context, pairs = [], [], []
         for x in answers:
             at = np.cumsum(_unpack(x["place"]).astype(np.int64))
             total[at], ids[at] = _unpack(x["totals"]), _unpack(x["ids"])
-            nxt.append(at[_unpack(x["next"])])
+            nxt.append(np.append(np.flatnonzero(of_bucket == x["bucket"]), at)[_unpack(x["next"])])
             context.append(_unpack(x["context"]))
             pairs.append(_unpack(x["pairs"]))
         names = ids.astype(np.uint64)
@@ -450,11 +475,11 @@ class Prepared:
             whole &= ~rare[before]
             words.append(np.where(whole, ids[before], _NONE).astype(np.uint32))
         self.at = at
-        self.pick, self.inverse = _places_by_bucket(route, words)
+        bucket = ((route >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.pick, self.inverse = _places_by_bucket(bucket, words)
         pick = self.pick
         self.learnt = np.bincount(self.inverse, weights=places.train[at], minlength=len(pick)).astype(np.int64)
-        self.words = [w[pick] for w in words]
-        self.bucket = ((route[pick] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.words, self.bucket = [w[pick] for w in words], bucket[pick]
         picked = at[pick]
         self.deep, self.count, self.p_sent = deep[picked] + 1, count[picked], self.p[picked]
 
@@ -465,22 +490,23 @@ class Prepared:
             deep = self.deep[a:b]
             # counts of the root are known to all for the smallest ids
             sent = (deep > 0) | (block[0] >= CODES)
-            yield int(self.bucket[a]), [*map(_steps, block[:2]), *map(_pack, block[2:]), _pack(self.learnt[a:b]), _pack(deep), _pack(self.count[a:b][sent]), _pack(self.p_sent[a:b][deep > 0].astype("<f4").view("<u4"))]
+            yield int(self.bucket[a]), [*map(_steps, block[:2]), *map(_pack, block[2:]), _pack(self.learnt[a:b]), _pack(deep), _steps(self.count[a:b][sent]), _pack(np.diff(self.p_sent[a:b][deep > 0].astype("<f4").view("<u4"), prepend=np.uint32(0)))]
 
 
-def _places_by_bucket(route: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _places_by_bucket(bucket: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """One of each set of places that are equal in all words, and which of them each place is. They are in
-    the order of their routes and next tokens, as they compress well then. Places are told apart by a hash
-    that is checked, and drawn anew should two different places share it."""
-    _, near = _distinct((route >> np.uint64(32) << np.uint64(32)) | words[0])
-    near = near.astype(np.uint64) << np.uint64(36)
+    the order of their buckets, last words and next tokens, as they compress well then. Places are told
+    apart by a hash that is checked, and drawn anew should two different places share it."""
+    near = bucket.astype(np.uint64)
+    for w in (words[1], words[0]):
+        near = _distinct(near << np.uint64(40) | w)[1].astype(np.uint64)
     for salt in range(1, 100):
         with np.errstate(over="ignore"):
-            key = np.full(len(route), salt, np.uint64)
-            for w in words[1:]:
+            key = np.full(len(bucket), salt, np.uint64)
+            for w in words[2:]:
                 key = key * _M + w
                 key ^= key >> np.uint64(29)
-            pick, inverse = _distinct(near | A.mixed(key) >> np.uint64(28))
+            pick, inverse = _distinct(near << np.uint64(36) | A.mixed(key) >> np.uint64(28))
         if all((w == w[pick][inverse]).all() for w in words):
             return pick, inverse
     raise ValueError("places can't be told apart")
@@ -541,9 +567,9 @@ def _answered(got: dict, crown: Crown) -> pa.Table:
     ends = np.cumsum([0, *(int.from_bytes(x[:8], "little") for x in flat["w0"])])
     learnt, deep = _all(flat["learnt"]).astype(np.int32), _all(flat["deep"])
     count = crown.counts[np.minimum(words[0], CODES - 1)]
-    count[(deep > 0) | (words[0] >= CODES)] = _all(flat["count"])
+    count[(deep > 0) | (words[0] >= CODES)] = np.concatenate([_from_steps(x) for x in flat["count"]])
     p = crown.root(count)
-    p[deep > 0] = np.concatenate([_unpack(x).astype("<u4").view("<f4") for x in flat["p"]])
+    p[deep > 0] = np.concatenate([np.cumsum(_unpack(x), dtype="<u4").view("<f4") for x in flat["p"]])
     better = grown(words, learnt, deep - 1, count, p, crown)
     logs = np.where(better == p, 0, np.minimum(np.log10(better), -1e-30)).astype("<f4").view("<u4")
     logs = (logs + np.uint32(128)) >> np.uint32(8)
@@ -574,18 +600,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     found = chunks.agg(F.sum("n").alias("n"), F.sum("distinct").alias("names")).first()
     total, names = found["n"] or 0, found["names"] or 0
     contexts = _crown(chunks, common, total, max(1, bucket_records // 2), least)
-    counted = bucketed(_counted(chunks, common, contexts, max(1, math.ceil(names / bucket_names))).repartition(parts, "group"), "counted", "group", parts)
-    crown = Crown(counted, contexts)
+    name_buckets = max(1, math.ceil(names / bucket_names))
+    counted = bucketed(_counted(chunks, common, contexts, name_buckets).repartition(parts, "group"), "counted", "group", parts)
+    crown = Crown(counted, contexts, common, name_buckets)
     shared = spark.sparkContext.broadcast(crown)
     buckets = max(shuffle_partitions(spark), math.ceil(total / bucket_records))
-    dealt = chunks.select("group", "chunk", "ids", "train", "size", "tokens")
+    dealt = chunks.select("group", "chunk", "ids", "train", "size", "known", "tokens")
     known = ["place", "totals", "ids", "context", "next", "pairs"]
-    totals = counted.where("chunk IS NOT NULL").select("group", "chunk", *known)
+    totals = counted.where("chunk IS NOT NULL").select("group", "chunk", "bucket", *known)
 
     def prepared(left: pa.Table, right: pa.Table):
         """A group's chunks in order, with what is known of them."""
         of = {}
-        for x in right.select(["chunk", *known]).to_pylist():
+        for x in right.select(["chunk", "bucket", *known]).to_pylist():
             if x["place"] is not None:
                 of.setdefault(x["chunk"], []).append(x)
         for row in sorted(left.to_pylist(), key=lambda r: r["chunk"]):
