@@ -36,9 +36,9 @@ from ._store import bucketed, shuffle_partitions
 DEPTH, SUPPORT = 3, 2
 DIVERGENCE, DISCOUNT = 2.0, 0.75
 #: Text of a chunk, distinct places of a bucket, and tokens asked of a bucket of the root, about.
-CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 6 << 20, 500_000, 2_000_000
+CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 4 << 20, 500_000, 2_000_000
 #: Chunks (of one part of the input) that ask and are answered together, at most.
-GROUP = 16
+GROUP = 8
 #: Ids whose counts every task knows, and contexts of the crown, at most.
 CODES, MAX_CROWN = 1 << 16, 100_000
 #: Words that chunks name by a number, and the text (a sample by id) in which they are found to be common.
