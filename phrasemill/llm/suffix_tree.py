@@ -36,7 +36,7 @@ from ._store import bucketed, shuffle_partitions
 DEPTH, SUPPORT = 3, 2
 DIVERGENCE, DISCOUNT = 2.0, 0.75
 #: Text of a chunk, distinct places of a bucket, and tokens asked of a bucket of the root, about.
-CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 4 << 20, 500_000, 2_000_000
+CHUNK_TEXT, BUCKET_RECORDS, BUCKET_NAMES = 3 << 20, 400_000, 1_000_000
 #: Chunks (of one part of the input) that ask and are answered together, at most.
 GROUP = 8
 #: Ids whose counts every task knows, and contexts of the crown, at most.
@@ -44,7 +44,7 @@ CODES, MAX_CROWN = 1 << 16, 100_000
 #: Words that chunks name by a number, and the text (a sample by id) in which they are found to be common.
 COMMON, SAMPLE_TEXT = 1 << 18, 128 << 20
 #: Text that is cut into words at once.
-PIECE_TEXT = 2 << 20
+PIECE_TEXT = 1 << 20
 #: Ids of words: none (before a document, or too rare to be in a context) and any never learnt.
 _NONE, _UNKNOWN = 0, 1
 _END = np.uint64(0x5BD1E995A1B2C3D4)
