@@ -2,7 +2,7 @@
 
 Rows are shuffled by a seeded hash and ranked within their source; the rank less an offset of the source,
 as a fraction of the source, puts all sources on one scale, and equal cuts of the rows in that order give
-every shard its share of each source. Offsets of the sources, taken in a seeded order, are multiples of the
+every shard its share of each source. Offsets of the sources, taken by size in a seeded order, are multiples of the
 golden ratio without their whole part: they spread evenly, so that many small sources together match the
 mixture as one large source does. All orders are found per bucket (of a hash, or of the fraction) with
 counts of the buckets before, so neither a hot source nor the whole table is ever sorted in one task.
@@ -24,14 +24,18 @@ _GOLDEN = (math.sqrt(5) - 1) / 2
 
 
 def _offsets(sources: DataFrame, seed: int, total: int) -> DataFrame:
-    """``source`` and its ``offset`` in (0, 1), from its number in a seeded order of all sources."""
+    """``source`` and its ``offset`` in (0, 1), from its number in an order of all sources by size, then
+    seeded. ``sources`` has source and n."""
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
-    at = sources.select("source", F.xxhash64(F.lit(seed), "source").alias("h"))
+    at = sources.select("source", "n", F.xxhash64(F.lit(seed), "source").alias("h"))
     at = at.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    # one row per bucket, of which there is one per BUCKET_ROWS rows
-    before = at.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "source")) + F.col("before")
-    turn = at.join(F.broadcast(before), "bucket").withColumn("turn", number * F.lit(_GOLDEN))
+    # distinct sizes are few, as their sum is the number of rows
+    before = at.groupBy("n", "bucket").agg(F.count("*").alias("k"))
+    before = before.select("n", "bucket", (F.sum("k").over(Window.orderBy("n", "bucket")) - F.col("k")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("h", "source"))
+    at = at.withColumn("rank", number).join(before, ["n", "bucket"])
+    number = F.col("rank") + F.col("before")
+    turn = at.withColumn("turn", number * F.lit(_GOLDEN))
     return turn.select("source", (F.col("turn") - F.floor("turn")).alias("offset"))
 
 
@@ -63,7 +67,7 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str =
     drawn = rows.withColumn("bucket", F.least(F.floor((F.col("draw").cast("double") / 2.0**64 + 0.5) * buckets), F.lit(buckets - 1)).cast("int"))
     per = drawn.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     of_source = Window.partitionBy("source")
-    offsets = _offsets(per.select("source").distinct(), seed, total)
+    offsets = _offsets(per.groupBy("source").agg(F.sum("n").alias("n")), seed, total)
     per = per.select("source", "bucket", (F.sum("n").over(of_source.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(of_source).alias("of_source"))
     order = Window.partitionBy("source", "bucket").orderBy("draw", "id", "text_crc32")
     ranked = drawn.withColumn("rank", F.row_number().over(order)).join(per.join(offsets, "source"), ["source", "bucket"])
