@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset
-    (local tests) a temporary folder is made and remembered in the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder of the
+    context. Only where neither is set and Spark runs in one process (tests) a temporary folder is made and
+    remembered in the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("phrasemill.shared.dir", None)
+    context = spark.sparkContext
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="phrasemill-")
         spark.conf.set("phrasemill.shared.dir", found)
     return found.rstrip("/")
@@ -28,7 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing needs any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:

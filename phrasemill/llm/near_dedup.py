@@ -7,15 +7,23 @@ than two collections agree; there are as many collections as keep that to ``MISS
 similarity (12 at 0.85, 16 at 0.80: 2 in 10,000), and fewer are missed above it.
 
 Documents with equal sets are one class and take part once. In each table the members of a bucket are
-tied to its smallest; what hangs together that way is a candidate group. Every candidate ships its set to
-its group once, where all pairs are decided from exact intersection counts (products of the incidence
-matrix of shared shingles); groups too large for a task are dealt out in pairs of blocks. Only links that
-join parts are kept, never all pairs.
+compared with its smallest, their head, by all their minhashes, a byte of each. Two members alone are tied
+only if they agree as often as similar ones do. In larger buckets a member is tied to the head if they agree
+as often as two do that are linked to a common third, and leaves the bucket if it surely is similar to the
+head; the others begin again with the next head, and after ``TURNS`` turns all that are left are tied. By
+the triangle inequality of the distance no pair is lost that way but by the chance of the minhashes.
+
+What hangs together by ties is a candidate group. Every candidate ships its set to its group once, where all
+pairs are decided from exact intersection counts (products of the incidence matrix of shared shingles). In
+groups too large for a task all members are first decided against their head; only those not linked to it
+are then dealt out, in blocks against all blocks. Only links that join parts are kept, never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import reduce
 from itertools import combinations, count
 
 import numpy as np
@@ -33,7 +41,9 @@ MISSED = 2.5e-4
 #: Members and shingles of a block of a candidate group.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Candidates (16 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
+#: Minhashes besides those of the collections, turns of a bucket with a new head, and text of a partition.
+EXTRA, TURNS, PART_BYTES = 48, 2, 32 << 20
 
 _WORD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -51,9 +61,20 @@ def collections_for(percent: int) -> int:
     return next(c for c in count(2) if miss_rate(percent / 100, c) <= MISSED)
 
 
+def agreeing(share: float, hashes: int) -> int:
+    """The most minhashes of which two documents of similarity ``share`` agree on at least so many, but for
+    ``MISSED`` of such pairs."""
+    tail, k = 0.0, 0
+    while True:
+        tail += math.comb(hashes, k) * share**k * (1 - share) ** (hashes - k)
+        if tail > MISSED:
+            return k
+        k += 1
+
+
 def multipliers(collections: int) -> np.ndarray:
-    """Odd numbers for ``ROWS`` minhashes of each collection; more collections begin with the same ones."""
-    drawn = np.random.default_rng(20240229).integers(0, 2**63, collections * ROWS, dtype=np.uint64)
+    """Odd numbers for ``ROWS`` minhashes of each collection, and for ``EXTRA`` more."""
+    drawn = np.random.default_rng(20240229).integers(0, 2**63, collections * ROWS + EXTRA, dtype=np.uint64)
     return drawn * np.uint64(2) + np.uint64(1)
 
 
@@ -84,26 +105,34 @@ def shingle_sets(texts: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.append(0, np.cumsum(keep))[begin].astype(np.int64)
 
 
-def signatures(sets: np.ndarray, begin: np.ndarray, collections: int) -> np.ndarray:
-    """A hash of ``ROWS`` minhashes for each text and collection; texts without shingles have zeros."""
+def signatures(sets: np.ndarray, begin: np.ndarray, collections: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a hash of ``ROWS`` minhashes of each collection, and a byte of every minhash; texts
+    without shingles have zeros."""
     full = np.flatnonzero(begin[:-1] < begin[1:])
+    drawn = multipliers(collections)
     out = np.zeros((len(begin) - 1, collections), np.uint64)
+    small = np.zeros((len(begin) - 1, len(drawn)), np.uint8)
     if not len(full):
-        return out
-    drawn = multipliers(collections)
+        return out, small
+    starts = begin[:-1][full]
     with np.errstate(over="ignore"):
-        for c in range(collections):
-            key = np.full(len(full), c + 1, np.uint64)
-            for m in drawn[c * ROWS : (c + 1) * ROWS]:
-                h = sets * m
-                h ^= h >> np.uint64(32)
-                key = A.mixed(key * np.uint64(3) + np.minimum.reduceat(h, begin[:-1][full]))
-            out[full, c] = key
-    return out
+        key = None
+        for i, m in enumerate(drawn):
+            h = sets * m
+            h ^= h >> np.uint64(32)
+            least = np.minimum.reduceat(h, starts)
+            small[full, i] = A.mixed(least).astype(np.uint8)
+            c, k = divmod(i, ROWS)
+            if c < collections:
+                key = np.full(len(full), c + 1, np.uint64) if k == 0 else key
+                key = A.mixed(key * np.uint64(3) + least)
+                out[full, c] = key
+    return out, small
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, collections: int) -> DataFrame:
-    """id, digest of the set (null without shingles), n (its size), and the collections' hashes."""
+    """id, digest of the set (null without shingles), n (its size), the collections' hashes, and a byte of
+    every minhash."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -112,11 +141,12 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, collections
             sets, begin = shingle_sets(b.column("text"), size)
             data = memoryview(sets.tobytes())
             digest = [hashlib.blake2b(data[8 * x : 8 * y], digest_size=16).digest() if x < y else None for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            keys = signatures(sets, begin, collections).view(np.int64)
+            keys, small = signatures(sets, begin, collections)
+            keys = keys.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * collections, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(begin)), lists], ["id", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(begin)), lists, pa.array([x.tobytes() for x in small], pa.binary())], ["id", "digest", "n", "keys", "small"])
 
-    return rows.mapInArrow(run, f"id {kind}, digest binary, n bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, digest binary, n bigint, keys array<bigint>, small binary")
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -170,31 +200,111 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return tree
 
 
+def _by_group(rows: DataFrame, columns: list[str], decide, result: str) -> DataFrame:
+    """What ``decide`` yields from the columns of each group, of rows that lie together by group."""
+
+    def run(batches):
+        group, held = None, [[] for _ in columns]
+        for batch in batches:
+            for g, *values in zip(*(batch.column(c).to_pylist() for c in ("group", *columns)), strict=True):
+                if g != group:
+                    if held[0]:
+                        yield from decide(*held)
+                    group, held = g, [[] for _ in columns]
+                for column, x in zip(held, values, strict=True):
+                    column.append(x)
+        if held[0]:
+            yield from decide(*held)
+
+    return rows.mapInArrow(run, result)
+
+
 def _verified(sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a``, ``b`` from rows (group, id, set) that lie together by group."""
-    kind = sets.schema["id"].dataType.simpleString()
-    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        group, ids, members = None, [], []
+    def decide(ids, sets):
+        tree = links_within([np.frombuffer(s, np.uint64) for s in sets], percent)
+        if tree:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x[i]] for x in tree], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        def decided():
-            tree = links_within(members, percent)
-            if tree:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in tree], pa.int64()), pa.array([ids[b] for _, b in tree], pa.int64())], schema=names)
+    return _by_group(sets, ["id", "set"], decide, "a bigint, b bigint")
 
-        for batch in batches:
-            for g, i, s in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "set")), strict=True):
-                if g != group:
-                    yield from decided()
-                    group, ids, members = g, [], []
-                ids.append(i)
-                members.append(np.frombuffer(s, np.uint64))
-        yield from decided()
 
-    if kind != "bigint":
-        raise TypeError("ids must be bigint")
-    return sets.mapInArrow(run, "a bigint, b bigint")
+def _against_heads(sets: DataFrame, percent: int) -> DataFrame:
+    """``id``, its ``root``, whether the two are ``linked``, and the set's size ``n``, from rows (group, id, root, set) that lie
+    together by group, the root's among them."""
+
+    def decide(ids, roots, sets):
+        head = np.frombuffer(next(s for i, r, s in zip(ids, roots, sets, strict=True) if i == r), np.uint64)
+        linked = []
+        for s in sets:
+            s = np.frombuffer(s, np.uint64)
+            both = int((head[np.minimum(np.searchsorted(head, s), len(head) - 1)] == s).sum())
+            linked.append(100 * both >= percent * (len(head) + len(s) - both))
+        sizes = [len(s) // 8 for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(linked), pa.array(sizes, pa.int64())], ["id", "root", "linked", "n"])
+
+    return _by_group(sets, ["id", "root", "set"], decide, "id bigint, root bigint, linked boolean, n bigint")
+
+
+def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``head``, ``rep`` and on how many minhashes the two agree."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
+                yield pa.RecordBatch.from_arrays([b.column("head"), b.column("rep"), pa.array((x == y).sum(1).astype(np.int32))], ["head", "rep", "agree"])
+
+    small = classes.select("rep", F.col("small").alias("y"))
+    heads = classes.select(F.col("rep").alias("head"), F.col("small").alias("x"))
+    return pairs.join(heads, "head").join(small, "rep").select("head", "rep", "x", "y").mapInArrow(run, "head bigint, rep bigint, agree int")
+
+
+def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Ties ``a``, ``b`` from the members (key, rep) of buckets."""
+    share = percent / 100
+    far, inner = agreeing(max(0.0, 2 * share - 1), hashes), math.ceil(hashes * (1 + share) / 2)
+    found = []
+    for _ in range(TURNS):
+        heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1")
+        tied = written(members.join(heads, "key").where("rep <> head"), "members")
+        agree = written(_agreement(tied.select("head", "rep").distinct(), classes), "agreement")
+        enough = F.when(F.col("members") == 2, agreeing(share, hashes)).otherwise(far)
+        known = tied.join(agree, ["head", "rep"])
+        found.append(known.where(F.col("agree") >= enough).select(F.col("head").alias("a"), F.col("rep").alias("b")))
+        members = known.where((F.col("members") > 2) & (F.col("agree") < inner)).select("key", "rep")
+    heads = members.groupBy("key").agg(F.min("rep").alias("head"))
+    found.append(members.join(heads, "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links ``a``, ``b`` from rows (id, set, root, blocks): candidate groups by their root, in so many blocks."""
+
+    def together(rows: DataFrame, *key) -> DataFrame:
+        rows = rows.withColumn("group", F.xxhash64(*key)).repartition(parts, "group")
+        return rows.sortWithinPartitions("group", "id")
+
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    one = _verified(together(sets.where("blocks = 1"), "root").select("group", "id", "set"), percent)
+    large = sets.where("blocks > 1")
+    # every block gets the head's set as well
+    own = large.where("id <> root").withColumn("block", block)
+    heads = large.where("id = root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    decided = written(_against_heads(together(own.unionByName(heads), "root", "block").select("group", "id", "root", "set"), percent), "decided")
+    near = decided.where("linked AND id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    rest = decided.where("NOT linked").groupBy("id", "root").agg(F.max("n").alias("n"))
+    if rest.isEmpty():
+        return one.unionByName(near)
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    of = large.join(rest.groupBy("root").agg(size.alias("turns")), "root").withColumn("block", block)
+    own = rest.select("id", "root", F.lit(True).alias("open"))
+    of = of.join(own, ["id", "root"], "left").withColumn("own", F.when(F.col("open"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns")).cast("int")))
+    mine = of.where("open").withColumn("turn", F.col("own")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = of.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).where("own IS NULL OR own <> turn")
+    pairs = mine.select("root", "turn", "block", "id", "set").unionByName(every.select("root", "turn", "block", "id", "set"))
+    return one.unionByName(near).unionByName(_verified(together(pairs, "root", "turn", "block").select("group", "id", "set"), percent))
 
 
 def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,16 +316,19 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     id are reported with a null component and kept, repeated ids share a component. An empty table gives
     no rows; other columns are ignored.
     """
+    spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() != "bigint":
+        raise TypeError("ids must be bigint")
     collections = collections_for(percent)
     rows = written(sketches(docs, size, id_col, text_col, collections), "sketches")
     known = rows.where("digest IS NOT NULL AND id IS NOT NULL")
-    classes = written(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = written(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("small").alias("small")), "classes")
     pairs = ",".join(f"xxhash64({i}, {j}, keys[{i}], keys[{j}])" for i, j in combinations(range(collections), 2))
     keys = classes.select("rep", F.explode(F.expr(f"array({pairs})")).alias("key"))
-    # both sides of the join below come from one shuffle each; minima are aggregated map-side
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head")
-    ties = keys.join(heads, "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    candidates = components(ties)
+    # minima are aggregated map-side; members of one are dropped before anything else
+    alone = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    members = written(keys.join(alone, "key"), "buckets")
+    candidates = components(_ties(members, classes, percent, collections * ROWS + EXTRA))
     sized = candidates.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     totals = sized.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = totals.select("root", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -234,13 +347,9 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
 
     # a repeated id may come with several texts: one class member each, all under the same id
     sets = texts.mapInArrow(gather, "id bigint, set binary").where("length(set) > 0")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.join(placed, "id").withColumn("block", block).select("id", "set", "root", "block", others.alias("other"))
-    group = F.struct("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    grouped = dealt.select(F.xxhash64(group).alias("group"), "id", "set")
-    grouped = grouped.repartition(4 * shuffle_partitions(docs.sparkSession), "group").sortWithinPartitions("group", "id")
-    roots = components(_verified(grouped, percent)).select(F.col("node").alias("rep"), "root")
+    sets = written(sets.join(placed, "id"), "sets")
+    parts = max(4 * shuffle_partitions(spark), math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / PART_BYTES))
+    roots = components(_links(sets, percent, parts)).select(F.col("node").alias("rep"), "root")
     labelled = classes.select("digest", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = rows.select("id", "digest", "n").join(labelled, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))

@@ -1,4 +1,7 @@
-"""The number of collections keeps one miss rate at every asked similarity."""
+"""The number of collections keeps one miss rate at every asked similarity; candidates are few below it."""
+
+import math
+import random
 
 import numpy as np
 import pytest
@@ -15,6 +18,59 @@ def test_miss_rate_is_held(percent):
 
 def test_more_hashes_at_lower_similarity():
     assert near_dedup.collections_for(85) == 12 and near_dedup.collections_for(80) == 16
-    assert (near_dedup.multipliers(16)[:36] == near_dedup.multipliers(12)).all()
+    assert (near_dedup.multipliers(16)[:36] == near_dedup.multipliers(12)[:36]).all()
     sets, begin = np.arange(1, 9, dtype=np.uint64), np.array([0, 8])
-    assert near_dedup.signatures(sets, begin, 16).shape == (1, 16)
+    keys, small = near_dedup.signatures(sets, begin, 16)
+    assert keys.shape == (1, 16) and small.shape == (1, 48 + near_dedup.EXTRA)
+
+
+def _tail(n, p, k):
+    """The probability of at least ``k`` of ``n``."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+
+
+def test_candidates_are_few_among_less_similar_pairs():
+    c = near_dedup.collections_for(85)
+    more = near_dedup.EXTRA
+    hashes = c * near_dedup.ROWS + more
+    need = near_dedup.agreeing(0.85, hashes)
+    assert _tail(hashes, 0.85, need) >= 1 - near_dedup.MISSED
+    # a pair that shares a table agrees on six minhashes at least; the others decide
+    bound = (1 - near_dedup.miss_rate(0.6, c)) * _tail(hashes - 6, 0.6, need - 6)
+    assert bound < 0.1
+    drawn = random.Random(3)
+    found = trials = 0
+    for _ in range(4000):
+        agree = [drawn.random() < 0.6 for _ in range(hashes)]
+        whole = sum(all(agree[3 * i : 3 * i + 3]) for i in range(c))
+        trials += 1
+        found += whole >= 2 and sum(agree) >= need
+    assert found / trials < 0.1
+
+
+def test_groups_of_several_blocks_are_decided_like_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 8)
+    drawn = random.Random(5)
+    base = [f"w{drawn.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(drawn.choice([0, 1, 2, 5, 9, 14])):
+            words[drawn.randrange(len(words))] = f"x{drawn.randrange(10**6)}"
+        texts.append(words)
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.link_groups(rows).collect()}
+    assert len({find(i) for i in up}) > 5 and got == {i: find(i) for i in range(len(texts))}
