@@ -39,7 +39,7 @@ ROWS = 3
 #: The share of pairs at exactly the asked similarity that may be missed.
 MISSED = 2.5e-4
 #: Members and shingles of a block of a candidate group.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000
 #: Candidates (16 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Minhashes besides those of the collections, turns of a bucket with a new head, and text of a partition.
