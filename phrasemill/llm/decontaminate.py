@@ -231,7 +231,9 @@ def report(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "do
 
 
 def clean(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", **names) -> DataFrame:
-    """``docs`` without the rows that hold a window of the benchmark; columns unchanged."""
+    """``docs`` without the rows that hold a window of the benchmark; columns unchanged, whatever their names.
+    Each row is judged by its text alone: a null or empty text holds none and stays, repeated rows go or stay
+    alike, very long texts are read whole; with an empty benchmark all rows stay."""
     free = next(x for x in (f"match{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
     found = matches(docs, bench, width, id_col, keep=docs.columns, match_col=free, **names)
     return found.where(F.size(F.col(free)["spans"]) == 0).drop(free)

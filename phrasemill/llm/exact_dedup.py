@@ -67,7 +67,8 @@ def label_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns unchanged.
 
-    The row that stays is the one of ``label_copies``; of repeated rows with the winning id, one. Rows are
+    Null, empty and white-space texts are one group; an empty table stays empty; other columns may have any
+    names but ``_row``, ``_digest`` and ``_size``. The row that stays is the one of ``label_copies``; of repeated rows with the winning id, one. Rows are
     told apart by a key of their own, so repeated and null ids are decided like any others.
     """
     digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))

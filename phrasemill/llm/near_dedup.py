@@ -361,7 +361,8 @@ def without_near_copies(docs: DataFrame, percent: int = 85, size: int = 3, id_co
     """``docs`` with one row, that of the smallest id (null ids last), of each linked group; columns unchanged.
 
     Rows are linked by a key of their own, so repeated and null ids are decided like any others. Rows
-    without words are linked with nothing and stay.
+    without words, or text, are linked with nothing and stay. Of equal rows one stays. An empty table stays
+    empty; other columns may have any names but ``_row``.
     """
     rows = numbered(docs, "rows")
     groups = link_groups(rows, percent, size, "_row", text_col).select("_row", "component_id")

@@ -114,23 +114,26 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    A null or empty text is a piece of the end token alone. Repeated rows are packed each, rows with null
-    ids too. An empty table gives no rows. Other columns are ignored whatever their names.
+    A null or empty text is a piece of the end token alone; a text of more tokens than ``capacity``, however
+    long, is cut into pieces of which the first may be shorter. Pieces of one length are interchangeable:
+    which of them goes where is arbitrary. Repeated rows are packed each, rows with null ids too. An empty table gives no rows. Other columns are ignored whatever their names.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    # a key for every row, so that repeated rows don't share a bucket
+    cut = pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id())
+    cut = written(cut, "pieces")
     # at most ``capacity`` rows come to the driver
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():
         counts[length] = n
     laid = spark.sparkContext.broadcast(plan(counts, capacity))
     buckets = max(4 * shuffle_partitions(spark), math.ceil(int(counts.sum()) / BUCKET_ROWS))
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "row"), F.lit(buckets)).cast("int"))
     per = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32", "row")
     ranked = bucketed.withColumn("rank", F.row_number().over(order)).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("bucket", "before")
-    names = [c for c in cut.columns]
+    names = [c for c in cut.columns if c != "row"]
     kind = cut.schema["id"].dataType.simpleString()
 
     def place(batches):

@@ -158,11 +158,14 @@ def fit(parts: list[tuple], labels: np.ndarray, epochs: int = 6, batch: int = 25
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model of the labelled rows outside the held-out fold, or of the ``sample`` of them with the
-    smallest hashes. Null labels or ids are left out; without any labels the score is one half."""
+    smallest hashes. Null labels or ids are left out; of an id that has several labels the largest counts, of
+    one that has several texts the one with the smallest hash; without any labels the score is one half."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     # at most ``sample`` rows of two numbers: small enough to broadcast
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # one text of each id, found map-side: so no more than ``sample`` rows go to the driver
+    rows = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("id", "text", "y")
 
     def run(batches):
         for b in A.chunks(batches, "text", CHUNK_BYTES):
@@ -207,6 +210,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score below the threshold; columns unchanged."""
+    """``docs`` without the rows that score below the threshold; columns unchanged, whatever their names. Each
+    row is judged by its text alone: a null text as an empty one, repeated rows alike, rows without an id
+    like others; an empty table stays empty."""
     free = next(x for x in (f"score{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
     return _apply(docs, learn(docs, labels, id_col=id_col, text_col=text_col), docs.columns, text_col, free).where(F.col(free) >= threshold).drop(free)

@@ -14,6 +14,7 @@ only Spark's writers reach every store and commit each part once, whatever execu
 from __future__ import annotations
 
 import struct
+import math
 import zlib
 
 import numpy as np
@@ -134,20 +135,27 @@ def unframe(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(packed, per_block.astype(np.int64), escaped, n), lengths.astype(np.int64)
 
 
+#: Text of a part, about.
+PART_BYTES = 256 << 20
 SCHEMA = "part int, frame int, before bigint, n_ids bigint, docs array<{}>, payload binary"
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode whole texts, add ``end_id`` to each, and write frames in ascending order of ``id_col``.
 
-    The only shuffle is by ranges of the id; rows of one id (repeats) stay in one part, null ids come
-    first, null texts are empty. The path must be new.
+    The only shuffle is by ranges of the id and, for repeated ids, of a hash of the text, so that an id that
+    many rows share is spread over parts. Null ids come first, rows of one id go by that hash (which leaves
+    equal rows alone in any order), null and empty texts have the end id alone, very long texts are a frame
+    of their own, an empty table writes no documents, other columns are ignored whatever their names. The
+    path must be new.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("tie")
 
     def run(batches):
         part, number, before, tool = TaskContext.get().partitionId(), 0, 0, encoder(vocabulary)
@@ -194,7 +202,9 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: b
 
 
 def id_file_digest(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all documents' ids to the shared folder and describe each document from the files."""
+    """Write all documents' ids to the shared folder and describe each document from the files: one row per
+    row of ``docs``, with ``id_col``, start, n_tokens, ids_crc32. ``write_ids`` says what becomes of nulls,
+    repeated rows, empty tables and clashing names."""
     path = new_path(docs.sparkSession, "ids")
     write_ids(docs, path, vocabulary, end_id, id_col, text_col)
     return read_ids(docs.sparkSession, path, id_col)

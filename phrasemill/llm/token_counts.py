@@ -24,7 +24,7 @@ from . import _arrow as A
 #: Pre-tokens whose counts a worker remembers; beyond them its memory begins anew. It bounds memory only.
 REMEMBERED = 400_000
 _NONE = np.int64(1) << 40
-#: Characters from which a pre-token is merged on its own.
+#: Characters from which a pre-token is merged on its own, its pairs kept by rank.
 LONG = 2048
 _MARK = "▁"
 
@@ -103,34 +103,60 @@ class Counter:
         bytes_of = 1 + (flat >= 0x80) + (flat >= 0x800) + (flat >= 0x10000)
         return np.where(self.points[at] == flat, self.char_symbol[at], self.unknown + bytes_of)
 
-    def _by_heap(self, string: str) -> int:
-        """The same order of merges for one long sequence, from a heap of pairs."""
+    def _merge_long(self, string: str) -> int:
+        """One long sequence, by the same rounds: places of pairs are kept by rank, so that a round costs as
+        much as it merges, not as much as the sequence is long."""
         symbols = self._symbols(string)
-        rank, merged = self._pairs(symbols[:-1], symbols[1:])
-        heap = [(int(r), i, int(symbols[i]), int(symbols[i + 1]), int(m)) for i, (r, m) in enumerate(zip(rank, merged, strict=True)) if r != _NONE]
-        heapq.heapify(heap)
-        at = symbols.tolist()
-        n = len(at)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        table = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True)}
-        while heap:
-            _, i, x, y, m = heapq.heappop(heap)
-            j = after[i]
-            if at[i] != x or j >= n or at[j] != y:
+        n = len(symbols)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank, merged = np.full(n, _NONE), np.zeros(n, np.int64)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def found(at: np.ndarray) -> None:
+            """Look up the pairs that begin at these places and keep them by rank."""
+            inner = at[after[at] < n]
+            rank[at] = _NONE
+            rank[inner], merged[inner] = self._pairs(symbols[inner], symbols[after[inner]])
+            inner = inner[rank[inner] != _NONE]
+            inner = inner[np.argsort(rank[inner], kind="stable")]
+            for part in np.split(inner, np.flatnonzero(np.diff(rank[inner])) + 1):
+                if len(part):
+                    r = int(rank[part[0]])
+                    if r not in places:
+                        places[r] = []
+                        heapq.heappush(ranks, r)
+                    places[r].append(part)
+
+        found(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
                 continue
-            at[i], at[j], after[i] = m, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (hit := table.get(at[a] * self.width + at[b])):
-                    heapq.heappush(heap, (hit[0], a, at[a], at[b], hit[1]))
-        return int(sum(self.cost[s] for s in at if s >= 0))
+            if self.safe[merged[at]].all():
+                # of occurrences that overlap, every other one from the left
+                joint = np.zeros(len(at), bool)
+                joint[1:] = after[at[:-1]] == at[1:]
+                index = np.arange(len(at))
+                at = at[(index - np.maximum.accumulate(np.where(joint, 0, index))) % 2 == 0]
+            else:
+                places[r] = [at[1:]]
+                heapq.heappush(ranks, r)
+                at = at[:1]
+            gone = after[at]
+            symbols[at], alive[gone], after[at] = merged[at], False, after[gone]
+            rest = after[at] < n
+            before[after[at][rest]] = at[rest]
+            found(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        return int(self.cost[symbols[alive]].sum())
 
     def merge(self, strings: list[str]) -> np.ndarray:
         """Symbols that survive in each string."""
         result = np.zeros(len(strings), np.int64)
-        for i in [i for i, x in enumerate(strings) if len(x) > LONG]:  # rounds over one long array would cost its square
-            result[i] = self._by_heap(strings[i])
+        for i in [i for i, x in enumerate(strings) if len(x) > LONG]:
+            result[i] = self._merge_long(strings[i])
             strings = [*strings[:i], "", *strings[i + 1 :]]
         symbols = self._symbols("".join(strings))
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -224,7 +250,8 @@ class Counter:
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
-    A null text counts as empty: no bytes, no tokens. Repeated rows and null ids stay as they are; other
+    A null text counts as empty: no bytes, no tokens. Very long texts are counted whole, an empty table gives
+    no rows, there are no ties to decide. Repeated rows and null ids stay as they are; other
     columns of ``docs`` are ignored whatever their names. No shuffle: one pass over the texts.
     """
 
