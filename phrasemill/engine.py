@@ -37,7 +37,7 @@ class PhraseEngine:
         if self.postings is None:
             top = mips.exact_top_k(self.phrases.select(self._id().alias("id"), "vec"), q, o.fetch)
         else:
-            top = mips.clustered_top_k(self.postings, self.centroids, q, o.fetch, o.probes)
+            top = mips.pruned_top_k(self.postings, self.centroids, q, o.fetch, o.probes)
         top = top.join(encoded.select("qid", F.col(other).alias("other")), "qid")
         return top.select("qid", "rank", F.shiftright("id", 20).alias("doc_idx"), F.col("id").bitwiseAND(F.lit((1 << 20) - 1)).alias("idx"), "score", "other")
 

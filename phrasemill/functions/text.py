@@ -6,6 +6,7 @@ import html
 import math
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -315,3 +316,29 @@ def title_match(title: Column, answers: Column) -> Column:
     """Whether the title begins with one of the answers, both in lower case without outer white space."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
     return F.exists(answers, lambda a: F.startswith(plain(title), plain(a)))
+
+
+def murmur3(strings: list[bytes], seed: int = 0) -> np.ndarray:
+    """The unsigned 32-bit murmur hash (x86, version 3) of every string, all at once block by block."""
+    n = np.fromiter(map(len, strings), np.int64, len(strings))
+    width = max(4, int(-(-n.max(initial=0) // 4) * 4))
+    data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in strings), "<u4").reshape(len(strings), width // 4)
+    rotated = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    mixed = lambda k: rotated(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = np.full(len(strings), seed, np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(width // 4):
+            k = mixed(data[:, i])
+            h = np.where(4 * (i + 1) <= n, rotated(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where(4 * i < n, h ^ k, h))
+        h ^= n.astype(np.uint32)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        return h ^ (h >> np.uint32(16))
+
+
+@F.pandas_udf(T.LongType())
+def feature_hash(term: pd.Series, buckets: pd.Series) -> pd.Series:
+    """Murmur hash of seed 0, unsigned, by the number of buckets."""
+    names, place = np.unique(term.to_numpy(dtype=str), return_inverse=True)
+    hashed = murmur3([x.encode() for x in names.tolist()]).astype(np.int64)[place]
+    return pd.Series(hashed % buckets.to_numpy())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,14 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 #: Words that carry no topic, for n-gram filters.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "will", "with")
+STOPWORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having
+do does did doing a an the and but if or because as until while of at by for with about against between into through during before
+after above below to from up down in out on off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren
+couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn 'll 're 've n't 's 'd 'm '' ``
+""".split())
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,34 +67,47 @@ def windows(docs: DataFrame, length: int, stride: int, tokens: str = "tokens", i
 
 def max_context(spans: DataFrame, id_col: str = "doc_idx") -> DataFrame:
     """For every token of windows the one that gives it the most context on its poorer side, plus a
-    hundredth of the window's length; the first of equals. ``spans``: id, span_idx, start, length."""
+    hundredth of the window's length; the first of equals. ``spans``: id, span_idx, start, length.
+
+    Contexts are counted in hundredths and put into one number with the window, of which there are fewer
+    than 2^24 in a document, so that the best of a token is a plain maximum, aggregated map-side."""
     rows = spans.select(id_col, "span_idx", "start", "length", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("token"))
     left, right = F.col("token") - F.col("start"), F.col("start") + F.col("length") - 1 - F.col("token")
-    rows = rows.withColumn("context", F.least(left, right) + 0.01 * F.col("length"))
-    best = Window.partitionBy(id_col, "token").orderBy(F.col("context").desc(), "span_idx")
-    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(id_col, "token", "span_idx")
-
-
-def keeps_ngram(gram: Column, mode: str = "any", stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """False where any, all or one of the end words of an n-gram are stop words or punctuation."""
-    dull = "(" + "|".join(map(re.escape, stopwords)) + "|\\p{P}+)"
-    # one pattern for the whole n-gram, whose words stand between single spaces
-    pattern = {"any": f"(^| ){dull}( |$)", "all": f"^{dull}( {dull})*$", "ends": f"^{dull}( |$)|(^| ){dull}$"}[mode]
-    return ~gram.rlike("(?i)" + pattern)
-
-
-def term_counts(docs: DataFrame, longest: int = 2, mode: str | None = "any", buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc``, ``term``, ``tf``: n-grams of each document, hashed into buckets on request."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(X.ngrams(X.simple_tokens(F.lower(text_col)), longest)).alias("term"))
-    if mode:
-        rows = rows.where(keeps_ngram(F.col("term"), mode))
+    context = (100 * F.least(left, right) + F.col("length")).cast("bigint")
+    size = 1 << 24
+    best = rows.groupBy(id_col, "token").agg(F.max(context * size + (size - 1 - F.col("span_idx"))).alias("best"))
+    kind = spans.schema["span_idx"].dataType
+    return best.select(id_col, "token", (size - 1 - F.pmod("best", F.lit(size))).cast(kind).alias("span_idx"))
+
+
+def is_dull(word: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Whether a word is a stop word or all punctuation."""
+    return F.lower(word).isin(*stopwords) | word.rlike("^\\p{P}+$")
+
+
+def term_counts(docs: DataFrame, longest: int = 2, mode: str | None = "any", buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """``doc``, ``term``, ``tf``: n-grams of each document, hashed into buckets on request. An n-gram is left
+    out if ``any``, ``all`` or one of the ``ends`` of its words are stop words or punctuation.
+
+    Every token becomes one row with those after it, and is marked once."""
+    rows = docs.select(F.col(id_col).alias("doc"), X.simple_tokens(F.lower(text_col)).alias("w0"))
+    rows = rows.select("doc", F.explode(F.arrays_zip("w0", *(F.slice("w0", k + 1, F.greatest(F.size("w0") - k, F.lit(0))).alias(f"w{k}") for k in range(1, longest)))).alias("t")).select("doc", "t.*")
+    rows = rows.select("doc", *(F.col(f"w{k}") for k in range(longest)), *(is_dull(F.col(f"w{k}"), stopwords).alias(f"d{k}") for k in range(longest)))
+    grams = []
+    for n in range(1, longest + 1):
+        dull = [F.col(f"d{k}") for k in range(n)]
+        out = {"any": reduce(lambda x, y: x | y, dull), "all": reduce(lambda x, y: x & y, dull), "ends": dull[0] | dull[-1], None: F.lit(False)}[mode]
+        gram = F.concat_ws(" ", *(F.col(f"w{k}") for k in range(n)))
+        grams.append(F.when(F.col(f"w{n - 1}").isNotNull() & ~out, gram))
+    rows = rows.select("doc", F.explode(F.array(*grams)).alias("term")).where("term IS NOT NULL")
     if buckets:
-        rows = rows.withColumn("term", F.pmod(F.hash("term"), F.lit(buckets)))
+        rows = rows.withColumn("term", X.feature_hash(F.col("term"), F.lit(buckets)))
     return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def document_counts(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.countDistinct("doc").alias("df"))
+    """``term``, ``df``, from the distinct rows of ``term_counts``."""
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def tfidf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -43,19 +43,27 @@ def with_threshold(score: Column, na_prob: Column, has_ans: Column, threshold: f
 
 
 def best_threshold(scores: DataFrame) -> DataFrame:
-    """``best`` score in percent and its ``threshold``, from rows (qid, na_prob, has_ans, score, empty).
+    """``best`` score in percent, its ``threshold``, and ``has_ans_mean``, the mean score of the
+    answerable questions, from rows (qid, na_prob, has_ans, score, empty).
 
     Starting from the number of unanswerable questions, each question in the order of its null
-    probability adds its score if answerable, takes one if a non-empty answer is wrong. Steps are added up
-    per distinct probability first; equal probabilities are ordered by qid.
+    probability adds its score if answerable, takes one if a non-empty answer is wrong; equal probabilities
+    are ordered by qid. Steps are added up by ranges of the probability first, so only rows of one range
+    are ordered in one task.
     """
     step = F.when(F.col("has_ans"), F.col("score").cast("double")).otherwise(F.when(F.col("empty"), 0.0).otherwise(-1.0))
     start = scores.agg(F.sum((~F.col("has_ans")).cast("bigint")).alias("base"), F.count("*").alias("n"))
-    running = F.sum("step").over(Window.orderBy("na_prob", "qid").rowsBetween(Window.unboundedPreceding, 0))
-    summed = scores.select("qid", "na_prob", step.alias("step")).withColumn("gain", running)
+    # order-preserving ranges of non-negative numbers, finer for small ones
+    part = F.floor(F.log2(F.col("na_prob") + 2.0**-20) * 256).cast("int")
+    steps = scores.select("qid", "na_prob", "has_ans", F.col("score").cast("double").alias("score"), step.alias("step"), part.alias("part"))
+    sums = steps.groupBy("part").agg(F.sum("step").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
+    running = F.sum("step").over(Window.partitionBy("part").orderBy("na_prob", "qid").rowsBetween(Window.unboundedPreceding, 0))
+    summed = steps.join(F.broadcast(before), "part").withColumn("gain", F.col("before") + running)
     top = summed.agg(F.max("gain").alias("gain"), F.max_by("na_prob", F.struct("gain", -F.col("na_prob"))).alias("at"))
     better = F.col("gain") > 0
-    return start.crossJoin(top).select((100.0 * (F.col("base") + F.when(better, F.col("gain")).otherwise(0.0)) / F.col("n")).alias("best"), F.when(better, F.col("at")).otherwise(0.0).alias("threshold"))
+    out = start.crossJoin(top).select((100.0 * (F.col("base") + F.when(better, F.col("gain")).otherwise(0.0)) / F.col("n")).alias("best"), F.when(better, F.col("at")).otherwise(0.0).alias("threshold"))
+    return out.crossJoin(steps.agg(F.avg(F.when(F.col("has_ans"), F.col("score"))).alias("has_ans_mean")))
 
 
 def first_hits(results: DataFrame) -> DataFrame:

@@ -13,11 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
 
 QUERY_BLOCK = 4096
+#: Centroids that are broadcast at once, and rows that are multiplied with them at once.
+CENTROID_BLOCK, ROW_BLOCK = 65_536, 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -72,39 +76,68 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "i
 
 
 def nearest(rows: DataFrame, centroids: DataFrame, n: int, key: list[str], vec: str, cid: str = "cluster_id", cvec: str = "centroid") -> DataFrame:
-    """The ``n`` centroids of the largest inner product with each row. Centroids are a bounded table (their
-    number is a parameter of the index), so they are the broadcast side."""
-    scored = rows.crossJoin(F.broadcast(centroids.select(cid, cvec))).withColumn("affinity", dot(F.col(vec), F.col(cvec))).drop(cvec)
-    order = Window.partitionBy(*key).orderBy(F.col("affinity").desc(), cid)
-    return scored.withColumn("nearness", F.row_number().over(order)).where(F.col("nearness") <= n)
-
+    """``rows`` with the ``n`` centroids of the largest inner product with each, its ``affinity`` and
+    ``nearness`` from 1; ties by the centroid's id.
+
+    Centroids come in blocks of ``CENTROID_BLOCK``, so what is broadcast is bounded whatever their number;
+    batches of rows are multiplied with a block at once. One block needs no shuffle; of several, the best of
+    each are ranked by ``key``."""
+    spark = rows.sparkSession
+    names = rows.columns
+    kind = centroids.schema[cid].dataType
+    schema = T.StructType([*rows.schema.fields]).add(cid, kind).add("affinity", T.DoubleType()).add("nearness", T.IntegerType())
+    found = []
+    for ids, matrix in query_blocks(centroids.orderBy(cid), cid, cvec, CENTROID_BLOCK):
+        shared = spark.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), matrix))
 
-def clustered_top_k(postings: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int = 256, id_col: str = "id", vec_col: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
-    """Search only the ``probes`` nearest clusters: an equi-join of probes and postings on the cluster."""
-    probed = nearest(queries.select(qid, qvec), centroids, probes, [qid], qvec).select(qid, qvec, "cluster_id")
-    scored = postings.join(probed, "cluster_id").select(qid, F.col(id_col).alias("id"), dot(F.col(vec_col), F.col(qvec)).alias("score"))
-    return ranked(scored, k, by=qid)
+        def run(batches, shared=shared):
+            ids, block = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, ROW_BLOCK):
+                    part = b.slice(at, ROW_BLOCK)
+                    score = _matrix(part.column(vec)) @ block.T
+                    k = min(n, len(ids))
+                    if k < len(ids):
+                        # the k-th best score and all that tie with it, so that ties go by id
+                        bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                        score = np.where(score >= bar, score, -np.inf)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    row = np.repeat(np.arange(part.num_rows), k)
+                    columns = [c.take(pa.array(row)) for c in part.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(best.ravel())), pa.array(score[row, best.ravel()]), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), part.num_rows))], schema.names)
+
+        found.append(rows.mapInArrow(run, schema))
+    if len(found) == 1:
+        return found[0]
+    if not found:
+        return spark.createDataFrame([], schema)
+    order = Window.partitionBy(*key).orderBy(F.col("affinity").desc(), cid)
+    return reduce(DataFrame.unionByName, found).withColumn("nearness", F.row_number().over(order)).where(F.col("nearness") <= n).select(*names, cid, "affinity", "nearness")
 
 
 def pruned_top_k(postings: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int, id_col: str = "id", vec_col: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
-    """``clustered_top_k`` for many queries: in blocks as in ``exact_top_k``, each batch of postings multiplied
-    cluster by cluster with the queries that probe it, so that no pair of query and posting becomes a row."""
+    """Search only the ``probes`` nearest clusters: queries in blocks as in ``exact_top_k``, each batch of
+    postings multiplied cluster by cluster with the queries that probe it, so that no pair of query and
+    posting becomes a row. What is broadcast is a block of queries and the numbers of their clusters."""
     spark = postings.sparkSession
     rows = postings.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.col("cluster_id").cast("bigint").alias("cluster_id"))
     kind = queries.schema[qid].dataType.simpleString()
-    clusters = sorted((int(r[0]), r[1]) for r in centroids.select("cluster_id", "centroid").collect())
-    names = np.array([c for c, _ in clusters], np.int64)
-    centres = np.array([v for _, v in clusters], np.float64)
     found = []
     for ids, matrix in query_blocks(queries, qid, qvec):
-        near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+        # the queries' own clusters: at most a block of queries times ``probes`` numbers
+        asked = spark.createDataFrame(pa.table({"q": pa.array(range(len(ids)), pa.int64()), "v": pa.array(matrix.tolist(), pa.list_(pa.float64()))}))
+        near = nearest(asked, centroids, probes, ["q"], "v").select("q", "cluster_id").collect()
+        names = np.unique(np.array([r[1] for r in near], np.int64))
         probed = np.zeros((len(ids), len(names)), bool)
-        np.put_along_axis(probed, near, True, axis=1)
+        probed[[r[0] for r in near], np.searchsorted(names, [r[1] for r in near])] = True
         shared = spark.sparkContext.broadcast((pa.array(ids), matrix, names, probed))
 
         def run(batches, shared=shared):
             qids, block, names, probed = shared.value
             for b in batches:
+                if not b.num_rows:
+                    continue
+                b = b.filter(pa.array(np.isin(b.column("cluster_id").to_numpy(zero_copy_only=False), names)))
                 if not b.num_rows:
                     continue
                 key = b.column("id").to_numpy(zero_copy_only=False)

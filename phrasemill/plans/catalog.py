@@ -41,12 +41,12 @@ def _exact(spark, sf, vec):
     return mips.exact_top_k(rows, q, W.K)
 
 
-@query(f"WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings) SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT a.id AS qid, b.id, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.id) AS rank FROM v a, v b WHERE a.id < {W.QUERIES}) WHERE rank <= {W.K}")
+@query(f"WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings) SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT a.id AS qid, b.id, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.id) AS rank FROM v a, v b WHERE a.id % {W.EVERY} = 0) WHERE rank <= {W.K}")
 def mips_topk_exact(spark, sf):
     return _exact(spark, sf, "float").select("qid", "id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {S.CODED} SELECT qid, id, score::BIGINT AS score, rank FROM (SELECT a.id AS qid, b.id, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.id) AS rank FROM coded a, coded b WHERE a.id < {W.QUERIES}) WHERE rank <= {W.K}")
+@query(f"WITH {S.CODED} SELECT qid, id, score::BIGINT AS score, rank FROM (SELECT a.id AS qid, b.id, list_dot_product(a.vec, b.vec) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.id) AS rank FROM coded a, coded b WHERE a.id % {W.EVERY} = 0) WHERE rank <= {W.K}")
 def mips_topk_int8(spark, sf):
     return _exact(spark, sf, "code").select("qid", "id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -80,7 +80,6 @@ def int4_pack(spark, sf):
 
 _CENTROIDS = f"{S.CODED}, cells AS (SELECT label, dim, round_even(avg(x), 0) AS x FROM (SELECT label, unnest(range(64)) AS dim, unnest(vec) AS x FROM coded) GROUP BY label, dim), cents AS (SELECT label AS cluster_id, list(x ORDER BY dim) AS centroid FROM cells GROUP BY label)"
 _ASSIGNED = f"{_CENTROIDS}, assigned AS (SELECT id, vec, cluster_id FROM (SELECT id, vec, cluster_id, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(vec, centroid) DESC, cluster_id) AS n FROM coded, cents) WHERE n = 1)"
-_PROBED = f"{_ASSIGNED}, probes AS (SELECT qid, qvec, cluster_id FROM (SELECT c.id AS qid, c.vec AS qvec, cluster_id, row_number() OVER (PARTITION BY c.id ORDER BY list_dot_product(c.vec, centroid) DESC, cluster_id) AS n FROM coded c, cents WHERE c.id < {W.QUERIES}) WHERE n <= 3), ivf AS (SELECT * FROM (SELECT qid, id, list_dot_product(vec, qvec) AS score, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(vec, qvec) DESC, id) AS rank FROM assigned JOIN probes USING (cluster_id)) WHERE rank <= {W.K})"
 
 
 def _centroids(spark, sf):
@@ -89,42 +88,54 @@ def _centroids(spark, sf):
     return cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centroid")).withColumnRenamed("label", "cluster_id")
 
 
-def _clustered(spark, sf):
-    c = _centroids(spark, sf)
-    postings = index.assign(W.coded(spark, sf), c).select("id", "vec", "cluster_id")
-    q = W.coded(spark, sf).where(W.asked(F.col("id"))).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    return mips.clustered_top_k(postings, c, q, W.K, probes=3)
-
-
 @query(f"WITH {_ASSIGNED} SELECT id, cluster_id::BIGINT AS cluster_id FROM assigned")
 def ivf_assign(spark, sf):
     return index.assign(W.coded(spark, sf), _centroids(spark, sf)).select("id", F.col("cluster_id").cast("bigint").alias("cluster_id"))
 
 
-@query(f"WITH {_PROBED} SELECT qid, id, score::BIGINT AS score, rank FROM ivf")
-def ivf_probe_topk(spark, sf):
-    return _clustered(spark, sf).select("qid", "id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+# trained indexes: no SQL, as training is iterative
 
+#: Clusters of the trained index and how many are probed; parts and codes of the product quantiser, and how
+#: many of its best are scored exactly.
+CLUSTERS, PROBES, PARTS, CODES, RESCORED = 10, 8, 16, 256, 100
 
-@query(f"WITH {_PROBED}, exact AS (SELECT * FROM (SELECT a.id AS qid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.id) AS rank FROM coded a, coded b WHERE a.id < {W.QUERIES}) WHERE rank <= {W.K}) SELECT e.qid, round(count(i.id) / {W.K}.0::DOUBLE, 6) AS recall FROM exact e LEFT JOIN ivf i ON i.qid = e.qid AND i.id = e.id GROUP BY e.qid")
-def ivf_recall_at_k(spark, sf):
-    found = _clustered(spark, sf).select("qid", "id", F.lit(1).alias("hit"))
-    both = _exact(spark, sf, "code").join(found, ["qid", "id"], "left")
-    return both.groupBy("qid").agg(_r(F.count("hit") / F.lit(float(W.K))).alias("recall"))
 
+def _asked(spark, sf):
+    return W.coded(spark, sf).where(W.asked(F.col("id"))).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
 
-_BOOKS = f"{S.CODED}, books AS (SELECT id AS code, vec FROM coded WHERE id < 16), parts AS (SELECT unnest(range(8)) AS p)"
 
+def _ranks(top):
+    return top.select("qid", "id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
-@query(f"WITH {_BOOKS}, near AS (SELECT c.id, p, code, row_number() OVER (PARTITION BY c.id, p ORDER BY list_sum(list_transform(range(p * 8 + 1, p * 8 + 9), lambda i: (c.vec[i] - books.vec[i]) ** 2)), code) AS n, list_dot_product(books.vec[p * 8 + 1:p * 8 + 8], q.vec[p * 8 + 1:p * 8 + 8]) AS part FROM coded c, books, parts, coded q WHERE q.id = 0) SELECT id, array_to_string(list(code ORDER BY p), ',') AS codes, sum(part)::BIGINT AS score FROM near WHERE n = 1 GROUP BY id")
-def pq_encode_score(spark, sf):
-    import numpy as np
 
+@query()
+def ivf_probe_topk(spark, sf):
     rows = W.coded(spark, sf)
-    first = rows.where("id < 16").orderBy("id").select("vec").collect()  # the codebook: 16 vectors
-    books = np.array([r[0] for r in first]).reshape(-1, 8, 8).transpose(1, 0, 2)
-    coded = index.pq_encode(rows, books)
-    return index.pq_scores(coded, list(first[0][0]), books).select("id", F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("codes"), F.col("score").cast("bigint").alias("score"))
+    c = index.train_centroids(rows, CLUSTERS)
+    return _ranks(mips.pruned_top_k(index.assign(rows, c), c, _asked(spark, sf), W.K, PROBES))
+
+
+@query()
+def pq_encode_score(spark, sf):
+    rows, q = W.coded(spark, sf), _asked(spark, sf)
+    books, _ = index.train_codebooks(rows, PARTS, CODES)
+    decoded = index.pq_decode(index.pq_encode(rows.select("id", "vec"), books).select("id", "code"), books)
+    return _ranks(mips.rescored(mips.exact_top_k(decoded, q, RESCORED), rows, q, W.K))
+
+
+def _recall(spark, sf, found):
+    both = mips.exact_top_k(W.coded(spark, sf), _asked(spark, sf), W.K).join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return both.groupBy("qid").agg(_r(F.count("hit") / F.lit(float(W.K))).alias("recall"))
+
+
+@query()
+def ivf_recall_at_k(spark, sf):
+    return _recall(spark, sf, ivf_probe_topk(spark, sf))
+
+
+@query()
+def pq_recall_at_k(spark, sf):
+    return _recall(spark, sf, pq_encode_score(spark, sf))
 
 
 # phrases ------------------------------------------------------------------------------------------
@@ -293,16 +304,19 @@ def title_fallback_left(spark, sf):
     return corpus.article_or_own(d, p).select("doc_id", F.get("paragraphs", F.lit(0)).alias("found"), "matched")
 
 
-@query("SELECT n.n_name, r.r_name, count(*) AS customers FROM customer JOIN nation n ON c_nationkey = n_nationkey JOIN region r ON n_regionkey = r_regionkey GROUP BY ALL")
+@query("SELECT conv_id, turn, page_id::VARCHAR AS wikipedia_id FROM conversations JOIN pages ON page_id = (conv_id + turn) % (SELECT count(*) FROM pages)")
 def title_id_lookup(spark, sf):
-    c, n, r = (W.table(spark, sf, t) for t in ("customer", "nation", "region"))
-    joined = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"))
+    pages = W.table(spark, sf, "pages")
+    ids = pages.select(F.col("url").alias("title"), F.col("page_id").cast("string").alias("wikipedia_id"))
+    n = pages.agg(F.count("*").alias("n"))
+    asked = W.table(spark, sf, "conversations").crossJoin(F.broadcast(n)).withColumn("page_id", (F.col("conv_id") + F.col("turn")) % F.col("n"))
+    titled = asked.join(pages.select("page_id", F.col("url").alias("title")), "page_id").select("conv_id", "turn", "title")
+    return metrics.with_article_ids(titled, ids).select("conv_id", "turn", "wikipedia_id")
 
 
-@query("WITH g AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) SELECT (SELECT count(*) FROM g JOIN labels USING (doc_id)) AS matched, (SELECT count(*) FROM g WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing")
+@query("WITH g AS (SELECT doc_id FROM documents) SELECT (SELECT count(*) FROM g JOIN labels USING (doc_id)) AS matched, (SELECT count(*) FROM g WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing")
 def kilt_align(spark, sf):
-    gold = W.part(W.table(spark, sf, "documents"), "doc_id % 2 = 0").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("id"))
+    gold = W.table(spark, sf, "documents").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("id"))
     guess = W.table(spark, sf, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(" ")).alias("id"), "quality")
     both, missing = metrics.aligned(gold, guess)
     return both.agg(F.count("*").alias("matched")).crossJoin(missing)
@@ -329,22 +343,33 @@ def exact_match(spark, sf):
     return _pairs(spark, sf).select("qid", "i", "j", X.exact_match(F.col("p"), F.col("g")).cast("bigint").alias("em"))
 
 
-_F1_SQL = _PAIRS + f" SELECT qid, i, j, round({S.f1('a', 'b')}, 6) AS f1 FROM pairs"
+#: Words of items, and answers that each rule treats in its own way: closed ones, empty ones, none.
+_RULED = f"""WITH {S.ANSWERS}, both AS (SELECT qid, i, j, coalesce(CASE i WHEN 4 THEN 'Yes' WHEN 5 THEN 'no.' WHEN 6 THEN 'the' ELSE predictions[i] END, '') AS p,
+coalesce(CASE j WHEN 3 THEN 'yes' WHEN 4 THEN 'noanswer' WHEN 5 THEN '' WHEN 6 THEN 'yes it is' ELSE golds[j] END, '') AS g FROM answers, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 7)) AS j)),
+pairs AS (SELECT qid, i, j, {S.answer_words('p')} AS a, {S.answer_words('g')} AS b FROM both)"""
+_CLOSED = "['yes'], ['no'], ['noanswer']"
 
 
-@query(_F1_SQL)
+def _ruled(spark, sf):
+    own = lambda words: [F.lit(w) for w in words]
+    a = W.answers(spark, sf).select("qid", F.concat("predictions", F.array(*own(["Yes", "no.", "the"]))).alias("ps"), F.concat("golds", F.array(*own(["yes", "noanswer", "", "yes it is"]))).alias("gs"))
+    a = a.select("qid", F.posexplode("ps").alias("i", "p"), "gs").select("qid", "i", "p", F.posexplode("gs").alias("j", "g"))
+    return a.select("qid", (F.col("i") + 1).cast("bigint").alias("i"), (F.col("j") + 1).cast("bigint").alias("j"), "p", "g")
+
+
+@query(_RULED + f" SELECT qid, i, j, round(CASE WHEN (a IN ({_CLOSED}) OR b IN ({_CLOSED})) AND a <> b THEN 0 ELSE {S.f1('a', 'b')} END, 6) AS f1 FROM pairs")
 def token_f1(spark, sf):
-    return _pairs(spark, sf).select("qid", "i", "j", _r(X.f1_open(F.col("p"), F.col("g"))).alias("f1"))
+    return _ruled(spark, sf).select("qid", "i", "j", _r(X.f1_open(F.col("p"), F.col("g"))).alias("f1"))
 
 
-@query(_F1_SQL)
+@query(_RULED + f" SELECT qid, i, j, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN (len(a) = len(b))::INT ELSE {S.f1('a', 'b')} END, 6) AS f1 FROM pairs")
 def token_f1_squad(spark, sf):
-    return _pairs(spark, sf).select("qid", "i", "j", _r(X.f1_reading(F.col("p"), F.col("g"))).alias("f1"))
+    return _ruled(spark, sf).select("qid", "i", "j", _r(X.f1_reading(F.col("p"), F.col("g"))).alias("f1"))
 
 
-@query(_F1_SQL)
+@query(_RULED + f" SELECT qid, i, j, round({S.f1('a', 'b')}, 6) AS f1 FROM pairs")
 def token_f1_kilt(spark, sf):
-    return _pairs(spark, sf).select("qid", "i", "j", _r(X.f1_plain(F.col("p"), F.col("g"))).alias("f1"))
+    return _ruled(spark, sf).select("qid", "i", "j", _r(X.f1_plain(F.col("p"), F.col("g"))).alias("f1"))
 
 
 @query(_PAIRS + f", s AS (SELECT qid, i, max((a = b)::INT) AS em, max({S.f1('a', 'b')}) AS f FROM pairs GROUP BY qid, i), q AS (SELECT qid, max(em) FILTER (i = 1) AS e1, max(em) AS ek, max(f) FILTER (i = 1) AS f1, max(f) AS fk FROM s GROUP BY qid), r AS (SELECT avg(same) AS redundancy FROM (SELECT qid, len(list_filter(predictions, lambda p: {S.normal('p')} = {S.normal('predictions[1]')})) AS same FROM answers)) SELECT round(avg(e1) * 100, 6) AS em_top1, round(avg(ek) * 100, 6) AS em_topk, round(avg(f1) * 100, 6) AS f1_top1, round(avg(fk) * 100, 6) AS f1_topk, round(any_value(redundancy), 6) AS redundancy FROM q, r")
@@ -366,9 +391,9 @@ def has_no_ans_breakdown(spark, sf):
     return metrics.answerability(_scores(spark, sf)).select("has_ans", _r("exact").alias("exact"), _r("f1").alias("f1"), "total")
 
 
-@query(f"WITH {_ANS}, g AS (SELECT na_prob, sum(CASE WHEN has_ans THEN f1 WHEN empty THEN 0 ELSE -1 END) OVER (ORDER BY na_prob, qid ROWS UNBOUNDED PRECEDING) AS gain FROM s), t AS (SELECT max(gain) AS gain FROM g), b AS (SELECT count(*) FILTER (NOT has_ans) AS base, count(*) AS n FROM s) SELECT round(100.0 * (base + greatest(gain, 0)) / n, 6) AS best FROM t, b")
+@query(f"WITH {_ANS}, g AS (SELECT na_prob, sum(CASE WHEN has_ans THEN f1 WHEN empty THEN 0 ELSE -1 END) OVER (ORDER BY na_prob, qid ROWS UNBOUNDED PRECEDING) AS gain FROM s), t AS (SELECT max(gain) AS gain FROM g), b AS (SELECT count(*) FILTER (NOT has_ans) AS base, count(*) AS n FROM s) SELECT round(100.0 * (base + greatest(gain, 0)) / n, 6) AS best, round((SELECT avg(f1) FROM s WHERE has_ans), 6) AS has_ans_mean FROM t, b")
 def best_threshold(spark, sf):
-    return metrics.best_threshold(_scores(spark, sf).withColumn("score", F.col("f1"))).select(_r("best").alias("best"))
+    return metrics.best_threshold(_scores(spark, sf).withColumn("score", F.col("f1"))).select(_r("best").alias("best"), _r("has_ans_mean").alias("has_ans_mean"))
 
 
 @query(f"WITH {_ANS} SELECT qid, CASE WHEN na_prob > 0.5 THEN (NOT has_ans)::INT::DOUBLE ELSE exact::DOUBLE END AS score FROM s")
@@ -431,11 +456,12 @@ def regex_match(spark, sf):
 _TOK = "regexp_extract_all({x}, '([\\p{{L}}\\p{{N}}\\p{{M}}]+)|([^\\p{{Z}}\\p{{C}}])')"
 
 
-@query(f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOK.format(x='lower(text)')}, ' ') || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || array_to_string({_TOK.format(x='lower(array_to_string(string_split(text, chr(32))[1:2], chr(32)))')}, ' ') || ' ' AS a FROM benchmark WHERE item_id < 5) SELECT doc_id, item_id FROM d, b WHERE contains(t, a)")
+@query()
 def string_match(spark, sf):
+    """All documents that hold the whole text of an item, by an index of each item's rarest word."""
     d = W.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
-    b = W.table(spark, sf, "benchmark").where("item_id < 5").select("item_id", metrics.first_words(F.col("text"), 2).alias("a"))
-    return d.crossJoin(F.broadcast(b)).where(X.string_match(F.col("t"), F.col("a"))).select("doc_id", "item_id")  # five stated answers
+    b = W.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"))
+    return metrics.matches(d, b).select("doc_id", "item_id")
 
 
 @query(f"SELECT item_id, len(t)::BIGINT AS tokens, array_to_string(t, '|') AS joined FROM (SELECT item_id, {_TOK.format(x='text')} AS t FROM benchmark)")
@@ -445,16 +471,16 @@ def simple_tokenize(spark, sf):
 
 # corpus -------------------------------------------------------------------------------------------
 
-_STOP = ",".join(f"'{w}'" for w in corpus.STOPWORDS)
+_STOP = ",".join("'" + w.replace("'", "''") + "'" for w in corpus.STOPWORDS)
 _DULL = f"({{x}} IN ({_STOP}) OR regexp_full_match({{x}}, '\\p{{{{P}}}}+'))"
-_TERMS = f"""tk AS (SELECT doc_id AS doc, {_TOK.format(x='lower(text)')} AS t FROM documents WHERE lang = 'en'),
+_TERMS = f"""tk AS (SELECT doc_id AS doc, {_TOK.format(x='lower(text)')} AS t FROM documents),
 words AS (SELECT doc, unnest(t) AS a, unnest(range(len(t))) AS i FROM tk),
 two AS (SELECT doc, a, lead(a) OVER (PARTITION BY doc ORDER BY i) AS b FROM words),
 terms AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, a AS term FROM two WHERE NOT {_DULL.format(x='a')} UNION ALL SELECT doc, a || ' ' || b FROM two WHERE b IS NOT NULL AND NOT {_DULL.format(x='a')} AND NOT {_DULL.format(x='b')}) GROUP BY ALL)"""
 
 
 def _terms(spark, sf):
-    return corpus.term_counts(W.part(W.table(spark, sf, "documents"), "lang = 'en'"))
+    return corpus.term_counts(W.table(spark, sf, "documents"))
 
 
 @query(f"WITH {_TERMS} SELECT doc, count(*) AS terms, sum(tf)::BIGINT AS total, max(tf) AS most FROM terms GROUP BY doc")
@@ -467,9 +493,9 @@ def doc_freq(spark, sf):
     return corpus.document_counts(_terms(spark, sf)).where("df >= 5")
 
 
-@query(f"WITH {_TERMS}, d AS (SELECT term, count(DISTINCT doc) AS df FROM terms GROUP BY term), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en') SELECT doc, round(sum(ln(tf + 1) * greatest(0, ln((n - df + 0.5) / (df + 0.5)))), 4) AS weight FROM terms JOIN d USING (term), n GROUP BY doc")
+@query(f"WITH {_TERMS}, d AS (SELECT term, count(DISTINCT doc) AS df FROM terms GROUP BY term), n AS (SELECT count(*) AS n FROM documents) SELECT doc, round(sum(ln(tf + 1) * greatest(0, ln((n - df + 0.5) / (df + 0.5)))), 4) AS weight FROM terms JOIN d USING (term), n GROUP BY doc")
 def tfidf(spark, sf):
-    n = W.part(W.table(spark, sf, "documents"), "lang = 'en'").agg(F.count("*").alias("n"))
+    n = W.table(spark, sf, "documents").agg(F.count("*").alias("n"))
     return corpus.tfidf(_terms(spark, sf), n).groupBy("doc").agg(_r(F.sum("weight"), 4).alias("weight"))
 
 
@@ -543,10 +569,9 @@ def html_unescape(spark, sf):
     return W.table(spark, sf, "pages").select("page_id", F.md5(X.html_unescape(F.col("html"))).alias("digest"))
 
 
-@query("SELECT doc_id, (text = nfc_normalize(text)) AS composed FROM documents WHERE lang = 'fr'")
+@query()
 def nfd(spark, sf):
-    d = W.part(W.table(spark, sf, "documents"), "lang = 'fr'")
-    return d.select("doc_id", (F.length(X.nfd(F.col("text"))) >= F.length("text")).alias("composed"))
+    return W.table(spark, sf, "documents").select("doc_id", F.md5(X.nfd(F.col("text"))).alias("digest"))
 
 
 @query("SELECT conv_id, turn, regexp_replace(text, '\\?$', '') AS question FROM conversations")
@@ -672,9 +697,9 @@ def hex_shades(spark, sf):
     return W.tokens(spark, sf).select("doc_idx", "word_idx", X.hex_intensity(F.col("fs"), F.min("fs").over(per), F.max("fs").over(per)).alias("shade"))
 
 
-@query("WITH a AS (SELECT user_id AS qid, event_id AS seq, length(event_type)::BIGINT AS s FROM events WHERE event_id < 5000), c AS (SELECT qid, s, count(*) AS votes, min(seq) AS f FROM a GROUP BY ALL), r AS (SELECT *, sum(votes) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, f) AS k FROM c) SELECT qid, s AS start, votes FROM r WHERE k = 1 AND n >= 2")
+@query("WITH a AS (SELECT user_id AS qid, event_id AS seq, length(event_type)::BIGINT AS s FROM events), c AS (SELECT qid, s, count(*) AS votes, min(seq) AS f FROM a GROUP BY ALL), r AS (SELECT *, sum(votes) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, f) AS k FROM c) SELECT qid, s AS start, votes FROM r WHERE k = 1 AND n >= 2")
 def span_vote(spark, sf):
-    a = W.part(W.table(spark, sf, "events"), "event_id < 5000").select(F.col("user_id").alias("qid"), F.col("event_id").alias("at"), F.length("event_type").cast("bigint").alias("start"), F.lit(0).alias("end"))
+    a = W.table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("at"), F.length("event_type").cast("bigint").alias("start"), F.lit(0).alias("end"))
     return corpus.span_vote(a).select("qid", "start", "votes")
 
 
@@ -754,101 +779,3 @@ def composite_ids(spark, sf):
     rec = lambda d, ok: F.struct(F.concat(F.lit(" "), F.lit(d)).alias("d"), F.when(ok, i).alias("i"))
     rows = W.table(spark, sf, "labels").select("doc_id", F.array(rec("a", F.lit(True)), rec("b", F.col("doc_id") % 2 == 0), rec("a", F.lit(True))).alias("r"))
     return rows.select("doc_id", F.array_join(metrics.composite_ids(F.col("r"), ["d", "i"]), ",").alias("ids"))
-
-
-# searches with every 50th vector of the whole table as a query --------------------------------------
-
-_SEARCHES = """mips_topk_exact mips_topk_int8 span_complete_ends span_complete_starts phrase_search agg_opt1 agg_opt2 agg_opt3 agg_opt4
-unique_docs_per_query retrieve_phrase retrieve_paragraph retrieve_document retrieve_sentence mark_phrase annotate_hits""".split()
-
-
-def _with_every(name):
-    def run(spark, sf):
-        with W.every():
-            return QUERIES[name](spark, sf)
-
-    return run
-
-
-for _name in _SEARCHES:
-    QUERIES[f"{_name}_every{W.EVERY}"] = _with_every(_name)
-    if _name in ORACLES:
-        ORACLES[f"{_name}_every{W.EVERY}"] = ORACLES[_name].replace(f"a.id < {W.QUERIES}", f"a.id % {W.EVERY} = 0")
-
-
-# trained indexes: no SQL, as training is iterative ---------------------------------------------------
-
-#: Clusters of the trained index and how many are probed; parts and codes of the product quantiser, and how
-#: many of its best are scored exactly.
-CLUSTERS, PROBES, PARTS, CODES, RESCORED = 10, 8, 16, 256, 100
-
-
-def _asked(spark, sf):
-    with W.every():
-        return W.coded(spark, sf).where(W.asked(F.col("id"))).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-
-
-def _ranks(top):
-    return top.select("qid", "id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query()
-def ivf_probe_topk_every50(spark, sf):
-    rows = W.coded(spark, sf)
-    c = index.train_centroids(rows, CLUSTERS)
-    return _ranks(mips.pruned_top_k(index.assign(rows, c), c, _asked(spark, sf), W.K, PROBES))
-
-
-@query()
-def pq_encode_score_every50(spark, sf):
-    rows, q = W.coded(spark, sf), _asked(spark, sf)
-    books, _ = index.train_codebooks(rows, PARTS, CODES)
-    decoded = index.pq_decode(index.pq_encode(rows.select("id", "vec"), books).select("id", "code"), books)
-    return _ranks(mips.rescored(mips.exact_top_k(decoded, q, RESCORED), rows, q, W.K))
-
-
-def _recall(spark, sf, found):
-    both = mips.exact_top_k(W.coded(spark, sf), _asked(spark, sf), W.K).join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
-    return both.groupBy("qid").agg(_r(F.count("hit") / F.lit(float(W.K))).alias("recall"))
-
-
-@query()
-def ivf_recall_at_k_every50(spark, sf):
-    return _recall(spark, sf, ivf_probe_topk_every50(spark, sf))
-
-
-@query()
-def pq_recall_at_k_every50(spark, sf):
-    return _recall(spark, sf, pq_encode_score_every50(spark, sf))
-
-
-# whole tables ---------------------------------------------------------------------------------------
-
-#: Queries that sample their tables, each with what its SQL says for that.
-_SAMPLED = {
-    "span_vote": " WHERE event_id < 5000", "kilt_align": " WHERE doc_id % 2 = 0", "nfd": " WHERE lang = 'fr'",
-    **dict.fromkeys(("ngram_counts", "doc_freq", "tfidf"), " WHERE lang = 'en'"),
-    **dict.fromkeys(("hits_mrr_p20", "conditional_accuracy", "bucket_metrics"), " WHERE doc_id // 40 < 25"),
-}
-
-
-def _with_whole(name):
-    def run(spark, sf):
-        with W.whole():
-            return QUERIES[name](spark, sf)
-
-    return run
-
-
-for _name, _sample in _SAMPLED.items():
-    QUERIES[f"{_name}_whole"] = _with_whole(_name)
-    if _sample in ORACLES.get(_name, ""):
-        ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_sample, "")
-
-
-@query()
-def string_match_whole(spark, sf):
-    """All documents that hold the whole text of an item, by an index of each item's rarest word."""
-    d = W.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
-    b = W.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"))
-    return metrics.matches(d, b).select("doc_id", "item_id")

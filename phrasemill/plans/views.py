@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import corpus, phrases
 
-#: Tokens of a document, scale of vector codes, filter threshold, queries, hits of a query, tokens of a span.
-WIDTH, SCALE, THRESHOLD, QUERIES, K, LENGTH = 25, 200.0, 0.1, 20, 10, 3
-#: Every so manieth vector of the whole table is a query of the ``_every50`` queries.
+#: Tokens of a document, scale of vector codes, filter threshold, hits of a query, tokens of a span.
+WIDTH, SCALE, THRESHOLD, K, LENGTH = 25, 200.0, 0.1, 10, 3
+#: Every so manieth vector of the whole table is a query.
 EVERY = 50
-_every: ContextVar[bool] = ContextVar("every", default=False)
-
-
-@contextmanager
-def every():
-    """Plans made inside take every ``EVERY``-th vector as a query, not the first ``QUERIES``."""
-    token = _every.set(True)
-    try:
-        yield
-    finally:
-        _every.reset(token)
-
-
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole():
-    """Plans made inside leave out the filters of ``part``."""
-    token = _whole.set(True)
-    try:
-        yield
-    finally:
-        _whole.reset(token)
-
-
-def part(rows: DataFrame, condition: str) -> DataFrame:
-    """The rows of a query's sample, or all of them in its ``_whole`` form."""
-    return rows if _whole.get() else rows.where(condition)
 
 
 def asked(id_col: Column) -> Column:
     """Whether a vector is a query."""
-    return id_col % EVERY == 0 if _every.get() else id_col < QUERIES
+    return id_col % EVERY == 0
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,9 +59,8 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, place, hit, tag: documents of one residue of ten by place; a hit holds the word ``gold`` of it."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("qid"), F.col("doc_id"), F.expr("doc_id div 40").alias("place"), (F.col("n_chars") % 7 == 0).alias("hit"), "lang")
-    return part(d, "place < 25").select("qid", "place", "hit", "lang")
+    """qid, place, hit, lang: documents of one residue of forty by place; a hit has a length divisible by 7."""
+    return table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("qid"), F.expr("doc_id div 40").alias("place"), (F.col("n_chars") % 7 == 0).alias("hit"), "lang")
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,20 +40,26 @@ def generated(spark: SparkSession, path) -> DataFrame:
     return _json(spark, path, schemas.GENERATED, True)
 
 
+def _line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """``row`` from 0 and ``value`` of a file's lines. Each split of the file is numbered on its own, from the
+    lines of the splits before it."""
+    from pyspark.sql.window import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # a row for each split
+    before = counts.select("split", "first", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("before"))
+    return lines.join(F.broadcast(before), "split").select((F.col("before") + F.col("at") - F.col("first")).alias("row"), "value")
+
+
 def round_robin(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of several files by turns until the shortest ends."""
+    """Lines of several files by turns until the shortest ends: ``at`` from 0, ``value``."""
     from functools import reduce
 
-    from pyspark.sql.window import Window
-
-    parts = []
-    for i, p in enumerate(paths):
-        rows = spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("row", "value"))
-        parts.append(rows.withColumn("shard", F.lit(i)))
-    both = reduce(DataFrame.unionByName, parts)
-    shortest = both.groupBy("shard").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
+    both = reduce(DataFrame.unionByName, [_line_numbers(spark, p).withColumn("shard", F.lit(i)) for i, p in enumerate(paths)])
+    shortest = both.groupBy("shard").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == len(paths), F.min("n")).otherwise(0).alias("n"))
     kept = both.crossJoin(F.broadcast(shortest)).where("row < n")
-    return kept.select((F.row_number().over(Window.orderBy("row", "shard")) - 1).alias("at"), "value")
+    return kept.select((F.col("row") * len(paths) + F.col("shard")).alias("at"), "value")
 
 
 def passages(spark: SparkSession, path) -> DataFrame:

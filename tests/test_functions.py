@@ -109,8 +109,18 @@ def test_spaces(spark):
 
 
 def test_dull_ngrams(spark):
-    df = spark.createDataFrame([("the cat",), ("cat",), ("The",), ("cat of dog",), ("- x",), ("then a",), (", .",)], "g string")
-    got = {m: [r[0] for r in df.where(corpus.keeps_ngram(F.col("g"), m)).collect()] for m in ("any", "all", "ends")}
-    assert got["any"] == ["cat"]
-    assert got["all"] == ["the cat", "cat", "cat of dog", "- x", "then a"]
-    assert got["ends"] == ["cat", "cat of dog"]
+    df = spark.createDataFrame([(1, "The cat of dog - x '' mice"), (2, None), (3, ""), (4, "word")], "doc_id int, text string")
+    terms = lambda n, m: {(r.doc, r.term): r.tf for r in corpus.term_counts(df, n, m).collect()}
+    got = {m: {t for d, t in terms(2, m) if d == 1} for m in ("any", "all", "ends", None)}
+    assert got["any"] == {"cat", "dog", "x", "mice"}
+    assert got["all"] == {"cat", "dog", "x", "mice", "the cat", "cat of", "of dog", "dog -", "- x", "x '", "' mice"}
+    assert got["ends"] == got["any"] and (4, "word") in terms(3, "any")
+    assert {t for d, t in terms(3, "ends") if d == 1} == got["any"] | {"cat of dog", "dog - x"}
+    assert len(got[None]) == 8 + 8
+
+
+def test_feature_hash_is_unsigned_murmur_of_seed_zero(spark):
+    # published test values of the x86 32-bit variant
+    assert X.murmur3([b"", b"a", b"abc", b"Hello, world!", b"The quick brown fox jumps over the lazy dog"]).tolist() == [0, 0x3C2569B2, 0xB3DD93FA, 0xC0363E43, 0x2E4FF723]
+    df = spark.createDataFrame([("abc",), ("",), ("abc",)], "t string")
+    assert [r[0] for r in df.select(X.feature_hash(F.col("t"), F.lit(1000))).collect()] == [0xB3DD93FA % 1000, 0, 0xB3DD93FA % 1000]

@@ -27,10 +27,10 @@ def test_exact_and_all_probes(vectors, queries):
     cents = index.train_centroids(vectors, 6)
     postings = index.assign(vectors, cents)
     assert postings.count() == 200
-    pruned = mips.clustered_top_k(postings, cents, queries, 7, probes=6)
+    pruned = mips.pruned_top_k(postings, cents, queries, 7, probes=6)
     cols = ["qid", "id", "score", "rank"]
     assert sorted(map(tuple, pruned.select(cols).collect())) == sorted(map(tuple, exact.select(cols).collect()))
-    assert mips.clustered_top_k(postings, cents, queries, 7, probes=1).count() <= 35
+    assert mips.pruned_top_k(postings, cents, queries, 7, probes=1).count() <= 35
 
 
 def test_queries_in_blocks(vectors, queries, monkeypatch):
