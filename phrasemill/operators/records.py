@@ -146,3 +146,37 @@ def raw_span(predicted: str | None, raw: str | None) -> str | None:
 
 #: Predicted spans as they stand in the raw text.
 final_text = F.pandas_udf(lambda p, r: pd.Series([raw_span(a, b) for a, b in zip(p, r, strict=True)]), T.StringType())
+
+
+def with_examples(features: DataFrame, examples: DataFrame) -> DataFrame:
+    """Features with the example they were cut from. ``features``: unique_id, example_index; ``examples``:
+    example_index and more."""
+    return features.join(examples, "example_index")
+
+
+def generated_id(title: Column, paragraph: Column, sentence: Column, answer: Column) -> Column:
+    """The id of a generated question: ``{title}_p{}_s{}_a{}``."""
+    return F.concat(title, F.lit("_p"), paragraph.cast("string"), F.lit("_s"), sentence.cast("string"), F.lit("_a"), answer.cast("string"))
+
+
+def occurrences(text: Column, answer: Column) -> Column:
+    """Where an answer, as it stands, begins in a text, in characters from 0; the first place is the one taken
+    where any would do."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(answer, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    at = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(F.lit(0)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + F.length(p) + F.length(answer))))
+    return F.when(F.length(answer) > 0, F.transform(F.slice(at, F.lit(2), F.size(at)), lambda x: x - F.length(answer)))
+
+
+def span_bytes(document: Column, start: Column, end: Column) -> Column:
+    """The text of a span of bytes ``[start, end)`` of a document's UTF-8 form."""
+    return F.decode(F.substring(F.encode(document, "UTF-8"), start + 1, end - start), "UTF-8")
+
+
+def resource_name(url: Column, etag: Column) -> Column:
+    """The name of a cached resource: hash of its address, and of its tag where there is one."""
+    return F.concat_ws(".", F.sha2(url, 256), F.sha2(etag, 256))
+
+
+def untokenised(words: Column, spaces: Column) -> Column:
+    """A text from its words and what follows each of them."""
+    return F.rtrim(F.array_join(F.zip_with(words, spaces, lambda w, s: F.concat(w, s)), ""))

@@ -37,3 +37,24 @@ def n_best_logits(tokens: DataFrame, score: str, n: int, by: str = "doc_idx", pl
 def two_way_loss(gold, other):
     """``-log softmax`` of the first of two scores."""
     return F.log(1 + F.exp(other - gold))
+
+
+def above(rows: DataFrame, score: str = "score", least: float = -1e5) -> DataFrame:
+    """Rows whose score isn't that of a masked one."""
+    return rows.where(F.col(score) > least)
+
+
+def readable(scored: DataFrame, tokens: DataFrame, longest: int, by: str = "doc_idx") -> DataFrame:
+    """Spans that a reader may answer with: both ends on tokens of the text, the start in the window that gives
+    it the most context, not longer than ``longest``. ``scored``: by, s, e, score; ``tokens``: by, token, best."""
+    start = tokens.where("best").select(by, F.col("token").alias("s"))
+    end = tokens.select(by, F.col("token").alias("e"))
+    return scored.where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") < longest)).join(start, [by, "s"], "left_semi").join(end, [by, "e"], "left_semi")
+
+
+def beam_spans(starts: DataFrame, ends: DataFrame, n: int, by: str = "doc_idx") -> DataFrame:
+    """The ``n`` best spans from beams of starts and, for each start, of ends, by the sum of log probabilities.
+    ``starts``: by, beam, s, log_p; ``ends``: by, beam, e, log_q."""
+    both = starts.join(ends, [by, "beam"]).where("e >= s").select(by, "s", "e", (F.col("log_p") + F.col("log_q")).alias("score"))
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), "s", "e")
+    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

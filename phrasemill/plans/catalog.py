@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import corpus, index, metrics, mips, phrases, records, sampling, search, spans
+from ..operators import corpus, index, metrics, mips, phrases, records, sampling, search, spans, training
 from ..streaming import requests
 from . import sql as S
 from . import views as W
@@ -344,9 +345,9 @@ def exact_match(spark, sf):
 
 
 #: Words of items, and answers that each rule treats in its own way: closed ones, empty ones, none.
-_RULED = f"""WITH {S.ANSWERS}, both AS (SELECT qid, i, j, coalesce(CASE i WHEN 4 THEN 'Yes' WHEN 5 THEN 'no.' WHEN 6 THEN 'the' ELSE predictions[i] END, '') AS p,
+_RULED = f"""WITH {S.ANSWERS}, ruled AS (SELECT qid, i, j, coalesce(CASE i WHEN 4 THEN 'Yes' WHEN 5 THEN 'no.' WHEN 6 THEN 'the' ELSE predictions[i] END, '') AS p,
 coalesce(CASE j WHEN 3 THEN 'yes' WHEN 4 THEN 'noanswer' WHEN 5 THEN '' WHEN 6 THEN 'yes it is' ELSE golds[j] END, '') AS g FROM answers, (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 7)) AS j)),
-pairs AS (SELECT qid, i, j, {S.answer_words('p')} AS a, {S.answer_words('g')} AS b FROM both)"""
+pairs AS (SELECT qid, i, j, {S.answer_words('p')} AS a, {S.answer_words('g')} AS b FROM ruled)"""
 _CLOSED = "['yes'], ['no'], ['noanswer']"
 
 
@@ -691,8 +692,6 @@ def candidate_restrict(spark, sf):
 
 @query(f"WITH {S.TOKENS}, r AS (SELECT doc_idx, min(fs) AS lo, max(fs) AS hi FROM tokens GROUP BY doc_idx) SELECT doc_idx, word_idx, lpad(upper(to_hex(floor((fs - lo) / (hi - lo) * 255)::BIGINT)), 2, '0') AS shade FROM tokens JOIN r USING (doc_idx)")
 def hex_shades(spark, sf):
-    from pyspark.sql.window import Window
-
     per = Window.partitionBy("doc_idx")
     return W.tokens(spark, sf).select("doc_idx", "word_idx", X.hex_intensity(F.col("fs"), F.min("fs").over(per), F.max("fs").over(per)).alias("shade"))
 
@@ -779,3 +778,146 @@ def composite_ids(spark, sf):
     rec = lambda d, ok: F.struct(F.concat(F.lit(" "), F.lit(d)).alias("d"), F.when(ok, i).alias("i"))
     rows = W.table(spark, sf, "labels").select("doc_id", F.array(rec("a", F.lit(True)), rec("b", F.col("doc_id") % 2 == 0), rec("a", F.lit(True))).alias("r"))
     return rows.select("doc_id", F.array_join(metrics.composite_ids(F.col("r"), ["d", "i"]), ",").alias("ids"))
+
+
+# training objectives --------------------------------------------------------------------------------
+
+_GOLD = "word_idx = doc_idx % (SELECT min(n) FROM (SELECT count(*) AS n FROM tokens GROUP BY doc_idx))"
+
+
+def _least(spark, sf):
+    """Tokens, with the number that the shortest document has."""
+    t = W.tokens(spark, sf)
+    least = t.groupBy("doc_idx").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    return t.crossJoin(F.broadcast(least))
+
+
+@query(f"WITH {S.TOKENS} SELECT doc_idx, round((ln(sum(exp(fs))) - any_value(fs) FILTER ({_GOLD}) + ln(sum(exp(fe))) - any_value(fe) FILTER ({_GOLD})) / 2, 6) AS loss FROM tokens GROUP BY doc_idx")
+def span_cross_entropy(spark, sf):
+    gold = F.col("word_idx") == F.col("doc_idx") % F.col("least")
+    return training.span_loss(_least(spark, sf), gold, gold, "fs", "fe", ["doc_idx"]).select("doc_idx", _r("loss").alias("loss"))
+
+
+@query(f"WITH {S.TOKENS}, z AS (SELECT doc_idx, ln(sum(exp(fs))) AS s, ln(sum(exp(fe))) AS t FROM tokens GROUP BY doc_idx) SELECT doc_idx, round(sum(exp(fe - t) * (fe - t - fs + s)), 6) AS loss FROM tokens JOIN z USING (doc_idx) GROUP BY doc_idx")
+def distillation_kl(spark, sf):
+    return training.divergence(W.tokens(spark, sf), ["doc_idx"], "fe", "fs").select("doc_idx", _r("loss").alias("loss"))
+
+
+@query(f"WITH {S.TOKENS} SELECT round(avg(greatest(fs, 0) - CASE WHEN fe > {W.THRESHOLD} THEN fs ELSE 0 END + ln(1 + exp(-abs(fs)))), 6) AS loss FROM tokens")
+def filter_bce(spark, sf):
+    return W.tokens(spark, sf).agg(_r(F.avg(training.binary_loss(F.col("fs"), F.col("fe") > W.THRESHOLD))).alias("loss"))
+
+
+_BATCH = "v AS (SELECT vec_id AS id, vec_id // 20 AS batch, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings), s AS (SELECT a.id AS qid, b.id AS pid, list_dot_product(a.vec, b.vec) AS score FROM v a JOIN v b ON b.batch BETWEEN a.batch - {before} AND a.batch)"
+_BATCH_LOSS = "WITH " + _BATCH + " SELECT qid, round(ln(sum(exp(score))) - any_value(score) FILTER (pid = qid), 6) AS loss FROM s GROUP BY qid"
+
+
+def _batch_loss(spark, sf, before):
+    v = W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id div 20").alias("batch"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    q = v.select(F.col("id").alias("qid"), "batch", F.col("id").alias("pid"), F.col("vec").alias("qvec"))
+    scores = training.batch_scores(q, v.select(F.col("id").alias("pid"), "batch", F.col("vec").alias("pvec")), before)
+    return training.marginal_loss(scores, ["qid"], "score", F.col("own")).select("qid", _r("loss").alias("loss"))
+
+
+@query(_BATCH_LOSS.format(before=0))
+def in_batch_loss(spark, sf):
+    return _batch_loss(spark, sf, 0)
+
+
+@query(_BATCH_LOSS.format(before=2))
+def pre_batch_loss(spark, sf):
+    return _batch_loss(spark, sf, 2)
+
+
+_HIT_LIST = f"WITH {S.CODED}, hits AS (SELECT * FROM (SELECT a.id AS qid, b.id, list_dot_product(a.vec, b.vec) / 10000 AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.vec, b.vec) DESC, b.id) AS rank FROM coded a, coded b WHERE a.id % {W.EVERY} = 0) WHERE rank <= {W.K})"
+
+
+def _hit_list(spark, sf):
+    return _exact(spark, sf, "code").withColumn("score", F.col("score") / 10000)
+
+
+@query(_HIT_LIST + " SELECT qid, round(ln(sum(exp(score))) - ln(sum(exp(score)) FILTER (id % 3 = 0)), 6) AS loss FROM hits GROUP BY qid")
+def marginal_likelihood_loss(spark, sf):
+    return training.marginal_loss(_hit_list(spark, sf), ["qid"], "score", F.col("id") % 3 == 0).select("qid", _r("loss").alias("loss"))
+
+
+@query(_HIT_LIST + ", f AS (SELECT qid, min(rank) FILTER (id % 3 = 0) AS first FROM hits GROUP BY qid) SELECT round(avg(coalesce(first <= 1, false)::INT), 6) AS acc1, round(avg(coalesce(first <= 5, false)::INT), 6) AS acck FROM f")
+def train_accuracy(spark, sf):
+    m = training.accuracy(_hit_list(spark, sf), F.col("id") % 3 == 0, 5)
+    return m.select(*(_r(c).alias(c) for c in m.columns))
+
+
+@query(_HIT_LIST + " SELECT qid, arg_max(id, (id * 7919 % 1009) * 1000000 - id) AS best FROM hits GROUP BY qid")
+def rerank_top1(spark, sf):
+    again = (F.col("id") * 7919 % 1009) * 1_000_000 - F.col("id")
+    return _hit_list(spark, sf).groupBy("qid").agg(F.max_by("id", again).alias("best"))
+
+
+@query("SELECT a.vec_id AS qid, b.vec_id AS pid, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def paired_scores(spark, sf):
+    e = W.table(spark, sf, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("qid"), F.col("vec_id").alias("pid"), F.col("embedding").alias("other"))
+    return e.select(F.col("vec_id").alias("qid"), "embedding").join(nxt, "qid").select("qid", "pid", _r(V.dot(F.col("embedding"), F.col("other"))).alias("score"))
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang))")
+def equal_lengths(spark, sf):
+    return training.equal_lengths(W.table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
+
+
+@query("WITH b AS (SELECT event_id // 64 AS batch, count(*) AS questions, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE AS seconds FROM events GROUP BY 1) SELECT sum(questions)::BIGINT AS questions, round(sum(seconds), 4) AS seconds, round(sum(questions) / sum(seconds), 6) AS rate FROM b WHERE batch >= 5")
+def questions_per_second(spark, sf):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    b = W.table(spark, sf, "events").groupBy(F.expr("event_id div 64").alias("batch")).agg(F.count("*").alias("questions"), ((F.max(at) - F.min(at)) / 1_000_000).alias("seconds"))
+    return training.questions_per_second(b).select("questions", _r("seconds", 4).alias("seconds"), _r("rate").alias("rate"))
+
+
+# decoding and records -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SCORED} SELECT doc_idx, count(*) AS spans FROM (SELECT doc_idx, CASE WHEN s % 2 = 0 THEN score - 1000000 ELSE score END AS score FROM scored) WHERE score > -100000 GROUP BY doc_idx")
+def score_cut(spark, sf):
+    masked = _scored(spark, sf).withColumn("score", F.when(F.col("s") % 2 == 0, F.col("score") - 1e6).otherwise(F.col("score")))
+    return spans.above(masked).groupBy("doc_idx").agg(F.count("*").alias("spans"))
+
+
+@query(f"WITH {_SCORED} SELECT doc_idx, s, e, round(score, 6) AS score FROM scored WHERE s % 3 <> 0 AND e % 5 <> 0 AND s % 5 <> 0 AND e - s < 4")
+def readable_spans(spark, sf):
+    t = W.tokens(spark, sf).where("word_idx % 5 <> 0").select("doc_idx", F.col("word_idx").alias("token"), (F.col("word_idx") % 3 != 0).alias("best"))
+    return spans.readable(_scored(spark, sf), t, 4).select("doc_idx", "s", "e", _r("score").alias("score"))
+
+
+@query(f"WITH {S.TOKENS}, z AS (SELECT doc_idx, ln(sum(exp(fs))) AS zs, ln(sum(exp(fe))) AS ze FROM tokens GROUP BY doc_idx), st AS (SELECT doc_idx, word_idx AS s, fs - zs AS p, row_number() OVER (PARTITION BY doc_idx ORDER BY fs DESC, word_idx) AS beam FROM tokens JOIN z USING (doc_idx)), en AS (SELECT doc_idx, word_idx AS e, fe - ze AS q, row_number() OVER (PARTITION BY doc_idx ORDER BY fe DESC, word_idx) AS k FROM tokens JOIN z USING (doc_idx)), b AS (SELECT doc_idx, s, e, p + q AS score, row_number() OVER (PARTITION BY doc_idx ORDER BY p + q DESC, s, e) AS place FROM st JOIN en USING (doc_idx) WHERE beam <= 5 AND k <= 5 AND e >= s) SELECT doc_idx, s, e, place, round(score, 6) AS score FROM b WHERE place <= 3")
+def beam_spans(spark, sf):
+    t = W.tokens(spark, sf)
+    z = training.log_mass(t, ["doc_idx"], "fs").withColumnRenamed("log_mass", "zs").join(training.log_mass(t, ["doc_idx"], "fe").withColumnRenamed("log_mass", "ze"), "doc_idx")
+    t = t.join(z, "doc_idx")
+    ranked = lambda c: spans.n_best_logits(t, c, 5)
+    order = Window.partitionBy("doc_idx").orderBy(F.col("fs").desc(), "word_idx")
+    starts = ranked("fs").select("doc_idx", F.row_number().over(order).alias("beam"), F.col("word_idx").alias("s"), (F.col("fs") - F.col("zs")).alias("log_p"))
+    ends = ranked("fe").select("doc_idx", F.col("word_idx").alias("e"), (F.col("fe") - F.col("ze")).alias("log_q"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("beam"))
+    return spans.beam_spans(starts, ends, 3).select("doc_idx", "s", "e", F.col("place").cast("bigint").alias("place"), _r("score").alias("score"))
+
+
+@query("SELECT doc_id AS unique_id, d.lang FROM labels JOIN documents d USING (doc_id)")
+def feature_examples(spark, sf):
+    f = W.table(spark, sf, "labels").select(F.col("doc_id").alias("unique_id"), F.col("doc_id").alias("example_index"))
+    e = W.table(spark, sf, "documents").select(F.col("doc_id").alias("example_index"), "lang")
+    return records.with_examples(f, e).select("unique_id", "lang")
+
+
+@query("SELECT conv_id, turn, role || '_p' || conv_id || '_s' || turn || '_a' || (turn % 3) AS id FROM conversations")
+def generated_ids(spark, sf):
+    c = W.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", records.generated_id(F.col("role"), F.col("conv_id"), F.col("turn"), F.col("turn") % 3).alias("id"))
+
+
+@query("SELECT item_id, len(p)::BIGINT - 1 AS times, CASE WHEN len(p) > 1 THEN length(p[1])::BIGINT END AS first FROM (SELECT item_id, string_split(text, 'th') AS p FROM benchmark)")
+def answer_occurrences(spark, sf):
+    at = records.occurrences(F.col("text"), F.lit("th"))
+    return W.table(spark, sf, "benchmark").select("item_id", at.alias("at")).select("item_id", F.size("at").cast("bigint").alias("times"), F.get("at", F.lit(0)).cast("bigint").alias("first"))
+
+
+@query("SELECT page_id, sha256(url) || '.' || sha256(page_id::VARCHAR) AS name FROM pages")
+def resource_names(spark, sf):
+    return W.table(spark, sf, "pages").select("page_id", records.resource_name(F.col("url"), F.col("page_id").cast("string")).alias("name"))

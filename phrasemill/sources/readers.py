@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -150,7 +150,8 @@ def adapt(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of a known format as ``id, question, answers``; answers trimmed, distinct, not empty.
 
     ``pairs``: question, answer (array); ``columns``: question, answers (array); ``relation``: input, output
-    of provenance records; ``single``: question, answer (string); ``reading``: id, question, answers (structs).
+    of provenance records; ``single``: question, answer (string); ``reading``: id, question, answers (structs);
+    ``lines``: value, a question without answers; ``literal``: question, answers as a written list of strings.
     """
     clean = lambda c: F.array_distinct(F.filter(F.transform(c, lambda a: F.trim(a)), lambda a: a != ""))
     made = F.sha2("question", 256)
@@ -164,4 +165,53 @@ def adapt(rows: DataFrame, kind: str) -> DataFrame:
         return rows.select(made.alias("id"), "question", clean(F.array("answer")).alias("answers"))
     if kind == "reading":
         return rows.select("id", "question", clean(F.transform("answers", lambda a: a["text"])).alias("answers"))
+    if kind == "lines":
+        q = F.trim("value")
+        return rows.select(F.sha2(q, 256).alias("id"), q.alias("question"), F.array(F.lit("")).alias("answers"))
+    if kind == "literal":
+        return rows.select(made.alias("id"), "question", clean(written_list(F.col("answers"))).alias("answers"))
     raise ValueError(kind)
+
+
+def written_list(text: Column) -> Column:
+    """The strings of a list as it is written in source text, in either kind of quotes, with escaped ones."""
+    quoted = F.regexp_extract_all(text, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    return F.transform(quoted, lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
+
+
+def title_ids(spark: SparkSession, path) -> DataFrame:
+    """``title, wikipedia_id`` from one JSON object that maps titles to ids."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
+    return rows.select(F.explode("m").alias("title", "wikipedia_id"))
+
+
+def database_texts(spark: SparkSession, path: str, table: str = "documents", partitions: int = 8) -> DataFrame:
+    """``id, text`` of a SQLite table, by ranges of its row numbers: every task reads its own range from a file
+    that all executors can open. Filters on ``id`` are applied to what was read."""
+
+    def read(batches):
+        import sqlite3
+
+        import pyarrow as pa
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+            for b in batches:
+                for part in b.column("id").to_pylist():
+                    if low is None:
+                        continue
+                    step = -(-(high - low + 1) // partitions)
+                    found = db.execute(f"SELECT id, text FROM {table} WHERE rowid >= ? AND rowid < ?", (low + part * step, low + (part + 1) * step))
+                    while rows := found.fetchmany(1000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["id", "text"])
+
+    return spark.range(0, partitions, 1, partitions).mapInArrow(read, "id string, text string")
+
+
+def casing_counts(texts: DataFrame, text_col: str = "text") -> dict[str, DataFrame]:
+    """Tables of counts for a true-caser: ``words`` (word, n), ``before`` (pairs of a word and the next) and
+    ``around`` (a word with both neighbours), of words as they are cased."""
+    rows = texts.select(F.split(F.trim(text_col), " +").alias("w0"))
+    rows = rows.select(F.explode(F.arrays_zip("w0", F.slice("w0", 2, F.size("w0")).alias("w1"), F.slice("w0", 3, F.size("w0")).alias("w2"))).alias("t")).select("t.*").where("w0 <> ''")
+    count = lambda *c: rows.where(F.col(c[-1]).isNotNull()).groupBy(*c).agg(F.count("*").alias("n"))
+    return {"words": count("w0").withColumnRenamed("w0", "word"), "before": count("w0", "w1"), "around": count("w0", "w1", "w2")}
