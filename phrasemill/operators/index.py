@@ -48,11 +48,25 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.repartition("cluster_id").write.partitionBy("cluster_id").mode("append").parquet(path)
 
 
-def train_codebooks(vectors: DataFrame, parts: int, codes: int = 256, seed: int = 29, vec_col: str = "vec", sample: int = 50_000, rotate: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Product-quantiser codebooks (parts, codes, width) and a rotation, from ``sample`` vectors at most.
-
-    With ``rotate`` the rotation aligns with the principal axes and deals them to the parts by turns,
-    which evens out their spread.
+def _k_means(x: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres after some rounds, and the nearest centre of every row."""
+    c = start.copy()
+    for _ in range(rounds):
+        near = np.argmin((c**2).sum(1) - 2 * x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        n = np.bincount(near, minlength=len(c))
+        c[n > 0] = sums[n > 0] / n[n > 0, None]
+    return c, np.argmin((c**2).sum(1) - 2 * x @ c.T, axis=1)
+
+
+def train_codebooks(vectors: DataFrame, parts: int, codes: int = 256, seed: int = 29, vec_col: str = "vec", sample: int = 50_000, rotate: bool = False, turns: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Product-quantiser codebooks (parts, codes, width) and a rotation, from ``sample`` vectors at most, those
+    with the smallest hashes.
+
+    With ``rotate`` the rotation begins with the principal axes, dealt to the parts by turns, and is then
+    improved ``turns`` times: it is set to the orthogonal matrix that brings the vectors closest to what their
+    codes stand for, and the codebooks are trained on.
     """
     rows = vectors.select(vec_col).orderBy(F.xxhash64(vec_col)).limit(sample).toPandas()[vec_col]
     x = np.array([np.asarray(v, float) for v in rows])
@@ -60,17 +74,20 @@ def train_codebooks(vectors: DataFrame, parts: int, codes: int = 256, seed: int
     if rotate:
         axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1]
         rotation = axes[:, np.argsort(np.arange(x.shape[1]) % parts, kind="stable")]
-    x = x @ rotation
     width, rng = x.shape[1] // parts, np.random.default_rng(seed)
-    books = np.zeros((parts, codes, width))
-    for p in range(parts):
-        sub = x[:, p * width : (p + 1) * width]
-        c = sub[rng.choice(len(sub), codes, replace=len(sub) < codes)].copy()
-        for _ in range(12):
-            near = np.argmin((c**2).sum(1) - 2 * sub @ c.T, axis=1)
-            for j in np.unique(near):
-                c[j] = sub[near == j].mean(0)
-        books[p] = c
+    first = rng.choice(len(x), codes, replace=len(x) < codes)
+    books = np.stack([(x @ rotation)[first, p * width : (p + 1) * width] for p in range(parts)])
+    for turn in range(turns + 1 if rotate else 1):
+        if turn:
+            # the rotation of the least distance to the decoded vectors (orthogonal Procrustes)
+            u, _, v = np.linalg.svd(x.T @ decoded)
+            rotation = u @ v
+        y = x @ rotation
+        decoded = np.zeros_like(y)
+        for p in range(parts):
+            at = slice(p * width, (p + 1) * width)
+            books[p], near = _k_means(y[:, at], books[p], 4 if turn else 12)
+            decoded[:, at] = books[p][near]
     return books, rotation
 
 

@@ -124,6 +124,16 @@ def pq_encode_score(spark, sf):
     return _ranks(mips.rescored(mips.exact_top_k(decoded, q, RESCORED), rows, q, W.K))
 
 
+@query()
+def opq_encode_score(spark, sf):
+    """As ``pq_encode_score``, with vectors and queries rotated to fit the codebooks."""
+    rows, q = W.coded(spark, sf), _asked(spark, sf)
+    books, rotation = index.train_codebooks(rows, PARTS, CODES, rotate=True)
+    decoded = index.pq_decode(index.pq_encode(rows.select("id", "vec"), books, rotation).select("id", "code"), books)
+    turned = index.rotated(q, rotation, "qvec", "qvec")
+    return _ranks(mips.rescored(mips.exact_top_k(decoded, turned, RESCORED), rows, q, W.K))
+
+
 def _recall(spark, sf, found):
     both = mips.exact_top_k(W.coded(spark, sf), _asked(spark, sf), W.K).join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
     return both.groupBy("qid").agg(_r(F.count("hit") / F.lit(float(W.K))).alias("recall"))
@@ -139,6 +149,11 @@ def pq_recall_at_k(spark, sf):
     return _recall(spark, sf, pq_encode_score(spark, sf))
 
 
+@query()
+def opq_recall_at_k(spark, sf):
+    return _recall(spark, sf, opq_encode_score(spark, sf))
+
+
 # phrases ------------------------------------------------------------------------------------------
 
 

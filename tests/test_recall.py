@@ -9,7 +9,7 @@ from phrasemill.plans import catalog
 from phrasemill.plans import views as W
 
 
-@pytest.mark.parametrize("name", ["ivf_probe_topk", "pq_encode_score"])
+@pytest.mark.parametrize("name", ["ivf_probe_topk", "pq_encode_score", "opq_encode_score"])
 def test_recall(spark, name):
     want, got = brute_force(spark), {}
     for r in catalog.QUERIES[name](spark, SF).collect():
@@ -18,7 +18,7 @@ def test_recall(spark, name):
     assert set(got) == set(want) and sum(recall) / len(recall) >= 0.9
 
 
-@pytest.mark.parametrize("name", ["ivf_recall_at_k", "pq_recall_at_k"])
+@pytest.mark.parametrize("name", ["ivf_recall_at_k", "pq_recall_at_k", "opq_recall_at_k"])
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
 def test_recall_query(spark, name, sf):
     rows = catalog.QUERIES[name](spark, f"/root/testdata/sf{sf}").collect()
@@ -42,3 +42,17 @@ def test_pruned_search_equals_brute_force(spark, monkeypatch, block):
     for i, found in got.items():
         near = [j for j in vectors if of[j] in best(vectors[i], 3)]
         assert found == sorted(near, key=lambda j: (-vectors[j] @ vectors[i], j))[:10]
+
+
+def test_rotation_lessens_the_error_of_codes(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16)) @ rng.normal(size=(16, 16))
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, vec array<double>")
+
+    def error(rotate):
+        books, rotation = index.train_codebooks(rows, 4, 16, rotate=rotate)
+        assert np.allclose(rotation @ rotation.T, np.eye(16))
+        got = index.pq_decode(index.pq_encode(rows, books, rotation).select("id", "code"), books).orderBy("id").collect()
+        return ((np.array([r.vec for r in got]) - x @ rotation) ** 2).sum()
+
+    assert error(True) < 0.9 * error(False)
