@@ -54,6 +54,6 @@ def components(edges: DataFrame) -> DataFrame:
         discard(parents)
         live = after
     if labels is None:
-        kind = edges.schema["a"].dataType
-        return both.select(F.col("a").cast(kind).alias("node"), F.col("b").cast(kind).alias("root")).where(F.lit(False))
+        kind = edges.schema["a"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     return labels

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _arrow as A
 from ._components import components
-from ._store import numbered, shuffle_partitions, written
+from ._store import discard, numbered, shuffle_partitions, written
 
 ROWS = 3
 #: The share of pairs at exactly the asked similarity that may be missed.
@@ -261,8 +261,8 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(heads, "head").join(small, "rep").select("head", "rep", "x", "y").mapInArrow(run, "head bigint, rep bigint, agree int")
 
 
-def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """Ties ``a``, ``b`` from the members (key, rep) of buckets."""
+def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int, made: list[DataFrame]) -> DataFrame:
+    """Ties ``a``, ``b`` from the members (key, rep) of buckets. Tables written on the way go to ``made``."""
     share = percent / 100
     far, inner = agreeing(max(0.0, 2 * share - 1), hashes), math.ceil(hashes * (1 + share) / 2)
     found = []
@@ -270,6 +270,7 @@ def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int) ->
         heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1")
         tied = written(members.join(heads, "key").where("rep <> head"), "members")
         agree = written(_agreement(tied.select("head", "rep").distinct(), classes), "agreement")
+        made += [tied, agree]
         enough = F.when(F.col("members") == 2, agreeing(share, hashes)).otherwise(far)
         known = tied.join(agree, ["head", "rep"])
         found.append(known.where(F.col("agree") >= enough).select(F.col("head").alias("a"), F.col("rep").alias("b")))
@@ -279,8 +280,9 @@ def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int) ->
     return reduce(DataFrame.unionByName, found)
 
 
-def _links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links ``a``, ``b`` from rows (id, set, root, blocks): candidate groups by their root, in so many blocks."""
+def _links(sets: DataFrame, percent: int, parts: int, made: list[DataFrame]) -> DataFrame:
+    """Links ``a``, ``b`` from rows (id, set, root, blocks): candidate groups by their root, in so many blocks.
+    Tables written on the way go to ``made``."""
 
     def together(rows: DataFrame, *key) -> DataFrame:
         rows = rows.withColumn("group", F.xxhash64(*key)).repartition(parts, "group")
@@ -293,6 +295,7 @@ def _links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     own = large.where("id <> root").withColumn("block", block)
     heads = large.where("id = root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     decided = written(_against_heads(together(own.unionByName(heads), "root", "block").select("group", "id", "root", "set"), percent), "decided")
+    made.append(decided)
     near = decided.where("linked AND id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     rest = decided.where("NOT linked").groupBy("id", "root").agg(F.max("n").alias("n"))
     if rest.isEmpty():
@@ -328,7 +331,10 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     # minima are aggregated map-side; members of one are dropped before anything else
     alone = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     members = written(keys.join(alone, "key"), "buckets")
-    candidates = components(_ties(members, classes, percent, collections * ROWS + EXTRA))
+    made = [members]
+    candidates = components(_ties(members, classes, percent, collections * ROWS + EXTRA, made))
+    for x in made:  # the components are written, nothing needs these any more
+        discard(x)
     sized = candidates.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     totals = sized.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = totals.select("root", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -349,7 +355,10 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     sets = texts.mapInArrow(gather, "id bigint, set binary").where("length(set) > 0")
     sets = written(sets.join(placed, "id"), "sets")
     parts = max(4 * shuffle_partitions(spark), math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / PART_BYTES))
-    roots = components(_links(sets, percent, parts)).select(F.col("node").alias("rep"), "root")
+    made = [sets]
+    roots = components(_links(sets, percent, parts, made)).select(F.col("node").alias("rep"), "root")
+    for x in made:
+        discard(x)
     labelled = classes.select("digest", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = rows.select("id", "digest", "n").join(labelled, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
