@@ -110,11 +110,15 @@ def regex_match_each(text: pd.Series, pattern: pd.Series) -> pd.Series:
     """A pattern for every row, anchored at the beginning; a pattern that doesn't compile matches nothing."""
     import regex
 
-    def one(t, p):
+    compiled = {}
+    for p in pattern.unique():
         try:
-            return bool(regex.compile(p, flags=regex.IGNORECASE | regex.UNICODE | regex.MULTILINE).match(t))
+            compiled[p] = regex.compile(p, flags=regex.IGNORECASE | regex.UNICODE | regex.MULTILINE)
         except (regex.error, TypeError):
-            return False
+            compiled[p] = None
+
+    def one(t, p):
+        return isinstance(t, str) and compiled[p] is not None and bool(compiled[p].match(t))
 
     return pd.Series([one(t, p) for t, p in zip(text, pattern, strict=True)], dtype=bool)
 
