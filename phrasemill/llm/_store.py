@@ -53,7 +53,10 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table, format="parquet")
-    return spark.table(table)
+    out = spark.table(table)
+    # the name was only needed to write by buckets: files and the frame that reads them stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
