@@ -44,6 +44,8 @@ BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000
 BROADCAST_ROWS = 100_000
 #: Minhashes besides those of the collections, turns of a bucket with a new head, and text of a partition.
 EXTRA, TURNS, PART_BYTES = 48, 2, 32 << 20
+#: Text that is cut into shingles at once.
+CHUNK_TEXT = 1 << 20
 
 _WORD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -137,7 +139,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, collections
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for b in A.chunks(batches, "text"):
+        for b in A.chunks(batches, "text", CHUNK_TEXT):
             sets, begin = shingle_sets(b.column("text"), size)
             data = memoryview(sets.tobytes())
             digest = [hashlib.blake2b(data[8 * x : 8 * y], digest_size=16).digest() if x < y else None for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
@@ -345,7 +347,7 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").join(wanted, "id", "left_semi")
 
     def gather(batches):
-        for b in A.chunks(batches, "text"):
+        for b in A.chunks(batches, "text", CHUNK_TEXT):
             sets, begin = shingle_sets(b.column("text"), size)
             offsets = pa.py_buffer((begin * 8).astype(np.int64))
             full = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, offsets, pa.py_buffer(sets)])
