@@ -44,10 +44,11 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _byte_table(is_word) -> np.ndarray:
-    """Byte to byte: A-Z to a-z, bytes outside words to a space."""
+def _byte_table(is_word, lower: bool = True) -> np.ndarray:
+    """Byte to byte: A-Z to a-z if ``lower``, bytes outside words to a space."""
     table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
+    if lower:
+        table[65:91] += 32
     for b in range(128):
         if not is_word(int(table[b])):
             table[b] = 32
@@ -57,6 +58,8 @@ def _byte_table(is_word) -> np.ndarray:
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` and ``[^\x20\x09-\x0D]+``, both after lower-casing A-Z.
 ALNUM = _byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122)
 SPACED = _byte_table(lambda b: not (b == 32 or 9 <= b <= 13))
+#: Words ``[^\x20\x09-\x0D]+`` as they stand.
+AS_IS = _byte_table(lambda b: not (b == 32 or 9 <= b <= 13), lower=False)
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

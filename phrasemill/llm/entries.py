@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licences, near_dedup, packing, quality, sharding, simple8b, suffix_tree, token_counts
+from . import decontaminate, exact_dedup, filter_audit, licences, near_dedup, packing, quality, sharding, simple8b, snapshot_diff, substring_dedup, suffix_tree, token_counts
 from ._store import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_sharding, op3_token_counts, op4_suffix_tree, op5_simple8b, op6_licences, op7_bin_packing, op8_near_dedup, op9_quality, op10_exact_dedup)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digested(table(spark, sf_dir, "documents"), width=50)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot_diff.digested(docs, snapshot_diff.next_snapshot(docs))
+
+
+_ALL = (
+    op1_decontamination, op2_sharding, op3_token_counts, op4_suffix_tree, op5_simple8b, op6_licences, op7_bin_packing, op8_near_dedup, op9_quality,
+    op10_exact_dedup, op11_substring_dedup, op12_filter_audit, op13_snapshot_diff,
+)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_snapshot_diff": snapshot_diff.ORACLE_SQL,
+}
