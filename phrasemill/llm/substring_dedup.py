@@ -3,15 +3,18 @@
 Every window of ``width`` words has one anchor: of the runs of ``SEED`` words in it the one of the smallest
 hash, the last of several. Equal windows have equal anchors at equal places in them, so every passage that two
 documents share over the whole width is seeded. Windows of one document with the same anchor are consecutive:
-the words from the first one's start to the last one's end are the anchor's reach, and an anchor with its reach
-is a row of some 40 bytes, one for about 13 words.
+the words from the first one's start to the last one's end are the anchor's reach, and an anchor with a hash of
+its reach is a row of some 40 bytes, one for about 18 words.
 
 Documents are joined on anchors. An occurrence whose reach equals that of the smallest id's is wholly a repeat.
-Elsewhere all occurrences of an anchor are extended together, both ways and word by word as far as their
-reach: two agree so far to the left and so far to the right exactly if they have the same windows, so each
-different reach is listed window by window and the smallest id of each window is found (occurrences are never
-paired with each other, and what many documents have is aggregated map-side). Windows that a smaller id has as
-well are merged to maximal repeats, of ``width`` words at least.
+Where reaches differ, the occurrences of an anchor are extended together, both ways and word by word as far as
+their reach: two agree so far to the left and so far to the right exactly if they have the same windows, so one
+occurrence of each different reach is listed window by window and the smallest id of each window is found
+(occurrences are never paired with each other, and what many documents have is aggregated map-side). Windows
+that a smaller id has as well are merged to maximal repeats, of ``width`` words at least.
+
+Anchors move twice, in short rows. Of the texts only those move that are listed by windows or lose words; bitmaps
+of bounded size tell which can stay where they are.
 
 Words, anchors, reaches and windows are compared by 64-bit hashes; two different windows would have to agree in
 the hash of their anchor and in their own (128 bits).
@@ -27,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrow as A
-from ._store import written
+from ._bitmap import bitmap, only
+from ._store import discard, written
 
 #: Words of an anchor, if the width allows, and text that is handled at once.
-SEED, CHUNK_TEXT = 25, 1 << 20
+SEED, CHUNK_TEXT = 16, 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -69,48 +73,61 @@ def last_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def text_keys(texts: pa.Array) -> pa.Array:
-    return pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
+    """64-bit digests of the texts: they tell apart texts of one id."""
+    found = b"".join(hashlib.blake2b(t or b"", digest_size=8).digest() for t in texts.cast(pa.large_binary()).to_pylist())
+    return pa.array(np.frombuffer(found, np.int64))
+
+
+def _rolled(texts: pa.Array) -> tuple[Rolled, int, np.ndarray]:
+    tokens, first = A.words(texts, A.AS_IS)
+    index, distinct = A.encoded(tokens)
+    return Rolled(A.mixed(A.hashes(distinct))[index]), len(tokens), first
 
 
 def anchors(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each occurrence of an anchor: id, text_key, anchor (hash), shift (words of the reach before the
-    anchor), reach (hash of its words and shift), first (the first window's start), windows (their hashes)."""
+    """One row for each occurrence of an anchor: id, text_key, anchor (hash), reach (hash of its words and the
+    anchor's place in it), first (the first window's start), many (windows)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     seed = max(1, min(SEED, width // 2))
-    names = ["id", "text_key", "anchor", "reach", "first", "windows"]
 
     def run(batches):
         for b in A.chunks(batches, "text", CHUNK_TEXT):
-            tokens, first = A.words(b.column("text"), A.AS_IS)
-            if len(tokens) < width:
-                continue
-            index, distinct = A.encoded(tokens)
-            rolled = Rolled(A.mixed(A.hashes(distinct))[index])
-            seeds = rolled.runs(np.arange(len(tokens) - seed + 1), seed)
-            anchor = last_least(seeds, width - seed + 1)
+            rolled, total, first = _rolled(b.column("text"))
             # windows that lie in one text
             counts = np.maximum(np.diff(first) - width + 1, 0)
             start = A.ragged(first[:-1], counts)
             if not len(start):
                 continue
+            seeds = rolled.runs(np.arange(total - seed + 1), seed)
+            anchor = last_least(seeds, width - seed + 1)[start]
             text = np.repeat(np.arange(b.num_rows), counts)
-            anchor = anchor[start]
-            head = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))
-            at = np.flatnonzero(head)
+            at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
             many = np.diff(np.append(at, len(start)))
             low, place, owner = start[at], anchor[at], text[at]
             with np.errstate(over="ignore"):
                 reach = A.mixed(rolled.runs(low, many - 1 + width) + (place - low).astype(np.uint64) * _BASE + many.astype(np.uint64))
-            # a window's own hash is of another kind than its anchor's, and tells how far it begins before it
-            own = A.mixed(rolled.runs(start, width) ^ A.mixed((anchor - start).astype(np.uint64) + _BASE))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(start)).astype(np.int32)), pa.array(own.view(np.int64)))
-            keys = text_keys(b.column("text"))
+            first_window = (low - first[:-1][owner]).astype(np.int32)
             owner = pa.array(owner)
-            columns = [b.column("id").take(owner), keys.take(owner), pa.array(seeds[place].view(np.int64)), pa.array(reach.view(np.int64)), pa.array(low - first[:-1][text[at]]), lists]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [b.column("id").take(owner), text_keys(b.column("text")).take(owner), pa.array(seeds[place].view(np.int64)), pa.array(reach.view(np.int64)), pa.array(first_window), pa.array(many.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "anchor", "reach", "first", "many"])
+
+    return rows.mapInArrow(run, f"id {kind}, text_key bigint, anchor bigint, reach bigint, first int, many int")
 
-    return rows.mapInArrow(run, f"id {kind}, text_key binary, anchor bigint, reach bigint, first bigint, windows array<bigint>")
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, text_key."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), text_keys(b.column("text"))], ["id", "text", "text_key"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, text_key bigint")
+
+
+def _same_text(a: str, b: str):
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
 
 
 def _later(than: str):
@@ -118,40 +135,69 @@ def _later(than: str):
     return F.col(than).isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col(than)))
 
 
+def _windows(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``anchor``, ``reach``, ``id``, ``done``, ``alone``, ``at``, ``window``: the windows of one occurrence of each reach, by their place in it."""
+    # a text's anchors are fewer than its words
+    asked = classes.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "reach", "first", "many", "done", "alone")).alias("asked"))
+    among = bitmap(classes, "text_key")
+    both = only(texts, "text_key", among).alias("t").join(asked.alias("s"), _same_text("t", "s")).select("t.id", "t.text", "s.asked")
+    # rows that are wholly repeated give the same windows
+    kind = both.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in A.chunks(batches, "text", CHUNK_TEXT):
+            rolled, _, first = _rolled(b.column("text"))
+            lists = b.column("asked")
+            owner = pa.array(np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())))
+            x = lists.flatten()
+            many = x.field("many").to_numpy().astype(np.int64)
+            low = x.field("first").to_numpy().astype(np.int64) + first[:-1][owner.to_numpy()]
+            start = A.ragged(low, many)
+            row = np.repeat(np.arange(len(many)), many)
+            take = pa.array(row)
+            at = pa.array((start - low[row]).astype(np.int32))
+            window = pa.array(rolled.runs(start, width).view(np.int64))
+            yield pa.RecordBatch.from_arrays([x.field("anchor").take(take), x.field("reach").take(take), b.column("id").take(owner).take(take), x.field("done").take(take), x.field("alone").take(take), at, window], ["anchor", "reach", "id", "done", "alone", "at", "window"])
+
+    return both.mapInArrow(run, f"anchor bigint, reach bigint, id {kind}, done boolean, alone boolean, at int, window bigint")
+
+
 def repeated_windows(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text_key`` (128-bit digest of the text) and an array ``starts`` of windows, by the place of their
-    first word, that a smaller id has as well; several rows for one text."""
+    """``id``, ``text_key`` and an array ``starts`` of windows, by the place of their first word, that a smaller id has
+    as well; several rows for one text, written."""
     found = written(anchors(docs, width, id_col, text_col), "anchors")
-    # smallest ids are found map-side; written, so that Spark can split the rows of frequent anchors in the joins
-    groups = found.groupBy("anchor").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.count("*").alias("rows"), F.count("id").alias("named"))
-    groups = written(groups.where("head < tail OR head IS NOT NULL AND named < rows").select("anchor", "head"), "heads")
-    shared = found.join(groups, "anchor")
-    model = shared.where("id = head").groupBy("anchor").agg(F.min("reach").alias("model"))
-    model = written(groups.join(model, "anchor"), "models")
-    # only these columns are read for occurrences that agree with the smallest id's
-    members = found.select("id", "text_key", "anchor", "reach", "first", F.size("windows").alias("n")).join(model, "anchor")
+    # found map-side; written, so that Spark can split the rows of frequent anchors in the join, and so that the
+    # reach that stands for the smallest id is chosen once
+    heads = found.groupBy("anchor").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.min_by("reach", "id").alias("model"), F.count("*").alias("rows"), F.count("id").alias("named"))
+    heads = written(heads.where("head < tail OR head IS NOT NULL AND named < rows").select("anchor", "head", "model"), "heads")
+    members = written(only(found, "anchor", bitmap(heads, "anchor")).join(heads, "anchor"), "members")
     whole = members.where((F.col("reach") == F.col("model")) & _later("head"))
-    whole = whole.select("id", "text_key", F.sequence("first", F.col("first") + F.col("n") - 1).alias("starts"))
-
-    # one row for each reach of an anchor that has several
-    reaches = found.join(model, "anchor").groupBy("anchor", "reach", "model").agg(F.min("id").alias("id"), F.first("windows").alias("windows"))
-    several = written(reaches.where("reach <> model").select("anchor").distinct(), "several")
-    listed = written(reaches.join(several, "anchor").select("anchor", "reach", "id", "windows", (F.col("reach") == F.col("model")).alias("done")), "reaches")
-    windows = listed.select("anchor", "reach", "id", "done", F.posexplode("windows").alias("at", "window"))
-    lowest = written(windows.groupBy("anchor", "window").agg(F.min("id").alias("lowest"), F.count("*").alias("times")), "windows")
-    # by reach: where its windows stand and the smallest id of each
-    known = windows.where("NOT done").join(lowest.select("anchor", "window", "lowest"), ["anchor", "window"])
+    whole = whole.select("id", "text_key", F.sequence("first", F.col("first") + F.col("many") - 1).alias("starts"))
+
+    # one occurrence, of the smallest id, of each reach of an anchor that has several
+    several = members.where("reach <> model").select("anchor").distinct()
+    place = F.min_by(F.struct("text_key", "first", "many"), F.struct(F.col("id").isNull(), F.col("id"), "text_key", "first")).alias("place")
+    classes = members.join(several, "anchor", "left_semi").groupBy("anchor", "reach", "model").agg(F.min("id").alias("id"), place, (F.count("*") == 1).alias("alone"))
+    classes = written(classes.select("anchor", "reach", "id", "place.*", "alone", (F.col("reach") == F.col("model")).alias("done")), "reaches")
+    windows = written(_windows(keyed(docs, id_col, text_col), classes, width), "windows")
+    lowest = windows.groupBy("anchor", "window").agg(F.min("id").alias("lowest"), F.count("*").alias("times")).where("lowest IS NOT NULL")
+    # by reach: the windows that others have as well, and the smallest id of each; one row stands for equal rows of a table
+    known = windows.where("NOT done").groupBy("anchor", "reach", "at", "window").agg(F.first("alone").alias("alone"))
+    known = known.join(lowest, ["anchor", "window"]).where("times > 1 OR NOT alone")
     known = written(known.groupBy("anchor", "reach").agg(F.collect_list(F.struct("at", "lowest")).alias("known")), "extended")
     part = members.where("reach <> model").join(known, ["anchor", "reach"])
-    smaller = F.filter("known", lambda w: w["lowest"].isNotNull() & (F.col("id").isNull() | (F.col("id") > w["lowest"])))
+    smaller = F.filter("known", lambda w: F.col("id").isNull() | (F.col("id") > w["lowest"]))
     part = part.select("id", "text_key", F.transform(smaller, lambda w: F.col("first") + w["at"]).alias("starts")).where("size(starts) > 0")
-    return whole.unionByName(part)
+    out = written(whole.unionByName(part), "repeated")
+    for x in (found, heads, members, classes, windows, known):
+        discard(x)
+    return out
 
 
 def repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The maximal repeats: ``id``, ``text_key`` and ``spans``, an array of (start, end) in words, end exclusive, in order
     and apart: the words that windows of ``width`` cover which a smaller id has as well. Texts without any have
-    no row."""
+    no row. Written."""
     rows = repeated_windows(docs, width, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     # a text's windows are at most its words: a group is never larger than the text itself
@@ -168,7 +214,9 @@ def repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col:
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(spans, kinds)], ["id", "text_key", "spans"])
 
-    return by_text.mapInArrow(run, f"id {kind}, text_key binary, spans array<struct<start:bigint,end:bigint>>")
+    out = written(by_text.mapInArrow(run, f"id {kind}, text_key bigint, spans array<struct<start:bigint,end:bigint>>"), "spans")
+    discard(rows)
+    return out
 
 
 def _kept(texts: pa.Array, spans: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -206,16 +254,17 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     if width < 2:
         raise ValueError("a window has two words at least")
     spans = repeats(docs, width, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    texts, among = keyed(docs, id_col, text_col), bitmap(spans, "text_key")
+    kind = texts.schema["id"].dataType.simpleString()
+    moved = only(texts, "text_key", among).alias("t").join(spans.alias("s"), _same_text("t", "s"), "left").select("t.id", "t.text", "s.spans")
 
-    def keyed(batches):
+    def rest(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), text_keys(b.column("text"))], ["id", "text", "text_key"])
+            yield b.filter(pa.array(~among(b.column("text_key"))))
 
-    texts = rows.mapInArrow(keyed, f"id {kind}, text string, text_key binary").alias("t")
-    same = F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.text_key") == F.col("s.text_key"))
-    both = texts.join(spans.alias("s"), same, "left").select("t.id", "t.text", "s.spans")
+    # surely without repeats: these texts stay where they are
+    whole = texts.mapInArrow(rest, texts.schema).select("id", "text", F.lit(None).cast(moved.schema["spans"].dataType).alias("spans"))
+    both = moved.unionByName(whole)
 
     def run(batches):
         for b in A.chunks(batches, "text", CHUNK_TEXT):
