@@ -4,40 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._store import discard, shuffle_partitions, written
+from ._store import discard, written
 
+#: Rows of a group that are ordered in one task, and parts that larger groups are cut into.
+SMALL, PARTS = 128, 128
 
-def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "nth") -> DataFrame:
+
+def number_for(rows: DataFrame, column: str) -> Column:
+    """A number that never falls as the column's values rise; null for null."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.hex(F.rpad(F.substring(F.encode(column, "UTF-8"), 1, 6), 6, b"\0")), 16, 10).cast("double")
+    if isinstance(kind, T.BinaryType):
+        return F.conv(F.hex(F.rpad(F.substring(column, 1, 6), 6, b"\0")), 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def ranked(rows: DataFrame, group: Sequence[str], order: str, name: str = "nth") -> DataFrame:
     """``rows`` with their place (from 1) among the rows of equal ``group`` in ascending ``order``, nulls last,
-    written to the shared folder; nulls in ``group`` are equal. Full ties have any order.
+    written to the shared folder; nulls in ``group`` are equal, ties have any order.
 
-    Rows are dealt by ranges of hash of the group, order and a number of their own, so a large group
-    lies in many ranges; a row's place is its place within the range plus the counts of the same group in
-    earlier ranges. Only groups that hold the first or last place of a range can lie in several: at most
-    two a range are counted. ``rows`` must be cheap to read (a written table): ranges are found from a sample.
+    Groups of over ``SMALL`` rows are cut at quantiles of their own, which a sketch finds map-side and which stay in
+    a table: a row's place is its place within its part plus the counts of the parts before. No group is
+    ordered in one task, and nothing goes to the driver but whether there are such groups. ``rows`` must be
+    cheap to read and always the same (a written table).
     """
-    last = [F.col(c).asc_nulls_last() for c in order]
-    keyed = rows.withColumns({"_group": F.xxhash64(*group), "_tie": F.monotonically_increasing_id()})
-    ranges = keyed.repartitionByRange(2 * shuffle_partitions(rows.sparkSession), "_group", *last, "_tie")
-    # written with the number of the range: read again it can't change
-    ranges = written(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
-    ends = ranges.groupBy("_range").agg(F.min("_group").alias("lo"), F.max("_group").alias("hi"))
-    ends = ends.select(F.explode(F.array("lo", "hi")).alias("_group")).distinct()
-    # two rows a range at most
-    counts = ranges.join(F.broadcast(ends), "_group", "left_semi").groupBy("_group", "_range", *group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_group", *group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    known = counts.withColumn("_before", F.sum("_n").over(before)).where("_before IS NOT NULL")
-    known = known.select(F.col("_group").alias("g"), F.col("_range").alias("r"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(group)), "_before")
-    place = F.row_number().over(Window.partitionBy("_range", "_group", *group).orderBy(*last, "_tie"))
-    local = ranges.withColumn("_place", place)
-    same = (F.col("_group") == F.col("g")) & (F.col("_range") == F.col("r"))
-    for i, c in enumerate(group):
-        same &= F.col(c).eqNullSafe(F.col(f"k{i}"))
-    both = local.join(F.broadcast(known), same, "left")
-    out = written(both.select(*rows.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name)), "ranked")
-    discard(ranges)
+    keys = list(group)
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())).cast("bigint")
+    large = written(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL).drop("_rows"), "large")
+    if large.isEmpty():
+        out = written(rows.withColumn(name, plain), "ranked")
+        discard(large)
+        return out
+
+    def same(a: str, b: str) -> Column:
+        out = F.lit(True)
+        for c in keys:
+            out &= F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        return out
+
+    small = rows.alias("r").join(large.alias("l"), same("r", "l"), "left_anti").withColumn(name, plain)
+    hot = rows.withColumn("_at", number_for(rows, order)).alias("r").join(large.alias("l"), same("r", "l"), "left_semi")
+    cuts = written(hot.groupBy(*keys).agg(F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts")), "cuts")
+    part = F.when(F.col("_at").isNull(), PARTS).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))))
+    dealt = written(hot.alias("r").join(cuts.alias("c"), same("r", "c")).select("r.*", part.alias("_part")), "parts")
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each part of a large group
+    known = written(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "counts")
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.col(order).asc_nulls_last()))
+    local = dealt.withColumn("_place", place).alias("r")
+    both = local.join(known.alias("k"), same("r", "k") & (F.col("r._part") == F.col("k._part")))
+    both = both.select(*(F.col(f"r.{c}") for c in rows.columns), (F.col("_place") + F.col("_before")).cast("bigint").alias(name))
+    out = written(small.unionByName(both), "ranked")
+    for x in (large, cuts, dealt, known):
+        discard(x)
     return out

@@ -53,7 +53,7 @@ def rows_of(docs: DataFrame, key: str, columns: Sequence[str], carry: Sequence[s
     # cells have a fixed width, so the text of all of them tells apart whatever differs
     content = F.unhex(F.sha2(F.concat_ws(",", *(F.coalesce(F.hex(f"c{i}"), F.lit("null")) for i in range(len(columns)))).cast("binary"), 256))
     first = written(found.withColumn("content", content), "cells")
-    out = ranked(first, ["key"], ["content"])
+    out = ranked(first, ["key"], "content")
     discard(first)
     return out.withColumn("place", F.xxhash64("key", "nth"))
 
@@ -145,8 +145,8 @@ def compare(earlier: DataFrame, later: DataFrame, key: str, columns: Sequence[st
     diff = written(diff, "row_diff")
     kept = diff.where("old AND new").select("key", F.col("key").alias("old_key"), F.when(F.size("changed") > 0, "update").otherwise("same").alias("op"), "changed", *extra)
 
-    gone = ranked(diff.where("old AND NOT new").select("key", "content"), ["content"], ["key"]).alias("a")
-    come = ranked(diff.where("new AND NOT old").select("key", "content", *extra), ["content"], ["key"]).alias("b")
+    gone = ranked(diff.where("old AND NOT new").select("key", "content"), ["content"], "key").alias("a")
+    come = ranked(diff.where("new AND NOT old").select("key", "content", *extra), ["content"], "key").alias("b")
     moved = gone.join(come, (F.col("a.content") == F.col("b.content")) & (F.col("a.nth") == F.col("b.nth")), "full_outer")
     old, new = F.col("a.nth").isNotNull(), F.col("b.nth").isNotNull()
     moved = moved.select(
