@@ -115,13 +115,15 @@ def anchors(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, f"id {kind}, text_key bigint, anchor bigint, reach bigint, first int, many int")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, text_key."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, among) -> DataFrame:
+    """id, text, text_key of the texts whose key may be ``among`` those of a bitmap."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), text_keys(b.column("text"))], ["id", "text", "text_key"])
+        for b in A.chunks(batches, "text", CHUNK_TEXT):
+            keys = text_keys(b.column("text"))
+            keep = pa.array(among(keys))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), keys], ["id", "text", "text_key"]).filter(keep)
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, text_key bigint")
 
@@ -135,12 +137,12 @@ def _later(than: str):
     return F.col(than).isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col(than)))
 
 
-def _windows(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+def _windows(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, width: int) -> DataFrame:
     """``anchor``, ``reach``, ``id``, ``done``, ``alone``, ``at``, ``window``: the windows of one occurrence of each reach, by their place in it."""
     # a text's anchors are fewer than its words
     asked = classes.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "reach", "first", "many", "done", "alone")).alias("asked"))
-    among = bitmap(classes, "text_key")
-    both = only(texts, "text_key", among).alias("t").join(asked.alias("s"), _same_text("t", "s")).select("t.id", "t.text", "s.asked")
+    texts = keyed(docs, id_col, text_col, bitmap(classes, "text_key"))
+    both = texts.alias("t").join(asked.alias("s"), _same_text("t", "s")).select("t.id", "t.text", "s.asked")
     # rows that are wholly repeated give the same windows
     kind = both.schema["id"].dataType.simpleString()
 
@@ -179,7 +181,7 @@ def repeated_windows(docs: DataFrame, width: int = 50, id_col: str = "doc_id", t
     place = F.min_by(F.struct("text_key", "first", "many"), F.struct(F.col("id").isNull(), F.col("id"), "text_key", "first")).alias("place")
     classes = members.join(several, "anchor", "left_semi").groupBy("anchor", "reach", "model").agg(F.min("id").alias("id"), place, (F.count("*") == 1).alias("alone"))
     classes = written(classes.select("anchor", "reach", "id", "place.*", "alone", (F.col("reach") == F.col("model")).alias("done")), "reaches")
-    windows = written(_windows(keyed(docs, id_col, text_col), classes, width), "windows")
+    windows = written(_windows(docs, id_col, text_col, classes, width), "windows")
     lowest = windows.groupBy("anchor", "window").agg(F.min("id").alias("lowest"), F.count("*").alias("times")).where("lowest IS NOT NULL")
     # by reach: the windows that others have as well, and the smallest id of each; one row stands for equal rows of a table
     known = windows.where("NOT done").groupBy("anchor", "reach", "at", "window").agg(F.first("alone").alias("alone"))
@@ -254,25 +256,30 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     if width < 2:
         raise ValueError("a window has two words at least")
     spans = repeats(docs, width, id_col, text_col)
-    texts, among = keyed(docs, id_col, text_col), bitmap(spans, "text_key")
-    kind = texts.schema["id"].dataType.simpleString()
-    moved = only(texts, "text_key", among).alias("t").join(spans.alias("s"), _same_text("t", "s"), "left").select("t.id", "t.text", "s.spans")
+    among = bitmap(spans, "text_key")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = ["id", "n_words", "n_removed", "spans", "text"]
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, spans {spans.schema['spans'].dataType.simpleString()}, text string"
 
-    def rest(batches):
-        for b in batches:
-            yield b.filter(pa.array(~among(b.column("text_key"))))
+    def out(b: pa.RecordBatch, found: pa.Array) -> pa.RecordBatch:
+        n, removed, kept = _kept(b.column("text"), found.to_pylist())
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(removed), found, pa.array(kept, pa.binary()).cast(pa.string())], names)
 
-    # surely without repeats: these texts stay where they are
-    whole = texts.mapInArrow(rest, texts.schema).select("id", "text", F.lit(None).cast(moved.schema["spans"].dataType).alias("spans"))
-    both = moved.unionByName(whole)
+    def some(batches):
+        for b in A.chunks(batches, "text", CHUNK_TEXT):
+            yield out(b, b.column("spans"))
 
-    def run(batches):
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def none(batches):
         for b in A.chunks(batches, "text", CHUNK_TEXT):
-            n, removed, kept = _kept(b.column("text"), b.column("spans").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(removed), b.column("spans"), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "spans", "text"])
+            b = b.filter(pa.array(~among(text_keys(b.column("text")))))
+            yield out(b, pa.nulls(b.num_rows, kinds))
 
-    out = both.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, text string")
-    return out.withColumnRenamed("id", id_col) if id_col != "id" else out
+    both = keyed(docs, id_col, text_col, among).alias("t").join(spans.alias("s"), _same_text("t", "s"), "left").select("t.id", "t.text", "s.spans")
+    # texts that are surely without repeats stay where they are
+    done = both.mapInArrow(some, schema).unionByName(rows.mapInArrow(none, schema))
+    return done.withColumnRenamed("id", id_col)
 
 
 def digested(docs: DataFrame, width: int = 50) -> DataFrame:
