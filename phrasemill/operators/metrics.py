@@ -48,13 +48,16 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 
     Starting from the number of unanswerable questions, each question in the order of its null
     probability adds its score if answerable, takes one if a non-empty answer is wrong; equal probabilities
-    are ordered by qid. Steps are added up by ranges of the probability first, so only rows of one range
-    are ordered in one task.
+    are ordered by qid. Probabilities may be odds of any sign; a null one counts as zero, and one that isn't a number
+    is the largest. Steps are added up by ranges of the probability first, so only rows of one range are ordered in
+    one task.
     """
+    scores = scores.withColumn("na_prob", F.when(F.isnan("na_prob"), float("inf")).otherwise(F.coalesce(F.col("na_prob").cast("double"), F.lit(0.0))))
     step = F.when(F.col("has_ans"), F.col("score").cast("double")).otherwise(F.when(F.col("empty"), 0.0).otherwise(-1.0))
     start = scores.agg(F.sum((~F.col("has_ans")).cast("bigint")).alias("base"), F.count("*").alias("n"))
-    # order-preserving ranges of non-negative numbers, finer for small ones
-    part = F.floor(F.log2(F.col("na_prob") + 2.0**-20) * 256).cast("int")
+    # order-preserving ranges of numbers of either sign, finer for small ones
+    size = F.floor(F.log2(F.least(F.abs("na_prob"), F.lit(1e300)) + 2.0**-20) * 256).cast("int") + 20 * 256
+    part = F.when(F.col("na_prob") < 0, -size - 1).otherwise(size)
     steps = scores.select("qid", "na_prob", "has_ans", F.col("score").cast("double").alias("score"), step.alias("step"), part.alias("part"))
     sums = steps.groupBy("part").agg(F.sum("step").alias("s"))
     before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..shared import free_name, materialised
 
 
 def label_index(rows: DataFrame, label: str) -> DataFrame:
@@ -27,22 +28,26 @@ def padded_batch(rows: DataFrame, tokens: str, width: int, pad: str = "[PAD]", l
     return rows.withColumn("mask", F.concat(*mask)).withColumn(tokens, F.concat(*joined))
 
 
-def feature_ids(rows: DataFrame, order: list[str], first: int = 1_000_000_000) -> DataFrame:
-    """Rows numbered in order from ``first``.
+def feature_ids(rows: DataFrame, order: list[str], first: int = 1_000_000_000, name: str = "feature_id") -> DataFrame:
+    """Rows numbered in order from ``first``; ties in any order, nulls first. No row is lost or numbered twice.
 
-    Numbers go on across partitions by their counts, so the rows are sorted by ranges, not in one task.
+    Rows are sorted by ranges, not in one task, and written with the number of their range: planned anew, the
+    same ranges could be dealt to other partitions. Numbers go on across ranges by their counts. Other columns
+    may have any names.
     """
+    part, place, low, before, size = (free_name(rows, x) for x in ("_range", "_place", "_low", "_before", "_size"))
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = dealt.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    per = marked.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_low"))
-    before = per.select("_p", "_low", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return marked.join(F.broadcast(before), "_p").withColumn("feature_id", F.lit(first) + F.col("_before") + F.col("_i") - F.col("_low")).drop("_p", "_i", "_low", "_before")
+    marked = materialised(dealt.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}), "numbered")
+    # a row for every range
+    per = marked.groupBy(part).agg(F.count("*").alias(size), F.min(place).alias(low))
+    per = per.select(part, low, (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(before))
+    joined = marked.join(F.broadcast(per), part)
+    return joined.select(*rows.columns, (F.lit(first) + F.col(before) + F.col(place) - F.col(low)).alias(name))
 
 
 def by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Two tables row by row in their orders."""
-    a = feature_ids(left, [left_order], 0).withColumnRenamed("feature_id", "at")
-    b = feature_ids(right, [right_order], 0).withColumnRenamed("feature_id", "at")
+    """Two tables row by row in their orders; rows of the longer one that have no partner are left out."""
+    a, b = feature_ids(left, [left_order], 0, "at"), feature_ids(right, [right_order], 0, "at")
     return a.join(b, "at")
 
 
@@ -52,6 +57,15 @@ def consistent(questions: DataFrame, predictions: DataFrame, key: str = "id") ->
     return joined.where(X.normalize_answer(F.col("answer")) == X.normalize_answer(F.col("predicted"))).drop("predicted")
 
 
+def prediction_counts(questions: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """One row: how many ``questions`` there are, how many are ``missing`` a prediction, how many have one that is
+    ``consistent`` with their answer, and how many have another (``rejected``). A null prediction is another."""
+    joined = questions.join(predictions.select(key, "predicted", F.lit(True).alias("_found")), key, "left")
+    agree = F.coalesce(X.normalize_answer(F.col("answer")) == X.normalize_answer(F.col("predicted")), F.lit(False))
+    found = F.col("_found").isNotNull()
+    return joined.agg(F.count("*").alias("questions"), F.count_if(~found).alias("missing"), F.count_if(found & agree).alias("consistent"), F.count_if(found & ~agree).alias("rejected"))
+
+
 def with_negatives(questions: DataFrame, passages: DataFrame, seed: int = 29) -> DataFrame:
     """Each question with its passage and a hard negative drawn by a seeded hash; without any its own
     passage's neighbour. ``questions``: id, passage_id, negatives; ``passages``: passage_id, text."""
@@ -103,9 +117,10 @@ def visible_context(tokens: Column) -> Column:
 
 def even_chunks(rows: DataFrame, n: int, order: str, key: str = "chunk") -> DataFrame:
     """Rows in order as ``n`` chunks of nearly equal size."""
-    numbered = feature_ids(rows, [order], 0)
-    total = rows.agg(F.count("*").alias("_all"))
-    return numbered.crossJoin(F.broadcast(total)).withColumn(key, F.floor(F.col("feature_id") * n / F.col("_all")).cast("int")).drop("feature_id", "_all")
+    number, total = free_name(rows, "_number"), free_name(rows, "_all")
+    numbered = feature_ids(rows, [order], 0, number)
+    totals = rows.agg(F.count("*").alias(total))
+    return numbered.crossJoin(F.broadcast(totals)).withColumn(key, F.floor(F.col(number) * n / F.col(total)).cast("int")).drop(number, total)
 
 
 def balanced(sizes: dict[str, int], bins: int) -> list[list[str]]:
