@@ -8,13 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index, phrases
-from .sources import writers
+from .operators import index, mips, phrases
+from .sources import manifest, writers
 
 #: Turns documents from windows (doc_idx, tokens) into tokens (doc_idx, word_idx, fs, fe, vec).
 TokenEncoder = Callable[[DataFrame], DataFrame]
-#: Ids of two merged indexes are apart by this much at least.
-STEP = 1 << 40
 
 
 def write_phrases(windows: DataFrame, encode: TokenEncoder, path: str, threshold: float, mode: str = "overwrite") -> None:
@@ -40,24 +38,40 @@ def light_copy(dump: DataFrame, path: str, without: tuple[str, ...] = ("vec",))
     writers.phrase_dump(dump.drop(*without, "doc_shard"), path)
 
 
-def build_index(vectors: DataFrame, path: str, clusters: int, fraction: float = 1.0, norm_limit: float | None = None, seed: int = 29) -> None:
-    """Train centroids on a sample, assign all vectors (id, vec), and write postings by cluster, centroids, and
-    the mean and deviation of every dimension."""
+def build_index(vectors: DataFrame, path: str, clusters: int, fraction: float = 1.0, norm_limit: float | None = None, seed: int = 29, shard: str = "all") -> None:
+    """Train centroids on a sample, assign all vectors (id, vec; ids from 0), and write postings by bucket of clusters,
+    centroids, and the mean and deviation of every dimension. Run again, the index replaces itself."""
     sample = index.sample_vectors(vectors, fraction, replace=False, seed=seed, norm_limit=norm_limit) if fraction < 1 or norm_limit else vectors
     centroids = index.train_centroids(sample, clusters, seed)
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    spark = vectors.sparkSession
-    index.write_postings(index.assign(vectors, spark.read.parquet(f"{path}/centroids")), f"{path}/postings")
     index.mean_std(vectors).coalesce(1).write.mode("overwrite").parquet(f"{path}/moments")
+    add_shard(vectors, path, shard)
+
+
+def add_shard(vectors: DataFrame, path: str, shard: str) -> None:
+    """Assign vectors to an index's centroids and add them as a shard, or in place of the shard of that name."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    postings = index.assign(rows, spark.read.parquet(f"{path}/centroids")).withColumn("bucket", F.col("cluster_id") % mips.BUCKETS)
+    manifest.add(spark, path, shard, postings.select("id", "vec", "cluster_id", "bucket"), "bucket")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (id, vec, cluster_id) and centroids."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/centroids")
+    """Postings (id, vec, cluster_id, bucket, shard) and centroids."""
+    return manifest.read(spark, path, "id bigint, vec array<double>, cluster_id int, bucket int"), spark.read.parquet(f"{path}/centroids")
 
 
 def merge_indexes(spark: SparkSession, paths: list[str], path: str) -> None:
-    """Postings of shards over the same centroids as one index; the ids of shard ``i`` go up by ``i * STEP``."""
-    parts = [load_index(spark, p)[0].withColumn("id", F.col("id") + F.lit(i * STEP)) for i, p in enumerate(paths)]
-    index.write_postings(reduce(index.add_postings, parts), f"{path}/postings")
-    load_index(spark, paths[0])[1].write.mode("overwrite").parquet(f"{path}/centroids")
+    """Shards over the same centroids as one index: their postings stay where they are, and ids are set apart by as many
+    documents as the shards before have. Run again, nothing is doubled."""
+    spark.read.parquet(f"{paths[0]}/centroids").write.mode("overwrite").parquet(f"{path}/centroids")
+    manifest.merge(spark, paths, path)
+
+
+def merged_phrases(spark: SparkSession, path: str, phrases_of: dict[str, DataFrame]) -> DataFrame:
+    """Phrases (doc_idx, ...) of all shards with the numbers that their documents have in the merged index at ``path``."""
+    parts = []
+    for s in manifest.shards(spark, path):
+        if s.name in phrases_of:
+            parts.append(phrases_of[s.name].withColumn("doc_idx", F.col("doc_idx") + F.lit(s.base // manifest.STEP)))
+    return reduce(DataFrame.unionByName, parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +24,23 @@ def mean_std(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:
     return vectors.select(F.posexplode(vec_col).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
 
 
-def train_centroids(vectors: DataFrame, clusters: int, seed: int = 29, vec_col: str = "vec", iterations: int = 20) -> DataFrame:
-    """``cluster_id`` and ``centroid`` by k-means."""
+def k_means_centres(vectors: DataFrame, clusters: int, seed: int = 29, vec_col: str = "vec", iterations: int = 20) -> np.ndarray:
+    """Centres by Spark's k-means, as a matrix: for numbers of clusters that fit on the driver. More come from
+    ``lists.train``, where they are rows of a table."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if clusters == 1:
+        return np.array([[r["mean"] for r in mean_std(vectors, vec_col).orderBy("dim").collect()]])
     rows = vectors.select(array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))).alias("features"))
-    centers = KMeans(k=clusters, seed=seed, maxIter=iterations).fit(rows).clusterCenters()
-    return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
+    return np.array(KMeans(k=clusters, seed=seed, maxIter=iterations).fit(rows).clusterCenters())
+
+
+def train_centroids(vectors: DataFrame, clusters: int, seed: int = 29, vec_col: str = "vec", iterations: int = 20) -> DataFrame:
+    """``cluster_id`` and ``centroid`` by k-means."""
+    centres = k_means_centres(vectors, clusters, seed, vec_col, iterations)
+    lists = pa.ListArray.from_arrays(np.arange(len(centres) + 1, dtype=np.int32) * centres.shape[1], centres.ravel())
+    return vectors.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array(np.arange(len(centres), dtype=np.int32)), "centroid": lists}))
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -43,11 +53,6 @@ def add_postings(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """By cluster, so that a probe reads its clusters only."""
-    postings.repartition("cluster_id").write.partitionBy("cluster_id").mode("append").parquet(path)
-
-
 def _k_means(x: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Centres after some rounds, and the nearest centre of every row."""
     c = start.copy()

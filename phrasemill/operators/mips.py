@@ -22,6 +22,8 @@ from ..functions.vectors import dot
 QUERY_BLOCK = 4096
 #: Centroids that are broadcast at once, and rows that are multiplied with them at once.
 CENTROID_BLOCK, ROW_BLOCK = 65_536, 256
+#: Folders that postings on disk are dealt to by the number of their cluster.
+BUCKETS = 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -29,6 +31,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best ``k`` scores of each row, ties to the first columns, without those that are minus
+    infinity. Rows are never sorted."""
+    good = score > -np.inf
+    if score.shape[1] > k:
+        bar = np.partition(score, -k, axis=1)[:, -k][:, None]
+        above, level = score > bar, score == bar
+        good &= above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1)[:, None]))
+    return np.nonzero(good)
+
+
 def query_blocks(queries: DataFrame, qid: str, vec: str, block: int = QUERY_BLOCK):
     """Blocks of (ids, matrix); only one is on the driver at a time."""
     ids, rows = [], []
@@ -62,12 +75,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "i
             for b in batches:
                 if not b.num_rows:
                     continue
-                score = block @ _matrix(b.column("vec")).T
-                key = b.column("id").to_numpy(zero_copy_only=False)
-                by_id = np.argsort(key, kind="stable")
-                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
-                rows = np.repeat(np.arange(len(names)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), pa.array(key[best.ravel()]), pa.array(score[rows, best.ravel()])], ["qid", "id", "score"])
+                b = b.take(pa.array(np.argsort(b.column("id").to_numpy(zero_copy_only=False), kind="stable")))
+                vectors, key = _matrix(b.column("vec")), b.column("id")
+                for at in range(0, len(block), ROW_BLOCK):
+                    score = block[at : at + ROW_BLOCK] @ vectors.T
+                    rows, best = best_of(score, k)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(rows + at)), key.take(pa.array(best)), pa.array(score[rows, best])], ["qid", "id", "score"])
 
         found.append(rows.mapInArrow(run, f"qid {kind}, id bigint, score double"))
     if not found:
@@ -118,9 +131,11 @@ def nearest(rows: DataFrame, centroids: DataFrame, n: int, key: list[str], vec:
 def pruned_top_k(postings: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int, id_col: str = "id", vec_col: str = "vec", qid: str = "qid", qvec: str = "qvec") -> DataFrame:
     """Search only the ``probes`` nearest clusters: queries in blocks as in ``exact_top_k``, each batch of
     postings multiplied cluster by cluster with the queries that probe it, so that no pair of query and
-    posting becomes a row. What is broadcast is a block of queries and the numbers of their clusters."""
+    posting becomes a row. What is broadcast is a block of queries and the numbers of their clusters. Where postings
+    have a column ``bucket`` (the cluster modulo ``BUCKETS``) by which folders are named, only those of probed clusters
+    are read; postings of other clusters never reach Python."""
     spark = postings.sparkSession
-    rows = postings.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.col("cluster_id").cast("bigint").alias("cluster_id"))
+    wanted = [F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.col("cluster_id").cast("bigint").alias("cluster_id")]
     kind = queries.schema[qid].dataType.simpleString()
     found = []
     for ids, matrix in query_blocks(queries, qid, qvec):
@@ -131,29 +146,28 @@ def pruned_top_k(postings: DataFrame, centroids: DataFrame, queries: DataFrame,
         probed = np.zeros((len(ids), len(names)), bool)
         probed[[r[0] for r in near], np.searchsorted(names, [r[1] for r in near])] = True
         shared = spark.sparkContext.broadcast((pa.array(ids), matrix, names, probed))
+        rows = postings
+        if "bucket" in postings.columns:
+            rows = rows.where(F.col("bucket").isin(np.unique(names % BUCKETS).tolist()))
+        rows = rows.select(*wanted).join(F.broadcast(spark.createDataFrame(pa.table({"cluster_id": pa.array(names)}))), "cluster_id", "left_semi").select("id", "vec", "cluster_id")
 
         def run(batches, shared=shared):
             qids, block, names, probed = shared.value
             for b in batches:
-                if not b.num_rows:
-                    continue
-                b = b.filter(pa.array(np.isin(b.column("cluster_id").to_numpy(zero_copy_only=False), names)))
                 if not b.num_rows:
                     continue
                 key = b.column("id").to_numpy(zero_copy_only=False)
                 by_id = np.argsort(key, kind="stable")
                 key, vectors = key[by_id], _matrix(b.column("vec"))[by_id]
                 cluster = np.searchsorted(names, b.column("cluster_id").to_numpy(zero_copy_only=False)[by_id])
-                score = np.full((len(block), len(key)), -np.inf)
-                for c in np.unique(cluster):
-                    at, asked = np.flatnonzero(cluster == c), np.flatnonzero(probed[:, c])
-                    score[np.ix_(asked, at)] = block[asked] @ vectors[at].T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(block)), best.shape[1])
-                column = best.ravel()
-                seen = score[row, column] > -np.inf
-                row, column = row[seen], column[seen]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(key[column]), pa.array(score[row, column])], ["qid", "id", "score"])
+                for first in range(0, len(block), ROW_BLOCK):
+                    some = slice(first, first + ROW_BLOCK)
+                    score = np.full((len(block[some]), len(key)), -np.inf)
+                    for c in np.unique(cluster):
+                        at, asked = np.flatnonzero(cluster == c), np.flatnonzero(probed[some, c])
+                        score[np.ix_(asked, at)] = block[some][asked] @ vectors[at].T
+                    row, column = best_of(score, k)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(row + first)), pa.array(key[column]), pa.array(score[row, column])], ["qid", "id", "score"])
 
         found.append(rows.mapInArrow(run, f"qid {kind}, id bigint, score double"))
     if not found:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from phrasemill import jobs
 from phrasemill.operators import corpus, index, mips
-from phrasemill.sources import readers
+from phrasemill.sources import manifest, readers
 
 
 def encode(docs):
@@ -41,7 +41,7 @@ def test_index_built_loaded_and_merged(spark, tmp_path):
     assert sorted(map(tuple, mips.pruned_top_k(postings, centroids, q, 5, 4).select("qid", "id", "rank").collect())) == want
     jobs.merge_indexes(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], f"{tmp_path}/both")
     merged, _ = jobs.load_index(spark, f"{tmp_path}/both")
-    assert merged.select("id").distinct().count() == 240 and merged.where(F.col("id") >= jobs.STEP).count() == 120
+    assert merged.select("id").distinct().count() == 240 and merged.where(F.col("id") >= manifest.STEP).count() == 120
 
 
 def test_samples_of_vectors(spark):
