@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..shared import materialised
 
 #: Words that carry no topic, for n-gram filters.
 STOPWORDS = tuple("""
@@ -89,8 +90,9 @@ def term_counts(docs: DataFrame, longest: int = 2, mode: str | None = "any", buc
     """``doc``, ``term``, ``tf``: n-grams of each document, hashed into buckets on request. An n-gram is left
     out if ``any``, ``all`` or one of the ``ends`` of its words are stop words or punctuation.
 
-    Every token becomes one row with those after it, and is marked once."""
-    rows = docs.select(F.col(id_col).alias("doc"), X.simple_tokens(F.lower(text_col)).alias("w0"))
+    Every token becomes one row with those after it, and is marked once. Documents are dealt out by their id first: texts are all
+    that is shuffled, their n-grams are counted where they are."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc").select("doc", X.simple_tokens(F.lower("text")).alias("w0"))
     rows = rows.select("doc", F.explode(F.arrays_zip("w0", *(F.slice("w0", k + 1, F.greatest(F.size("w0") - k, F.lit(0))).alias(f"w{k}") for k in range(1, longest)))).alias("t")).select("doc", "t.*")
     rows = rows.select("doc", *(F.col(f"w{k}") for k in range(longest)), *(is_dull(F.col(f"w{k}"), stopwords).alias(f"d{k}") for k in range(longest)))
     grams = []
@@ -111,7 +113,8 @@ def document_counts(terms: DataFrame) -> DataFrame:
 
 
 def tfidf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """``ln(tf + 1) * max(0, ln((N - df + .5) / (df + .5)))``; ``n_docs``: one row ``n``."""
+    """``ln(tf + 1) * max(0, ln((N - df + .5) / (df + .5)))``; ``n_docs``: one row ``n``. Counts are written once and read twice."""
+    terms = materialised(terms, "terms")
     joined = terms.join(document_counts(terms), "term").crossJoin(F.broadcast(n_docs))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return joined.select("doc", "term", (F.log1p("tf") * F.greatest(F.lit(0.0), idf)).alias("weight"))
