@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import corpus, index, metrics, mips, phrases, records, sampling, search, spans, training
+from ..operators import corpus, index, lists, metrics, mips, phrases, records, sampling, search, spans, training
+from ..shared import new_path
 from ..streaming import requests
 from . import sql as S
 from . import views as W
@@ -116,22 +117,27 @@ def ivf_probe_topk(spark, sf):
     return _ranks(mips.pruned_top_k(index.assign(rows, c), c, _asked(spark, sf), W.K, PROBES))
 
 
+def _coded_lists(spark, rows):
+    """Vectors as one list: codes of what they differ by from their mean."""
+    found = lists.train(rows, new_path(spark, "codes"), 1, 1, PARTS, CODES)
+    lists.add(rows, found, "all")
+    return found
+
+
 @query()
 def pq_encode_score(spark, sf):
+    """The best by exact products of the best by tables of products with codes."""
     rows, q = W.coded(spark, sf), _asked(spark, sf)
-    books, _ = index.train_codebooks(rows, PARTS, CODES)
-    decoded = index.pq_decode(index.pq_encode(rows.select("id", "vec"), books).select("id", "code"), books)
-    return _ranks(mips.rescored(mips.exact_top_k(decoded, q, RESCORED), rows, q, W.K))
+    return _ranks(mips.rescored(lists.search(_coded_lists(spark, rows), q, RESCORED, 1, 1), rows, q, W.K))
 
 
 @query()
 def opq_encode_score(spark, sf):
     """As ``pq_encode_score``, with vectors and queries rotated to fit the codebooks."""
     rows, q = W.coded(spark, sf), _asked(spark, sf)
-    books, rotation = index.train_codebooks(rows, PARTS, CODES, rotate=True)
-    decoded = index.pq_decode(index.pq_encode(rows.select("id", "vec"), books, rotation).select("id", "code"), books)
-    turned = index.rotated(q, rotation, "qvec", "qvec")
-    return _ranks(mips.rescored(mips.exact_top_k(decoded, turned, RESCORED), rows, q, W.K))
+    _, rotation = index.train_codebooks(rows, PARTS, CODES, rotate=True)
+    found = _coded_lists(spark, index.rotated(rows.select("id", "vec"), rotation))
+    return _ranks(mips.rescored(lists.search(found, index.rotated(q, rotation, "qvec", "qvec"), RESCORED, 1, 1), rows, q, W.K))
 
 
 def _recall(spark, sf, found):
@@ -504,9 +510,9 @@ def ngram_counts(spark, sf):
     return _terms(spark, sf).groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
 
 
-@query(f"WITH {_TERMS} SELECT term, count(DISTINCT doc) AS df FROM terms GROUP BY term HAVING count(DISTINCT doc) >= 5")
+@query(f"WITH {_TERMS} SELECT term, count(DISTINCT doc) AS df FROM terms GROUP BY term")
 def doc_freq(spark, sf):
-    return corpus.document_counts(_terms(spark, sf)).where("df >= 5")
+    return corpus.document_counts(_terms(spark, sf))
 
 
 @query(f"WITH {_TERMS}, d AS (SELECT term, count(DISTINCT doc) AS df FROM terms GROUP BY term), n AS (SELECT count(*) AS n FROM documents) SELECT doc, round(sum(ln(tf + 1) * greatest(0, ln((n - df + 0.5) / (df + 0.5)))), 4) AS weight FROM terms JOIN d USING (term), n GROUP BY doc")
@@ -601,14 +607,6 @@ def entity_window(spark, sf):
     return W.table(spark, sf, "benchmark").select("item_id", X.entity_window(t, 20).alias("win"))
 
 
-@query()
-def truecase(spark, sf):
-    casings = {"the": ["The", "the"], "and": ["and"], "of": ["Of", "of"]}
-    uni = {"the": 90, "The": 10, "of": 50, "Of": 1}
-    fix = X.truecaser(uni, {}, {}, {}, casings)
-    return W.table(spark, sf, "benchmark").select("item_id", fix(F.lower("text")).alias("cased"))
-
-
 @query("SELECT 'benchmark' AS origin, item_id AS id, length(text)::BIGINT AS chars FROM benchmark UNION ALL SELECT 'conversations', conv_id, length(text) FROM conversations")
 def merge_datasets(spark, sf):
     b = W.table(spark, sf, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.length("text").cast("bigint").alias("chars"))
@@ -936,3 +934,6 @@ def answer_occurrences(spark, sf):
 @query("SELECT page_id, sha256(url) || '.' || sha256(page_id::VARCHAR) AS name FROM pages")
 def resource_names(spark, sf):
     return W.table(spark, sf, "pages").select("page_id", records.resource_name(F.col("url"), F.col("page_id").cast("string")).alias("name"))
+
+
+from . import built  # noqa: E402, F401  (registers more queries)

@@ -18,13 +18,21 @@ def test_recall(spark, name):
     assert set(got) == set(want) and sum(recall) / len(recall) >= 0.9
 
 
-@pytest.mark.parametrize("name", ["ivf_recall_at_k", "pq_recall_at_k", "opq_recall_at_k"])
+@pytest.mark.parametrize("name", ["ivf_recall_at_k", "pq_recall_at_k", "opq_recall_at_k", "graph_recall_at_k", "ivf_lists_recall"])
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
 def test_recall_query(spark, name, sf):
     rows = catalog.QUERIES[name](spark, f"/root/testdata/sf{sf}").collect()
     assert sum(r.recall for r in rows) / len(rows) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_walks_and_lists_save_work(spark, sf):
+    spent = catalog.QUERIES["graph_products"](spark, f"/root/testdata/sf{sf}").collect()
+    assert sum(r.products for r in spent) < 0.25 * sum(r.vectors for r in spent)
+    read = catalog.QUERIES["ivf_lists_recall"](spark, f"/root/testdata/sf{sf}").collect()
+    assert sum(r.read for r in read) < 0.25 * len(read)
+
+
 @pytest.mark.parametrize("block", [65_536, 3])
 def test_pruned_search_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(mips, "CENTROID_BLOCK", block)
