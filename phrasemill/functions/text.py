@@ -262,60 +262,6 @@ def hex_intensity(value: Column, low: Column, high: Column) -> Column:
     return F.lpad(F.hex(F.when(high > low, F.floor((value - low) / (high - low) * 255)).otherwise(0).cast("bigint")), 2, "0")
 
 
-def truecase(texts: pd.Series, uni: dict, back: dict, forth: dict, tri: dict, casings: dict) -> pd.Series:
-    """Restore the casing of tokens from counts: see ``truecaser``."""
-    pseudo = 5.0
-
-    def ratio(counts, key, rivals):
-        total = sum(counts.get(k, 0) for k in rivals)
-        return math.log((counts.get(key, 0) + pseudo) / (total + pseudo * len(rivals)))
-
-    def one(text):
-        if not isinstance(text, str):
-            return None
-        tokens, out = text.split(), []
-        for i, token in enumerate(tokens):
-            low = token.lower()
-            known = sorted(casings.get(low, ()))
-            if all(c in PUNCTUATION for c in token) or token.isdigit():
-                out.append(token)
-            elif not known:
-                out.append(token.title())
-            elif len(known) == 1:
-                out.append(known[0])
-            else:
-                prev = out[-1] if out else None
-                nxt = tokens[i + 1].lower() if i + 1 < len(tokens) else None
-
-                def score(c, prev=prev, nxt=nxt, known=known):
-                    s = ratio(uni, c, known)
-                    if prev is not None:
-                        s += ratio(back, f"{prev}_{c}", [f"{prev}_{k}" for k in known])
-                    if nxt is not None:
-                        s += ratio(forth, f"{c}_{nxt}", [f"{k}_{nxt}" for k in known])
-                    if prev is not None and nxt is not None:
-                        s += ratio(tri, f"{prev}_{c}_{nxt}", [f"{prev}_{k}_{nxt}" for k in known])
-                    return s
-
-                out.append(max(known, key=lambda c: (score(c), [-ord(x) for x in c])))
-            if i == 0 and known and out[0]:
-                out[0] = out[0][0].upper() + out[0][1:]
-        joined = ""
-        for t in out:
-            joined += t if not joined or t.startswith("'") or t in PUNCTUATION else " " + t
-        return joined
-
-    return texts.map(one)
-
-
-def truecaser(uni: dict, back: dict, forth: dict, tri: dict, casings: dict):
-    """A Column function that restores casing. Each token takes the casing of the highest sum of four log
-    ratios (alone, after the token chosen before, before the next token, between both); ties go to the
-    first in alphabetical order; unknown tokens get a capital. The order of tokens matters, so it is a fold
-    inside an Arrow function over maps that every worker holds."""
-    return F.pandas_udf(lambda s: truecase(s, uni, back, forth, tri, casings), T.StringType())
-
-
 def title_match(title: Column, answers: Column) -> Column:
     """Whether the title begins with one of the answers, both in lower case without outer white space."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")

@@ -84,9 +84,11 @@ def candidates(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("candidate")).distinct()
 
 
-def questions(spark: SparkSession, path, lower: bool = False, seed: int | None = None, draft: int | None = None, truecase=None) -> DataFrame:
+def questions(spark: SparkSession, path, lower: bool = False, seed: int | None = None, draft: int | None = None, casing: dict[str, DataFrame] | None = None) -> DataFrame:
     """Question-answer pairs: id with origin, entity window, without empty answers, one ``?`` less, lower
-    case, seeded order, draft limit, true case of questions all in lower case: in this order."""
+    case, seeded order, draft limit, true case of questions all in lower case from tables of ``truecasing.counts``: in this
+    order."""
+    from ..operators import truecasing
     from ..operators.sampling import draw
 
     rows = _json(spark, path, schemas.QUESTIONS, False).select(F.explode("data").alias("q")).select("q.*")
@@ -99,8 +101,9 @@ def questions(spark: SparkSession, path, lower: bool = False, seed: int | None =
         rows = rows.orderBy(draw("id", seed=seed))
     if draft is not None:
         rows = rows.limit(draft)
-    if truecase is not None:
-        rows = rows.withColumn("question", F.when(X.only_lower(F.col("question")), truecase(F.col("question"))).otherwise(F.col("question")))
+    if casing is not None:
+        cased = truecasing.truecased(rows.where(X.only_lower(F.col("question"))), casing, "id", "question").dropDuplicates(["id"])
+        rows = rows.join(cased, "id", "left").withColumn("question", F.coalesce("cased", "question")).drop("cased")
     return rows
 
 
@@ -207,12 +210,3 @@ def database_texts(spark: SparkSession, path: str, table: str = "documents", par
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["id", "text"])
 
     return spark.range(0, partitions, 1, partitions).mapInArrow(read, "id string, text string")
-
-
-def casing_counts(texts: DataFrame, text_col: str = "text") -> dict[str, DataFrame]:
-    """Tables of counts for a true-caser: ``words`` (word, n), ``before`` (pairs of a word and the next) and
-    ``around`` (a word with both neighbours), of words as they are cased."""
-    rows = texts.select(F.split(F.trim(text_col), " +").alias("w0"))
-    rows = rows.select(F.explode(F.arrays_zip("w0", F.slice("w0", 2, F.size("w0")).alias("w1"), F.slice("w0", 3, F.size("w0")).alias("w2"))).alias("t")).select("t.*").where("w0 <> ''")
-    count = lambda *c: rows.where(F.col(c[-1]).isNotNull()).groupBy(*c).agg(F.count("*").alias("n"))
-    return {"words": count("w0").withColumnRenamed("w0", "word"), "before": count("w0", "w1"), "around": count("w0", "w1", "w2")}

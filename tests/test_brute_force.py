@@ -3,7 +3,6 @@
 import hashlib
 import html
 import re
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,17 +64,6 @@ def test_recall_at_k(spark):
     assert len(apart) > 50 and all(got[i] == pytest.approx(simple[i], abs=1e-6) for i in apart)
 
 
-def test_truecase(spark):
-    uni = {"the": 90, "The": 10, "of": 50, "Of": 1}
-    assert Counter(uni).most_common(1)[0][0] == "the"
-    rows = table(spark, "benchmark").collect()
-    got = {r.item_id: r.cased for r in catalog.QUERIES["truecase"](spark, SF).collect()}
-    # a capital sharp s is two letters
-    letters = lambda t: "".join(t.casefold().split())
-    assert len(got) == len(rows) and all(letters(got[r.item_id]) == letters(r.text) for r in rows)
-    assert all(not re.search(r"(?<=\w )(The|Of)(?= )", x) for x in got.values()), [re.findall(r"\S+ (?:The|Of) \S+", x) for x in got.values()][:2]
-
-
 def test_sentences_hold_what_was_found(spark):
     got = catalog.QUERIES["retrieve_sentence"](spark, SF).collect()
     contexts = [c for (c,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]

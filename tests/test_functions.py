@@ -59,8 +59,6 @@ def test_python_functions(spark):
     assert one(spark, X.rouge_l(F.col("a"), F.col("b")), a="the cat sat", b="the cat ran") == pytest.approx(2 / 3)
     assert one(spark, X.bleu(F.col("a"), F.col("b")), a="a b c d", b="a b c d") == pytest.approx(1)
     assert X.sentence_starts("One. Two! Three") == [0, 5, 10]
-    cased = X.truecase(pd.Series(["the cat of paris", None]), {"The": 1, "the": 9}, {}, {}, {}, {"the": ["the", "The"], "of": ["of"], "paris": ["Paris"]})
-    assert cased[0] == "The Cat of Paris" and cased[1] is None
 
 
 def test_codes(spark):

@@ -25,14 +25,6 @@ def test_database_texts(spark, tmp_path, rows):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((f"t{i}", f"text {i}" if i % 9 else None) for i in range(rows)), key=str)
 
 
-def test_casing_counts(spark):
-    df = spark.createDataFrame([("The cat saw The",), ("cat",), ("",), (None,)], "text string")
-    got = {k: {tuple(r) for r in v.collect()} for k, v in readers.casing_counts(df).items()}
-    assert got["words"] == {("The", 2), ("cat", 2), ("saw", 1)}
-    assert got["before"] == {("The", "cat", 1), ("cat", "saw", 1), ("saw", "The", 1)}
-    assert got["around"] == {("The", "cat", "saw", 1), ("cat", "saw", "The", 1)}
-
-
 def test_adapters_of_lines_and_written_lists(spark):
     lines = readers.adapt(spark.createDataFrame([(" what? ",)], "value string"), "lines").first()
     assert (lines.question, lines.answers) == ("what?", [""])

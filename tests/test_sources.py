@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from phrasemill.operators import mips
+from phrasemill.operators import mips, truecasing
 from phrasemill.sources import readers, writers
 from phrasemill.streaming import requests
 
@@ -40,7 +40,8 @@ def test_questions(spark, put):
     data = {"data": [{"id": "1", "question": "who is it?", "answers": ["x"], "origin": "nq.json"}, {"id": "2", "question": "none", "answers": []}]}
     row = readers.questions(spark, put("q.json", data)).collect()
     assert [(r.id, r.question, r.titles) for r in row] == [("nq-1", "who is it", [""])]
-    assert readers.questions(spark, put("q2.json", data), seed=3, draft=1, truecase=F.upper).first().question == "WHO IS IT"
+    casing = truecasing.counts(spark.createDataFrame([("Ask who is IT now",)], "text string"))
+    assert readers.questions(spark, put("q2.json", data), seed=3, draft=1, casing=casing).first().question == "Who is IT"
 
 
 def test_lines(spark, put):
