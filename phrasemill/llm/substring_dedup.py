@@ -176,11 +176,12 @@ def repeated_windows(docs: DataFrame, width: int = 50, id_col: str = "doc_id", t
     whole = members.where((F.col("reach") == F.col("model")) & _later("head"))
     whole = whole.select("id", "text_key", F.sequence("first", F.col("first") + F.col("many") - 1).alias("starts"))
 
-    # one occurrence, of the smallest id, of each reach of an anchor that has several
-    several = members.where("reach <> model").select("anchor").distinct()
+    # one occurrence, of the smallest id, of each reach, found map-side; and of these, anchors that have several
     place = F.min_by(F.struct("text_key", "first", "many"), F.struct(F.col("id").isNull(), F.col("id"), "text_key", "first")).alias("place")
-    classes = members.join(several, "anchor", "left_semi").groupBy("anchor", "reach", "model").agg(F.min("id").alias("id"), place, (F.count("*") == 1).alias("alone"))
-    classes = written(classes.select("anchor", "reach", "id", "place.*", "alone", (F.col("reach") == F.col("model")).alias("done")), "reaches")
+    reaches = members.groupBy("anchor", "reach", "model").agg(F.min("id").alias("id"), place, (F.count("*") == 1).alias("alone"))
+    reaches = written(reaches.select("anchor", "reach", "id", "place.*", "alone", (F.col("reach") == F.col("model")).alias("done")), "reaches")
+    several = written(reaches.where("NOT done").select("anchor").distinct(), "several")
+    classes = written(reaches.join(several, "anchor", "left_semi"), "classes")
     windows = written(_windows(docs, id_col, text_col, classes, width), "windows")
     lowest = windows.groupBy("anchor", "window").agg(F.min("id").alias("lowest"), F.count("*").alias("times")).where("lowest IS NOT NULL")
     # by reach: the windows that others have as well, and the smallest id of each; one row stands for equal rows of a table
@@ -191,7 +192,7 @@ def repeated_windows(docs: DataFrame, width: int = 50, id_col: str = "doc_id", t
     smaller = F.filter("known", lambda w: F.col("id").isNull() | (F.col("id") > w["lowest"]))
     part = part.select("id", "text_key", F.transform(smaller, lambda w: F.col("first") + w["at"]).alias("starts")).where("size(starts) > 0")
     out = written(whole.unionByName(part), "repeated")
-    for x in (found, heads, members, classes, windows, known):
+    for x in (found, heads, members, reaches, several, classes, windows, known):
         discard(x)
     return out
 
