@@ -2,31 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder of the
-    context. Only where neither is set and Spark runs in one process (tests) a temporary folder is made and
-    remembered in the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("phrasemill.shared.dir", None)
-    context = spark.sparkContext
-    if not found and context._jsc.sc().getCheckpointDir().isDefined():
-        found = context._jsc.sc().getCheckpointDir().get()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="phrasemill-")
-        spark.conf.set("phrasemill.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..shared import new_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,9 +38,9 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written with a key ``_row`` (bigint) that tells its rows apart, whatever their ids are."""
-    return written(df.withColumn("_row", F.monotonically_increasing_id()), name)
+def numbered(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written with a column ``key`` (bigint) that tells its rows apart, whatever their ids are."""
+    return written(df.withColumn(key, F.monotonically_increasing_id()), name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

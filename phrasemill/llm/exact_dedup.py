@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import free_name
 from ._store import numbered, written
 
 #: Counters of the summary: bounds what is broadcast and how large an unnamed group can be.
@@ -67,17 +68,28 @@ def label_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns unchanged.
 
-    Null, empty and white-space texts are one group; an empty table stays empty; other columns may have any
-    names but ``_row``, ``_digest`` and ``_size``. The row that stays is the one of ``label_copies``; of repeated rows with the winning id, one. Rows are
-    told apart by a key of their own, so repeated and null ids are decided like any others.
+    Null, empty and white-space texts are one group; an empty table stays empty; columns may have any names. The row that
+    stays is the one of ``label_copies``; of repeated rows with the winning id, one. Rows are told apart by a key of
+    their own, so repeated and null ids are decided like any others. Very long texts are compared by their digests.
+
+    Winners of digests that may be frequent are broadcast, and their rows never shuffled; the others' come from an
+    ordinary shuffle of short rows.
     """
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    size = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    rows = numbered(docs.withColumns({"_digest": digest, "_size": size}), "rows")
+    row, digest, size = (free_name(docs, x) for x in ("_row", "_digest", "_size"))
+    whole = docs.withColumns({digest: F.sha2(normalised(F.col(text_col)), 256), size: F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = numbered(whole, "rows", row)
+    short = rows.select(F.col(row).alias("row"), F.col(digest).alias("digest"), F.col(size).alias("size"), F.col(id_col).alias("id"))
+    hot = F.broadcast(written(frequent(short, "digest"), "frequent"))
     # larger first, then the smaller id, null ids last; minima are aggregated map-side
-    best = F.min(F.struct(-F.col("_size"), F.col(id_col).isNull(), F.col(id_col), F.col("_row").alias("_row")))
-    winners = rows.groupBy("_digest").agg(best.alias("best")).select("best._row")
-    return rows.join(winners, "_row", "left_semi").select(*docs.columns)
+    best = F.min(F.struct(-F.col("size"), F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))).alias("best")
+
+    def winners(of: DataFrame) -> DataFrame:
+        return of.groupBy("digest").agg(best).select(F.col("best.row").alias(row))
+
+    named = hot.withColumnRenamed("digest", digest)
+    heavy = rows.join(named, digest, "left_semi").join(F.broadcast(winners(short.join(hot, "digest", "left_semi"))), row, "left_semi")
+    light = rows.join(named, digest, "left_anti").join(winners(short.join(hot, "digest", "left_anti")), row, "left_semi")
+    return heavy.unionByName(light).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

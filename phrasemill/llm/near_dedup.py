@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import free_name
 from . import _arrow as A
 from ._components import components
 from ._store import discard, numbered, shuffle_partitions, written
@@ -371,14 +372,15 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
 def without_near_copies(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row, that of the smallest id (null ids last), of each linked group; columns unchanged.
 
-    Rows are linked by a key of their own, so repeated and null ids are decided like any others. Rows
-    without words, or text, are linked with nothing and stay. Of equal rows one stays. An empty table stays
-    empty; other columns may have any names but ``_row``.
+    Rows are linked by a key of their own, so repeated and null ids are decided like any others, and ids may be of any type
+    that can be ordered. Rows without words, or text, are linked with nothing and stay. Of equal rows one stays. An
+    empty table stays empty; columns may have any names; texts of any length are cut into shingles whole.
     """
-    rows = numbered(docs, "rows")
-    groups = link_groups(rows, percent, size, "_row", text_col).select("_row", "component_id")
-    named = groups.join(rows.select("_row", F.col(id_col).alias("id")), "_row")
+    row = free_name(docs, "_row")
+    rows = numbered(docs, "rows", row)
+    groups = link_groups(rows, percent, size, row, text_col).select(F.col(row).alias("row"), "component_id")
+    named = groups.join(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")), "row")
     # minima are aggregated map-side
-    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("_row").alias("_row")))
-    winners = named.groupBy("component_id").agg(best.alias("best")).select("best._row")
-    return rows.join(winners, "_row", "left_semi").select(*docs.columns)
+    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row")))
+    winners = named.groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias(row))
+    return rows.join(winners, row, "left_semi").select(*docs.columns)
