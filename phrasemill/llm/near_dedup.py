@@ -7,11 +7,12 @@ than two collections agree; there are as many collections as keep that to ``MISS
 similarity (12 at 0.85, 16 at 0.80: 2 in 10,000), and fewer are missed above it.
 
 Documents with equal sets are one class and take part once. In each table the members of a bucket are
-compared with its smallest, their head, by all their minhashes, a byte of each. Two members alone are tied
-only if they agree as often as similar ones do. In larger buckets a member is tied to the head if they agree
-as often as two do that are linked to a common third, and leaves the bucket if it surely is similar to the
-head; the others begin again with the next head, and after ``TURNS`` turns all that are left are tied. By
-the triangle inequality of the distance no pair is lost that way but by the chance of the minhashes.
+compared with its smallest, their head, by all their minhashes, a byte of each, and tied to it if they agree as often
+as similar ones do: one bar, whatever the size of the bucket. A bucket whose members are all tied is done. Else those
+that aren't surely similar to the head begin again with the next one, and after ``TURNS`` turns the few that are
+left are compared with each other, in blocks, by the same bar. Where some members left with a head, others might be
+similar to them and not to the head: these are tied to it from a lower bar on, at which by the triangle inequality
+no such pair is lost but by the chance of the minhashes. Pages that merely share a template are not tied.
 
 What hangs together by ties is a candidate group. Every candidate ships its set to its group once, where all
 pairs are decided from exact intersection counts (products of the incidence matrix of shared shingles). In
@@ -43,8 +44,9 @@ MISSED = 2.5e-4
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000
 #: Candidates (16 bytes each) up to which their list is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Minhashes besides those of the collections, turns of a bucket with a new head, and text of a partition.
-EXTRA, TURNS, PART_BYTES = 48, 2, 32 << 20
+#: Minhashes besides those of the collections (of 32 bits, as they are only compared), turns of a bucket with a new head,
+#: members that are compared with each other at once, and text of a partition.
+EXTRA, TURNS, PAIRED, PART_BYTES = 208, 2, 512, 32 << 20
 #: Text that is cut into shingles at once.
 CHUNK_TEXT = 1 << 20
 
@@ -76,11 +78,17 @@ def agreeing(share: float, hashes: int) -> int:
 
 
 def multipliers(collections: int) -> np.ndarray:
-    """Odd numbers for ``ROWS`` minhashes of each collection, and for ``EXTRA`` more."""
-    drawn = np.random.default_rng(20240229).integers(0, 2**63, collections * ROWS + EXTRA, dtype=np.uint64)
+    """Odd numbers for ``ROWS`` minhashes of each collection."""
+    drawn = np.random.default_rng(20240229).integers(0, 2**63, collections * ROWS, dtype=np.uint64)
     return drawn * np.uint64(2) + np.uint64(1)
 
 
+def more_multipliers() -> np.ndarray:
+    """Odd numbers of 32 bits for ``EXTRA`` minhashes."""
+    drawn = np.random.default_rng(20240301).integers(0, 2**31, EXTRA, dtype=np.uint64)
+    return (drawn * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+
+
 def shingle_sets(texts: pa.Array, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text's shingles of ``size`` words, and where each text's begin.
 
@@ -114,7 +122,7 @@ def signatures(sets: np.ndarray, begin: np.ndarray, collections: int) -> tuple[n
     full = np.flatnonzero(begin[:-1] < begin[1:])
     drawn = multipliers(collections)
     out = np.zeros((len(begin) - 1, collections), np.uint64)
-    small = np.zeros((len(begin) - 1, len(drawn)), np.uint8)
+    small = np.zeros((len(begin) - 1, len(drawn) + EXTRA), np.uint8)
     if not len(full):
         return out, small
     starts = begin[:-1][full]
@@ -126,10 +134,14 @@ def signatures(sets: np.ndarray, begin: np.ndarray, collections: int) -> tuple[n
             least = np.minimum.reduceat(h, starts)
             small[full, i] = A.mixed(least).astype(np.uint8)
             c, k = divmod(i, ROWS)
-            if c < collections:
-                key = np.full(len(full), c + 1, np.uint64) if k == 0 else key
-                key = A.mixed(key * np.uint64(3) + least)
-                out[full, c] = key
+            key = np.full(len(full), c + 1, np.uint64) if k == 0 else key
+            key = A.mixed(key * np.uint64(3) + least)
+            out[full, c] = key
+        halves = (sets >> np.uint64(32)).astype(np.uint32)
+        for i, m in enumerate(more_multipliers()):
+            h = halves * m
+            h ^= h >> np.uint32(15)
+            small[full, len(drawn) + i] = (np.minimum.reduceat(h, starts) * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return out, small
 
 
@@ -264,22 +276,52 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(heads, "head").join(small, "rep").select("head", "rep", "x", "y").mapInArrow(run, "head bigint, rep bigint, agree int")
 
 
-def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int, made: list[DataFrame]) -> DataFrame:
+def tied_pairs(small: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs that join up all rows that agree on ``least`` bytes, directly or by way of others."""
+    label, out = np.arange(len(small)), []
+    for i in range(len(small) - 1):
+        near = i + 1 + np.flatnonzero((small[i + 1 :] == small[i]).sum(1) >= least)
+        for other in np.unique(label[near]):
+            if other != label[i]:
+                out.append((i, int(near[label[near] == other][0])))
+                label[label == other] = label[i]
+    return out
+
+
+def _paired(members: DataFrame, classes: DataFrame, least: int, parts: int) -> DataFrame:
+    """Ties ``a``, ``b`` among the members (key, rep) of each bucket, blocks of a large one against all its blocks."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    rows = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(classes.select("rep", "small"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "rep", "small").repartition(parts, "group").sortWithinPartitions("group", "rep")
+
+    def decide(reps, small):
+        found = tied_pairs(np.frombuffer(b"".join(small), np.uint8).reshape(len(small), -1), least)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([reps[x[i]] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return _by_group(rows, ["rep", "small"], decide, "a bigint, b bigint")
+
+
+def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int, parts: int, made: list[DataFrame]) -> DataFrame:
     """Ties ``a``, ``b`` from the members (key, rep) of buckets. Tables written on the way go to ``made``."""
     share = percent / 100
-    far, inner = agreeing(max(0.0, 2 * share - 1), hashes), math.ceil(hashes * (1 + share) / 2)
+    bar, far, inner = agreeing(share, hashes), agreeing(max(0.0, 2 * share - 1), hashes), math.ceil(hashes * (1 + share) / 2)
     found = []
     for _ in range(TURNS):
         heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1")
-        tied = written(members.join(heads, "key").where("rep <> head"), "members")
+        tied = written(members.join(heads, "key").where("rep <> head").select("key", "head", "rep", "members"), "members")
         agree = written(_agreement(tied.select("head", "rep").distinct(), classes), "agreement")
-        made += [tied, agree]
-        enough = F.when(F.col("members") == 2, agreeing(share, hashes)).otherwise(far)
-        known = tied.join(agree, ["head", "rep"])
-        found.append(known.where(F.col("agree") >= enough).select(F.col("head").alias("a"), F.col("rep").alias("b")))
-        members = known.where((F.col("members") > 2) & (F.col("agree") < inner)).select("key", "rep")
-    heads = members.groupBy("key").agg(F.min("rep").alias("head"))
-    found.append(members.join(heads, "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))
+        known = written(tied.join(agree, ["head", "rep"]), "known")
+        # what a bucket needs: nothing more if all are tied, the lower bar if some leave with the head
+        state = known.groupBy("key").agg((F.min("agree") >= bar).alias("done"), (F.max("agree") >= inner).alias("close"))
+        state = written(state.where("close OR NOT done"), "state")
+        made += [tied, agree, known, state]
+        found.append(known.where(F.col("agree") >= bar).select(F.col("head").alias("a"), F.col("rep").alias("b")))
+        rest = known.where(F.col("agree") < inner).join(state.where("NOT done"), "key")
+        found.append(rest.where(F.col("close") & (F.col("agree") < bar) & (F.col("agree") >= far)).select(F.col("head").alias("a"), F.col("rep").alias("b")))
+        members = rest.where("members > 2").select("key", "rep")
+    found.append(_paired(members, classes, bar, parts))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -335,7 +377,8 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     alone = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     members = written(keys.join(alone, "key"), "buckets")
     made = [members]
-    candidates = components(_ties(members, classes, percent, collections * ROWS + EXTRA, made))
+    parts = max(4 * shuffle_partitions(spark), math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / PART_BYTES))
+    candidates = components(_ties(members, classes, percent, collections * ROWS + EXTRA, parts, made))
     for x in made:  # the components are written, nothing needs these any more
         discard(x)
     sized = candidates.join(classes.select(F.col("rep").alias("node"), "n"), "node")
@@ -357,7 +400,6 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     # a repeated id may come with several texts: one class member each, all under the same id
     sets = texts.mapInArrow(gather, "id bigint, set binary").where("length(set) > 0")
     sets = written(sets.join(placed, "id"), "sets")
-    parts = max(4 * shuffle_partitions(spark), math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / PART_BYTES))
     made = [sets]
     roots = components(_links(sets, percent, parts, made)).select(F.col("node").alias("rep"), "root")
     for x in made:

@@ -22,6 +22,7 @@ def test_more_hashes_at_lower_similarity():
     sets, begin = np.arange(1, 9, dtype=np.uint64), np.array([0, 8])
     keys, small = near_dedup.signatures(sets, begin, 16)
     assert keys.shape == (1, 16) and small.shape == (1, 48 + near_dedup.EXTRA)
+    assert len(set(near_dedup.more_multipliers().tolist())) == near_dedup.EXTRA
 
 
 def _tail(n, p, k):
@@ -74,3 +75,68 @@ def test_groups_of_several_blocks_are_decided_like_small_ones(spark, monkeypatch
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.link_groups(rows).collect()}
     assert len({find(i) for i in up}) > 5 and got == {i: find(i) for i in range(len(texts))}
+
+
+def pages(similarity, n, rng, size=200):
+    """Sets of shingles that all share a part, so that any two have the similarity."""
+    common = round(2 * size * similarity / (1 + similarity))
+    base = rng.integers(0, 2**63, common, dtype=np.uint64)
+    return [np.sort(np.concatenate([base, rng.integers(0, 2**63, size - common, dtype=np.uint64)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+@pytest.mark.parametrize("members", [3, 300])
+def test_ties_in_buckets_of_any_size(percent, members):
+    """What one bucket ties: hardly any of the pages that share a template, in small buckets as in large ones, and pairs that are similar."""
+    rng = np.random.default_rng(members)
+    collections = near_dedup.collections_for(percent)
+    least = near_dedup.agreeing(percent / 100, collections * near_dedup.ROWS + near_dedup.EXTRA)
+    for similarity, most in ((0.5, 0.0005), (0.6, 0.002), (0.7, 0.2 if percent == 85 else 0.6)):
+        tied = pairs = 0
+        for _ in range(max(1, 300 // members)):
+            sets = pages(similarity, members, rng)
+            begin = np.append(0, np.cumsum([len(s) for s in sets]))
+            _, small = near_dedup.signatures(np.concatenate(sets), begin, collections)
+            for i in range(members):
+                tied += int(((small[i + 1 :] == small[i]).sum(1) >= least).sum())
+            pairs += members * (members - 1) // 2
+        assert tied / pairs <= most, (similarity, tied / pairs)
+    missed = trials = 0
+    for _ in range(400):
+        a, b = pages(percent / 100 + 0.004, 2, rng)
+        _, small = near_dedup.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), collections)
+        missed += int((small[0] == small[1]).sum() < least)
+        trials += 1
+    assert missed <= 2
+
+
+def test_tied_pairs_join_what_a_loop_joins():
+    rng = np.random.default_rng(8)
+    small = rng.integers(0, 3, (60, 20)).astype(np.uint8)
+    for least in (0, 10, 12, 14, 21):
+        label = list(range(60))
+        for _ in range(60):
+            for i in range(60):
+                for j in range(60):
+                    if i != j and (small[i] == small[j]).sum() >= least:
+                        label[i] = label[j] = min(label[i], label[j])
+        up = list(range(60))
+        for a, b in near_dedup.tied_pairs(small, least):
+            x, y = up[a], up[b]
+            assert x != y
+            up = [x if u == y else u for u in up]
+        assert len(set(up)) == len(set(label)) and all((up[i] == up[j]) == (label[i] == label[j]) for i in range(60) for j in range(60))
+
+
+def test_pages_of_one_template_are_few_candidates(spark, monkeypatch):
+    """400 pages of similarity 0.6, none linked with another: candidate groups of a few at most."""
+    drawn = random.Random(4)
+    base = [f"t{i}" for i in range(153)]
+    rows = [(i, " ".join(base + [f"p{drawn.randrange(10**9)}" for _ in range(50)])) for i in range(400)]
+    found = []
+    real = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: found.append(real(edges)) or found[-1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert near_dedup.link_groups(docs).where("NOT kept").count() == 0
+    groups = [r["count"] for r in found[0].groupBy("root").count().collect()]
+    assert max(groups, default=0) <= 8 and sum(groups) <= 60
