@@ -21,7 +21,7 @@ from . import _arrow as A
 #: Buckets of hashed words, and factors of each feature.
 BUCKETS, RANK = 1 << 14, 8
 #: Text bytes that are scored at once: the factors of all their words are in memory together.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Labelled rows that the model is fitted to, at most.
 SAMPLE = 6_000
 _LETTER = np.zeros((256, 8))
