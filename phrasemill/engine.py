@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +32,23 @@ class PhraseEngine:
     def set_encoder(self, encoder: Encoder) -> None:
         self.encoder = encoder
 
-    def _hits(self, encoded: DataFrame, side: str, o: SearchOptions) -> DataFrame:
-        other = "q_end" if side == "q_start" else "q_start"
-        q = encoded.select("qid", F.col(side).alias("qvec"))
+    def _hits(self, encoded: DataFrame, o: SearchOptions) -> tuple[DataFrame, DataFrame]:
         if self.postings is None:
-            top = mips.exact_top_k(self.phrases.select(self._id().alias("id"), "vec"), q, o.fetch)
+            rows, find = self.phrases.select(self._id().alias("id"), "vec"), mips.exact_top_k
         else:
-            top = mips.pruned_top_k(self.postings, self.centroids, q, o.fetch, o.probes)
-        top = top.join(encoded.select("qid", F.col(other).alias("other")), "qid")
-        return top.select("qid", "rank", F.shiftright("id", 20).alias("doc_idx"), F.col("id").bitwiseAND(F.lit((1 << 20) - 1)).alias("idx"), "score", "other")
+            rows = self.postings
 
-    def spans(self, questions: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-        encoded = self.encoder(questions)
-        found = search.search_spans(self._hits(encoded, "q_start", options), self._hits(encoded, "q_end", options), self.phrases, options.max_answer_length)
-        return search.with_texts(found, self.docs)
+            def find(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+                return mips.pruned_top_k(postings, self.centroids, queries, k, o.probes)
+
+        place = lambda t: t.select("qid", "rank", F.shiftright("id", 20).alias("doc_idx"), F.col("id").bitwiseAND(F.lit((1 << 20) - 1)).alias("idx"), "score", "other")
+        return tuple(map(place, search.both_hits(rows, encoded, o.fetch, find)))
+
+    def spans(self, questions: DataFrame, options: SearchOptions = SearchOptions(), vectors: bool = False) -> DataFrame:
+        """The spans found, with their texts, and with the vectors of both ends if asked for."""
+        found = search.search_spans(*self._hits(self.encoder(questions), options), self.phrases, options.max_answer_length)
+        texts = search.with_texts(found, self.docs)
+        return search.with_vectors(texts, self.phrases) if vectors else texts
 
     def search(self, questions: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
         """qid, place, found, score: the unit's texts of each question."""
@@ -67,3 +71,19 @@ class PhraseEngine:
         if options.match == "regex":
             metric = X.regex_match_each
         return metrics.answer_metrics(joined, options.top_k, metric)
+
+    def evaluate_all(self, datasets: dict[str, DataFrame], search_options: SearchOptions = SearchOptions(), candidates: dict[str, DataFrame] | None = None, top_k: int = 10) -> DataFrame:
+        """``dataset`` and its metrics, each set of questions evaluated by the rules of its name (how answers match, whether candidates restrict
+        them)."""
+        found = []
+        for name, questions in datasets.items():
+            options = EvaluationOptions(dataset=name, top_k=top_k)
+            found.append(self.evaluate(questions, search_options, options, (candidates or {}).get(name)).select(F.lit(name).alias("dataset"), "*"))
+        return reduce(DataFrame.unionByName, found)
+
+    def run(self, mode: str, questions: DataFrame | dict[str, DataFrame], **options) -> DataFrame:
+        """One of the modes by its name: ``query`` (texts), ``spans`` (with vectors, to train on), ``eval``, ``eval_all``."""
+        modes = {"query": self.search, "spans": lambda q, **o: self.spans(q, vectors=True, **o), "eval": self.evaluate, "eval_all": self.evaluate_all}
+        if mode not in modes:
+            raise ValueError(f"mode must be one of {sorted(modes)}")
+        return modes[mode](questions, **options)

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index, mips, phrases
+from .operators import index, lists, mips, phrases
+from .options import IndexOptions
 from .sources import manifest, writers
 
 #: Turns documents from windows (doc_idx, tokens) into tokens (doc_idx, word_idx, fs, fe, vec).
@@ -75,3 +76,23 @@ def merged_phrases(spark: SparkSession, path: str, phrases_of: dict[str, DataFra
         if s.name in phrases_of:
             parts.append(phrases_of[s.name].withColumn("doc_idx", F.col("doc_idx") + F.lit(s.base // manifest.STEP)))
     return reduce(DataFrame.unionByName, parts)
+
+
+def run_stages(stages: tuple[str, ...], path: str, vectors: DataFrame, options: IndexOptions = IndexOptions(), cells: int = 16, shard: str = "all", shards: tuple[str, ...] = ()) -> lists.Lists:
+    """The stages of a two-level index by their names, in this order: ``coarse`` (train centroids and codebooks on a sample), ``add`` (assign and code
+    all vectors as a shard), ``merge`` (take the shards of other indexes in), or ``all`` for the first two. A stage that is run
+    again replaces what it wrote."""
+    known = {"all": ("coarse", "add")}
+    asked = [x for s in stages for x in known.get(s, (s,))]
+    if unknown := set(asked) - {"coarse", "add", "merge"}:
+        raise ValueError(f"unknown stages {sorted(unknown)}")
+    spark = vectors.sparkSession
+    if "coarse" in asked:
+        sample = index.sample_vectors(vectors, options.sample, replace=False, seed=options.seed, norm_limit=options.norm_limit) if options.sample < 1 or options.norm_limit else vectors
+        lists.train(sample, path, cells, max(1, options.clusters // cells), options.parts, seed=options.seed)
+    out = lists.Lists(spark, path)
+    if "add" in asked:
+        lists.add(vectors, out, shard)
+    if "merge" in asked:
+        manifest.merge(spark, list(shards), path)
+    return out

@@ -164,6 +164,56 @@ def gated(scores: DataFrame, rprec: str = "rprec", metrics: tuple[str, ...] = ("
     return scores.agg(*plain, *(F.avg(F.when(F.col(rprec) == 1, F.col(m)).otherwise(0.0)).alias(f"gated_{m}") for m in metrics), F.avg(rprec).alias(rprec))
 
 
+def answer_scores(prediction: Column, gold: Column) -> Column:
+    """Struct em, f1, precision, recall of normalised words; yes, no and noanswer count only as a whole."""
+    p, g = X.normalize_answer(prediction), X.normalize_answer(gold)
+    closed = (p.isin("yes", "no", "noanswer") | g.isin("yes", "no", "noanswer")) & (p != g)
+    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+
+    def scores(a: Column, b: Column) -> Column:
+        both = F.when(closed, 0).otherwise(X.overlap(a, b))
+        share = lambda n: F.coalesce(F.try_divide(both, n), F.lit(0.0))
+        return F.struct((p == g).cast("double").alias("em"), share((F.size(a) + F.size(b)) / 2).alias("f1"), share(F.size(a)).alias("precision"), share(F.size(b)).alias("recall"))
+
+    return X.let(words(p), lambda a: X.let(words(g), lambda b: scores(a, b)))
+
+
+def file_scores(golds: DataFrame, guesses: DataFrame, key: str = "id") -> DataFrame:
+    """One row of means over all ``golds`` (id, answer, facts): ``em, f1, precision, recall`` of answers, ``sp_em, ...`` of supporting facts, and
+    ``joint_em, ...`` of both together (products of precisions and of recalls), and how many are ``missing`` a guess.
+    ``guesses``: id, answer, facts. A missing guess, answer or list scores 0."""
+    g = golds.select(key, F.col("answer").alias("_a"), F.col("facts").alias("_s"))
+    p = guesses.select(key, F.col("answer").alias("_b"), F.col("facts").alias("_t"), F.lit(True).alias("_found"))
+    joined = g.join(p, key, "left")
+    names = ["em", "f1", "precision", "recall"]
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in names))
+    facts = support_scores(F.col("_t"), F.col("_s"))
+    sets = F.struct((facts["f1"] == 1).cast("double").alias("em"), facts["f1"].alias("f1"), facts["precision"].alias("precision"), facts["recall"].alias("recall"))
+    both = joined.select("_found", F.coalesce(F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), answer_scores(F.col("_b"), F.col("_a"))), zero).alias("x"), F.coalesce(F.when(F.col("_t").isNotNull() & F.col("_s").isNotNull(), sets), zero).alias("y"))
+    precision, recall = F.col("x.precision") * F.col("y.precision"), F.col("x.recall") * F.col("y.recall")
+    joint = {"em": F.col("x.em") * F.col("y.em"), "f1": F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)), "precision": precision, "recall": recall}
+    means = [F.avg(F.col(f"{side}.{n}")).alias(prefix + n) for side, prefix in (("x", ""), ("y", "sp_")) for n in names]
+    return both.agg(*means, *(F.avg(joint[n]).alias(f"joint_{n}") for n in names), F.count_if(F.col("_found").isNull()).alias("missing"))
+
+
+def provenance_report(golds: DataFrame, guesses: DataFrame, ks: tuple[int, ...] = (1, 5), key: str = "id") -> DataFrame:
+    """One row for a whole run: means of ``em`` and ``f1`` (best over gold answers), the same where all evidence was found, R-precision, and for
+    each of ``ks`` precision, recall and success, over all ``golds`` (id, answers, sets); ``missing`` guesses score 0. ``guesses``: id,
+    answer, pages. Ids are trimmed."""
+    g = golds.withColumn(key, F.btrim(key))
+    joined = g.join(guesses.withColumn(key, F.btrim(key)).select(key, F.col("answer").alias("_p"), F.col("pages").alias("_q"), F.lit(True).alias("_found")), key, "left")
+    pages = F.coalesce("_q", F.array().cast("array<string>"))
+    one = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    found = X.best_over(F.col("answers"), lambda a: X.exact_match(F.col("_p"), a).cast("double")), X.best_over(F.col("answers"), lambda a: X.f1_plain(F.col("_p"), a))
+    cols = [one(found[0]).alias("em"), one(found[1]).alias("f1"), r_precision(F.col("_g"), F.col("sets")).alias("rprec")]
+    for k in ks:
+        cols += [precision_at(F.col("_g"), F.col("sets"), k).alias(f"p{k}"), set_recall(k)(F.col("_g"), F.col("sets")).alias(f"r{k}"), success_at(F.col("_g"), F.col("sets"), k).alias(f"s{k}")]
+    per = joined.withColumn("_g", pages).select("_found", *cols)
+    names = ["em", "f1", "rprec", *(f"{m}{k}" for k in ks for m in "prs")]
+    whole = [F.avg(F.when(F.col("rprec") == 1, F.col(m)).otherwise(0.0)).alias(f"gated_{m}") for m in ("em", "f1")]
+    return per.agg(*(F.avg(n).alias(n) for n in names), *whole, F.count_if(F.col("_found").isNull()).alias("missing"))
+
+
 def support_scores(predicted: Column, gold: Column) -> Column:
     """Struct precision, recall, f1 of two sets."""
     both = F.size(F.array_intersect(predicted, gold))

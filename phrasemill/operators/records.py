@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..shared import free_name, materialised
+from .sampling import draw
 
 
 def label_index(rows: DataFrame, label: str) -> DataFrame:
@@ -182,6 +183,12 @@ def occurrences(text: Column, answer: Column) -> Column:
     return F.when(F.length(answer) > 0, F.transform(F.slice(at, F.lit(2), F.size(at)), lambda x: x - F.length(answer)))
 
 
+def drawn_occurrence(text: Column, answer: Column, *keys: Column, seed: int = 29) -> Column:
+    """One of the places where an answer begins, drawn by a seeded hash of ``keys``; null without any."""
+    at = occurrences(text, answer)
+    return F.when(F.size(at) > 0, F.get(at, (F.conv(F.substring(draw(*keys, seed=seed), 1, 8), 16, 10).cast("bigint") % F.size(at)).cast("int")))
+
+
 def span_bytes(document: Column, start: Column, end: Column) -> Column:
     """The text of a span of bytes ``[start, end)`` of a document's UTF-8 form."""
     return F.decode(F.substring(F.encode(document, "UTF-8"), start + 1, end - start), "UTF-8")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.vectors import dot
+from ..shared import materialised
+from .mips import exact_top_k
 
 #: What each retrieval unit merges by.
 STRATEGY = {"phrase": "opt1", "sentence": "opt2", "paragraph": "opt2", "document": "opt3"}
@@ -39,8 +43,33 @@ def complete(hits: DataFrame, phrases: DataFrame, max_length: int, anchor: str)
     return top.select("qid", F.lit(0 if anchor == "start" else 1).alias("anchor"), "rank", "doc_idx", F.col(a).alias("start_idx"), F.col(b).alias("end_idx"), F.col(first).alias("start_f2o"), F.col(last).alias("end_f2o"), F.col("total").alias("score"))
 
 
+def both_hits(phrases: DataFrame, encoded: DataFrame, k: int, search: Callable[[DataFrame, DataFrame, int], DataFrame] = exact_top_k) -> tuple[DataFrame, DataFrame]:
+    """Hits on starts and on ends for ``complete``, from one pass over the vectors: both halves of every query are searched at once.
+    ``phrases``: id, vec; ``encoded``: qid, q_start, q_end. Hits: qid, rank, id, score, other."""
+    tag = lambda side: F.concat(F.lit(side), F.col("qid").cast("string"))
+    halves = [encoded.select(tag("s").alias("tag"), F.col("q_start").alias("qvec")), encoded.select(tag("e").alias("tag"), F.col("q_end").alias("qvec"))]
+    top = search(phrases, halves[0].unionByName(halves[1]).withColumnRenamed("tag", "qid"), k).withColumnRenamed("qid", "tag")
+    # written: both kinds of hits, and what is joined to them, read it
+    top = materialised(top, "hits")
+    return tuple(top.join(encoded.select("qid", tag(side).alias("tag"), F.col(other).alias("other")), "tag").select("qid", "rank", "id", "score", "other") for side, other in (("s", "q_end"), ("e", "q_start")))
+
+
+def near(phrases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Phrases of the documents that have hits: all that completing them can need."""
+    return phrases.join(hits.select("doc_idx").distinct(), "doc_idx", "left_semi")
+
+
+def with_vectors(spans: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Spans with the vectors of their first and last place, ``start_vec`` and ``end_vec``, to train queries on; null where the phrases lack
+    them."""
+    first = phrases.select("doc_idx", F.col("idx").alias("start_idx"), F.col("vec").alias("start_vec"))
+    last = phrases.select("doc_idx", F.col("idx").alias("end_idx"), F.col("vec").alias("end_vec"))
+    return spans.join(first, ["doc_idx", "start_idx"], "left").join(last, ["doc_idx", "end_idx"], "left")
+
+
 def search_spans(start_hits: DataFrame, end_hits: DataFrame, phrases: DataFrame, max_length: int) -> DataFrame:
     """Spans from both kinds of hits, two rows for every rank of a query."""
+    phrases = materialised(near(phrases.select("doc_idx", "idx", "f2o", "vec"), start_hits.select("doc_idx").unionByName(end_hits.select("doc_idx"))), "near")
     return complete(start_hits, phrases, max_length, "start").unionByName(complete(end_hits, phrases, max_length, "end"))
 
 

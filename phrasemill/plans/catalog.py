@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import corpus, index, lists, metrics, mips, phrases, records, sampling, search, spans, training
-from ..shared import new_path
+from ..shared import materialised, new_path
 from ..streaming import requests
 from . import sql as S
 from . import views as W
@@ -187,16 +187,17 @@ def first_passage_filter(spark, sf):
     return phrases.first_passage(W.kept(spark, sf), W.docs(spark, sf).select("doc_idx", first.alias("first_len"))).select("doc_idx", "idx")
 
 
-def _hits(spark, sf, side):
-    kept, q = W.kept(spark, sf), W.queries(spark, sf)
+def _searched(spark, sf):
+    """Kept phrases, written once, and the hits on their starts and ends."""
+    kept = materialised(W.kept(spark, sf).select("doc_idx", "idx", "f2o", "vec"), "kept")
     key = kept.select((F.col("doc_idx") * 1000 + F.col("idx")).alias("id"), "vec")
-    other = "q_end" if side == "q_start" else "q_start"
-    top = mips.exact_top_k(key, q.select("qid", F.col(side).alias("qvec")), W.K)
-    return top.join(q.select("qid", F.col(other).alias("other")), "qid").select("qid", "rank", F.expr("id div 1000").alias("doc_idx"), (F.col("id") % 1000).alias("idx"), "score", "other")
+    place = lambda t: t.select("qid", "rank", F.expr("id div 1000").alias("doc_idx"), (F.col("id") % 1000).alias("idx"), "score", "other")
+    return kept, *map(place, search.both_hits(key, W.queries(spark, sf), W.K))
 
 
 def _spans(spark, sf):
-    return search.search_spans(_hits(spark, sf, "q_start"), _hits(spark, sf, "q_end"), W.kept(spark, sf), W.LENGTH)
+    kept, starts, ends = _searched(spark, sf)
+    return search.search_spans(starts, ends, kept, W.LENGTH)
 
 
 def _span_columns(df):
@@ -208,12 +209,23 @@ _SPAN_SQL = "SELECT qid, anchor::BIGINT AS anchor, rank, doc_idx, start_idx, end
 
 @query(f"WITH {S.HITS}, {S.STARTS} {_SPAN_SQL} starts")
 def span_complete_ends(spark, sf):
-    return _span_columns(search.complete(_hits(spark, sf, "q_start"), W.kept(spark, sf), W.LENGTH, "start"))
+    kept, starts, _ = _searched(spark, sf)
+    return _span_columns(search.complete(starts, kept, W.LENGTH, "start"))
 
 
 @query(f"WITH {S.HITS}, {S.ENDS} {_SPAN_SQL} ends")
 def span_complete_starts(spark, sf):
-    return _span_columns(search.complete(_hits(spark, sf, "q_end"), W.kept(spark, sf), W.LENGTH, "end"))
+    kept, _, ends = _searched(spark, sf)
+    return _span_columns(search.complete(ends, kept, W.LENGTH, "end"))
+
+
+@query(f"WITH {S.HITS}, {S.STARTS}, sums AS (SELECT doc_idx, idx, list_sum(vec)::BIGINT AS s, vec[1]::BIGINT AS f FROM kept) SELECT t.qid, t.rank, t.doc_idx, a.s AS start_sum, b.s AS end_sum, a.f AS start_first, b.f AS end_first FROM starts t JOIN sums a ON a.doc_idx = t.doc_idx AND a.idx = t.start_idx JOIN sums b ON b.doc_idx = t.doc_idx AND b.idx = t.end_idx")
+def spans_with_vectors(spark, sf):
+    """Sums and first numbers of the vectors that come back with each span."""
+    kept, starts, _ = _searched(spark, sf)
+    rows = search.with_vectors(search.complete(starts, kept, W.LENGTH, "start"), kept)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x).cast("bigint")
+    return rows.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_idx", total("start_vec").alias("start_sum"), total("end_vec").alias("end_sum"), F.col("start_vec")[0].cast("bigint").alias("start_first"), F.col("end_vec")[0].cast("bigint").alias("end_first"))
 
 
 def _texts(spark, sf):
@@ -860,10 +872,13 @@ def train_accuracy(spark, sf):
     return m.select(*(_r(c).alias(c) for c in m.columns))
 
 
-@query(_HIT_LIST + " SELECT qid, arg_max(id, (id * 7919 % 1009) * 1000000 - id) AS best FROM hits GROUP BY qid")
+@query(_HIT_LIST + f", again AS (SELECT h.qid, h.id, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS second FROM hits h JOIN embeddings a ON a.vec_id = h.qid + 1 JOIN embeddings b ON b.vec_id = h.id) SELECT qid, arg_max(id, {{'s': second, 'i': -id}}) AS best FROM again GROUP BY qid")
 def rerank_top1(spark, sf):
-    again = (F.col("id") * 7919 % 1009) * 1_000_000 - F.col("id")
-    return _hit_list(spark, sf).groupBy("qid").agg(F.max_by("id", again).alias("best"))
+    """The best of each query's hits by a second score: the product with the vector after the query's."""
+    e = W.table(spark, sf, "embeddings")
+    hits = _hit_list(spark, sf).select("qid", "id").join(e.select((F.col("vec_id") - 1).alias("qid"), F.col("embedding").alias("a")), "qid").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b")), "id")
+    second = _r(V.dot(F.col("a"), F.col("b")))
+    return hits.groupBy("qid").agg(F.max_by("id", F.struct(second, -F.col("id"))).alias("best"))
 
 
 @query("SELECT a.vec_id AS qid, b.vec_id AS pid, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -931,6 +946,26 @@ def answer_occurrences(spark, sf):
     return W.table(spark, sf, "benchmark").select("item_id", at.alias("at")).select("item_id", F.size("at").cast("bigint").alias("times"), F.get("at", F.lit(0)).cast("bigint").alias("first"))
 
 
+@query("WITH o AS (SELECT item_id, text, string_split(text, 'th') AS p FROM benchmark), d AS (SELECT item_id, p, CAST('0x' || substr(md5('29-' || item_id), 1, 8) AS BIGINT) % (len(p) - 1) AS k FROM o WHERE len(p) > 1) SELECT item_id, length(array_to_string(p[1:k + 1], 'th'))::BIGINT AS at FROM d")
+def drawn_occurrences(spark, sf):
+    at = records.drawn_occurrence(F.col("text"), F.lit("th"), F.col("item_id"))
+    return W.table(spark, sf, "benchmark").select("item_id", at.cast("bigint").alias("at")).where("at IS NOT NULL")
+
+
+@query(f"""WITH g AS (SELECT item_id, text AS a, string_split(text, ' ') AS w FROM benchmark), p AS (SELECT item_id, array_to_string(w[2:], ' ') AS b, w[2:4] AS t FROM g WHERE item_id % 4 > 0),
+x AS (SELECT a, b, item_id % 4 > 0 AS found, {S.answer_words('a')} AS wa, {S.answer_words('b')} AS wb, list_distinct(w[1:3]) AS s, list_distinct(coalesce(t, [])) AS t FROM g LEFT JOIN p USING (item_id)),
+y AS (SELECT *, CASE WHEN found AND array_to_string(wa, ' ') = array_to_string(wb, ' ') THEN 1.0 ELSE 0.0 END AS em, CASE WHEN found THEN coalesce({S.overlap('wb', 'wa')}, 0) ELSE 0 END AS o, len(list_intersect(s, t)) AS f FROM x),
+z AS (SELECT found, em::DOUBLE AS em, coalesce(o / nullif(len(wb), 0), 0)::DOUBLE AS p, coalesce(o / nullif(len(wa), 0), 0)::DOUBLE AS r, coalesce(f / nullif(len(t), 0), 0)::DOUBLE AS sp, coalesce(f / nullif(len(s), 0), 0)::DOUBLE AS sr FROM y)
+SELECT round(avg(em), 6) AS em, round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 6) AS f1, round(avg(coalesce(2 * sp * sr / nullif(sp + sr, 0), 0)), 6) AS sp_f1, round(avg(coalesce(2 * p * sp * r * sr / nullif(p * sp + r * sr, 0), 0)), 6) AS joint_f1, count(*) FILTER (NOT found) AS missing FROM z""")
+def joint_scores(spark, sf):
+    """Answers and supporting facts of a whole run, apart and together: items against themselves without their first word, every fourth missing."""
+    b = W.table(spark, sf, "benchmark").withColumn("w", F.split("text", " ")).withColumn("n", F.size("w"))
+    gold = b.select("item_id", F.col("text").alias("answer"), F.slice("w", 1, 3).alias("facts"))
+    guess = b.where("item_id % 4 > 0").select("item_id", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ").alias("answer"), F.slice("w", 2, 3).alias("facts"))
+    rows = metrics.file_scores(gold, guess, "item_id")
+    return rows.select(*(_r(c).alias(c) for c in ("em", "f1", "sp_f1", "joint_f1")), "missing")
+
+
 @query("SELECT page_id, sha256(url) || '.' || sha256(page_id::VARCHAR) AS name FROM pages")
 def resource_names(spark, sf):
     return W.table(spark, sf, "pages").select("page_id", records.resource_name(F.col("url"), F.col("page_id").cast("string")).alias("name"))

@@ -51,7 +51,7 @@ def f1(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) > 0 THEN 2.0::DOUBLE * coalesce({overlap(a, b)}, 0) / (len({a}) + len({b})) ELSE 0 END"
 
 
-ANSWERS = "answers AS (SELECT item_id AS qid, [array_to_string(w[2:6], ' '), array_to_string(w[1:5], ' '), array_to_string(w[4:9], ' ')] AS predictions, [array_to_string(w[1:5], ' '), array_to_string(w[2:5], ' ')] AS golds FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark))"
+ANSWERS = "answers AS (SELECT item_id AS qid, [array_to_string(w[2:], ' '), array_to_string(w, ' '), array_to_string(w[4:], ' ')] AS predictions, [array_to_string(w, ' '), array_to_string(w[2:greatest(len(w) - 2, 0)], ' ')] AS golds FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark))"
 RESULTS = "results AS (SELECT doc_id % 40 AS qid, doc_id // 40 AS place, n_chars % 7 = 0 AS hit, lang FROM documents)"
 PROVENANCE = "prov AS (SELECT doc_id AS qid, [(doc_id % 7)::VARCHAR, (doc_id % 5)::VARCHAR, (doc_id % 3)::VARCHAR, (doc_id % 11)::VARCHAR] AS guess, [[(doc_id % 5)::VARCHAR, '1'], [(doc_id % 11)::VARCHAR]] AS golds, quality, toxic FROM labels)"
 #: Lists without repeats in the order of first places.

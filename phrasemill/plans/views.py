@@ -52,10 +52,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, predictions, golds from the words of benchmark items."""
-    w = F.split("text", " ")
-    part = lambda at, n: F.array_join(F.slice(w, at, n), " ")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array(part(2, 5), part(1, 5), part(4, 6)).alias("predictions"), F.array(part(1, 5), part(2, 4)).alias("golds"))
+    """qid, predictions, golds from the whole texts of benchmark items: without their first word, whole, without the first three; and whole
+    and without the first and last two words as gold answers."""
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text", F.split("text", " ").alias("w")).withColumn("n", F.size("w"))
+    part = lambda at, less: F.array_join(F.slice("w", F.lit(at), F.greatest(F.col("n") - less, F.lit(0))), " ")
+    return rows.select("qid", F.array(part(2, 1), part(1, 0), part(4, 3)).alias("predictions"), F.array(part(1, 0), part(2, 3)).alias("golds"))
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,6 +33,29 @@ def test_search_and_evaluate(parts):
     assert pruned.search(questions).count() > 0
 
 
+def test_modes_and_vectors(parts):
+    phrases, docs, questions = parts
+    engine = PhraseEngine(phrases, docs, lambda q: q.select("qid", "q_start", "q_end"))
+    o = SearchOptions(top_k=3)
+    assert engine.run("query", questions, options=o).collect() == engine.search(questions, o).collect()
+    spans = engine.run("spans", questions, options=o)
+    stored = {(r.doc_idx, r.idx): r.vec for r in phrases.collect()}
+    rows = spans.collect()
+    assert rows and all(r.start_vec == stored[r.doc_idx, r.start_idx] and r.end_vec == stored[r.doc_idx, r.end_idx] for r in rows)
+    both = {r.dataset: r for r in engine.run("eval_all", {"nq": questions, "webq": questions}, search_options=o, candidates={"webq": questions.select(F.lit("red").alias("candidate"))}).collect()}
+    assert both["nq"].em_top1 == 100 and both["webq"].em_top1 == 0
+    assert engine.run("eval", questions, search_options=o).first().em_top1 == 100
+    with pytest.raises(ValueError):
+        engine.run("serve", questions)
+
+
+def test_questions_of_any_id(parts):
+    phrases, docs, questions = parts
+    engine = PhraseEngine(phrases, docs, lambda q: q.select("qid", "q_start", "q_end"))
+    named = questions.withColumn("qid", F.lit("s1"))
+    assert [r.found for r in engine.search(named).orderBy("place").collect()] == [r.found for r in engine.search(questions).orderBy("place").collect()]
+
+
 def test_options():
     with pytest.raises(ValueError):
         SearchOptions(unit="word")
