@@ -14,26 +14,30 @@ CAPACITY, END_ID = 2048, 0
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.3; the model learns from the labelled ones outside the held-out fold.
-    Null texts are scored as empty ones, repeated rows alike."""
+    """Documents that score at least 0.3, those at exactly 0.3 too; the model learns from the labelled ones outside the
+    held-out fold. Null texts are scored as empty ones, repeated rows alike, texts of any length whole. Without documents
+    there are none; without labels the untrained model decides. Other columns, whatever their names, come along."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal without white space, whatever their ids; null and
-    empty texts are one group."""
+    """One document of each group of texts that are equal without white space, whatever their ids: the longest, then that of
+    the smallest id; of repeated rows one. Null and empty texts are one group; texts of any length are compared by their
+    digests; an empty table stays empty. Other columns, whatever their names, come along."""
     return exact_dedup.without_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked at a similarity of 0.8 of five-word
-    shingles; documents without words stay."""
+    """One document, that of the smallest id (null ids last), of each group linked at a similarity of 0.8 of five-word
+    shingles; of repeated rows one. Documents without words, or text, stay; texts of any length are compared whole; an empty
+    table stays empty. Other columns, whatever their names, come along."""
     return near_dedup.without_near_copies(docs, percent=80, size=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of ten words, or a whole shorter item, of the benchmark; documents
-    without words stay."""
+    """Documents without any passage of ten words, or a whole shorter item, of the benchmark; documents without words, or
+    text, stay, and so do all where the benchmark is empty. Repeated rows are decided alike, texts of any length whole; an
+    empty table stays empty. Other columns, whatever their names, come along."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), width=10)
 
 
