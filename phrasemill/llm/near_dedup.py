@@ -304,23 +304,29 @@ def _paired(members: DataFrame, classes: DataFrame, least: int, parts: int) -> D
 
 
 def _ties(members: DataFrame, classes: DataFrame, percent: int, hashes: int, parts: int, made: list[DataFrame]) -> DataFrame:
-    """Ties ``a``, ``b`` from the members (key, rep) of buckets. Tables written on the way go to ``made``."""
+    """Ties ``a``, ``b`` from the written members (key, rep) of buckets, which are deleted as soon as nothing needs them.
+    Tables that the ties are read from go to ``made``."""
     share = percent / 100
     bar, far, inner = agreeing(share, hashes), agreeing(max(0.0, 2 * share - 1), hashes), math.ceil(hashes * (1 + share) / 2)
-    found = []
+    found, before = [], members
     for _ in range(TURNS):
         heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1")
         tied = written(members.join(heads, "key").where("rep <> head").select("key", "head", "rep", "members"), "members")
         agree = written(_agreement(tied.select("head", "rep").distinct(), classes), "agreement")
         known = written(tied.join(agree, ["head", "rep"]), "known")
+        discard(tied)
+        if before is not None:
+            discard(before)
         # what a bucket needs: nothing more if all are tied, the lower bar if some leave with the head
         state = known.groupBy("key").agg((F.min("agree") >= bar).alias("done"), (F.max("agree") >= inner).alias("close"))
-        state = written(state.where("close OR NOT done"), "state")
-        made += [tied, agree, known, state]
-        found.append(known.where(F.col("agree") >= bar).select(F.col("head").alias("a"), F.col("rep").alias("b")))
-        rest = known.where(F.col("agree") < inner).join(state.where("NOT done"), "key")
+        state = written(state.where("NOT done"), "state")
+        rest = written(known.where(F.col("agree") < inner).join(state, "key").select("key", "head", "rep", "members", "agree", "close"), "rest")
+        for x in (known, state):
+            discard(x)
+        made += [agree, rest]
+        found.append(agree.where(F.col("agree") >= bar).select(F.col("head").alias("a"), F.col("rep").alias("b")))
         found.append(rest.where(F.col("close") & (F.col("agree") < bar) & (F.col("agree") >= far)).select(F.col("head").alias("a"), F.col("rep").alias("b")))
-        members = rest.where("members > 2").select("key", "rep")
+        members, before = rest.where("members > 2").select("key", "rep"), None
     found.append(_paired(members, classes, bar, parts))
     return reduce(DataFrame.unionByName, found)
 
@@ -376,7 +382,7 @@ def link_groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str =
     # minima are aggregated map-side; members of one are dropped before anything else
     alone = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     members = written(keys.join(alone, "key"), "buckets")
-    made = [members]
+    made = []
     parts = max(4 * shuffle_partitions(spark), math.ceil(8 * (rows.agg(F.sum("n")).first()[0] or 0) / PART_BYTES))
     candidates = components(_ties(members, classes, percent, collections * ROWS + EXTRA, parts, made))
     for x in made:  # the components are written, nothing needs these any more
