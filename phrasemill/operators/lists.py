@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ..sources import manifest
 from . import index
-from .mips import BUCKETS, _matrix, best_of, pruned_top_k, query_blocks, ranked
+from .mips import BUCKETS, ROW_BLOCK, Best, _matrix, pruned_top_k, query_blocks, ranked
 
 #: Rows that a cell is trained on for each of its clusters, rows of a block that is assigned at once.
 TRAIN_ROWS, ASSIGN_ROWS = 64, 20_000
-#: Numbers of the tables of products of a block of queries.
-TABLE_NUMBERS = 1 << 24
+#: Numbers of the tables of products of a block of queries, and postings that are scored at once.
+TABLE_NUMBERS, POSTING_BLOCK = 1 << 24, 4096
 
 POSTINGS = "id bigint, cell int, cluster_id bigint, code binary, vec array<double>, bucket int"
 
@@ -196,24 +196,30 @@ def search(lists: Lists, queries: DataFrame, k: int, cells: int, clusters: int,
         def run(batches, shared=shared):
             qids, block, names, base, books = shared.value
             parts, codes, width = books.shape
-            table = np.stack([block[:, p * width : (p + 1) * width] @ books[p].T for p in range(parts)])
+            best = Best(len(block), fetch)
             for whole in batches:
-                for at in range(0, whole.num_rows, 4096):
-                    b = whole.slice(at, 4096)
+                for at in range(0, whole.num_rows, POSTING_BLOCK):
+                    b = whole.slice(at, POSTING_BLOCK)
                     key = b.column("id").to_numpy(zero_copy_only=False)
                     by_id = np.argsort(key, kind="stable")
                     key = key[by_id]
                     code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, parts)[by_id]
                     cluster = np.searchsorted(names, b.column("cluster_id").to_numpy(zero_copy_only=False)[by_id])
-                    score = np.full((len(block), len(key)), -np.inf)
-                    for c in np.unique(cluster):
-                        mine, who = np.flatnonzero(cluster == c), np.flatnonzero(base[:, c] > -np.inf)
-                        total = np.repeat(base[who, c][:, None], len(mine), 1)
-                        for p in range(parts):
-                            total += table[p][np.ix_(who, code[mine, p])]
-                        score[np.ix_(who, mine)] = total
-                    row, column = best_of(score, fetch)
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(key[column]), pa.array(score[row, column])], ["qid", "id", "score"])
+                    # some queries at a time, so that scores and tables of a task are bounded whatever the block
+                    for first in range(0, len(block), ROW_BLOCK):
+                        some = slice(first, first + ROW_BLOCK)
+                        table = [block[some, p * width : (p + 1) * width] @ books[p].T for p in range(parts)]
+                        score = np.full((len(block[some]), len(key)), -np.inf)
+                        for c in np.unique(cluster):
+                            mine, who = np.flatnonzero(cluster == c), np.flatnonzero(base[some, c] > -np.inf)
+                            if not len(who):
+                                continue
+                            total = np.repeat(base[some][who, c][:, None], len(mine), 1)
+                            for p in range(parts):
+                                total += table[p][np.ix_(who, code[mine, p])]
+                            score[np.ix_(who, mine)] = total
+                        best.add(first, score, key)
+            yield from best.batches(qids)
 
         best = ranked(rows.mapInArrow(run, f"qid {kind}, id bigint, score double"), fetch)
         if rescore:
