@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,29 +33,28 @@ class Runs(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "tag string, first bigint, last bigint, n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        x = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        tag, at = x[self.tag].to_numpy(object), x[self.order].to_numpy(np.int64)
-        new = np.append(True, tag[1:] != tag[:-1])
-        first = np.flatnonzero(new)
-        runs = pd.DataFrame({"key": key[0], "tag": tag[first], "first": at[first], "last": at[np.append(first[1:], len(at)) - 1], "n": np.diff(np.append(first, len(at)))})
-        if self.open.exists():
-            before = self.open.get()
-            if before[0] == runs.at[0, "tag"]:
-                runs.at[0, "first"] = before[1]
-                runs.at[0, "n"] += before[3]
-        last = runs.iloc[-1]
-        self.open.update((last["tag"], int(last["first"]), int(last["last"]), int(last["n"])))
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        found, run = [], self.open.get()
+        # rows without a place come last, as in SQL
+        for at, tag in sorted(((r[self.order], r[self.tag]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0)):
+            if run is not None and run[0] == tag:
+                run = (tag, run[1], run[2] if at is None else at, run[3] + 1)
+                found[-1:] = [run]
+            else:
+                run = (tag, at, at, 1)
+                found.append(run)
+        self.open.update(run)
         if self.idle:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
-        yield runs
+        for tag, first, last, n in found:
+            yield Row(key=key[0], tag=tag, first=first, last=last, n=n)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
         """Forget a key that was idle: its next row begins a run."""
         self.open.clear()
-        yield pd.DataFrame({c: [] for c in ("key", "tag", "first", "last", "n")})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -67,7 +66,7 @@ def open_runs(rows: DataFrame, by: str, order: str, tag: str, idle_ms: int = 0)
     rows a key is forgotten (0: never)."""
     kind = rows.schema[by].dataType.simpleString()
     named = rows.select(F.col(by), F.col(order).cast("bigint").alias(order), F.col(tag).cast("string").alias(tag))
-    out = named.groupBy(by).transformWithStateInPandas(Runs(order, tag, idle_ms), f"key {kind}, tag string, first bigint, last bigint, n bigint", "Update", "ProcessingTime" if idle_ms else "None")
+    out = named.groupBy(by).transformWithState(Runs(order, tag, idle_ms), f"key {kind}, tag string, first bigint, last bigint, n bigint", "Update", "ProcessingTime" if idle_ms else "None")
     return out.select(F.col("key").alias(by), F.col("tag").alias(tag), "first", "last", "n")
 
 

@@ -43,6 +43,26 @@ def test_runs_in_any_micro_batching(spark, tmp_path, seed):
     assert got == want
 
 
+def test_stream_runs_is_three_micro_batches_of_any_files(spark, tmp_path, monkeypatch):
+    from phrasemill.plans import built
+
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice(["a", "b"])) for k in range(4) for i in range(14)] + [(9, None, "a"), (9, 7, "a"), (9, 8, "b"), (9, 9, "a")]
+    # later turns are in earlier files
+    for turn in range(13, -1, -2):
+        some = [r for r in rows if (turn if r[1] is None else r[1]) in (turn, turn - 1)]
+        rng.shuffle(some)
+        spark.createDataFrame(some, "conv_id bigint, turn bigint, role string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{turn:02d}")
+    whole = spark.read.parquet(*(f"{tmp_path}/{turn:02d}" for turn in range(13, -1, -2))).repartitionByRange(7, F.desc("turn"))
+    monkeypatch.setattr(built.W, "table", lambda *_: whole)
+    monkeypatch.setattr(built, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, built.stream_runs(spark, "").collect()), key=repr)
+    plain = whole.withColumn("turn", F.coalesce("turn", F.lit(99)))
+    want = corpus.consecutive_groups(plain, "conv_id", "turn", "role").select("conv_id", "role", "first", F.when(F.col("last") == 99, 9).otherwise(F.col("last")), "n")
+    assert got == sorted(map(tuple, want.collect()), key=repr)
+    assert len(list((tmp_path / "runs").glob("batch=*"))) == 3
+
+
 def test_losses_in_any_order(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(k, b, 4, 100 * k + 4 * b + i, rng.normal(size=3).tolist(), rng.normal(size=3).tolist()) for k in range(2) for b in range(6) for i in range(4)]
