@@ -63,6 +63,23 @@ def test_stream_runs_is_three_micro_batches_of_any_files(spark, tmp_path, monkey
     assert len(list((tmp_path / "runs").glob("batch=*"))) == 3
 
 
+def test_max_context_never_shuffles_tokens(spark):
+    rng = random.Random(8)
+    rows = [(d, i, rng.choice([0, 5, 126, 127, 128, 700]) + rng.randint(0, 9), rng.choice([0, 1, 2, 60, 400])) for d in (1, 2, None) for i in range(9)]
+    spans_ = spark.createDataFrame([*rows, *rows[:4]], "doc_idx bigint, span_idx int, start int, length int")
+    want = {}
+    for d, i, start, n in rows:
+        for t in range(start, start + n):
+            value = (100 * min(t - start, start + n - 1 - t) + n, -i)
+            want[d, t] = max(want.get((d, t), value), value)
+    found = corpus.max_context(spans_)
+    assert dict(found.dtypes) == {"doc_idx": "bigint", "token": "int", "span_idx": "int"}
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(((d, t, -v[1]) for (d, t), v in want.items()), key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_idx" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "token#" in x]
+
+
 def test_losses_in_any_order(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(k, b, 4, 100 * k + 4 * b + i, rng.normal(size=3).tolist(), rng.normal(size=3).tolist()) for k in range(2) for b in range(6) for i in range(4)]
