@@ -4,12 +4,14 @@ Every token can be written in the casings in which the corpus has it. A casing's
 log shares among the token's casings: alone, after the token before, before the next token, and between both. The token
 before is taken as it was decided, so tokens are decided from left to right; the scores for all casings that it may
 have are looked up by joins first, whose keys are words, pairs and triples, and a small fold over each text decides.
-No table of counts is collected: Spark broadcasts one only if it is small.
+No table of counts is collected: Spark broadcasts one only if it is small. Where texts are counted for some rows only,
+the keys that these rows ask for go to the texts instead.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -22,20 +24,52 @@ from ..shared import materialised
 
 #: What every count is raised by. A fixed value that results depend on.
 PSEUDO = 5.0
+#: Keys of the tables of counts.
+KEYS = {"words": ["word"], "before": ["prev", "word"], "after": ["word", "next"], "around": ["prev", "word", "next"]}
+#: Up to so many keys are broadcast to the texts.
+BROADCAST_KEYS = 500_000
 
 
 def tokens_of(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
 
+def _places(texts: DataFrame, text_col: str) -> DataFrame:
+    """Every token of the texts: word, prev, next (in lower case)."""
+    rows = texts.select(tokens_of(F.col(text_col)).alias("w"))
+    shifted = F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("prev"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))
+    return rows.select(F.explode(shifted).alias("t")).select("t.word", "t.prev", F.lower("t.next").alias("next")).where("word IS NOT NULL")
+
+
+def _counted(places: DataFrame, name: str) -> DataFrame:
+    return places.where(" AND ".join(f"{x} IS NOT NULL" for x in KEYS[name])).groupBy(*KEYS[name]).agg(F.count("*").alias("n"))
+
+
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key, or lower-case word (``low``), is one of ``keys``."""
+    rows = rows.withColumn("low", F.lower("word")) if "low" in keys.columns else rows
+    return rows.join(keys, keys.columns, "left_semi").drop("low")
+
+
 def counts(texts: DataFrame, text_col: str = "text") -> dict[str, DataFrame]:
     """Tables of all texts: ``words`` (word, n), ``before`` (word and the one before it: prev, word, n), ``after`` (word and the
     next in lower case: word, next, n), ``around`` (prev, word, next, n)."""
-    rows = texts.select(tokens_of(F.col(text_col)).alias("w"))
-    shifted = F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("prev"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))
-    rows = rows.select(F.explode(shifted).alias("t")).select("t.word", "t.prev", F.lower("t.next").alias("next")).where("word IS NOT NULL")
-    count = lambda *c: rows.where(" AND ".join(f"{x} IS NOT NULL" for x in c)).groupBy(*c).agg(F.count("*").alias("n"))
-    return {"words": count("word"), "before": count("prev", "word"), "after": count("word", "next"), "around": count("prev", "word", "next")}
+    places = _places(texts, text_col)
+    return {name: _counted(places, name) for name in KEYS}
+
+
+def counts_asked(texts: DataFrame, text_col: str = "text") -> Callable[[str, DataFrame], DataFrame]:
+    """The tables of ``counts`` for ``truecased``, which asks for some keys of each: all texts are read, but only tokens that
+    are among the keys are counted, so that what is shuffled grows with the keys and not with the texts. More keys than
+    ``BROADCAST_KEYS`` are looked up in the whole table of counts."""
+    places = _places(texts, text_col)
+
+    def asked(name: str, keys: DataFrame) -> DataFrame:
+        if keys.count() > BROADCAST_KEYS:
+            return _among(_counted(places, name), keys)
+        return _counted(_among(places, F.broadcast(keys)), name)
+
+    return asked
 
 
 @F.pandas_udf(T.StringType())
@@ -53,8 +87,8 @@ def _shares(value: str, entries: Column) -> Column:
     return F.transform(entries, lambda e: F.log((e[value] + PSEUDO) / total))
 
 
-def truecased(rows: DataFrame, tables: dict[str, DataFrame], id_col: str = "id", text_col: str = "text", unknown: str = "title") -> DataFrame:
-    """``id_col`` and ``cased`` for every row. ``tables`` as of ``counts``; ties go to the first casing in the order of characters.
+def truecased(rows: DataFrame, tables: dict[str, DataFrame] | Callable[[str, DataFrame], DataFrame], id_col: str = "id", text_col: str = "text", unknown: str = "title") -> DataFrame:
+    """``id_col`` and ``cased`` for every row. ``tables`` as of ``counts`` or ``counts_asked``; ties go to the first casing in the order of characters.
 
     Tokens without any known casing are written as ``unknown`` says: title, lower or as-is; digits and marks stay, and
     the first known token gets a capital. Tokens are joined by spaces but before marks and ``'``. Null stays null, rows
@@ -62,8 +96,9 @@ def truecased(rows: DataFrame, tables: dict[str, DataFrame], id_col: str = "id",
     key = F.monotonically_increasing_id()
     base = materialised(rows.select(key.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
     tok = base.where("text IS NOT NULL").select("row", F.posexplode(tokens_of(F.col("text"))).alias("i", "token")).withColumn("low", F.lower("token"))
-    wanted = tok.select("low").distinct()
-    casings = tables["words"].withColumn("low", F.lower("word")).join(wanted, "low", "left_semi")
+    asked = tables if callable(tables) else lambda name, keys: _among(tables[name], keys) if name == "words" else tables[name]
+    wanted = materialised(tok.select("low").distinct(), "words")
+    casings = asked("words", wanted).withColumn("low", F.lower("word"))
     # as many entries as a word has casings
     casings = casings.groupBy("low").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("known"))
     marks = F.contains(F.lit(string.punctuation), F.col("token")) | F.col("token").rlike(r"^\p{Nd}+$")
@@ -78,9 +113,11 @@ def truecased(rows: DataFrame, tables: dict[str, DataFrame], id_col: str = "id",
     tok = materialised(tok.select("row", "i", "fixed", "known", "prevs", "next"), "tokens")
 
     open_ = tok.where("fixed IS NULL").withColumn("prev", F.explode_outer(F.array_distinct("prevs"))).select("row", "i", "prev", "next", F.explode("known").alias("k")).select("row", "i", "prev", "next", "k.word", "k.n")
+    open_ = open_keys = materialised(open_, "open")
     n = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
-    for name, on in (("before", ["prev", "word"]), ("after", ["word", "next"]), ("around", ["prev", "word", "next"])):
-        open_ = open_.join(tables[name].withColumnRenamed("n", name), on, "left")
+    for name in ("before", "after", "around"):
+        keys = materialised(open_keys.select(*KEYS[name]).dropna().distinct(), "keys") if callable(tables) else open_keys
+        open_ = open_.join(asked(name, keys).withColumnRenamed("n", name), KEYS[name], "left")
     entries = F.array_sort(F.collect_list(F.struct("word", "n", n("before"), n("after"), n("around"))))
     per = open_.groupBy("row", "i", "prev", "next").agg(entries.alias("e"))
     zero = F.transform("e", lambda e: F.lit(0.0))

@@ -120,6 +120,27 @@ def test_truecasing_of_random_texts(spark):
     assert truecasing.truecased(rows.limit(0), tables).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_only_asked_keys_are_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(truecasing, "BROADCAST_KEYS", most)
+    rng = random.Random(4)
+    words = "the The THE cat Cat of Of us US Us straße Straße , 12 other Other".split()
+    corpus = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, ""]
+    texts = spark.createDataFrame([(t,) for t in corpus], "text string")
+    c, asked = python_counts(corpus), truecasing.counts_asked(texts)
+    seen = []
+    counted = lambda name, keys: seen.append((name, keys, out := asked(name, keys))) or out
+    rows = spark.createDataFrame([(0, "the cat of us"), (1, "of the straße , us 12 qwerty cat"), (1, None), (None, "us")], "id bigint, text string")
+    got = Counter((r.id, r.cased) for r in truecasing.truecased(rows, counted).collect())
+    assert got == Counter((r.id, python_truecase(r.text, c)) for r in rows.collect())
+    assert [name for name, *_ in seen] == list(truecasing.KEYS)
+    for name, keys, out in seen:
+        wanted = {tuple(r) for r in keys.collect()}
+        found = {tuple(r)[:-1]: r.n for r in out.collect()}
+        key = (lambda k: (k[0].lower(),)) if name == "words" else (lambda k: k)
+        assert found == {k: n for k, n in (((x,) if name == "words" else x, n) for x, n in c[name].items()) if key(k) in wanted}
+
+
 def test_truecase_query_over_the_whole_benchmark(spark):
     from phrasemill.plans import catalog
 
