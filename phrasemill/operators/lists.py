@@ -26,6 +26,8 @@ from .mips import BUCKETS, ROW_BLOCK, Best, _matrix, pruned_top_k, query_blocks,
 TRAIN_ROWS, ASSIGN_ROWS = 64, 20_000
 #: Numbers of the tables of products of a block of queries, and postings that are scored at once.
 TABLE_NUMBERS, POSTING_BLOCK = 1 << 24, 4096
+#: Vectors that a task reads before it drops those that are no longer among the best.
+HELD = 1 << 16
 
 POSTINGS = "id bigint, cell int, cluster_id bigint, code binary, vec array<double>, bucket int"
 
@@ -171,6 +173,14 @@ def probes(lists: Lists, queries: DataFrame, cells: int, clusters: int) -> DataF
     return best.select("qid", F.col("id").alias("cluster_id"), F.col("score").alias("base")).join(lists.clusters.select("cluster_id", "cell"), "cluster_id")
 
 
+def _only(held: list, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks of (ids, vectors) the rows of some ids, in order."""
+    key, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+    key, at = np.unique(key, return_index=True)
+    some = np.isin(key, ids)
+    return key[some], vectors[at[some]]
+
+
 def search(lists: Lists, queries: DataFrame, k: int, cells: int, clusters: int, rescore: int = 0) -> DataFrame:
     """``qid``, ``id``, ``score``, ``rank``: the best ``k`` by their codes in the probed clusters, ties by id; with ``rescore`` so many
     are ranked by their exact products. ``queries``: qid, qvec."""
@@ -190,42 +200,59 @@ def search(lists: Lists, queries: DataFrame, k: int, cells: int, clusters: int,
         buckets = sorted({int(c) % BUCKETS for c in np.unique(near.column("cell").to_numpy())})
         wanted = spark.createDataFrame(pa.table({"cluster_id": pa.array(names)}))
         # folders are pruned by the literal buckets, rows by the semi-join; the list is bounded by the block
-        rows = lists.postings.where(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), "cluster_id", "left_semi").select("id", "cluster_id", "code")
+        rows = lists.postings.where(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), "cluster_id", "left_semi").select("id", "cluster_id", "code", *["vec"] * bool(rescore))
         shared = spark.sparkContext.broadcast((pa.array(ids), matrix, names, base, books))
 
         def run(batches, shared=shared):
             qids, block, names, base, books = shared.value
             parts, codes, width = books.shape
             best = Best(len(block), fetch)
+            # rows that may still be among the best, if their vectors are needed
+            held, count = [], 0
             for whole in batches:
                 for at in range(0, whole.num_rows, POSTING_BLOCK):
                     b = whole.slice(at, POSTING_BLOCK)
                     key = b.column("id").to_numpy(zero_copy_only=False)
                     by_id = np.argsort(key, kind="stable")
                     key = key[by_id]
-                    code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, parts)[by_id]
+                    code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, parts)[by_id].T.astype(np.intp)
                     cluster = np.searchsorted(names, b.column("cluster_id").to_numpy(zero_copy_only=False)[by_id])
+                    near = [(c, np.flatnonzero(cluster == c)) for c in np.unique(cluster)]
                     # some queries at a time, so that scores and tables of a task are bounded whatever the block
                     for first in range(0, len(block), ROW_BLOCK):
                         some = slice(first, first + ROW_BLOCK)
-                        table = [block[some, p * width : (p + 1) * width] @ books[p].T for p in range(parts)]
-                        score = np.full((len(block[some]), len(key)), -np.inf)
-                        for c in np.unique(cluster):
-                            mine, who = np.flatnonzero(cluster == c), np.flatnonzero(base[some, c] > -np.inf)
+                        asked = [(c, mine, np.flatnonzero(base[some, c] > -np.inf)) for c, mine in near]
+                        table = [block[some, p * width : (p + 1) * width] @ books[p].T for p in range(parts)] if any(len(who) for *_, who in asked) else []
+                        for c, mine, who in asked:
                             if not len(who):
                                 continue
                             total = np.repeat(base[some][who, c][:, None], len(mine), 1)
                             for p in range(parts):
-                                total += table[p][np.ix_(who, code[mine, p])]
-                            score[np.ix_(who, mine)] = total
-                        best.add(first, score, key)
-            yield from best.batches(qids)
+                                total += table[p][who].take(code[p, mine], axis=1)
+                            best.add(who + first, total, key[mine])
+                    if rescore:
+                        held.append((key, _matrix(b.column("vec"))[by_id]))
+                        count += len(key)
+                        if count > HELD:
+                            best.settle()
+                            held, count = [_only(held, best.id)], 0
+            if not rescore:
+                yield from best.batches(qids)
+                return
+            best.settle()
+            if held:
+                key, vectors = _only(held, best.id)
+                at = np.searchsorted(key, best.id)
+                for low in range(0, len(at), 1 << 14):
+                    to = slice(low, low + (1 << 14))
+                    exact = np.einsum("ij,ij->i", vectors[at[to]], block[best.row[to]])
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(best.row[to])), *map(pa.array, (best.id[to], best.score[to], exact))], ["qid", "id", "score", "exact"])
 
-        best = ranked(rows.mapInArrow(run, f"qid {kind}, id bigint, score double"), fetch)
         if rescore:
-            vectors = lists.postings.where(F.col("bucket").isin(buckets)).select("id", "vec")
-            pairs = vectors.join(best.select("qid", "id"), "id").join(queries.select("qid", "qvec"), "qid")
-            best = ranked(pairs.select("qid", "id", F.aggregate(F.zip_with("vec", "qvec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score")), k)
-        found.append(best)
+            # exact products come with the codes' scores from where the vectors are read
+            best = ranked(rows.mapInArrow(run, f"qid {kind}, id bigint, score double, exact double"), fetch)
+            found.append(ranked(best.select("qid", "id", F.col("exact").alias("score")), k))
+        else:
+            found.append(ranked(rows.mapInArrow(run, f"qid {kind}, id bigint, score double"), fetch))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"qid {kind}, id bigint, score double, rank int")
 
